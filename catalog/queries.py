@@ -6,7 +6,6 @@ engine can be compared with them.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,13 +25,17 @@ from mnemospark.operators import (
     vectors,
 )
 from mnemospark.plans import maintenance, requests
-from mnemospark.session import checkpointed, configure, ensure_checkpoint_dir
+from mnemospark.session import configure, materialised, new_folder
 from mnemospark.sources import samples, tables
 from mnemospark.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+OPENING = packing.OPENING
+SECTION_HEAD, SECTION_TAIL, CLOSING = packing.SECTION_HEAD, packing.SECTION_TAIL, packing.CLOSING
+INSTRUCTION_PROMPT = f"{extraction.INSTRUCTION}\n\n{extraction.CONVERSATION_HEAD}"
+
 
 def query(fn: Query) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,6 +49,11 @@ def r6(column: str | Column) -> Column:
     return F.round(column, 6)
 
 
+def r6_mean(column: str) -> Column:
+    """A mean to six places; the nudge keeps exact halves on one side in any engine."""
+    return F.round(F.col(column) + 1e-9, 6)
+
+
 def stamp(column: str | Column) -> Column:
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
 
@@ -154,7 +162,7 @@ def embedding_attach(spark, folder):
         .agg(F.min_by("embedding", "doc_id").alias("embedding"))
     )
     attached = vectors.attach_embeddings(d, known)
-    return attached.select("doc_id", r6(F.get("embedding", F.lit(0))).alias("first_value"))
+    return attached.select("doc_id", r6(F.get("embedding", F.lit(0)).cast("double")).alias("first_value"))
 
 
 @query
@@ -247,7 +255,7 @@ def forget_times(spark, folder):
 def _stats_columns():
     return [
         "total_memories",
-        r6("avg_importance").alias("avg_importance"),
+        r6_mean("avg_importance").alias("avg_importance"),
         stamp("oldest_memory").alias("oldest_memory"),
         stamp("newest_memory").alias("newest_memory"),
         "memories_at_risk",
@@ -421,7 +429,7 @@ def vector_topk_approx(spark, folder):
 @query
 def rerank_score_join(spark, folder):
     """Scores joined from a table; candidates and requests without scores included."""
-    hits = checkpointed(
+    hits = materialised(
         nearest.nearest_memories(
             samples.search_requests(spark, folder), samples.vector_memories(spark, folder)
         )
@@ -654,9 +662,9 @@ def delete_by_owner(spark, folder):
 
 @query
 def cascade_delete(spark, folder):
-    """Users with a signup event leave, and their memories with them."""
+    """Users with a large purchase leave, and their memories with them."""
     events = samples.table(spark, folder, "events")
-    gone = events.filter(F.col("event_type") == "signup").select("user_id")
+    gone = events.filter(F.col("value") > 300).select("user_id")
     users, left = lifecycle.delete_users(
         events.select("user_id").distinct(), samples.event_memories(spark, folder), gone
     )
@@ -841,17 +849,8 @@ def _event_stream(spark, folder):
     return spark.readStream.schema(batch.schema).parquet(f"{folder}/events*.parquet")
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder for stream state beside the session's checkpoints."""
-    base = ensure_checkpoint_dir(spark)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
-        base, f"stream-{next(tempfile._get_candidate_names())}"
-    )
-    return path.toString()
-
-
 def _run_to_parquet(writer, spark, schema_of: DataFrame) -> DataFrame:
-    where = _scratch(spark)
+    where = new_folder(spark, "stream")
     stream = (
         writer.format("parquet")
         .option("checkpointLocation", f"{where}/state")
@@ -892,7 +891,7 @@ def _created(spark, folder):
 
 @query
 def stream_user_stats(spark, folder):
-    stats = _keep_last_batch(live.stats_stream(_created(spark, folder)), _scratch(spark))
+    stats = _keep_last_batch(live.stats_stream(_created(spark, folder)), new_folder(spark, "stream"))
     return stats.select("user_id", *_stats_columns())
 
 
@@ -902,7 +901,7 @@ def stream_access_counts(spark, folder):
     log = log.select(
         (F.col("event_id") % 600).alias("memory_id"), F.col("ts").cast("timestamp").alias("ts")
     )
-    counts = _keep_last_batch(live.access_counts_stream(log), _scratch(spark))
+    counts = _keep_last_batch(live.access_counts_stream(log), new_folder(spark, "stream"))
     return counts.select("id", "recalls", stamp("latest").alias("latest"))
 
 
@@ -915,5 +914,5 @@ def stream_windowed_stats(spark, folder):
         stamp("start").alias("start"),
         "user_id",
         "created",
-        r6("avg_importance").alias("avg_importance"),
+        r6_mean("avg_importance").alias("avg_importance"),
     )

@@ -38,7 +38,7 @@ def percent(importance: Column) -> Column:
 
 def average_text(average: Column) -> Column:
     """Average with two decimals, a dash when there is none."""
-    return F.coalesce(F.format_string("%.2f", average), F.lit("—"))
+    return F.when(average.isNotNull(), F.format_string("%.2f", average)).otherwise(F.lit("—"))
 
 
 def memory_line(position: Column, memory_type: Column, content: Column) -> Column:

@@ -124,7 +124,7 @@ def _text_of(value: Column, kind: Column, null_text: str | None) -> Column:
 
 
 def _judged(items: Column, null_content: str | None) -> Column:
-    """Array of items to an array of (content, type, importance, verdicts)."""
+    """Array of items to an array of (item_no, content, type, importance, verdicts)."""
 
     def read(item: Column) -> Column:
         def field(name: str) -> Column:
@@ -158,11 +158,12 @@ def _judged(items: Column, null_content: str | None) -> Column:
             score.alias("importance_score"),
         )
 
-    def verdict(v: Column) -> Column:
+    def verdict(v: Column, position: Column) -> Column:
         known_type = F.coalesce(v["memory_type"].isin(*MEMORY_TYPES), F.lit(False))
         reaches_score = v["is_object"] & known_type & v["k_content"].isNotNull()
         unreadable = F.coalesce(v["k_score"].isin("VOID", "ARRAY", "OBJECT"), F.lit(False))
         return F.struct(
+            position.alias("item_no"),
             v["content"].alias("content"),
             v["memory_type"].alias("memory_type"),
             v["importance_score"].alias("importance_score"),
@@ -207,16 +208,15 @@ def parse_completions(completions: DataFrame, **options) -> DataFrame:
     sound = F.filter("items", lambda i: i["rejected_because"].isNull())
     kept = F.when(~F.exists("items", lambda i: i["fatal"]), sound)
     others = [c for c in completions.columns if c != "raw"]
-    return (
-        judged.select(*others, F.posexplode(kept).alias("item_no", "item"))
-        .select(*others, "item_no", "item.content", "item.memory_type", "item.importance_score")
-    )
+    return judged.select(*others, F.inline(kept)).drop("rejected_because", "fatal")
 
 
 def rejected_items(completions: DataFrame, **options) -> DataFrame:
     """Considered items that were skipped, with the reason; fatal ones marked."""
     judged = judge_completions(completions, **options)
     others = [c for c in completions.columns if c != "raw"]
-    return judged.select(*others, F.posexplode("items").alias("item_no", "item")).filter(
-        F.col("item.rejected_because").isNotNull() | F.col("item.fatal")
-    ).select(*others, "item_no", "item.rejected_because", "item.fatal")
+    return (
+        judged.select(*others, F.inline("items"))
+        .filter(F.col("rejected_because").isNotNull() | F.col("fatal"))
+        .select(*others, "item_no", "rejected_because", "fatal")
+    )

@@ -15,7 +15,7 @@ Either way a task emits at most k matches per request, never the pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from math import ceil
 
 import numpy as np
@@ -29,7 +29,7 @@ from mnemospark.functions.blocks import Block, MatchRule, keep_best, match_block
 from mnemospark.functions.vector import cosine_similarity
 from mnemospark.operators.ranking import top_k_per_group
 from mnemospark.schema import CANDIDATE_POOL
-from mnemospark.session import broadcast_if_small
+from mnemospark.session import BROADCAST_ROWS, broadcast_if_small, materialised
 
 #: Limits under which the request table is broadcast to the executors.
 BROADCAST_REQUESTS = 4096
@@ -85,9 +85,12 @@ def nearest_memories(
     earlier_only: bool = False,
     cells: np.ndarray | None = None,
     broadcast_requests: int = BROADCAST_REQUESTS,
+    columns: Sequence[str] = (),
 ) -> DataFrame:
     """The ``k`` nearest live memories of every request: qid, id, similarity, rank.
 
+    ``columns`` names further memory columns to attach to the matches.
+
     ``min_similarity`` keeps only matches at or above it; with ``cells`` it also
     leaves out cells that provably hold none. ``earlier_only`` compares the
     ``sequence`` columns and matches earlier rows only.
@@ -108,7 +111,12 @@ def nearest_memories(
             wanted = _probe(wanted, cells, radius=_chord(min_similarity))
             stored = _assign(stored, cells)
         partial = _join_blocks(wanted, stored, rule)
-    return _final_ranks(partial, k)
+    ranked = _final_ranks(partial, k)
+    if not columns:
+        return ranked
+    if few is not None and few.num_rows * k <= BROADCAST_ROWS:
+        ranked = F.broadcast(ranked)  # at most k rows for each request counted above
+    return memories.select("id", *columns).join(ranked, "id")
 
 
 def nearest_memories_approx(
@@ -148,11 +156,6 @@ def recall_report(exact: DataFrame, approximate: DataFrame) -> DataFrame:
     )
 
 
-def attach_memories(matches: DataFrame, memories: DataFrame, columns: list[str]) -> DataFrame:
-    """Add memory columns to matches; a small match table spares the scan a shuffle."""
-    return memories.select("id", *columns).join(broadcast_if_small(matches), "id")
-
-
 def fit_cells(
     memories: DataFrame, n_cells: int = 100, sample_rows: int = 50_000, seed: int = 7
 ) -> np.ndarray:
@@ -166,16 +169,16 @@ def fit_cells(
     from pyspark.ml.functions import array_to_vector
 
     usable = live(memories).select("id", F.col("embedding").cast("array<double>").alias("v"))
-    total = usable.count()
+    total = usable.select("id").count()
     if total > sample_rows:
-        share = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) / 1e6
-        usable = usable.filter(share < sample_rows / total)
+        share = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40))
+        usable = usable.filter(share < int((1 << 40) * (sample_rows / total)))
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda total, x: total + x * x))
     unit = usable.withColumn("length", length).filter(F.col("length") > 0.0)
     training = unit.select(
         array_to_vector(F.transform("v", lambda x: x / F.col("length"))).alias("features")
     )
-    model = KMeans(k=n_cells, seed=seed, maxIter=10, initSteps=2).fit(training)
+    model = KMeans(k=n_cells, seed=seed, maxIter=10, initSteps=2).fit(materialised(training))
     return np.vstack(model.clusterCenters())
 
 
@@ -237,9 +240,9 @@ def _join_blocks(wanted: DataFrame, stored: DataFrame, rule: MatchRule) -> DataF
     of about one block. Only scopes that are requested are shuffled.
     """
     asked = wanted.groupBy("scope").agg(F.count("*").alias("asked"))
-    stored = stored.join(broadcast_if_small(asked.select("scope")), "scope", "left_semi")
     held = stored.groupBy("scope").agg(F.count("*").alias("held"))
-    sizes = asked.join(held, "scope")
+    sizes = materialised(asked.join(held, "scope"))
+    stored = stored.join(broadcast_if_small(sizes.select("scope")), "scope", "left_semi")
     large = sizes.filter(
         (F.col("held") > MEMORY_BLOCK_ROWS) | (F.col("asked") > REQUEST_BLOCK_ROWS)
     ).select(
@@ -281,6 +284,9 @@ def _join_blocks(wanted: DataFrame, stored: DataFrame, rule: MatchRule) -> DataF
         .withColumn("q_block", every_block("q_blocks"))
         .drop("m_blocks", "q_blocks")
     )
+    # Fresh column identities: both sides may come from the same rows.
+    left = left.select(*(F.col(c).alias(c) for c in left.columns))
+    right = right.select(*(F.col(c).alias(c) for c in right.columns))
     schema = _match_schema(wanted.schema["qid"].dataType, stored.schema["id"].dataType)
 
     def match(requests: pa.Table, memories: pa.Table) -> pa.Table:

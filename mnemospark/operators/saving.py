@@ -16,7 +16,7 @@ from mnemospark.functions.blocks import SIMILARITY_DECIMALS, Block
 from mnemospark.operators.lifecycle import insert_memories, reinforce
 from mnemospark.operators.nearest import nearest_memories
 from mnemospark.schema import DUPLICATE_SIMILARITY
-from mnemospark.session import broadcast_if_small, checkpointed
+from mnemospark.session import broadcast_if_small, materialised
 
 #: A user with at most this many undecided rows is settled in one task.
 LOCAL_ROWS = 4_096
@@ -81,7 +81,8 @@ def save_snapshot(
     **options,
 ) -> tuple[DataFrame, DataFrame]:
     """Next memory table and the decisions of :func:`decide_snapshot`."""
-    decisions = decide_snapshot(memories, incoming, threshold, **options)
+    incoming = materialised(incoming)
+    decisions = materialised(decide_snapshot(memories, incoming, threshold, **options))
     log = decisions.filter(F.col("action") == "reinforce").select(
         F.col("id").alias("memory_id"), as_of.alias("ts")
     )
@@ -107,17 +108,19 @@ def decide_in_order(
     near, so the inserts are found first (:func:`_earliest_distinct`) and all
     other rows are then matched to the nearest memory they could see.
     """
-    stored_hits = checkpointed(_nearest_stored(memories, incoming, threshold, **options))
+    # Read several times below, and its vectors may come from a costly function.
+    incoming = materialised(incoming)
+    stored_hits = materialised(_nearest_stored(memories, incoming, threshold, **options))
     unmatched = incoming.filter(F.col("embedding").isNotNull()).join(
         stored_hits, "seq", "left_anti"
     )
     # A row saved with importance zero is never found by later searches.
     visible = unmatched.filter(F.col("importance_score") > 0.0)
-    leaders = _earliest_distinct(_as_memories(visible), threshold, local_rows, **options)
-    inserted = _as_memories(incoming).join(
-        broadcast_if_small(leaders.withColumnRenamed("seq", "id")), "id", "left_semi"
+    leaders = broadcast_if_small(
+        _earliest_distinct(_as_memories(visible), threshold, local_rows, **options)
     )
-    others = incoming.join(broadcast_if_small(leaders), "seq", "left_anti")
+    inserted = _as_memories(incoming.join(leaders, "seq", "left_semi"))
+    others = incoming.join(leaders, "seq", "left_anti")
     batch_hits = nearest_memories(
         _requests(others), inserted, 1, min_similarity=threshold, earlier_only=True, **options
     ).select(
@@ -154,7 +157,8 @@ def save_in_order(
     **options,
 ) -> tuple[DataFrame, DataFrame]:
     """Next memory table and the decisions of :func:`decide_in_order`."""
-    decisions = checkpointed(decide_in_order(memories, incoming, threshold, **options))
+    incoming = materialised(incoming)
+    decisions = materialised(decide_in_order(memories, incoming, threshold, **options))
     fresh = incoming.join(
         decisions.filter(F.col("action") == "insert").select("seq"), "seq", "left_semi"
     )
@@ -183,29 +187,26 @@ def _earliest_distinct(
     of any size is settled in one round, because a row reports only whether it
     has such a neighbour, never its list of neighbours.
     """
-    undecided = rows
+    undecided = materialised(rows)
     kept: DataFrame | None = None
     while True:
         per_user = undecided.groupBy("user_id").agg(F.count("*").alias("n"))
         heavy = per_user.filter(F.col("n") > local_rows).select("user_id")
-        any_heavy = heavy.limit(1).count() > 0
-        light = undecided
-        if any_heavy:
-            heavy = broadcast_if_small(heavy)
-            light = undecided.join(heavy, "user_id", "left_anti")
+        if heavy.isEmpty():
+            return _union(kept, _walk_users(undecided, threshold))
+        heavy = broadcast_if_small(heavy)
+        light = undecided.join(heavy, "user_id", "left_anti")
         kept = _union(kept, _walk_users(light, threshold))
-        if not any_heavy:
-            return kept
-        undecided = checkpointed(undecided.join(heavy, "user_id", "left_semi"))
+        undecided = undecided.join(heavy, "user_id", "left_semi")
         rule = {"min_similarity": threshold, "earlier_only": True, **options}
         as_requests = undecided.withColumnRenamed("id", "qid")
         blocked = nearest_memories(as_requests, undecided, 1, **rule)
-        leaders = checkpointed(
+        leaders = materialised(
             undecided.join(blocked.select(F.col("qid").alias("id")), "id", "left_anti")
         )
         covered = nearest_memories(as_requests, leaders, 1, **rule)
         settled = leaders.select("id").unionByName(covered.select(F.col("qid").alias("id")))
-        undecided = checkpointed(undecided.join(settled, "id", "left_anti"))
+        undecided = materialised(undecided.join(settled, "id", "left_anti"))
         kept = _union(kept, leaders.select(F.col("id").alias("seq")))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions.decay import current_importance
 from mnemospark.functions.text import search_score
-from mnemospark.operators.nearest import attach_memories, nearest_memories
+from mnemospark.operators.nearest import nearest_memories
 from mnemospark.schema import CANDIDATE_POOL, DEFAULT_TOP_K
 
 #: Adds a ``relevance`` column to the candidates.
@@ -100,9 +100,9 @@ def search_memories(
     """
     if memory_types is not None:
         memories = memories.filter(F.col("memory_type").isin(memory_types))
-    hits = nearest_memories(requests, memories, CANDIDATE_POOL, **nearest_options)
-    hits = hits.withColumnRenamed("rank", "candidate_rank")
-    candidates = attach_memories(hits, memories, PAYLOAD)
+    candidates = nearest_memories(
+        requests, memories, CANDIDATE_POOL, columns=PAYLOAD, **nearest_options
+    ).withColumnRenamed("rank", "candidate_rank")
     if "query" in requests.columns:
         candidates = candidates.join(requests.select("qid", "query"), "qid")
     ranked = rank_candidates(apply_rerank(candidates, rerank), as_of, top_k)

@@ -14,6 +14,7 @@ from mnemospark.operators.search import (
     recall_project_context,
 )
 from mnemospark.schema import rejection_reason
+from mnemospark.session import materialised
 
 # --- fixed values: tool names and defaults ----------------------------------
 RECALL = "recall_project_context"
@@ -132,7 +133,7 @@ def run_tool_calls(
     ``query_vectors`` gives the embedding of each request's text (request_id,
     embedding). Each kind of call is one batch job over all its requests.
     """
-    parsed = parse_tool_calls(calls)
+    parsed = materialised(parse_tool_calls(calls))
     good = parsed.filter(F.col("error").isNull())
     asked = good.join(query_vectors, "request_id", "left").withColumnRenamed("request_id", "qid")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,19 +35,8 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a narrow DataFrame for broadcast only after counting its rows.
-
-    A wide table joined with the result is then not shuffled. Beyond
-    ``max_rows`` the DataFrame comes back unmarked and the join shuffles, with
-    AQE splitting skewed partitions.
-    """
-    rows = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if rows <= max_rows else df
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting one only for local runs."""
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder all executors share; only local runs get a new one."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
@@ -60,7 +50,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """An unused path in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder once and read it back.
+
+    Cuts the lineage like a checkpoint, so a lost executor costs nothing that
+    was already computed; unlike one it keeps column pruning and lets Spark see
+    the true size.
+    """
+    path = new_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a narrow DataFrame for broadcast only after counting its rows.
+
+    A wide table joined with the result is then not shuffled. Beyond
+    ``max_rows`` the DataFrame comes back unmarked and the join shuffles, with
+    AQE splitting skewed partitions. The rows are materialised first, so
+    counting them does not compute them twice.
+    """
+    stored = materialised(df)
+    return F.broadcast(stored) if stored.count() <= max_rows else stored
