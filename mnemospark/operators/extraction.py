@@ -78,18 +78,32 @@ def strip_fence(raw: Column) -> Column:
     return F.when(trimmed.startswith("```"), inside).otherwise(trimmed)
 
 
-def parse_json_strictly(text: Column) -> Column:
-    """Variant of a text that is one JSON value and nothing else, else NULL.
+def with_strict_json(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """Add the variant of a text column that is one JSON value and nothing else.
 
     Spark's parser stops after the first value. Wrapped in an array with a
     marker behind it, a text with something after its value no longer parses to
-    exactly two elements of which the last is the marker.
+    exactly two elements of which the last is the marker. NULL if it does not
+    parse.
     """
-    marker = F.md5(text.cast("binary"))
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), marker, F.lit('"]')))
-    parts = F.try_variant_get(wrapped, "$", "array<variant>")
-    closing = F.try_variant_get(wrapped, "$[1]", "string")
-    return F.when((F.size(parts) == 2) & (closing == marker), F.get(parts, F.lit(0)))
+    # Columns used more than once stay in projections of their own, so that no
+    # step is computed again for each use.
+    marked = rows.withColumn("_marker", F.md5(F.col(text).cast("binary")))
+    wrapped = marked.withColumn(
+        "_parts",
+        F.try_variant_get(
+            F.try_parse_json(
+                F.concat(F.lit("["), F.col(text), F.lit(',"'), F.col("_marker"), F.lit('"]'))
+            ),
+            "$",
+            "array<variant>",
+        ),
+    )
+    closing = F.try_variant_get(F.get("_parts", F.lit(1)), "$", "string")
+    whole = (F.size("_parts") == 2) & (closing == F.col("_marker"))
+    return wrapped.withColumn(name, F.when(whole, F.get("_parts", F.lit(0)))).drop(
+        "_marker", "_parts"
+    )
 
 
 def _kind(value: Column) -> Column:
@@ -190,7 +204,8 @@ def judge_completions(
     bad. ``items`` is NULL when the text is not a JSON list. A null content
     becomes the text ``null_content`` (None rejects the item).
     """
-    parsed = completions.withColumn("parsed", parse_json_strictly(strip_fence(F.col("raw"))))
+    bare = completions.withColumn("_body", strip_fence(F.col("raw")))
+    parsed = with_strict_json(bare, "_body", "parsed").drop("_body")
     considered = F.when(
         _kind(F.col("parsed")) == "ARRAY",
         F.slice(F.try_variant_get(F.col("parsed"), "$", "array<variant>"), 1, cap),
@@ -215,8 +230,7 @@ def rejected_items(completions: DataFrame, **options) -> DataFrame:
     """Considered items that were skipped, with the reason; fatal ones marked."""
     judged = judge_completions(completions, **options)
     others = [c for c in completions.columns if c != "raw"]
-    return (
-        judged.select(*others, F.inline("items"))
-        .filter(F.col("rejected_because").isNotNull() | F.col("fatal"))
-        .select(*others, "item_no", "rejected_because", "fatal")
+    skipped = F.filter("items", lambda i: i["rejected_because"].isNotNull() | i["fatal"])
+    return judged.select(*others, F.inline(skipped)).select(
+        *others, "item_no", "rejected_because", "fatal"
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.operators.extraction import parse_json_strictly
+from mnemospark.operators.extraction import with_strict_json
 from mnemospark.operators.reports import memory_health
 from mnemospark.operators.saving import decide_in_order
 from mnemospark.operators.search import (
@@ -49,7 +49,7 @@ def parse_tool_calls(calls: DataFrame) -> DataFrame:
     ``error`` (NULL for a call that can run). The user is always the request's.
     """
     name = F.col("name")
-    parsed = calls.withColumn("value", parse_json_strictly(F.col("args")))
+    parsed = with_strict_json(calls, "args", "value")
     object_args = F.coalesce(
         F.schema_of_variant("value").startswith("OBJECT"), F.lit(False)
     )
