@@ -83,32 +83,33 @@ class _ForgetTimer(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.due = handle.getValueState("due", "due long")
+        self.latest = handle.getValueState("latest", "accessed_us long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values):
-        latest = None
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
+        before = self.latest.get()[0] if self.latest.exists() else None
+        newest = None
         for batch in rows:
             if len(batch):
-                last = batch.sort_values("last_accessed").iloc[-1]
-                if latest is None or last["last_accessed"] >= latest["last_accessed"]:
-                    latest = last
+                row = batch.sort_values("accessed_us").iloc[-1]
+                if newest is None or row["accessed_us"] >= newest["accessed_us"]:
+                    newest = row
+        if newest is None or (before is not None and newest["accessed_us"] < before):
+            return
+        self.latest.update((int(newest["accessed_us"]),))
         for expiry in list(self.handle.listTimers()):
             self.handle.deleteTimer(expiry)
-        due = None if latest is None else latest["due_ms"]
-        if due is None or pd.isna(due):
-            self.due.clear()
-        elif due <= timer_values.getCurrentWatermarkInMs():
+        due = newest["due_ms"]
+        if pd.isna(due):
+            return
+        if due <= timerValues.getCurrentWatermarkInMs():
             # Already past: report at once, a timer would never fire.
-            self.due.clear()
             yield self._row(key, int(due))
         else:
-            self.due.update((int(due),))
             self.handle.registerTimer(int(due))
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info):
-        due = expired_timer_info.getExpiryTimeInMs()
-        self.due.clear()
-        yield self._row(key, due)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.latest.clear()
+        yield self._row(key, expiredTimerInfo.getExpiryTimeInMs())
 
     @staticmethod
     def _row(key, due: int) -> pd.DataFrame:
@@ -123,12 +124,16 @@ def forget_timer_stream(changes: DataFrame, lateness: str = "0 seconds") -> Data
 
     ``changes`` streams the current row of a memory whenever it is created or
     touched; its ``last_accessed`` is the event time. Needs the RocksDB state
-    store. State is one long and one timer per memory that can fade.
+    store. State is one time per memory and one timer if it
+    can fade.
     """
     # Timers work in milliseconds: round up, so that none fires early.
     due = F.ceil(F.unix_micros(forget_time()) / 1000.0)
     rows = changes.withWatermark("last_accessed", lateness).select(
-        "id", "last_accessed", due.cast("bigint").alias("due_ms")
+        "id",
+        "last_accessed",
+        F.unix_micros("last_accessed").alias("accessed_us"),
+        due.cast("bigint").alias("due_ms"),
     )
     id_type = changes.schema["id"].dataType.simpleString()
     return rows.groupBy("id").transformWithStateInPandas(
