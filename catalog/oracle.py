@@ -524,7 +524,8 @@ ORACLE: dict[str, str] = {
     "daily_maintenance": f"""WITH {X2}, {SWEPT}, after AS (SELECT user_id, created_at,
           CASE WHEN action = 'update' THEN cur ELSE importance_score END AS importance_score
           FROM swept WHERE action <> 'forget'), s AS (SELECT m.user_id AS u, {stats()} FROM after m GROUP BY m.user_id)
-        SELECT f.user_id, f.memories_forgotten, s.* EXCLUDE (u) FROM (SELECT user_id,
+        SELECT f.user_id, f.memories_forgotten, coalesce(s.total_memories, 0) AS total_memories, s.avg_importance,
+          s.oldest_memory, s.newest_memory, coalesce(s.memories_at_risk, 0) AS memories_at_risk FROM (SELECT user_id,
           count(*) FILTER (WHERE action = 'forget') AS memories_forgotten FROM swept GROUP BY user_id) f
         LEFT JOIN s ON s.u = f.user_id""",
     "ingest_facts": f"""WITH RECURSIVE {X1}, {COMPLETIONS}, known AS (

@@ -814,11 +814,9 @@ def run_tool_calls(spark, folder):
 
 @query
 def daily_maintenance(spark, folder):
-    """Statistics of the table that a sweep leaves."""
+    """The report of a sweep: forgotten counts and statistics of what is left."""
     result = maintenance.daily_maintenance(samples.event_memories(spark, folder), AS_OF())
-    return result.forgotten.join(result.stats, "user_id", "left").select(
-        "user_id", "memories_forgotten", *_stats_columns()
-    )
+    return result.report.select("user_id", "memories_forgotten", *_stats_columns())
 
 
 @query
@@ -834,10 +832,10 @@ def ingest_facts(spark, folder):
         .groupBy(vectors.text_key("text").alias("text_key"))
         .agg(F.min_by("embedding", "vec_id").alias("embedding"))
     )
-    _, decisions, _ = requests.ingest_completions(
+    ingested = requests.ingest_completions(
         samples.vector_memories(spark, folder), facts, known, AS_OF(), new_id=-(F.col("seq") + 1)
     )
-    return decisions.withColumn("similarity", r6("similarity"))
+    return ingested.decisions.withColumn("similarity", r6("similarity"))
 
 
 # --- streams ------------------------------------------------------------------------
@@ -845,8 +843,8 @@ def ingest_facts(spark, folder):
 
 def _event_stream(spark, folder):
     """The events file as a stream of created memories."""
-    batch = samples.table(spark, folder, "events")
-    return spark.readStream.schema(batch.schema).parquet(f"{folder}/events*.parquet")
+    declared = samples.SCHEMAS["events"]
+    return spark.readStream.schema(declared).parquet(f"{folder}/events*.parquet")
 
 
 def _run_to_parquet(writer, spark, schema_of: DataFrame) -> DataFrame:
@@ -862,22 +860,17 @@ def _run_to_parquet(writer, spark, schema_of: DataFrame) -> DataFrame:
     return spark.read.schema(schema_of.schema).parquet(f"{where}/out")
 
 
-def _keep_last_batch(result: DataFrame, where: str):
-    """Write the complete result of each trigger under its own number."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{where}/out/b={batch_id}")
-
+def _run_updates(result: DataFrame, key: str) -> DataFrame:
+    """Run a stream in update mode; the last row written for each key."""
+    where = new_folder(result.sparkSession, "stream")
     stream = (
-        result.writeStream.outputMode("complete")
-        .foreachBatch(write)
+        live.update_sink(result, f"{where}/out")
         .option("checkpointLocation", f"{where}/state")
         .trigger(availableNow=True)
         .start()
     )
     stream.awaitTermination()
-    last = stream.lastProgress["batchId"]
-    return result.sparkSession.read.schema(result.schema).parquet(f"{where}/out/b={last}")
+    return live.latest_updates(result.sparkSession, f"{where}/out", result.schema, key)
 
 
 def _created(spark, folder):
@@ -891,7 +884,7 @@ def _created(spark, folder):
 
 @query
 def stream_user_stats(spark, folder):
-    stats = _keep_last_batch(live.stats_stream(_created(spark, folder)), new_folder(spark, "stream"))
+    stats = _run_updates(live.stats_stream(_created(spark, folder)), "user_id")
     return stats.select("user_id", *_stats_columns())
 
 
@@ -901,7 +894,7 @@ def stream_access_counts(spark, folder):
     log = log.select(
         (F.col("event_id") % 600).alias("memory_id"), F.col("ts").cast("timestamp").alias("ts")
     )
-    counts = _keep_last_batch(live.access_counts_stream(log), new_folder(spark, "stream"))
+    counts = _run_updates(live.access_counts_stream(log), "id")
     return counts.select("id", "recalls", stamp("latest").alias("latest"))
 
 

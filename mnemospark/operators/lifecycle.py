@@ -18,6 +18,10 @@ from mnemospark.schema import with_defaults
 from mnemospark.session import broadcast_if_small
 
 
+#: Recalled memories (id, count, time: about 100 bytes) that may be broadcast.
+RECALL_BROADCAST_ROWS = 1_000_000
+
+
 def upsert_users(users: DataFrame, incoming: DataFrame, as_of: Column) -> DataFrame:
     """Users with the unknown ones of ``incoming`` added; known ones stay as they are."""
     fresh = (
@@ -52,7 +56,11 @@ def insert_memories(
     memories: DataFrame, rows: DataFrame, as_of: Column, new_id: Column | None = None
 ) -> DataFrame:
     """Memory table with ``rows`` added."""
-    fresh = new_memories(rows, as_of, new_id)
+    return append_rows(memories, new_memories(rows, as_of, new_id))
+
+
+def append_rows(memories: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Union under the memory table's columns and types."""
     return memories.unionByName(
         fresh.select(
             *(F.col(f.name).cast(f.dataType) for f in memories.schema if f.name in fresh.columns)
@@ -78,16 +86,25 @@ def reinforce(memories: DataFrame, log: DataFrame) -> DataFrame:
     replaces the sequence. Unknown ids change nothing; a log entry older than
     the stored access time does not move it back.
     """
-    return _touch(memories, roll_up_accesses(log), boost=True)
+    return apply_recalls(memories, roll_up_accesses(log))
 
 
 def touch_access(memories: DataFrame, log: DataFrame) -> DataFrame:
     """Access count and time only, without the boost."""
-    return _touch(memories, roll_up_accesses(log), boost=False)
+    return apply_recalls(memories, roll_up_accesses(log), boost=False)
+
+
+def merge_recalls(recalls: DataFrame) -> DataFrame:
+    """Several roll-ups (id, recalls, latest) to one row per memory."""
+    return recalls.groupBy("id").agg(
+        F.sum("recalls").alias("recalls"), F.max("latest").alias("latest")
+    )
 
 
-def _touch(memories: DataFrame, recalls: DataFrame, boost: bool) -> DataFrame:
-    joined = memories.join(broadcast_if_small(recalls), "id", "left")
+def apply_recalls(memories: DataFrame, recalls: DataFrame, boost: bool = True) -> DataFrame:
+    """Memory table after the rolled-up recalls (id, recalls, latest)."""
+    # Worth a larger broadcast: the alternative shuffles whole memories.
+    joined = memories.join(broadcast_if_small(recalls, RECALL_BROADCAST_ROWS), "id", "left")
     recalled = F.col("recalls").isNotNull()
     stored = F.col("importance_score")
     changes = {

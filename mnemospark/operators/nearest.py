@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mnemospark.functions.blocks import Block, MatchRule, keep_best, match_blocks
-from mnemospark.functions.vector import cosine_similarity
 from mnemospark.operators.ranking import top_k_per_group
 from mnemospark.schema import CANDIDATE_POOL
 from mnemospark.session import BROADCAST_ROWS, broadcast_if_small, materialised
@@ -56,24 +55,25 @@ def missing_vectors(memories: DataFrame) -> DataFrame:
 
 def find_by_vector(
     memories: DataFrame,
-    embedding: list[float],
+    embedding: Sequence[float],
     user_id,
     project_id: str | None = None,
     limit: int = CANDIDATE_POOL,
 ) -> DataFrame:
-    """One request: filter to the user and take the best ``limit`` rows."""
-    scoped = live(memories).filter(F.col("user_id") == F.lit(user_id))
+    """One request: the best ``limit`` rows of a user, both filters in the scan."""
+    scoped = memories.filter(F.col("user_id") == F.lit(user_id))
     if project_id:
         scoped = scoped.filter(F.col("project_id") == F.lit(project_id))
-    target = F.array(*(F.lit(float(x)) for x in embedding))
-    similarity = F.round(cosine_similarity(F.col("embedding"), target), 12)
-    return (
-        scoped.withColumn("similarity", similarity)
-        .filter(F.col("similarity").isNotNull() & ~F.isnan("similarity"))
-        .orderBy(F.col("similarity").desc(), F.col("id"))
-        .limit(limit)
-        .drop("embedding")
+    request = memories.sparkSession.createDataFrame(
+        [(0, [float(x) for x in embedding])], "qid int, embedding array<double>"
+    ).withColumns(
+        {
+            "user_id": F.lit(user_id).cast(memories.schema["user_id"].dataType),
+            "project_id": F.lit(None).cast("string"),
+        }
     )
+    columns = [c for c in memories.columns if c not in ("id", "embedding")]
+    return nearest_memories(request, scoped, limit, columns=columns).drop("qid")
 
 
 def nearest_memories(
@@ -114,9 +114,13 @@ def nearest_memories(
     ranked = _final_ranks(partial, k)
     if not columns:
         return ranked
+    payload = memories.select("id", "user_id", *(c for c in columns if c != "user_id"))
     if few is not None and few.num_rows * k <= BROADCAST_ROWS:
         ranked = F.broadcast(ranked)  # at most k rows for each request counted above
-    return memories.select("id", *columns).join(ranked, "id")
+    else:
+        users = broadcast_if_small(requests.select("user_id").distinct())
+        payload = payload.join(users, "user_id", "left_semi")
+    return payload.select("id", *columns).join(ranked, "id")
 
 
 def nearest_memories_approx(

@@ -28,6 +28,10 @@ def in_scope(
     return memories
 
 
+#: Columns no caller is shown; left out before anything is sorted or shuffled.
+HIDDEN = ("session_id", "embedding", "metadata", "expires_at")
+
+
 def list_by_user(
     memories: DataFrame, project_id: str | None = None, limit: int = LIST_LIMIT
 ) -> DataFrame:
@@ -35,7 +39,7 @@ def list_by_user(
     if not 0 <= limit <= LIST_LIMIT_MAX:
         raise ValueError(f"limit must be at most {LIST_LIMIT_MAX}")
     return top_k_per_group(
-        in_scope(memories, project_id=project_id),
+        in_scope(memories, project_id=project_id).drop(*HIDDEN),
         ["user_id"],
         [F.col("importance_score").desc(), F.col("id")],
         limit,
@@ -45,7 +49,8 @@ def list_by_user(
 
 def get_by_id(memories: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of the wanted ids; an unknown id is simply absent."""
-    return memories.join(broadcast_if_small(ids.select("id").distinct()), "id", "left_semi")
+    wanted = broadcast_if_small(ids.select("id").distinct())
+    return memories.drop(*HIDDEN).join(wanted, "id", "left_semi")
 
 
 def at_risk(memories: DataFrame) -> DataFrame:
@@ -165,26 +170,48 @@ def with_type_count(memories: DataFrame) -> DataFrame:
     same_group = (F.col("user_id") == F.col("_user")) & F.col("memory_type").eqNullSafe(
         F.col("_type")
     )
-    return memories.join(broadcast_if_small(counts), same_group).drop("_user", "_type")
+    shown = memories.drop(*HIDDEN)
+    return shown.join(broadcast_if_small(counts), same_group).drop("_user", "_type")
 
 
 def full_stats(memories: DataFrame) -> DataFrame:
     """Statistics and type counts per user in one pass over the memories."""
-    by_type = memories.groupBy("user_id", "memory_type").agg(
-        F.count("*").alias("n"),
-        F.sum("importance_score").alias("importance_sum"),
-        F.min("created_at").alias("oldest"),
-        F.max("created_at").alias("newest"),
-        F.count_if(F.col("importance_score") < AT_RISK_THRESHOLD).alias("risky"),
+    return _stats_of(memories, F.lit(True), F.col("importance_score")).drop("left_out")
+
+
+def sweep_report(planned: DataFrame) -> DataFrame:
+    """Per user how many memories a planned sweep forgets, and statistics of the rest."""
+    score = F.when(F.col("action") == "update", F.col("current_importance")).otherwise(
+        F.col("importance_score")
+    )
+    return _stats_of(planned, F.col("action") != "forget", score).withColumnRenamed(
+        "left_out", "memories_forgotten"
+    )
+
+
+def _stats_of(rows: DataFrame, kept: Column, score: Column) -> DataFrame:
+    """One pass: first per user and type, then per user from those few rows."""
+
+    def of_kept(column: Column) -> Column:
+        return F.when(kept, column)
+
+    by_type = rows.groupBy("user_id", "memory_type").agg(
+        F.count_if(kept).alias("n"),
+        F.count_if(~kept).alias("left_out"),
+        F.sum(of_kept(score)).alias("importance_sum"),
+        F.min(of_kept(F.col("created_at"))).alias("oldest"),
+        F.max(of_kept(F.col("created_at"))).alias("newest"),
+        F.count_if(kept & (score < AT_RISK_THRESHOLD)).alias("risky"),
     )
-    entries = F.array_sort(F.collect_list(F.struct("memory_type", "n")))
+    entry = F.when(F.col("n") > 0, F.struct("memory_type", "n"))
     return by_type.groupBy("user_id").agg(
         F.sum("n").alias("total_memories"),
-        (F.sum("importance_sum") / F.sum("n")).alias("avg_importance"),
+        F.try_divide(F.sum("importance_sum"), F.sum("n")).alias("avg_importance"),
         F.min("oldest").alias("oldest_memory"),
         F.max("newest").alias("newest_memory"),
         F.sum("risky").alias("memories_at_risk"),
-        F.map_from_entries(entries).alias("memories_by_type"),
+        F.sum("left_out").alias("left_out"),
+        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("memories_by_type"),
     )
 
 

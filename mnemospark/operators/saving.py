@@ -6,6 +6,8 @@ memory_type, importance_score, embedding.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -13,7 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mnemospark.functions.blocks import SIMILARITY_DECIMALS, Block
-from mnemospark.operators.lifecycle import insert_memories, reinforce
+from mnemospark.operators.lifecycle import (
+    append_rows,
+    apply_recalls,
+    insert_memories,
+    new_memories,
+    reinforce,
+    roll_up_accesses,
+)
 from mnemospark.operators.nearest import nearest_memories
 from mnemospark.schema import DUPLICATE_SIMILARITY
 from mnemospark.session import broadcast_if_small, materialised
@@ -148,32 +157,58 @@ def decide_in_order(
     )
 
 
-def save_in_order(
+class SavedBatch(NamedTuple):
+    """What a batch of saves changes, and why."""
+
+    inserts: DataFrame
+    recalls: DataFrame
+    decisions: DataFrame
+
+
+def changes_in_order(
     memories: DataFrame,
     incoming: DataFrame,
     as_of: Column,
     threshold: float = DUPLICATE_SIMILARITY,
     new_id: Column | None = None,
     **options,
-) -> tuple[DataFrame, DataFrame]:
-    """Next memory table and the decisions of :func:`decide_in_order`."""
+) -> SavedBatch:
+    """Rows to insert and recalls (id, recalls, latest) that the saves amount to."""
     incoming = materialised(incoming)
     decisions = materialised(decide_in_order(memories, incoming, threshold, **options))
     fresh = incoming.join(
         decisions.filter(F.col("action") == "insert").select("seq"), "seq", "left_semi"
     )
-    # seq rides along so that hits on rows of this batch find their new ids.
-    empty = memories.withColumn("seq", F.lit(None).cast(incoming.schema["seq"].dataType))
-    table = insert_memories(empty, fresh, as_of, new_id)
-    new_ids = table.filter(F.col("seq").isNotNull()).select(F.col("seq").alias("target_seq"), "id")
+    inserts = new_memories(fresh, as_of, new_id)
+    # Hits on rows of this batch find the new ids by seq.
+    new_ids = inserts.select(
+        F.col("seq").alias("target_seq"), F.col("id").cast(memories.schema["id"].dataType)
+    )
     on_stored = decisions.filter(F.col("target") == "stored").select("id")
     on_batch = (
-        decisions.filter(F.col("target") == "batch").select("target_seq").join(new_ids, "target_seq")
+        decisions.filter(F.col("target") == "batch")
+        .select("target_seq")
+        .join(new_ids, "target_seq")
+        .select("id")
     )
-    log = on_stored.unionByName(on_batch.select("id")).select(
-        F.col("id").alias("memory_id"), as_of.alias("ts")
+    recalls = roll_up_accesses(
+        on_stored.unionByName(on_batch).select(F.col("id").alias("memory_id"), as_of.alias("ts"))
     )
-    return reinforce(table.drop("seq"), log), decisions
+    return SavedBatch(inserts, recalls, decisions)
+
+
+def save_in_order(
+    memories: DataFrame,
+    incoming: DataFrame,
+    as_of: Column,
+    threshold: float = DUPLICATE_SIMILARITY,
+    new_id: Column | None = None,
+    **options,
+) -> tuple[DataFrame, DataFrame]:
+    """Next memory table and the decisions of :func:`decide_in_order`."""
+    saved = changes_in_order(memories, incoming, as_of, threshold, new_id, **options)
+    table = append_rows(memories, saved.inserts)
+    return apply_recalls(table, saved.recalls), saved.decisions
 
 
 def _earliest_distinct(

@@ -6,27 +6,29 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 
-from mnemospark.operators.lifecycle import apply_sweep, forgotten_per_user, plan_sweep
+from mnemospark.operators.lifecycle import apply_sweep, plan_sweep
 from mnemospark.operators.reports import (
     decay_chart,
-    full_stats,
     in_scope,
     list_by_user,
     memory_stats,
+    sweep_report,
 )
 
 
 class Maintenance(NamedTuple):
     memories: DataFrame
-    forgotten: DataFrame
-    stats: DataFrame
+    report: DataFrame
 
 
 def daily_maintenance(memories: DataFrame, as_of: Column) -> Maintenance:
-    """Sweep all users; also the forgotten counts and the statistics afterwards."""
+    """Sweep all users: the next table, and one report row per user.
+
+    The report reads the narrow columns once and gives the forgotten count
+    together with the statistics of what is left.
+    """
     planned = plan_sweep(memories, as_of)
-    swept = apply_sweep(planned, as_of)
-    return Maintenance(swept, forgotten_per_user(planned), full_stats(swept))
+    return Maintenance(apply_sweep(planned, as_of), sweep_report(planned))
 
 
 class Panel(NamedTuple):

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.operators.extraction import parse_completions
-from mnemospark.operators.lifecycle import reinforce
+from mnemospark.operators.lifecycle import append_rows, apply_recalls, reinforce
 from mnemospark.operators.packing import context_text, memory_section, pack_memories
-from mnemospark.operators.saving import save_in_order
+from mnemospark.operators.saving import changes_in_order
 from mnemospark.operators.search import Reranker, search_memories
 from mnemospark.operators.vectors import attach_embeddings
 from mnemospark.schema import CANDIDATE_POOL, CONTEXT_TOKENS, REINFORCED_PER_REQUEST
+from mnemospark.session import materialised
 
 
 def build_context(
@@ -63,6 +66,13 @@ def reinforce_results(memories: DataFrame, results: DataFrame, as_of: Column) ->
     return reinforce(memories, recall_log(results, as_of))
 
 
+class Ingested(NamedTuple):
+    inserts: DataFrame
+    recalls: DataFrame
+    decisions: DataFrame
+    failed: DataFrame
+
+
 def ingest_completions(
     memories: DataFrame,
     completions: DataFrame,
@@ -70,20 +80,24 @@ def ingest_completions(
     as_of: Column,
     new_id: Column | None = None,
     **options,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
+) -> Ingested:
     """Parse, embed and save the facts of a batch of completions.
 
     ``completions``: completion_id (their order), user_id, project_id, raw.
-    ``vectors``: text_key, embedding of the facts' texts. Returns the next
-    table, the save decisions and the facts left out for want of a vector; a
-    failing item never stops the others.
+    ``vectors``: text_key, embedding of the facts' texts. ``failed`` holds the
+    facts left out for want of a vector; they never stop the others.
     """
     facts = parse_completions(completions).withColumn(
         # Items of one completion follow each other; at most five are read.
         "seq", F.col("completion_id") * 8 + F.col("item_no")
     )
-    embedded = attach_embeddings(facts, vectors)
+    embedded = materialised(attach_embeddings(facts, vectors))
     ready = embedded.filter(F.col("embedding").isNotNull())
     failed = embedded.filter(F.col("embedding").isNull()).drop("embedding")
-    table, decisions = save_in_order(memories, ready, as_of, new_id=new_id, **options)
-    return table, decisions, failed
+    saved = changes_in_order(memories, ready, as_of, new_id=new_id, **options)
+    return Ingested(*saved, failed)
+
+
+def after_ingest(memories: DataFrame, ingested: Ingested) -> DataFrame:
+    """Memory table with the inserts and recalls of a batch applied."""
+    return apply_recalls(append_rows(memories, ingested.inserts), ingested.recalls)

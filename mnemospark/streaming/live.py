@@ -1,8 +1,12 @@
 """Streaming forms of ingest, access tracking and statistics.
 
-Table versions are folders ``v=<n>`` under one path. A batch writes the next
-version under its own batch id, so a batch that is run again after a failure
-replaces its own output and starts from the same previous version.
+A live table is a folder with a ``base`` version of the memories and two logs of
+what came since: ``inserts`` (new rows) and ``recalls`` (count and latest time
+per memory). A micro-batch writes only its own changes, in a folder named by
+stream and batch id, so the large base is not rewritten and a batch that runs
+again after a failure replaces what it wrote before. :func:`current_memories`
+merges base and logs; :func:`compact` writes the merge as the base of a new
+live table, for instance in the daily sweep that rewrites the table anyway.
 """
 
 from __future__ import annotations
@@ -12,44 +16,114 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 
 from mnemospark.functions.decay import forget_time
-from mnemospark.operators.lifecycle import reinforce, roll_up_accesses
+from mnemospark.operators.lifecycle import apply_recalls, merge_recalls, roll_up_accesses
 from mnemospark.operators.reports import memory_stats
+from mnemospark.operators.saving import SavedBatch
 from mnemospark.sources.tables import write_memories
 
 
-def version_path(table_path: str, version: int) -> str:
-    return f"{table_path}/v={version}"
+def create_live_table(memories: DataFrame, path: str) -> None:
+    """Write the base and empty logs."""
+    write_memories(memories, f"{path}/base")
+    spark = memories.sparkSession
+    _write_log(spark.createDataFrame([], memories.schema), f"{path}/inserts", "none", 0)
+    none = spark.createDataFrame([], _recall_schema(memories.schema))
+    _write_log(none, f"{path}/recalls", "none", 0)
 
 
-def read_version(spark: SparkSession, table_path: str, version: int) -> DataFrame:
-    return spark.read.parquet(version_path(table_path, version))
+def _recall_schema(memories: T.StructType) -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField("id", memories["id"].dataType),
+            T.StructField("recalls", T.LongType()),
+            T.StructField("latest", memories["last_accessed"].dataType),
+        ]
+    )
 
 
-def _advance(table_path: str, step: Callable[[DataFrame, DataFrame], DataFrame]):
-    """A foreachBatch function: version n is the table before batch n."""
+def _write_log(rows: DataFrame, path: str, source: str, batch_id: int) -> None:
+    rows.write.mode("overwrite").parquet(f"{path}/source={source}/batch={batch_id}")
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        before = read_version(batch.sparkSession, table_path, batch_id)
-        write_memories(step(before, batch), version_path(table_path, batch_id + 1), "overwrite")
 
-    return run
+def _read_log(
+    spark: SparkSession, path: str, schema: T.StructType, source: str | None, before: int
+) -> DataFrame:
+    """All entries of a log, without those of ``source`` from batch ``before`` on."""
+    full = T.StructType(
+        [*schema.fields, T.StructField("source", T.StringType()), T.StructField("batch", T.LongType())]
+    )
+    log = spark.read.schema(full).parquet(path)
+    if source is not None:
+        log = log.filter((F.col("source") != source) | (F.col("batch") < before))
+    return log.drop("source", "batch")
+
+
+def current_memories(
+    spark: SparkSession, path: str, source: str | None = None, before: int = 0
+) -> DataFrame:
+    """Base and logs merged; with ``source`` as that stream saw it before a batch."""
+    base = spark.read.parquet(f"{path}/base")
+    inserts = _read_log(spark, f"{path}/inserts", base.schema, source, before)
+    recalls = _read_log(spark, f"{path}/recalls", _recall_schema(base.schema), source, before)
+    return apply_recalls(base.unionByName(inserts), merge_recalls(recalls))
+
+
+def compact(spark: SparkSession, path: str, new_path: str) -> None:
+    """Write the merged table as the base of a new live table."""
+    create_live_table(current_memories(spark, path), new_path)
 
 
 def ingest_stream(
     completions: DataFrame,
-    table_path: str,
-    save: Callable[[DataFrame, DataFrame], DataFrame],
+    path: str,
+    save: Callable[[DataFrame, DataFrame], SavedBatch],
+    source: str = "ingest",
 ) -> DataStreamWriter:
-    """Save arriving completions; ``save(memories, batch)`` gives the next table."""
-    return completions.writeStream.foreachBatch(_advance(table_path, save))
+    """Save arriving completions into a live table.
+
+    ``save(memories, batch)`` gives the inserts and recalls of the batch.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        before = current_memories(batch.sparkSession, path, source, batch_id)
+        saved = save(before, batch)
+        inserts = saved.inserts.select(
+            *(F.col(f.name).cast(f.dataType) for f in before.schema if f.name in saved.inserts.columns)
+        )
+        _write_log(inserts, f"{path}/inserts", source, batch_id)
+        _write_log(saved.recalls, f"{path}/recalls", source, batch_id)
+
+    return completions.writeStream.foreachBatch(run)
+
+
+def access_stream(log: DataFrame, path: str, source: str = "access") -> DataStreamWriter:
+    """Record the recalls of an arriving access log (memory_id, ts) in a live table."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        _write_log(roll_up_accesses(batch), f"{path}/recalls", source, batch_id)
+
+    return log.writeStream.foreachBatch(run)
+
+
+def update_sink(result: DataFrame, path: str) -> DataStreamWriter:
+    """Write the rows changed by each batch under its own number."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return result.writeStream.outputMode("update").foreachBatch(write)
 
 
-def access_stream(log: DataFrame, table_path: str) -> DataStreamWriter:
-    """Reinforce the memories of an arriving access log (memory_id, ts)."""
-    return log.writeStream.foreachBatch(_advance(table_path, reinforce))
+def latest_updates(spark: SparkSession, path: str, schema: T.StructType, key: str) -> DataFrame:
+    """The last row written for every key."""
+    full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    updates = spark.read.schema(full).parquet(path)
+    row = F.max_by(F.struct(*(f.name for f in schema)), "batch").alias("row")
+    return updates.groupBy(key).agg(row).select("row.*")
 
 
 def access_counts_stream(log: DataFrame) -> DataFrame:

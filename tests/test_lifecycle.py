@@ -141,7 +141,10 @@ def test_panel_and_maintenance(memories, as_of):
     assert panel.chart.first().label == "one" and panel.stats.first().total_memories == 1
     day = maintenance.daily_maintenance(memories, as_of)
     assert day.memories.count() == 3
-    assert {r.user_id: r.total_memories for r in day.stats.collect()} == {"u": 2, "v": 1}
+    report = {r.user_id: r for r in day.report.collect()}
+    assert (report["u"].total_memories, report["u"].memories_forgotten) == (2, 1)
+    assert report["u"].memories_by_type == {"general": 2}
+    assert report["v"].avg_importance == pytest.approx(day.memories.filter("id = 'd'").first().importance_score)
 
 
 def test_list_limit_is_checked(memories):

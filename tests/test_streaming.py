@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from mnemospark.operators import lifecycle, reports
 from mnemospark.plans import requests as plans
 from mnemospark.session import new_folder
-from mnemospark.sources import tables
 from mnemospark.streaming import live
 
 OLD = dt.datetime(2024, 1, 1)
@@ -51,7 +50,7 @@ def as_rows(df, *columns):
 def test_access_stream_equals_batch(spark):
     base = memories(spark)
     path = new_folder(spark, "memories")
-    tables.write_memories(base, live.version_path(path, 0))
+    live.create_live_table(base, path)
     parts = [
         spark.createDataFrame([("m0", dt.datetime(2024, 1, 2)), ("m1", dt.datetime(2024, 1, 3))], "memory_id string, ts timestamp"),
         spark.createDataFrame([("m0", dt.datetime(2024, 1, 5)), ("none", dt.datetime(2024, 1, 5))], "memory_id string, ts timestamp"),
@@ -60,13 +59,19 @@ def test_access_stream_equals_batch(spark):
     run(live.access_stream(arrivals(spark, parts), path), spark)
     batch = lifecycle.reinforce(base, parts[0].unionByName(parts[1]).unionByName(parts[2]))
     columns = ("id", "importance_score", "access_count", "last_accessed")
-    assert as_rows(live.read_version(spark, path, 3), *columns) == as_rows(batch, *columns)
+    assert as_rows(live.current_memories(spark, path), *columns) == as_rows(batch, *columns)
+    compacted = new_folder(spark, "compacted")
+    live.compact(spark, path, compacted)
+    assert as_rows(live.current_memories(spark, compacted), *columns) == as_rows(batch, *columns)
+    first_only = lifecycle.reinforce(base, parts[0])
+    seen = live.current_memories(spark, path, "access", before=1)
+    assert as_rows(seen, *columns) == as_rows(first_only, *columns)
 
 
 def test_ingest_stream_equals_batch(spark, as_of):
     base = memories(spark)
     path = new_folder(spark, "memories")
-    tables.write_memories(base, live.version_path(path, 0))
+    live.create_live_table(base, path)
     raw = [
         '[{"content":"fact 0"},{"content":"new a","memory_type":"decision"}]',
         "not json",
@@ -80,29 +85,25 @@ def test_ingest_stream_equals_batch(spark, as_of):
     ).select(F.sha2("text", 256).alias("text_key"), "embedding")
 
     def save(before, batch):
-        return plans.ingest_completions(before, batch, vectors, as_of)[0]
+        return plans.ingest_completions(before, batch, vectors, as_of)
 
     parts = [spark.createDataFrame([r], schema) for r in rows]
     run(live.ingest_stream(arrivals(spark, parts), path, save), spark)
-    table, _, failed = plans.ingest_completions(base, spark.createDataFrame(rows, schema), vectors, as_of)
+    whole = plans.ingest_completions(base, spark.createDataFrame(rows, schema), vectors, as_of)
+    table = plans.after_ingest(base, whole)
     columns = ("id", "content", "importance_score", "access_count")
-    got = as_rows(live.read_version(spark, path, 3), *columns)
+    got = as_rows(live.current_memories(spark, path), *columns)
     assert got == as_rows(table, *columns) and len(got) == 8
-    assert [r.content for r in failed.collect()] == ["no vector"]
+    assert [r.content for r in whole.failed.collect()] == ["no vector"]
 
 
 def test_stats_stream_equals_batch(spark):
     base = memories(spark)
     halves = [base.filter("id <= 'm2'"), base.filter("id > 'm2'")]
     out = new_folder(spark, "out")
-
-    def write(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{out}/b={batch_id}")
-
-    stream = run(
-        live.stats_stream(arrivals(spark, halves)).writeStream.outputMode("complete").foreachBatch(write), spark
-    )
-    got = spark.read.parquet(f"{out}/b={stream.lastProgress['batchId']}")
+    result = live.stats_stream(arrivals(spark, halves))
+    run(live.update_sink(result, out), spark)
+    got = live.latest_updates(spark, out, result.schema, "user_id")
     assert as_rows(got, *got.columns) == as_rows(reports.memory_stats(base), *got.columns)
 
 
