@@ -341,6 +341,17 @@ WHERE date_trunc('day', ts) + INTERVAL 1 DAY
       <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)
 GROUP BY date_trunc('day', ts), user_id"""
 
+FORGET_AT = f"""CASE WHEN importance_score < 0.05e0 THEN last_accessed
+    WHEN {eff()} > 0 AND ln(greatest(importance_score, 1e-9) / 0.05e0) / {eff()} < 1000000
+    THEN make_timestamp(CAST(epoch_us(last_accessed)
+      + ceil(ln(importance_score / 0.05e0) / {eff()} * 86400000000e0) AS BIGINT)) END"""
+
+INGEST = f"""{X1}, {COMPLETIONS}, known AS (
+  SELECT c.text, arg_min(CAST(e.embedding AS DOUBLE[]), e.vec_id) AS emb FROM conversations c
+  JOIN embeddings e ON e.vec_id = c.conv_id + c.conv_id % 2 * 5 GROUP BY c.text),
+x3 AS (SELECT f.completion_id * 8 + f.item_no AS seq, f.user_id, f.project_id, f.importance_score, k.emb
+  FROM facts f JOIN known k ON k.text = f.content), {ordered_saves()}"""
+
 ORACLE: dict[str, str] = {
     "public_scan": f"""WITH {X2} SELECT id, user_id, project_id, content, CAST(NULL AS VARCHAR) AS summary,
         memory_type, round(importance_score, 6) AS importance_score, decay_rate, access_count,
@@ -387,10 +398,7 @@ ORACLE: dict[str, str] = {
         SELECT id, round(now, 6) AS current_importance, {action('importance_score', 'now')} AS action FROM again""",
     "forgotten_per_user": f"""WITH {X2}, {SWEPT} SELECT user_id,
         count(*) FILTER (WHERE action = 'forget') AS memories_forgotten FROM swept GROUP BY user_id""",
-    "forget_times": f"""WITH {X2}, due AS (SELECT id, CASE WHEN importance_score < 0.05e0 THEN last_accessed
-          WHEN {eff()} > 0 AND ln(greatest(importance_score, 1e-9) / 0.05e0) / {eff()} < 1000000
-          THEN make_timestamp(CAST(epoch_us(last_accessed)
-            + ceil(ln(importance_score / 0.05e0) / {eff()} * 86400000000e0) AS BIGINT)) END AS forget_at FROM x2)
+    "forget_times": f"""WITH {X2}, due AS (SELECT id, {FORGET_AT} AS forget_at FROM x2)
         SELECT id, strftime(date_trunc('second', forget_at), '%Y-%m-%d %H:%M:%S') AS forget_at
         FROM due WHERE forget_at <= {AS_OF}""",
     "memory_stats": f"""WITH {X2} SELECT c.c_custkey AS user_id, {stats()
@@ -528,11 +536,40 @@ ORACLE: dict[str, str] = {
           s.oldest_memory, s.newest_memory, coalesce(s.memories_at_risk, 0) AS memories_at_risk FROM (SELECT user_id,
           count(*) FILTER (WHERE action = 'forget') AS memories_forgotten FROM swept GROUP BY user_id) f
         LEFT JOIN s ON s.u = f.user_id""",
-    "ingest_facts": f"""WITH RECURSIVE {X1}, {COMPLETIONS}, known AS (
-          SELECT c.text, arg_min(CAST(e.embedding AS DOUBLE[]), e.vec_id) AS emb FROM conversations c
-          JOIN embeddings e ON e.vec_id = c.conv_id GROUP BY c.text),
-        x3 AS (SELECT f.completion_id * 8 + f.item_no AS seq, f.user_id, f.project_id, f.importance_score, k.emb
-          FROM facts f JOIN known k ON k.text = f.content), {ordered_saves()} SELECT * FROM decisions""",
+    "ingest_facts": f"WITH RECURSIVE {INGEST} SELECT * FROM decisions",
+    "stream_ingest_table": f"WITH RECURSIVE {INGEST}, {after_saves('decisions', '-(target_seq + 1)')}",
+    "stream_access_table": f"""WITH {X1}, {LOG}, state AS (SELECT * FROM x1), {touched(True)}
+        SELECT {STATE} FROM touched""",
+    "stream_forget_timers": f"""WITH {X2}, due AS (SELECT id, {FORGET_AT} AS forget_at FROM x2)
+        SELECT id, strftime(date_trunc('second', make_timestamp(CAST(ceil(epoch_us(forget_at) / 1000e0) AS BIGINT) * 1000)),
+          '%Y-%m-%d %H:%M:%S') AS forget_at FROM due
+        WHERE ceil(epoch_us(forget_at) / 1000e0) <= (SELECT epoch_ms(max(ts)) FROM events)""",
+    "user_panels": f"""WITH {X2}, listed AS (SELECT *, row_number() OVER (PARTITION BY user_id
+          ORDER BY importance_score DESC, id) AS r FROM x2),
+        chart AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY cur DESC, id) AS rank
+          FROM (SELECT *, {current()} AS cur FROM listed WHERE r <= 50)),
+        s AS (SELECT user_id, count(*) AS total_memories,
+          count(*) FILTER (WHERE importance_score < 0.2e0) AS memories_at_risk FROM x2 GROUP BY user_id)
+        SELECT c.user_id, c.rank, c.id, c.content AS label, round(c.cur, 6) AS current_importance,
+          s.total_memories, s.memories_at_risk FROM chart c JOIN s ON s.user_id = c.user_id WHERE rank <= 8""",
+    "run_tool_calls": f"""WITH RECURSIVE {X1}, {CALLS},
+        req AS (SELECT c.request_id AS qid, c.user_id, CASE WHEN c.label = 6 THEN 'p1' WHEN c.label = 0 THEN c.project_id END
+            AS project_id, CASE c.label WHEN 2 THEN 3 ELSE 5 END AS told, c.name,
+            CAST(e.embedding AS DOUBLE[]) AS emb
+          FROM calls c JOIN embeddings e ON e.vec_id = c.request_id WHERE c.label IN (0, 6, 2, 8)),
+        {hits()}, {found()},
+        x3 AS (SELECT c.request_id AS seq, c.user_id, c.project_id,
+            CASE WHEN c.label = 7 THEN 0.9e0 ELSE 0.7e0 END AS importance_score, CAST(e.embedding AS DOUBLE[]) AS emb
+          FROM calls c JOIN embeddings e ON e.vec_id = c.request_id WHERE c.label IN (1, 7)),
+        {ordered_saves()},
+        told AS (SELECT q.qid, md5(coalesce(string_agg(r.content, '|' ORDER BY r.rank), '')) AS outcome
+          FROM req q LEFT JOIN results r ON r.qid = q.qid AND r.rank <= q.told GROUP BY q.qid)
+        SELECT c.request_id, c.name AS tool, CASE
+          WHEN label = 5 THEN 'arguments are not a JSON object' WHEN label = 4 THEN 'Unknown tool: drop_everything'
+          WHEN label = 9 THEN 'invalid memory_type' WHEN label = 3 THEN CAST(coalesce(n.n, 0) AS VARCHAR)
+          WHEN label IN (1, 7) THEN d.action ELSE t.outcome END AS outcome
+        FROM calls c LEFT JOIN told t ON t.qid = c.request_id LEFT JOIN decisions d ON d.seq = c.request_id
+        LEFT JOIN (SELECT user_id, count(*) AS n FROM x1 GROUP BY user_id) n ON n.user_id = c.user_id""",
     "stream_user_stats": f"WITH {X2} SELECT m.user_id, {stats()} FROM x2 m GROUP BY m.user_id",
     "stream_access_counts": f"WITH {LOG} SELECT id, recalls, {stamp('latest')} AS latest FROM rolled",
     "stream_windowed_stats": WINDOWS,

@@ -800,7 +800,7 @@ def run_tool_calls(spark, folder):
     vectors_of = samples.table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("request_id"), "embedding"
     )
-    return tools.run_tool_calls(
+    done = tools.run_tool_calls(
         samples.tool_calls(spark, folder),
         vectors_of,
         samples.vector_memories(spark, folder),
@@ -808,6 +808,22 @@ def run_tool_calls(spark, folder):
         AS_OF(),
     )
 
+    def listed(key: str) -> Column:
+        contents = F.from_json(F.get_json_object("result", f"$.{key}"), "array<string>")
+        return F.md5(F.concat_ws("|", contents).cast("binary"))
+
+    def field(key: str) -> Column:
+        return F.get_json_object("result", f"$.{key}")
+
+    outcome = (
+        F.when(field("error").isNotNull(), field("error"))
+        .when(F.col("tool") == tools.RECALL, listed("memories"))
+        .when(F.col("tool") == tools.SIMILAR, listed("similar_problems"))
+        .when(F.col("tool") == tools.SAVE, field("action"))
+        .otherwise(field("total_memories"))
+    )
+    return done.select("request_id", "tool", outcome.alias("outcome"))
+
 
 # --- composite jobs ---------------------------------------------------------------
 
@@ -820,20 +836,41 @@ def daily_maintenance(spark, folder):
 
 
 @query
-def ingest_facts(spark, folder):
-    """Completions parsed, embedded and saved; facts without a vector left out."""
-    facts = samples.completions(spark, folder)
-    turns = samples.table(spark, folder, "conversations").withColumn(
-        "vec_id", F.col("conv_id")
+def user_panels(spark, folder):
+    """Chart rows of the listed memories beside the user's statistics."""
+    panel = maintenance.user_panel(samples.event_memories(spark, folder), AS_OF())
+    return panel.chart.join(panel.stats, "user_id").select(
+        "user_id",
+        "rank",
+        "id",
+        "label",
+        r6("current_importance").alias("current_importance"),
+        "total_memories",
+        "memories_at_risk",
     )
+
+
+def _fact_vectors(spark, folder):
+    """Vectors for the conversation texts, of the same or of another user's memory."""
+    vec_id = F.col("conv_id") + F.col("conv_id") % 2 * 5
+    turns = samples.table(spark, folder, "conversations").withColumn("vec_id", vec_id)
     e = samples.table(spark, folder, "embeddings").select("vec_id", "embedding")
-    known = (
+    return (
         turns.join(e, "vec_id")
         .groupBy(vectors.text_key("text").alias("text_key"))
         .agg(F.min_by("embedding", "vec_id").alias("embedding"))
     )
+
+
+@query
+def ingest_facts(spark, folder):
+    """Completions parsed, embedded and saved; facts without a vector left out."""
     ingested = requests.ingest_completions(
-        samples.vector_memories(spark, folder), facts, known, AS_OF(), new_id=-(F.col("seq") + 1)
+        samples.vector_memories(spark, folder),
+        samples.completions(spark, folder),
+        _fact_vectors(spark, folder),
+        AS_OF(),
+        new_id=-(F.col("seq") + 1),
     )
     return ingested.decisions.withColumn("similarity", r6("similarity"))
 
@@ -909,3 +946,56 @@ def stream_windowed_stats(spark, folder):
         "created",
         r6_mean("avg_importance").alias("avg_importance"),
     )
+
+
+def _run(writer, spark) -> None:
+    stream = (
+        writer.option("checkpointLocation", new_folder(spark, "state"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    stream.awaitTermination()
+
+
+@query
+def stream_access_table(spark, folder):
+    """A live table after an access-log stream: equal to the batch reinforcement."""
+    path = new_folder(spark, "live")
+    live.create_live_table(samples.vector_memories(spark, folder), path)
+    log = _event_stream(spark, folder).filter(F.col("event_type").isin("click", "view"))
+    log = log.select(
+        (F.col("event_id") % 600).alias("memory_id"), F.col("ts").cast("timestamp").alias("ts")
+    )
+    _run(live.access_stream(log, path), spark)
+    return _state_columns(live.current_memories(spark, path))
+
+
+@query
+def stream_ingest_table(spark, folder):
+    """A live table after a stream of completions: equal to the batch ingest."""
+    path = new_folder(spark, "live")
+    live.create_live_table(samples.vector_memories(spark, folder), path)
+    declared = samples.SCHEMAS["conversations"]
+    turns = spark.readStream.schema(declared).parquet(f"{folder}/conversations*.parquet")
+    known = materialised(_fact_vectors(spark, folder))
+
+    def save(before: DataFrame, batch: DataFrame) -> requests.Ingested:
+        return requests.ingest_completions(
+            before, batch, known, AS_OF(), new_id=-(F.col("seq") + 1)
+        )
+
+    _run(live.ingest_stream(samples.as_completions(turns), path, save), spark)
+    return _state_columns(live.current_memories(spark, path))
+
+
+@query
+def stream_forget_timers(spark, folder):
+    """Memories whose forget time event time has passed, from timers."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    created = samples.as_event_memories(_event_stream(spark, folder))
+    due = live.forget_timer_stream(created)
+    out = _run_to_parquet(due.writeStream.outputMode("append"), spark, due)
+    return out.select("id", F.date_trunc("second", "forget_at").cast("string").alias("forget_at"))

@@ -106,17 +106,17 @@ def _match_scope(requests: Block, memories: Block, q_rows, m_rows, rule: MatchRu
                 later = memories.sequence[m_tile][None, :] >= requests.sequence[q_tile][:, None]
                 score[later] = -np.inf
             # The margin keeps everything that could still tie after rounding.
-            bar = np.full(len(q_tile), -2.0)
-            if score.shape[1] > rule.k:
+            bar = np.full(len(q_tile), -2.0 if rule.floor is None else rule.floor - 1e-9)
+            above = score >= bar[:, None]
+            if np.count_nonzero(above) > 4 * rule.k * len(q_tile) and score.shape[1] > rule.k:
                 cut = score.shape[1] - rule.k
                 bar = np.maximum(bar, np.partition(score, cut, axis=1)[:, cut] - 1e-9)
-            if rule.floor is not None:
-                bar = np.maximum(bar, rule.floor - 1e-9)
-            q_at, m_at = np.nonzero(score >= bar[:, None])
+                above = score >= bar[:, None]
+            q_at, m_at = np.nonzero(above)
             similarity = np.round(score[q_at, m_at], SIMILARITY_DECIMALS)
             if rule.floor is not None:
-                above = similarity >= rule.floor
-                q_at, m_at, similarity = q_at[above], m_at[above], similarity[above]
+                near = similarity >= rule.floor
+                q_at, m_at, similarity = q_at[near], m_at[near], similarity[near]
             best = _first_k(
                 np.concatenate([best[0], q_tile[q_at]]),
                 np.concatenate([best[1], m_tile[m_at]]),

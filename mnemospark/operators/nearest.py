@@ -73,7 +73,7 @@ def find_by_vector(
         }
     )
     columns = [c for c in memories.columns if c not in ("id", "embedding")]
-    return nearest_memories(request, scoped, limit, columns=columns).drop("qid")
+    return nearest_memories(request, scoped, limit, columns=columns).drop("qid").orderBy("rank")
 
 
 def nearest_memories(

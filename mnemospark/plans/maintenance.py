@@ -38,11 +38,12 @@ class Panel(NamedTuple):
 
 
 def user_panel(
-    memories: DataFrame, user_id, as_of: Column, project_id: str | None = None
+    memories: DataFrame, as_of: Column, user_id=None, project_id: str | None = None
 ) -> Panel:
-    """List, statistics and chart of one user; the filter reaches the scan.
+    """List, statistics and chart of one user, or of every user.
 
-    The chart shows the listed memories, as the panel does.
+    The filter reaches the scan. The chart shows the listed memories, as the
+    panel does.
     """
     scoped = in_scope(memories, user_id, project_id)
     listing = list_by_user(scoped)

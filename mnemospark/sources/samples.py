@@ -81,6 +81,11 @@ def vector_memories(spark: SparkSession, folder: str) -> DataFrame:
 
 def event_memories(spark: SparkSession, folder: str) -> DataFrame:
     """Memories without vectors: one per event."""
+    return as_event_memories(table(spark, folder, "events"))
+
+
+def as_event_memories(events: DataFrame) -> DataFrame:
+    """Events (a batch or a stream) as memories without vectors."""
     kind = (
         F.when(F.col("event_type") == "view", "general")
         .when(F.col("event_type") == "click", "preference")
@@ -89,7 +94,7 @@ def event_memories(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise("pattern")
     )
     ts = F.col("ts").cast("timestamp")
-    return table(spark, folder, "events").select(
+    return events.select(
         F.col("event_id").alias("id"),
         "user_id",
         _project(F.col("event_id")).alias("project_id"),
@@ -158,8 +163,12 @@ def access_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def completions(spark: SparkSession, folder: str) -> DataFrame:
-    """One raw completion per conversation turn, in ten good and bad shapes."""
-    turns = table(spark, folder, "conversations")
+    """One raw completion per conversation turn."""
+    return as_completions(table(spark, folder, "conversations"))
+
+
+def as_completions(turns: DataFrame) -> DataFrame:
+    """Turns (a batch or a stream) as raw completions in ten good and bad shapes."""
     shape = (F.col("conv_id") + F.col("turn")) % 10
     # to_json quotes and escapes the text as a one-element array.
     quoted = F.regexp_replace(F.to_json(F.array("text")), r"^\[|\]$", "")

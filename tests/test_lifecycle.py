@@ -136,7 +136,7 @@ def test_stats(spark, memories):
 
 
 def test_panel_and_maintenance(memories, as_of):
-    panel = maintenance.user_panel(memories, "u", as_of, "p")
+    panel = maintenance.user_panel(memories, as_of, "u", "p")
     assert [r.id for r in panel.listing.collect()] == ["a"]
     assert panel.chart.first().label == "one" and panel.stats.first().total_memories == 1
     day = maintenance.daily_maintenance(memories, as_of)
