@@ -73,7 +73,10 @@ def pack_memories(results: DataFrame, budget: int = CONTEXT_TOKENS) -> DataFrame
 
 def selected_rows(packed: DataFrame) -> DataFrame:
     """Packed memories in long form: one row per request and position."""
-    return packed.select("qid", F.inline("selected"))
+    # The outer form keeps Spark from computing the fold once more for a filter
+    # on empty arrays; they give one row of NULLs instead.
+    rows = packed.select("qid", F.inline_outer("selected"))
+    return rows.filter(F.col("position").isNotNull())
 
 
 def oversize_memories(memories: DataFrame, budget: int = CONTEXT_TOKENS) -> DataFrame:
