@@ -102,7 +102,7 @@ pairs AS (
   FROM req q JOIN x1 m ON m.user_id = q.user_id AND {scope}
   WHERE m.importance_score > 0 AND {where}),
 hits AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS crank
+  SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS INTEGER) AS crank
                  FROM pairs) WHERE crank <= 20)"""
 
 
@@ -121,7 +121,7 @@ reranked AS (
                  ELSE 1e0 / count(*) OVER (PARTITION BY qid) END AS rerank
   FROM scored),
 results AS (
-  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, crank) AS rank
+  SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, crank) AS INTEGER) AS rank
   FROM (SELECT *, coalesce(nullif(rerank, 0), similarity) * imp AS score FROM reranked))"""
 
 
@@ -150,14 +150,14 @@ packed AS (
 
 X3 = f"""
 x3 AS (
-  SELECT a.vec_id * 2 + c.copy AS seq, a.vec_id % 10 AS user_id, {project('a.vec_id')} AS project_id,
+  SELECT a.vec_id * 2 + a.copy AS seq, a.vec_id % 10 AS user_id, {project('a.vec_id')} AS project_id,
          concat('note ', CAST(a.vec_id AS VARCHAR)) AS content, {label_type('a.label')} AS memory_type,
          (a.vec_id * 53 % 101) / 100e0 AS importance_score,
          list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])),
            lambda t: (0.60e0 + 0.05e0 * ((a.vec_id // 5) % 8)) * t[1]
                      + (1e0 - (0.60e0 + 0.05e0 * ((a.vec_id // 5) % 8))) * t[2]) AS emb
-  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 10
-  CROSS JOIN (SELECT 0 AS copy UNION ALL SELECT 1 AS copy) c)"""
+  FROM (SELECT *, unnest([0, 1]) AS copy FROM embeddings) a
+  JOIN embeddings b ON b.vec_id = a.vec_id + 10)"""
 
 NEAR = "round(list_cosine_similarity(m.emb, q.emb), 12)"
 
@@ -424,15 +424,15 @@ ORACLE: dict[str, str] = {
         FROM x2 WHERE importance_score < 0.2e0""",
     "list_by_user": f"""WITH {X2} SELECT user_id, rank, id, importance_score FROM (SELECT user_id, id,
           round(importance_score, 6) AS importance_score,
-          row_number() OVER (PARTITION BY user_id ORDER BY x2.importance_score DESC, id) AS rank FROM x2)
+          CAST(row_number() OVER (PARTITION BY user_id ORDER BY x2.importance_score DESC, id) AS INTEGER) AS rank FROM x2)
         WHERE rank <= 50""",
     "list_by_user_project": f"""WITH {X2} SELECT user_id, rank, id FROM (SELECT user_id, id,
-          row_number() OVER (PARTITION BY user_id ORDER BY importance_score DESC, id) AS rank FROM x2
+          CAST(row_number() OVER (PARTITION BY user_id ORDER BY importance_score DESC, id) AS INTEGER) AS rank FROM x2
           WHERE project_id = 'p1') WHERE rank <= 50""",
     "point_lookup": f"""WITH {X1}, {LOG} SELECT id, user_id, memory_type FROM x1
         WHERE id IN (SELECT memory_id FROM log)""",
     "decay_chart_top8": f"""WITH {X1}, c AS (SELECT *, {current()} AS cur FROM x1),
-        r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY cur DESC, id) AS rank FROM c)
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY cur DESC, id) AS INTEGER) AS rank FROM c)
         SELECT user_id, rank, id, CASE WHEN length(content) > 28 THEN substring(content, 1, 28) || '…'
           ELSE content END AS label, memory_type, round(cur, 6) AS current_importance FROM r WHERE rank <= 8""",
     "vector_topk_single": f"""WITH {X1}, q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS emb FROM embeddings
@@ -546,7 +546,7 @@ ORACLE: dict[str, str] = {
         WHERE ceil(epoch_us(forget_at) / 1000e0) <= (SELECT epoch_ms(max(ts)) FROM events)""",
     "user_panels": f"""WITH {X2}, listed AS (SELECT *, row_number() OVER (PARTITION BY user_id
           ORDER BY importance_score DESC, id) AS r FROM x2),
-        chart AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY cur DESC, id) AS rank
+        chart AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY cur DESC, id) AS INTEGER) AS rank
           FROM (SELECT *, {current()} AS cur FROM listed WHERE r <= 50)),
         s AS (SELECT user_id, count(*) AS total_memories,
           count(*) FILTER (WHERE importance_score < 0.2e0) AS memories_at_risk FROM x2 GROUP BY user_id)

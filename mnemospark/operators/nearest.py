@@ -36,6 +36,8 @@ BROADCAST_BYTES = 64 << 20
 #: Rows of one block; 32,768 vectors of 1,024 floats are 128 MB.
 MEMORY_BLOCK_ROWS = 32_768
 REQUEST_BLOCK_ROWS = 4_096
+#: Scopes (key and two counts: about 60 bytes) that may be broadcast as large.
+LARGE_SCOPE_ROWS = 1_000_000
 #: Matches a scanning task holds before it merges them.
 HELD_MATCHES = 250_000
 
@@ -240,15 +242,16 @@ def _join_blocks(wanted: DataFrame, stored: DataFrame, rule: MatchRule) -> DataF
     """Co-group bounded blocks of both sides.
 
     Scopes with more rows than a block are cut by a hash of the row id; each
-    request block then meets each memory block. The other scopes share buckets
-    of about one block. Only scopes that are requested are shuffled.
+    request block then meets each memory block. Scopes well below a block share
+    buckets of about one block, so that no bucket grows far beyond it. Only
+    scopes that are requested are shuffled.
     """
     asked = wanted.groupBy("scope").agg(F.count("*").alias("asked"))
     held = stored.groupBy("scope").agg(F.count("*").alias("held"))
     sizes = materialised(asked.join(held, "scope"))
     stored = stored.join(broadcast_if_small(sizes.select("scope")), "scope", "left_semi")
     large = sizes.filter(
-        (F.col("held") > MEMORY_BLOCK_ROWS) | (F.col("asked") > REQUEST_BLOCK_ROWS)
+        (F.col("held") > MEMORY_BLOCK_ROWS // 8) | (F.col("asked") > REQUEST_BLOCK_ROWS // 8)
     ).select(
         "scope",
         F.ceil(F.col("held") / MEMORY_BLOCK_ROWS).cast("int").alias("m_blocks"),
@@ -260,7 +263,8 @@ def _join_blocks(wanted: DataFrame, stored: DataFrame, rule: MatchRule) -> DataF
         ceil((totals["held"] or 0) / MEMORY_BLOCK_ROWS),
         ceil((totals["asked"] or 0) / REQUEST_BLOCK_ROWS),
     )
-    large = broadcast_if_small(large)
+    # Worth a larger broadcast: the alternative shuffles the vectors once more.
+    large = broadcast_if_small(large, LARGE_SCOPE_ROWS)
     scope_hash = F.xxhash64("scope")
     bucket = F.when(F.col("m_blocks").isNull(), F.pmod(scope_hash, F.lit(buckets))).otherwise(
         scope_hash

@@ -42,26 +42,26 @@ def pack_memories(results: DataFrame, budget: int = CONTEXT_TOKENS) -> DataFrame
         .groupBy("qid")
         .agg(F.array_sort(F.collect_list(entry)).alias("entries"))
     )
-    start = F.struct(
-        F.lit(budget).alias("left"), F.array().cast("array<int>").alias("taken")
-    )
+    types = {f.name: f.dataType.simpleString() for f in results.schema}
+    taken = f"array<struct<id:{types['id']},memory_type:string,content:string,cost:int>>"
+    start = F.struct(F.lit(budget).alias("left"), F.array().cast(taken).alias("taken"))
 
     def take(state: Column, item: Column) -> Column:
         fits = item["cost"] <= state["left"]
+        row = F.struct(*(item[c].alias(c) for c in ("id", "memory_type", "content", "cost")))
         return F.struct(
             F.when(fits, state["left"] - item["cost"]).otherwise(state["left"]).alias("left"),
-            F.when(fits, F.concat(state["taken"], F.array(item["rank"])))
+            F.when(fits, F.concat(state["taken"], F.array(row)))
             .otherwise(state["taken"])
             .alias("taken"),
         )
 
-    folded = ordered.withColumn("state", F.aggregate("entries", start, take))
-    chosen = F.filter("entries", lambda e: F.array_contains(F.col("state.taken"), e["rank"]))
+    folded = ordered.select("qid", F.aggregate("entries", start, take).alias("state"))
     numbered = F.transform(
-        chosen,
+        "state.taken",
         lambda e, i: F.struct(
-            (i + 1).alias("position"), e["id"].alias("id"), e["memory_type"].alias("memory_type"),
-            e["content"].alias("content"), e["cost"].alias("cost"),
+            (i + 1).alias("position"),
+            *(e[c].alias(c) for c in ("id", "memory_type", "content", "cost")),
         ),
     )
     return folded.select(

@@ -52,12 +52,12 @@ def frames(spark, stored, incoming):
     return spark.createDataFrame(m, MEMORY), spark.createDataFrame(i, INCOMING).repartition(4)
 
 
-@pytest.mark.parametrize("seed,spread,copies", [(1, 0.3, 0), (2, 0.5, 40), (3, 0.15, 0)])
+@pytest.mark.parametrize("seed,spread,copies", [(1, 0.3, 0), (2, 0.5, 40)])
 def test_in_order_equals_the_loop(spark, seed, spread, copies):
     stored, incoming = make(seed, 15, 90, spread, copies)
     m, i = frames(spark, stored, incoming)
     want = brute.save_in_order(stored, incoming)
-    for options in ({}, {"local_rows": 10}, {"local_rows": 10, "broadcast_requests": 0}):
+    for options in ({}, {"local_rows": 20, "broadcast_requests": 0}):
         got = {
             r.seq: (r.target, r.id if r.target == "stored" else r.target_seq)
             for r in saving.decide_in_order(m, i, **options).collect()
