@@ -508,10 +508,10 @@ ORACLE: dict[str, str] = {
         FROM commands c LEFT JOIN counts n ON n.user_id = c.user_id""",
     "forget_commands_table": f"""WITH {X1}, {FORGET} SELECT id, round(CASE WHEN asked AND act = 'update' THEN cur
         ELSE importance_score END, 6) AS importance_score FROM remaining WHERE NOT (asked AND act = 'forget')""",
-    "conversation_render": """SELECT conv_id, count(*) AS n_turns, string_agg(concat(upper(role), ': ', text), chr(10)
-        ORDER BY turn) AS conversation FROM conversations GROUP BY conv_id""",
-    "conversation_render_user": """SELECT conv_id, count(*) AS n_turns, string_agg(concat(upper(role), ': ', text),
-        chr(10) ORDER BY turn) AS conversation FROM conversations WHERE role = 'user' GROUP BY conv_id""",
+    "conversation_render": """SELECT conv_id, turn // 512 AS part, count(*) AS n_turns, string_agg(concat(upper(role), ': ', text), chr(10)
+        ORDER BY turn) AS conversation FROM conversations GROUP BY conv_id, turn // 512""",
+    "conversation_render_user": """SELECT conv_id, turn // 512 AS part, count(*) AS n_turns, string_agg(concat(upper(role), ': ', text),
+        chr(10) ORDER BY turn) AS conversation FROM conversations WHERE role = 'user' GROUP BY conv_id, turn // 512""",
     "extraction_requests": f"""SELECT conv_id, turn, concat({_text(INSTRUCTION_PROMPT)}, 'USER: ', text) AS prompt
         FROM conversations WHERE role = 'user'""",
     "parse_completions": f"""WITH {COMPLETIONS} SELECT completion_id, user_id, project_id, item_no, content,

@@ -26,6 +26,8 @@ INSTRUCTION = (
     "Answer [] if there is nothing to keep."
 )
 CONVERSATION_HEAD = "Conversation to analyze:\n\n"
+#: Turns of a conversation that make one text.
+PART_TURNS = 512
 
 
 def conversation_line(role: Column, text: Column) -> Column:
@@ -33,19 +35,23 @@ def conversation_line(role: Column, text: Column) -> Column:
     return F.concat(F.upper(role), F.lit(": "), text)
 
 
-def render_conversations(turns: DataFrame, roles: Sequence[str] | None = None) -> DataFrame:
-    """One text per conversation, its lines in turn order: conv_id, n_turns, conversation.
+def render_conversations(
+    turns: DataFrame, roles: Sequence[str] | None = None, part_turns: int = PART_TURNS
+) -> DataFrame:
+    """Texts of the conversations: conv_id, part, n_turns, conversation.
 
-    The result is a single string per conversation, so a conversation has to fit
-    one row; :func:`extraction_requests` by turn has no such limit.
+    The lines stand in turn order. A conversation of more than ``part_turns``
+    turns gives several rows, so that no task or row has to hold one of any
+    length; nothing is left out.
     """
     if roles is not None:
         turns = turns.filter(F.col("role").isin(*roles))
     line = F.struct("turn", conversation_line(F.col("role"), F.col("text")).alias("line"))
-    return turns.groupBy("conv_id").agg(
+    part = F.floor(F.col("turn") / F.lit(part_turns)).alias("part")
+    return turns.groupBy("conv_id", part).agg(
         F.count("*").alias("n_turns"),
         F.concat_ws(
-            "\n", F.transform(F.array_sort(F.collect_list(line)), lambda t: t["line"])
+            "\n", F.transform(F.sort_array(F.collect_list(line)), lambda t: t["line"])
         ).alias("conversation"),
     )
 
@@ -55,7 +61,7 @@ def extraction_prompt(conversation: Column) -> Column:
 
 
 def extraction_requests(turns: DataFrame, per: str = "turn") -> DataFrame:
-    """Requests to the extracting model: conv_id (and turn), prompt.
+    """Requests to the extracting model: conv_id, turn or part, prompt.
 
     ``per="turn"`` asks about every user message by itself, as the chat loop
     does (a map without a shuffle); ``per="conversation"`` about whole
@@ -63,7 +69,7 @@ def extraction_requests(turns: DataFrame, per: str = "turn") -> DataFrame:
     """
     if per == "conversation":
         return render_conversations(turns).select(
-            "conv_id", extraction_prompt(F.col("conversation")).alias("prompt")
+            "conv_id", "part", extraction_prompt(F.col("conversation")).alias("prompt")
         )
     line = conversation_line(F.col("role"), F.col("text"))
     return turns.filter(F.col("role") == "user").select(

@@ -40,7 +40,7 @@ def pack_memories(results: DataFrame, budget: int = CONTEXT_TOKENS) -> DataFrame
         )
         .withColumn("cost", token_cost(F.col("content")))
         .groupBy("qid")
-        .agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+        .agg(F.sort_array(F.collect_list(entry)).alias("entries"))
     )
     types = {f.name: f.dataType.simpleString() for f in results.schema}
     taken = f"array<struct<id:{types['id']},memory_type:string,content:string,cost:int>>"

@@ -150,7 +150,7 @@ def count_by_type(memories: DataFrame) -> DataFrame:
 
 def memories_by_type(memories: DataFrame) -> DataFrame:
     """Per user a map from type to count, folded from one row per type."""
-    entries = F.array_sort(F.collect_list(F.struct("memory_type", "cnt")))
+    entries = F.sort_array(F.collect_list(F.struct("memory_type", "cnt")))
     return (
         count_by_type(memories)
         .groupBy("user_id")
@@ -211,7 +211,7 @@ def _stats_of(rows: DataFrame, kept: Column, score: Column) -> DataFrame:
         F.max("newest").alias("newest_memory"),
         F.sum("risky").alias("memories_at_risk"),
         F.sum("left_out").alias("left_out"),
-        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("memories_by_type"),
+        F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("memories_by_type"),
     )
 
 

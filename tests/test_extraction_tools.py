@@ -68,6 +68,8 @@ def test_rendering_and_requests(spark):
     )
     rows = {r.conv_id: r for r in extraction.render_conversations(turns).collect()}
     assert rows[1].conversation == "USER: hello\nASSISTANT: yes" and rows[1].n_turns == 2
+    parts = extraction.render_conversations(turns, part_turns=1).filter("conv_id = 1")
+    assert [r.conversation for r in parts.orderBy("part").collect()] == ["USER: hello", "ASSISTANT: yes"]
     asked = extraction.extraction_requests(turns).collect()
     assert [(r.conv_id, r.turn) for r in asked] == [(1, 0)]
     assert asked[0].prompt.endswith("USER: hello")
