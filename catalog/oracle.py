@@ -435,6 +435,9 @@ ORACLE: dict[str, str] = {
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY cur DESC, id) AS INTEGER) AS rank FROM c)
         SELECT user_id, rank, id, CASE WHEN length(content) > 28 THEN substring(content, 1, 28) || '…'
           ELSE content END AS label, memory_type, round(cur, 6) AS current_importance FROM r WHERE rank <= 8""",
+    "cosine_similarity": """SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]),
+        CAST(b.embedding AS DOUBLE[])), 6) AS similarity, true AS zero_is_null
+        FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 10""",
     "vector_topk_single": f"""WITH {X1}, q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS emb FROM embeddings
           ORDER BY vec_id LIMIT 1), s AS (SELECT m.id, round(list_cosine_similarity(m.emb, q.emb), 12) AS sim
           FROM x1 m JOIN q ON m.user_id = q.vec_id % 10 WHERE m.importance_score > 0)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark import schema
-from mnemospark.functions import decay, text
+from mnemospark.functions import decay, text, vector
 from mnemospark.operators import (
     extraction,
     lifecycle,
@@ -367,6 +367,20 @@ def decay_chart_top8(spark, folder):
 # --- vector search and packing --------------------------------------------------
 
 
+@query
+def cosine_similarity(spark, folder):
+    """Each vector against the next one of its user, and against a zero vector."""
+    e = samples.table(spark, folder, "embeddings")
+    a = e.select("vec_id", F.col("embedding").alias("a"))
+    b = e.select((F.col("vec_id") - 10).alias("vec_id"), F.col("embedding").alias("b"))
+    zero = F.transform("a", lambda x: x * 0)
+    return a.join(b, "vec_id").select(
+        "vec_id",
+        r6(vector.cosine_similarity(F.col("a"), F.col("b"))).alias("similarity"),
+        vector.cosine_similarity(F.col("a"), zero).isNull().alias("zero_is_null"),
+    )
+
+
 @query
 def vector_topk_single(spark, folder):
     """One request: the first embedding as the query of its user."""
