@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import bpe, token_counts, token_store
+from mnemospark.llm import bpe, decontamination, token_counts, token_store
 from mnemospark.llm.common import ready, table
 from mnemospark.session import new_folder
 
@@ -45,3 +45,11 @@ def op9_token_store(spark: SparkSession, folder: str) -> DataFrame:
     place = new_folder(spark, "token-store")
     token_store.write(table(spark, folder, "documents"), place, end_id=2)
     return token_store.read(spark, place).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated"
+    )
