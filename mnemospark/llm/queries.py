@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import bpe, decontamination, token_counts, token_store
+from mnemospark.llm import bpe, decontamination, minhash, token_counts, token_store
 from mnemospark.llm.common import ready, table
 from mnemospark.session import new_folder
 
@@ -53,3 +53,8 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated"
     )
+
+
+@query
+def op1_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"), width=2)

@@ -68,10 +68,13 @@ class MinHash:
         return best
 
 
-def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
-    """One 64-bit key for each band of ``rows`` values; the band number is in the key."""
-    bands = signature.reshape(-1, rows)
-    key = np.arange(len(bands), dtype=np.uint64)
+def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
+    """64-bit keys of each band of ``rows`` values, for signatures one below the other.
+
+    The band number is in the key.
+    """
+    bands = signatures.reshape(len(signatures), -1, rows)
+    key = np.broadcast_to(np.arange(bands.shape[1], dtype=np.uint64), bands.shape[:2])
     for k in range(rows):
-        key = mix(key * np.uint64(0x100000001B3) + bands[:, k].astype(np.uint64))
+        key = mix(key * np.uint64(0x100000001B3) + bands[:, :, k].astype(np.uint64))
     return key
