@@ -2,8 +2,7 @@
 
 A pair of neighbouring bytes that occurs inside no vocabulary token can never
 be joined by a merge, so a word may be cut there, its fragments encoded on their
-own and their ids put in a row. Fragments repeat far more often than words; a
-worker keeps the ids of both.
+own and their ids put in a row. A worker keeps the ids of words it has met.
 
 The vocabulary file is one of the ``tokenizers`` library with: NFC, white space
 to one blank, lower case; words by pattern; byte symbols; a mark at word ends.
@@ -18,6 +17,7 @@ import json
 import re
 import unicodedata
 from array import array
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 
 from mnemospark.llm.common import map_batches, texts
 
-#: Words and fragments a worker keeps before it starts anew; bounds memory only.
+#: Words a worker keeps in each of two generations; bounds memory only.
 KEPT_WORDS = 300_000
 
 #: Symbols from which a fragment is joined with a heap; the result is the same.
 LONG = 64
 
-NEVER = 1 << 60
+NEVER = 1 << 30
 
 #: Characters up to here have no composed forms to change and fixed classes.
 PLAIN_END = 0x180
@@ -47,26 +47,19 @@ def byte_symbols() -> list[str]:
     return [symbols[b] for b in range(256)]
 
 
-def _plain_pattern(contractions: str) -> re.Pattern:
-    """The word pattern for characters below PLAIN_END, with classes spelled out."""
-    of = lambda start: "".join(re.escape(chr(c)) for c in range(PLAIN_END) if unicodedata.category(chr(c))[0] == start)
-    letters, numbers, blank = of("L"), of("N"), "\t\n\x0b\x0c\r \x85\xa0"
-    return re.compile(f"{contractions}|[{letters}]+|[{numbers}]|[^{blank}{letters}{numbers}]+")
+def _patterns(contractions: str) -> tuple[re.Pattern, re.Pattern]:
+    """The word pattern with its classes spelled out: for ASCII, and below PLAIN_END.
 
+    Letters come first: no alternative begins with a character of another, but
+    for the last two.
+    """
 
-class _Kept(dict):
-    """Word -> value; a missing word is computed once."""
-
-    def __init__(self, make):
-        self.make = make
-
-    def __missing__(self, word):
-        value = self[word] = self.make(word)
-        return value
+    def build(end: int) -> re.Pattern:
+        of = lambda start: "".join(re.escape(chr(c)) for c in range(end) if unicodedata.category(chr(c))[0] == start)
+        letters, numbers, blank = of("L"), of("N"), "\t\n\x0b\x0c\r \x85\xa0"
+        return re.compile(f"[{letters}]+|[{numbers}]|{contractions}|[^{blank}{letters}{numbers}]+")
 
-    def trim(self) -> None:
-        if len(self) > KEPT_WORDS:
-            self.clear()
+    return build(0x80), build(PLAIN_END)
 
 
 class WordBpe:
@@ -83,19 +76,30 @@ class WordBpe:
         self.symbols = byte_symbols()
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
-        inside = set()
+        byte_of = {c: b for b, c in enumerate(self.symbols)}
+        self.byte_of = byte_of
+        #: Which byte pairs occur inside a token; all others are certain cuts.
+        self.joined = np.zeros((256, 256), bool)
         for token in self.vocabulary:
-            body = token.removesuffix(self.suffix)
-            inside.update(zip(body, body[1:]))
-        self.joined = inside
+            body = [byte_of[c] for c in token.removesuffix(self.suffix)]
+            self.joined[body[:-1], body[1:]] = True
+        ids = self.vocabulary
+        #: Id of each byte, and of each byte at a word's end.
+        self.first_ids = np.array([ids[c] for c in self.symbols] + [ids[c + self.suffix] for c in self.symbols], np.int64)
+        pairs = sorted((ids[a] << 20 | ids[b], rank) for (a, b), rank in self.ranks.items())
+        self.pair_keys, self.pair_ranks = (np.array(c, np.int64) for c in zip(*pairs))
+        #: The id that the rule of each rank makes.
+        self.made = np.array([ids[a + b] for a, b in self.ranks], np.int64)
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.pattern = _plain_pattern(pattern.partition(r"|[\p{L}]")[0])
+        self.ascii_pattern, self.pattern = _patterns(pattern.partition(r"|[\p{L}]")[0])
         self.not_plain = re.compile(f"[^\x00-{chr(PLAIN_END - 1)}]")
-        self.fragments = _Kept(self._merge)
-        self.word_ids = _Kept(lambda word: self.encode_symbols("".join(self.symbols[b] for b in word.encode())))
         names = {i: t for t, i in self.vocabulary.items()} | {i: t for t, i in self.specials.items()}
         self.token_bytes = [names.get(i, "").encode() for i in range(max(names) + 1)]
         self._content, self._library = content, None
+        #: Ids of words met lately, and of those met before them.
+        self.kept: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.fixed = {t: i.to_bytes(4, "little") for t, i in self.specials.items()}
 
     @property
     def library(self):
@@ -105,91 +109,127 @@ class WordBpe:
             self._library = Tokenizer.from_str(self._content)
         return self._library
 
-    def split(self, word: str) -> list[str]:
-        """Fragments of a word of byte symbols, cut where no token spans the pair."""
-        cuts = [k for k, pair in enumerate(zip(word, word[1:]), 1) if pair not in self.joined]
-        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]
-
-    def encode_symbols(self, word: str) -> bytes:
-        """Ids of a word of byte symbols, as little-endian 32-bit integers."""
-        *head, tail = self.split(word)
-        return b"".join([self.fragments[(f, False)] for f in head]) + self.fragments[(tail, True)]
-
-    def _merge(self, key: tuple[str, bool]) -> bytes:
-        """Join the pair of lowest rank, leftmost first, until no rule applies."""
-        fragment, ends = key
-        parts = list(fragment)
-        if ends:
-            parts[-1] += self.suffix
-        if len(parts) > 1:
-            parts = self._joined_short(parts) if len(parts) <= LONG else self._joined_long(parts)
-        return np.array([self.vocabulary[p] for p in parts if p in self.vocabulary], "<u4").tobytes()
-
-    def _joined_short(self, parts: list[str]) -> list[str]:
-        rank = self.ranks.get
-        ranks = [rank(pair, NEVER) for pair in zip(parts, parts[1:])]
-        while ranks and (low := min(ranks)) < NEVER:
-            at = ranks.index(low)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            del ranks[at]
-            if at:
-                ranks[at - 1] = rank((parts[at - 1], parts[at]), NEVER)
-            if at < len(ranks):
-                ranks[at] = rank((parts[at], parts[at + 1]), NEVER)
-        return parts
-
-    def _joined_long(self, parts: list[str]) -> list[str]:
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids; NEVER where no rule joins them."""
+        keys = left << 20 | right
+        at = np.searchsorted(self.pair_keys, keys)
+        at[at == len(self.pair_keys)] = 0
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NEVER)
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, as little-endian 32-bit integers; all words at once.
+
+        All fragments of all words lie in one array. Each round joins in every
+        fragment its pair of lowest rank, leftmost first, and sets aside the
+        fragments that no rule joins any more.
+        """
+        if not words:
+            return []
+        raw = [w.encode() for w in words]
+        flat = np.frombuffer(b"".join(raw), np.uint8)
+        ends = np.cumsum([len(w) for w in raw])
+        last = np.zeros(len(flat), bool)
+        last[ends - 1] = True
+        symbols = self.first_ids[flat + 256 * last.astype(np.int64)]
+        cut = last.copy()
+        cut[:-1] |= ~self.joined[flat[:-1], flat[1:]]
+        places = np.arange(len(flat))
+        out, kept = symbols.copy(), np.ones(len(flat), bool)
+
+        starts = np.concatenate([[0], np.flatnonzero(cut)[:-1] + 1])
+        sizes = np.diff(np.concatenate([starts, [len(flat)]]))
+        for k in np.flatnonzero(sizes > LONG):
+            a, n = starts[k], sizes[k]
+            joined = self._joined_long(symbols[a : a + n].tolist())
+            out[a : a + len(joined)], kept[a + len(joined) : a + n] = joined, False
+        live = np.repeat((sizes > 1) & (sizes <= LONG), sizes)
+        symbols, cut, places = symbols[live], cut[live], places[live]
+        ranks = np.full(len(symbols), NEVER)
+        inner = np.flatnonzero(~cut)
+        ranks[inner] = self._rank(symbols[inner], symbols[inner + 1])
+        while len(symbols):
+            starts = np.concatenate([[0], np.flatnonzero(cut)[:-1] + 1])
+            low = np.minimum.reduceat(ranks * len(ranks) + np.arange(len(ranks)), starts)
+            going = low < NEVER * len(ranks)
+            at = low[going] % len(ranks)
+            out[places[at]] = symbols[at] = self.made[ranks[at]]
+            cut[at] = cut[at + 1]
+            kept[places[at + 1]] = False
+            # Out go the right halves of joined pairs, and fragments that are done.
+            stay = np.repeat(going, np.diff(np.concatenate([starts, [len(symbols)]])))
+            stay[at + 1] = False
+            at = np.cumsum(stay)[at] - 1
+            symbols, cut, places, ranks = symbols[stay], cut[stay], places[stay], ranks[stay]
+            ranks[at] = NEVER
+            for inner in (at[~cut[at]], (before := at[at > 0] - 1)[~cut[before]]):
+                ranks[inner] = self._rank(symbols[inner], symbols[inner + 1])
+        upto = np.concatenate([[0], np.cumsum(kept)[ends - 1]]) * 4
+        ids = out[kept].astype("<u4").tobytes()
+        return [ids[a:b] for a, b in zip(upto.tolist(), upto[1:].tolist())]
+
+    def _joined_long(self, parts: list[int]) -> list[int]:
         """The same with a heap and links: n log n for fragments without end."""
-        n, rank = len(parts), self.ranks.get
+        n = len(parts)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(rank(p, NEVER), k, *p) for k, p in enumerate(zip(parts, parts[1:])) if p in self.ranks]
-        heapq.heapify(heap)
+        heap: list[tuple[int, int, int, int, int]] = []
+
+        def offer(k: int) -> None:
+            a, b = parts[k], parts[right[k]]
+            at = bisect_left(self.pair_keys, a << 20 | b)
+            if at < len(self.pair_keys) and self.pair_keys[at] == a << 20 | b:
+                rank = int(self.pair_ranks[at])
+                heapq.heappush(heap, (rank, k, a, b, int(self.made[rank])))
+
+        for k in range(n - 1):
+            offer(k)
         while heap:
-            _, at, a, b = heapq.heappop(heap)
+            _, at, a, b, both = heapq.heappop(heap)
             nxt = right[at]
             if nxt < 0 or parts[at] != a or parts[nxt] != b:
                 continue
-            parts[at], parts[nxt] = a + b, ""
+            parts[at], parts[nxt] = both, -1
             right[at] = right[nxt]
             if right[nxt] >= 0:
                 left[right[nxt]] = at
             for k in (left[at], at):
-                if k >= 0 and right[k] >= 0 and (pair := (parts[k], parts[right[k]])) in self.ranks:
-                    heapq.heappush(heap, (self.ranks[pair], k, *pair))
-        return [p for p in parts if p]
-
-    def pieces(self, text: str) -> list[list | int]:
-        """Word lists of the stretches between special strings, and the specials' ids.
-
-        Words of a plain stretch are text, others tuples of byte symbols.
-        """
-        stretches = self.special_split.split(text) if self.special_split and "<|" in text else [text]
-        out: list[list | int] = []
-        for stretch in stretches:
+                if k >= 0 and right[k] >= 0:
+                    offer(k)
+        return [p for p in parts if p >= 0]
+
+    def words(self, text: str) -> list[str]:
+        """Words of a text in order; a special string counts as a word of its own."""
+        if "<|" not in text and not self.not_plain.search(text):
+            return (self.ascii_pattern if text.isascii() else self.pattern).findall(text.lower())
+        out: list[str] = []
+        for stretch in self.special_split.split(text) if self.special_split else [text]:
             if stretch in self.specials:
-                out.append(self.specials[stretch])
+                out.append(stretch)
             elif stretch and not self.not_plain.search(stretch):
-                out.append(self.pattern.findall(stretch.lower()))
+                out += self.pattern.findall(stretch.lower())
             elif stretch:
                 normal = self.library.normalizer.normalize_str(stretch)
-                out.append([(w,) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)])
+                found = self.library.pre_tokenizer.pre_tokenize_str(normal)
+                out += [bytes([self.byte_of[c] for c in w]).decode() for w, _ in found]
         return out
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text, as little-endian 32-bit integers."""
-        out = []
-        for piece in self.pieces(text):
-            if isinstance(piece, int):
-                out.append(piece.to_bytes(4, "little"))
-            elif piece and isinstance(piece[0], tuple):
-                out.extend(self.encode_symbols(w) for (w,) in piece)
-            else:
-                out.extend(map(self.word_ids.__getitem__, piece))
-        return b"".join(out)
-
-    def trim(self) -> None:
-        self.fragments.trim()
-        self.word_ids.trim()
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids by word, for these words and whatever else is kept."""
+        if len(self.kept) > KEPT_WORDS:
+            self.before, self.kept = self.kept, {}
+        new = list(words.difference(self.kept))
+        known = {w: ids for w in new if (ids := self.before.get(w)) is not None}
+        self.kept.update(known)
+        if len(known) < len(new):
+            new = [w for w in new if w not in known]
+            self.kept.update(zip(new, self.encode_words(new)))
+        self.kept.update(self.fixed)
+        return self.kept
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts, as little-endian 32-bit integers."""
+        split = [self.words(t) for t in texts]
+        ids = self.learn(set().union(*split))
+        return [b"".join(map(ids.__getitem__, words)) for words in split]
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 text of ids: without a decoder in the file, tokens with blanks between.
@@ -207,6 +247,11 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+def as_text(column: pa.Array) -> list[str]:
+    """Texts of a binary column; null is empty."""
+    return [(t or b"").decode("utf-8", "replace") for t in column.to_pylist()]
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -223,9 +268,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> dict:
         bpe = load(path)
-        ids = [bpe.encode(t.decode("utf-8", "replace")) if t else b"" for t in batch["text"].to_pylist()]
-        bpe.trim()
-        return {"doc_id": batch["doc_id"], "ids": ids}
+        return {"doc_id": batch["doc_id"], "ids": bpe.encode_batch(as_text(batch["text"]))}
 
     return map_batches(texts(docs), run, "doc_id long, ids binary")
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import bpe, decontamination, minhash, token_counts, token_store
-from mnemospark.llm.common import ready, table
+from mnemospark.llm import bpe, decontamination, language, minhash, token_counts, token_store
+from mnemospark.llm.common import crc_is, ready, table
 from mnemospark.session import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,3 +58,10 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op1_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"), width=2)
+
+
+@query
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language.fit(docs.where(~crc_is(3, 1)))
+    return language.identify(docs, model).select("doc_id", crc_is(3, 1).alias("held_out"), "lang_pred", "score")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.bpe import default_path, load
+from mnemospark.llm.bpe import as_text, default_path, load
 from mnemospark.llm.common import map_batches, texts
 
 #: Words in the broadcast table: about 1 MB, whatever the size of the corpus.
@@ -26,6 +26,9 @@ FREQUENT = 32_768
 #: Words a task's summary may name, and words it counts before it drops the rarest half.
 SUMMARY, COUNTED = 4_096, 200_000
 
+#: Words besides that a worker keeps; bounds memory only.
+KEPT_COUNTS = 400_000
+
 
 def frequent_words(docs: DataFrame, path: str, size: int = FREQUENT) -> list[tuple[str, int]]:
     """The most frequent words of all documents, as far as bounded task summaries tell."""
@@ -33,11 +36,8 @@ def frequent_words(docs: DataFrame, path: str, size: int = FREQUENT) -> list[tup
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, seen = load(path), Counter()
         for batch in batches:
-            for text in batch["text"].to_pylist():
-                if text:
-                    for piece in bpe.pieces(text.decode("utf-8", "replace")):
-                        if isinstance(piece, list) and piece and isinstance(piece[0], str):
-                            seen.update(piece)
+            for text in as_text(batch["text"]):
+                seen.update(bpe.words(text))
             if len(seen) > COUNTED:
                 seen = Counter(dict(seen.most_common(COUNTED // 2)))
         top = seen.most_common(SUMMARY)
@@ -46,8 +46,9 @@ def frequent_words(docs: DataFrame, path: str, size: int = FREQUENT) -> list[tup
 
     summaries = texts(docs).select("text").mapInArrow(run, "word string, n long")
     rows = summaries.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size).collect()
-    bpe = load(path)
-    return [(r["word"], len(bpe.word_ids[r["word"]]) // 4) for r in rows]
+    words = [r["word"] for r in rows]
+    ids = load(path).learn(set(words))
+    return [(w, len(ids[w]) // 4) for w in words]
 
 
 class WordLengths:
@@ -63,25 +64,32 @@ class WordLengths:
         return dict(zip(names, np.frombuffer(self.lengths, np.uint32).tolist()))
 
 
-class _Tiers(dict):
-    """Broadcast words first; a miss goes to the worker's own kept words."""
+class _Tiers:
+    """Broadcast words, and the words this worker met besides."""
 
     def __init__(self, frequent: dict[str, int], path: str):
-        super().__init__(frequent)
-        self.bpe, self.kept = load(path), {}
+        self.bpe, self.frequent, self.kept = load(path), frequent, {}
 
-    def __missing__(self, word: str) -> int:
-        count = self.kept.get(word)
-        if count is None:
-            bpe = self.bpe
-            symbols = "".join([bpe.symbols[b] for b in word.encode()])
-            count = self.kept[word] = len(bpe.encode_symbols(symbols)) // 4
-        return count
-
-    def trim(self) -> None:
-        self.bpe.trim()
-        if len(self.kept) > 400_000:
+    def counts(self, texts: list[str]) -> list[int]:
+        split = [self.bpe.words(t) for t in texts]
+        new = set().union(*split).difference(self.frequent)
+        if len(self.kept) > KEPT_COUNTS:
             self.kept = {}
+        new = new.difference(self.kept)
+        if new:
+            specials = new.intersection(self.bpe.fixed)
+            words = list(new - specials)
+            self.kept |= {w: len(ids) // 4 for w, ids in zip(words, self.bpe.encode_words(words))} | dict.fromkeys(specials, 1)
+        table = _Chain(self.frequent)
+        table.kept = self.kept
+        return [sum(map(table.__getitem__, words)) for words in split]
+
+
+class _Chain(dict):
+    kept: dict[str, int]
+
+    def __missing__(self, word: str) -> int:
+        return self.kept[word]
 
 
 _WORKER: dict[str, _Tiers] = {}
@@ -106,21 +114,8 @@ def count_tokens(docs: DataFrame, path: str | None = None, size: int = FREQUENT)
 
     name = uuid.uuid4().hex
 
-    def count(table: _Tiers, text: bytes | None) -> int:
-        total = 0
-        for piece in table.bpe.pieces(text.decode("utf-8", "replace")) if text else ():
-            if isinstance(piece, int):
-                total += 1
-            elif piece and isinstance(piece[0], tuple):
-                total += sum(len(table.bpe.encode_symbols(w)) // 4 for (w,) in piece)
-            else:
-                total += sum(map(table.__getitem__, piece))
-        return total
-
     def run(batch: pa.RecordBatch) -> dict:
-        table, found = _tiers(name, shared, path), batch["text"].to_pylist()
-        counts = [count(table, t) for t in found]
-        table.trim()
-        return {"doc_id": batch["doc_id"], "n_bytes": [len(t or b"") for t in found], "n_tokens": counts}
+        counts = _tiers(name, shared, path).counts(as_text(batch["text"]))
+        return {"doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"], "n_tokens": counts}
 
-    return map_batches(texts(docs), run, "doc_id long, n_bytes long, n_tokens long")
+    return map_batches(texts(docs, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")), run, "doc_id long, n_bytes long, n_tokens long")

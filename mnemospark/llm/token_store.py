@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import io
 import json
-import zlib
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -29,7 +28,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemospark.llm.bpe import default_path, load
+from mnemospark.llm.bpe import as_text, default_path, load
 from mnemospark.llm.common import map_batches, texts
 from mnemospark.llm.shingles import mix
 
@@ -43,7 +42,7 @@ STATS = "shard int, first long, last long, n_docs long, n_ids long"
 
 
 def _slots(keys: np.ndarray, seeds: np.ndarray | int, n: int) -> np.ndarray:
-    return (mix(keys ^ mix(np.asarray(seeds).astype(np.uint64) + np.uint64(1))) % np.uint64(n)).astype(np.int64)
+    return (mix(keys ^ mix(np.atleast_1d(seeds).astype(np.uint64) + np.uint64(1))) % np.uint64(n)).astype(np.int64)
 
 
 def perfect_hash(keys: np.ndarray) -> np.ndarray:
@@ -135,13 +134,12 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 2
         with store.open_output_stream(name + ".ids" + own) as out:
             for batch in batches:
                 payload = []
-                for text in batch["text"].to_pylist():
-                    ids = np.frombuffer(bpe.encode(text.decode("utf-8", "replace")) if text else b"", "<u4")
+                for found in bpe.encode_batch(as_text(batch["text"])):
+                    ids = np.frombuffer(found, "<u4")
                     counts.append(len(ids) + 1)
                     payload += [ids.astype(kind).tobytes(), end]
                 keys += [NO_ID if k is None else k for k in batch["doc_id"].to_pylist()]
                 out.write(b"".join(payload))
-                bpe.trim()
         keys, counts = np.array(keys, np.int64), np.array(counts, np.int64)
         with store.open_output_stream(name + ".idx" + own) as out:
             out.write(_index(keys, counts))
@@ -254,7 +252,3 @@ def with_lookup(keys: DataFrame, folder: str) -> DataFrame:
         return {"doc_id": batch["doc_id"], "ids": [None if f is None else f.astype("<u4").tobytes() for f in found]}
 
     return map_batches(keys.select("doc_id").sortWithinPartitions("doc_id"), run, "doc_id long, ids binary")
-
-
-def crc32(ids: bytes) -> int:
-    return zlib.crc32(ids)
