@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import bpe, decontamination, language, minhash, token_counts, token_store
+from mnemospark.llm import bpe, decontamination, language, minhash, passages, token_counts, token_store
 from mnemospark.llm.common import crc_is, ready, table
 from mnemospark.session import new_folder
 
@@ -65,3 +65,10 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = language.fit(docs.where(~crc_is(3, 1)))
     return language.identify(docs, model).select("doc_id", crc_is(3, 1).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, folder, "documents")).select(
+        "doc_id", "start", "stop", "n_words", "first_doc_id"
+    )
