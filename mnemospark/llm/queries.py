@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import bpe, decontamination, language, minhash, passages, token_counts, token_store
+from mnemospark.llm import bpe, decontamination, kneser_ney, language, minhash, passages, token_counts, token_store
 from mnemospark.llm.common import crc_is, ready, table
 from mnemospark.session import new_folder
 
@@ -72,3 +72,13 @@ def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return passages.repeated_passages(table(spark, folder, "documents")).select(
         "doc_id", "start", "stop", "n_words", "first_doc_id"
     )
+
+
+@query
+def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = kneser_ney.train(docs.where(~crc_is(7, 2)), new_folder(spark, "kneser-ney"))
+    scored = kneser_ney.score(docs, model)
+    return scored.select(
+        "doc_id", crc_is(7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
