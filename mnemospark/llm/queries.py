@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import bpe, decontamination, kneser_ney, language, minhash, passages, token_counts, token_store
+from mnemospark.llm import bpe, decontamination, fingerprints, kneser_ney, language, minhash, passages, token_counts, token_store
 from mnemospark.llm.common import crc_is, ready, table
 from mnemospark.session import new_folder
 
@@ -82,3 +82,8 @@ def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select(
         "doc_id", crc_is(7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+@query
+def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, folder, "documents"))
