@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import bpe, decontamination, fingerprints, kneser_ney, language, minhash, passages, token_counts, token_store
+from mnemospark.llm import bpe, decontamination, fingerprints, kneser_ney, language, minhash, passages, token_counts, token_store, toxicity
 from mnemospark.llm.common import crc_is, ready, table
 from mnemospark.session import new_folder
 
@@ -87,3 +87,10 @@ def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, folder, "documents"))
+
+
+@query
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels").where(~crc_is(4, 2)))
+    return toxicity.toxicity(docs, model).select("doc_id", crc_is(4, 2).alias("held_out"), "score", "predicted")
