@@ -45,11 +45,17 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str
         for batch in batches:
             if batch.num_rows:
                 columns = fn(batch)
-                yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in target], schema=target)
+                yield pa.RecordBatch.from_arrays([_as(columns[f.name], f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, schema)
 
 
+def _as(values, kind: pa.DataType) -> pa.Array:
+    if isinstance(values, pa.Array):
+        return values if values.type == kind else values.cast(kind)
+    return pa.array(values, kind)
+
+
 def crc_is(divisor: int, remainder: int):
     """crc32 of doc_id as text leaves ``remainder``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % divisor == remainder

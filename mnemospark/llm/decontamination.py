@@ -116,7 +116,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted ids, comma-joined), contaminated.
+    """doc_id, text_key, n_words, n_hit, n_items, items (sorted ids, comma-joined), contaminated.
 
     One row for each row in, repeated ones repeated; a null or wordless text has
     no words and no hits; null items and items without words have no windows. An
@@ -142,6 +142,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return joined.select(
         "d.doc_id",
+        "d.text_key",
         "n_words",
         n_hit.alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),

@@ -221,15 +221,17 @@ def _worker(name: str, shared) -> _Worker:
     return _kept[name]
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
+def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred, score, spans (lang, first word, words, letters) of every whole text.
 
+    Columns named in ``carry`` come along as they are.
     lang_pred is the language with most letters in its spans, score its share of
     all letters. A null text, one without letters, or a model without languages
     gives ``und``, 0 and no spans. One row for each row in.
     """
     shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     schema = "doc_id long, lang_pred string, score double, spans array<struct<lang:string,first:long,words:long,letters:long>>"
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
 
     def run(batch: pa.RecordBatch) -> dict:
         worker = _worker(name, shared)
@@ -257,6 +259,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                     )
                 ]
             )
-        return {"doc_id": batch["doc_id"], "lang_pred": preds, "score": scores, "spans": spans}
+        return {"doc_id": batch["doc_id"], "lang_pred": preds, "score": scores, "spans": spans} | {
+            c: batch[f"_{c}"] for c in carry
+        }
 
-    return map_batches(texts(docs), run, schema)
+    return map_batches(texts(docs, *[F.col(c).alias(f"_{c}") for c in carry]), run, schema)
