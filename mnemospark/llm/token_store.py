@@ -35,6 +35,9 @@ from mnemospark.llm.shingles import mix
 #: Keys in a bucket of the hash on average.
 PER_BUCKET = 4
 
+#: Seeds that are tried at once.
+SEEDS = 128
+
 #: A marker in place of a null doc_id inside files.
 NO_ID = -(1 << 63)
 
@@ -68,11 +71,14 @@ def perfect_hash(keys: np.ndarray) -> np.ndarray:
             continue
         own, seed = keys[order[starts[b] : starts[b + 1]]], 0
         while True:
-            slots = _slots(own, seed, n)
-            if not taken[slots].any() and len(set(slots.tolist())) == size:
+            # Many seeds at once; wrong are those with a taken slot or one slot twice.
+            slots = np.sort(_slots(own[None, :], np.arange(seed, seed + SEEDS)[:, None], n), axis=1)
+            right = ~(taken[slots].any(axis=1) | (slots[:, 1:] == slots[:, :-1]).any(axis=1))
+            if right.any():
                 break
-            seed += 1
-        taken[slots], moves[b] = True, seed
+            seed += SEEDS
+        found = int(right.argmax())
+        taken[slots[found]], moves[b] = True, seed + found
     free = np.flatnonzero(~taken)
     moves[singles] = -free[: len(singles)] - 1
     return moves
