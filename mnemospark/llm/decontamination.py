@@ -119,7 +119,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     """doc_id, text_key, n_words, n_hit, n_items, items (sorted ids, comma-joined), contaminated.
 
     One row for each row in, repeated ones repeated; a null or wordless text has
-    no words and no hits; null items and items without words have no windows. An
+    no words and no hits; null items and items without words have no windows; an item
+    with a null id is hit, but not counted or named. An
     empty benchmark or documents table gives no hits.
     """
     found = materialised(hits(docs, items, window))
@@ -128,7 +129,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     named = (
         found.select("doc_id", "text_key", F.col("item_id").cast("string").alias("item")).distinct()
         .groupBy("doc_id", "text_key")
-        .agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.sort_array(F.collect_list("item")), ",").alias("items"))
+        .agg(F.count("item").alias("n_items"), F.array_join(F.sort_array(F.collect_list("item")), ",").alias("items"))
     )
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), n_words(F.col("text")).cast("long").alias("n_words"))
     both = hit.alias("h").join(
