@@ -106,14 +106,15 @@ class Model:
 def discounts(n: np.ndarray) -> np.ndarray:
     """Discounts of counts 0, 1, 2 and 3 or more, from how many items occur 1 to 4 times.
 
-    Where a class is empty its formula has no value; half a count is taken.
+    Where a class is empty its formula has no value; half a count is taken. No
+    discount is below a tenth, so that every token has some probability.
     """
     out = np.array([0.0, 0.5, 0.5, 0.5])
     if n[1] and n[2]:
         share = n[1] / (n[1] + 2 * n[2])
         for k in (1, 2, 3):
             if n[k] and n[k + 1]:
-                out[k] = min(max(k - (k + 1) * share * n[k + 1] / n[k], 0.0), k)
+                out[k] = min(max(k - (k + 1) * share * n[k + 1] / n[k], 0.1), k)
     return out
 
 
