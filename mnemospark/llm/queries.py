@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from mnemospark.llm import bpe, decontamination, fingerprints, kneser_ney, language, minhash, passages, token_counts, token_store, toxicity
 from mnemospark.llm.common import crc_is, ready, table
+from mnemospark.llm.oracle import ORACLE  # noqa: F401
 from mnemospark.session import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
 
 
 def query(fn: Query) -> Query:
