@@ -18,16 +18,15 @@ import re
 import unicodedata
 from array import array
 from bisect import bisect_left
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from mnemospark.llm.common import map_batches, texts
+from mnemospark.llm.common import map_batches, texts, worker_state
 
 #: Words a worker keeps in each of two generations; bounds memory only.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 
 #: Symbols from which a fragment is joined with a heap; the result is the same.
 LONG = 64
@@ -241,10 +240,9 @@ class WordBpe:
         return b" ".join([names[i] for i in numbers if i < known and names[i]])
 
 
-@lru_cache(maxsize=2)
 def load(path: str) -> WordBpe:
-    """One encoder for each vocabulary file and worker."""
-    return WordBpe(path)
+    """The encoder of a vocabulary file, kept from batch to batch."""
+    return worker_state(("bpe", path), lambda: WordBpe(path))
 
 
 def as_text(column: pa.Array) -> list[str]:

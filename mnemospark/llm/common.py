@@ -15,9 +15,24 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Texts may be very long: few rows a batch, so that a batch stays small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 
+_STATE: dict[object, object] = {}
+
+
+def worker_state(key: object, make: Callable[[], object]):
+    """What a Python worker keeps from batch to batch: the state of one job at a time.
+
+    Workers outlive jobs; what an earlier operator kept there goes first.
+    """
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
 def ready(spark: SparkSession) -> SparkSession:
     """Set what the operators rely on."""
     for key, value in SETTINGS.items():

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import map_batches, texts
+from mnemospark.llm.common import map_batches, texts, worker_state
 from mnemospark.llm.shingles import mix, word_hashes, words
 
 #: Words are named by 48 bits of their hash: one clash in 500,000 among 10 million words.
@@ -283,9 +283,6 @@ class Arrays:
         return np.log10(kept + share * lower), own[:, 0]
 
 
-_kept: dict[str, Arrays] = {}
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity of every whole text.
 
@@ -297,11 +294,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
     def run(batch: pa.RecordBatch) -> dict:
-        if name not in _kept:
-            _kept.clear()
-            _kept[name] = Arrays(model)
         before, after, sizes = _pairs(batch["text"].to_pylist())
-        logs, counts = _kept[name].log10(before, after)
+        logs, counts = worker_state(name, lambda: Arrays(model)).log10(before, after)
         at = np.cumsum(sizes) - sizes
         total = np.add.reduceat(logs, at)
         base = np.log10((counts + 1) / (model.n_tokens + (model.n_words + 1)))

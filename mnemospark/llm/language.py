@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import map_batches, texts
+from mnemospark.llm.common import map_batches, texts, worker_state
 
 #: Bound of the labelled rows that the model is fitted on, for each language.
 SAMPLE = 4_000
@@ -210,17 +210,6 @@ class _Worker:
         return viterbi(self.table[at], lengths), lengths
 
 
-_kept: dict[str, _Worker] = {}
-
-
-def _worker(name: str, shared) -> _Worker:
-    """The worker's own state of one run."""
-    if name not in _kept:
-        _kept.clear()
-        _kept[name] = _Worker(shared.value)
-    return _kept[name]
-
-
 def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred, score, spans (lang, first word, words, letters) of every whole text.
 
@@ -234,7 +223,7 @@ def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> Data
     schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
 
     def run(batch: pa.RecordBatch) -> dict:
-        worker = _worker(name, shared)
+        worker = worker_state(name, lambda: _Worker(shared.value))
         names = worker.model.languages
         found = [words_of(t.decode("utf-8", "replace")) if t and names else [] for t in batch["text"].to_pylist()]
         labels, lengths = worker.label(found) if names else (np.zeros(0, np.int8), np.zeros(len(found), np.int64))

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.bpe import as_text, default_path, load
-from mnemospark.llm.common import map_batches, texts
+from mnemospark.llm.bpe import WordBpe, as_text, default_path, load
+from mnemospark.llm.common import map_batches, texts, worker_state
 
 #: Words in the broadcast table: about 1 MB, whatever the size of the corpus.
 FREQUENT = 32_768
@@ -27,7 +27,7 @@ FREQUENT = 32_768
 SUMMARY, COUNTED = 4_096, 200_000
 
 #: Words besides that a worker keeps; bounds memory only.
-KEPT_COUNTS = 400_000
+KEPT_COUNTS = 300_000
 
 
 def frequent_words(docs: DataFrame, path: str, size: int = FREQUENT) -> list[tuple[str, int]]:
@@ -68,7 +68,7 @@ class _Tiers:
     """Broadcast words, and the words this worker met besides."""
 
     def __init__(self, frequent: dict[str, int], path: str):
-        self.bpe, self.frequent, self.kept = load(path), frequent, {}
+        self.bpe, self.frequent, self.kept = WordBpe(path), frequent, {}
 
     def counts(self, texts: list[str]) -> list[int]:
         split = [self.bpe.words(t) for t in texts]
@@ -92,17 +92,6 @@ class _Chain(dict):
         return self.kept[word]
 
 
-_WORKER: dict[str, _Tiers] = {}
-
-
-def _tiers(name: str, shared, path: str) -> _Tiers:
-    """The table of one run, built once in a worker."""
-    if name not in _WORKER:
-        _WORKER.clear()
-        _WORKER[name] = _Tiers(shared.value.as_dict(), path)
-    return _WORKER[name]
-
-
 def count_tokens(docs: DataFrame, path: str | None = None, size: int = FREQUENT) -> DataFrame:
     """doc_id, n_bytes, n_tokens of every whole text.
 
@@ -115,7 +104,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, size: int = FREQUENT)
     name = uuid.uuid4().hex
 
     def run(batch: pa.RecordBatch) -> dict:
-        counts = _tiers(name, shared, path).counts(as_text(batch["text"]))
+        counts = worker_state(name, lambda: _Tiers(shared.value.as_dict(), path)).counts(as_text(batch["text"]))
         return {"doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"], "n_tokens": counts}
 
     return map_batches(texts(docs, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")), run, "doc_id long, n_bytes long, n_tokens long")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import map_batches, texts
+from mnemospark.llm.common import map_batches, texts, worker_state
 from mnemospark.llm.language import _word, words_of
 
 #: Bounds of the labelled documents that the model is fitted on.
@@ -246,21 +246,16 @@ class _Worker:
         return self.model.marginals(np.fromiter((known[w] for words in found for w in words), np.float64, int(sizes.sum())), sizes), sizes
 
 
-_kept: dict[str, _Worker] = {}
-
-
 def _signal_rows(docs: DataFrame, model: Model, *more: str) -> DataFrame:
     """doc_id, total and largest marginal, likely spans (begin, end in characters) of each text."""
     shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     extra = [m.split()[0] for m in more]
 
     def run(batch: pa.RecordBatch) -> dict:
-        if name not in _kept:
-            _kept.clear()
-            _kept[name] = _Worker(shared.value)
+        worker = worker_state(name, lambda: _Worker(shared.value))
         whole = [(t or b"").decode("utf-8", "replace") for t in batch["text"].to_pylist()]
         found = [words_of(t) for t in whole]
-        p, sizes = _kept[name].marginals(found)
+        p, sizes = worker.marginals(found)
         total, most, spans = np.zeros(len(whole)), np.zeros(len(whole)), [[] for _ in whole]
         full = np.flatnonzero(sizes)
         if len(full):
