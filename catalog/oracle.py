@@ -507,14 +507,16 @@ ORACLE: dict[str, str] = {
           WHERE asked AND act = 'forget' GROUP BY user_id)
         SELECT c.command_id, c.user_id, c.kind, CAST(c.memory_id AS VARCHAR) AS memory_id,
           CASE WHEN c.kind = 'decay' THEN coalesce(n.n, 0) END AS forgotten_count,
-          CASE WHEN c.kind = 'error' THEN 'Provide memory_id or set run_decay=True' END AS error
+          CASE WHEN c.kind = 'error' THEN 'Nothing to do: name a memory or ask for a decay run' END AS error
         FROM commands c LEFT JOIN counts n ON n.user_id = c.user_id""",
     "forget_commands_table": f"""WITH {X1}, {FORGET} SELECT id, round(CASE WHEN asked AND act = 'update' THEN cur
         ELSE importance_score END, 6) AS importance_score FROM remaining WHERE NOT (asked AND act = 'forget')""",
-    "conversation_render": """SELECT conv_id, turn // 512 AS part, count(*) AS n_turns, string_agg(concat(upper(role), ': ', text), chr(10)
-        ORDER BY turn) AS conversation FROM conversations GROUP BY conv_id, turn // 512""",
-    "conversation_render_user": """SELECT conv_id, turn // 512 AS part, count(*) AS n_turns, string_agg(concat(upper(role), ': ', text),
-        chr(10) ORDER BY turn) AS conversation FROM conversations WHERE role = 'user' GROUP BY conv_id, turn // 512""",
+    "conversation_render": """SELECT conv_id, count(*) AS n_turns, string_agg(concat(upper(role), ': ', text), chr(10)
+        ORDER BY turn) AS conversation FROM conversations GROUP BY conv_id""",
+    "conversation_render_user": """SELECT conv_id, count(*) AS n_turns, string_agg(concat(upper(role), ': ', text),
+        chr(10) ORDER BY turn) AS conversation FROM conversations WHERE role = 'user' GROUP BY conv_id""",
+    "extraction_requests_conversation": f"""SELECT conv_id, concat({_text(INSTRUCTION_PROMPT)}, string_agg(
+        concat(upper(role), ': ', text), chr(10) ORDER BY turn)) AS prompt FROM conversations GROUP BY conv_id""",
     "extraction_requests": f"""SELECT conv_id, turn, concat({_text(INSTRUCTION_PROMPT)}, 'USER: ', text) AS prompt
         FROM conversations WHERE role = 'user'""",
     "parse_completions": f"""WITH {COMPLETIONS} SELECT completion_id, user_id, project_id, item_no, content,
@@ -528,7 +530,7 @@ ORACLE: dict[str, str] = {
         CASE WHEN label IN (1, 7, 9) THEN text END AS insight,
         CASE label WHEN 1 THEN 'decision' WHEN 7 THEN 'pattern' WHEN 9 THEN 'rumour' END AS memory_type,
         CASE WHEN label IN (1, 9) THEN 0.7e0 WHEN label = 7 THEN 0.9e0 END AS importance_score,
-        CASE WHEN label = 5 THEN 'arguments are not a JSON object' WHEN label = 4 THEN 'Unknown tool: drop_everything'
+        CASE WHEN label = 5 THEN 'arguments are not a JSON object' WHEN label = 4 THEN 'no such tool: drop_everything'
              WHEN label = 9 THEN 'invalid memory_type' END AS error FROM calls""",
     "tool_args_check": f"""WITH {CALLS} SELECT request_id, name, label IN (6, 1, 7, 2, 8, 3) AS as_declared
         FROM calls""",
@@ -568,7 +570,7 @@ ORACLE: dict[str, str] = {
         told AS (SELECT q.qid, md5(coalesce(string_agg(r.content, '|' ORDER BY r.rank), '')) AS outcome
           FROM req q LEFT JOIN results r ON r.qid = q.qid AND r.rank <= q.told GROUP BY q.qid)
         SELECT c.request_id, c.name AS tool, CASE
-          WHEN label = 5 THEN 'arguments are not a JSON object' WHEN label = 4 THEN 'Unknown tool: drop_everything'
+          WHEN label = 5 THEN 'arguments are not a JSON object' WHEN label = 4 THEN 'no such tool: drop_everything'
           WHEN label = 9 THEN 'invalid memory_type' WHEN label = 3 THEN CAST(coalesce(n.n, 0) AS VARCHAR)
           WHEN label IN (1, 7) THEN d.action ELSE t.outcome END AS outcome
         FROM calls c LEFT JOIN told t ON t.qid = c.request_id LEFT JOIN decisions d ON d.seq = c.request_id

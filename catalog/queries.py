@@ -782,6 +782,14 @@ def conversation_render_user(spark, folder):
     )
 
 
+@query
+def extraction_requests_conversation(spark, folder):
+    """One request for each whole conversation."""
+    return extraction.extraction_requests(
+        samples.table(spark, folder, "conversations"), per="conversation"
+    )
+
+
 @query
 def extraction_requests(spark, folder):
     return extraction.extraction_requests(samples.table(spark, folder, "conversations"))

@@ -16,17 +16,19 @@ from mnemospark.schema import (
 )
 
 INSTRUCTION = (
-    "Read the conversation and list the concrete facts that later sessions can use. "
-    "Leave out small talk.\n"
-    "Types: preference (tools, languages, style), decision (architecture, technology), "
-    "bug_fix (a bug and its cure), pattern (a reusable approach), general (anything else).\n"
-    "Answer with nothing but a JSON array of at most five objects:\n"
+    "Below is a transcript. Which statements in it would still help someone who meets this "
+    "user next month? Write each as one sentence that is clear without the transcript; pass "
+    "over greetings, thanks and anything that only matters right now.\n"
+    "Give every statement one label. preference: what the user likes or avoids. decision: a "
+    "choice that was made and binds later work. bug_fix: what went wrong and what repaired it. "
+    "pattern: a way of doing things worth repeating. general: whatever fits none of these.\n"
+    "Reply with a bare JSON array, five entries at the most, each of this form:\n"
     '[{"content": "...", "memory_type": "...", "importance_score": 0.0 to 1.0}]\n'
-    "Rate critical decisions about 0.9, patterns about 0.7 and general facts about 0.5. "
-    "Answer [] if there is nothing to keep."
+    "The score says how much would be lost by forgetting the statement: near 1 if work would "
+    "break, near 0 if nobody would notice. With nothing worth keeping, reply []."
 )
-CONVERSATION_HEAD = "Conversation to analyze:\n\n"
-#: Turns of a conversation that make one text.
+CONVERSATION_HEAD = "Transcript:\n\n"
+#: Turns that are put together at once; a conversation is then made of such parts.
 PART_TURNS = 512
 
 
@@ -36,23 +38,34 @@ def conversation_line(role: Column, text: Column) -> Column:
 
 
 def render_conversations(
-    turns: DataFrame, roles: Sequence[str] | None = None, part_turns: int = PART_TURNS
+    turns: DataFrame, roles: Sequence[str] | None = None, part_turns: int | None = None
 ) -> DataFrame:
-    """Texts of the conversations: conv_id, part, n_turns, conversation.
+    """Texts of the conversations: conv_id, n_turns, conversation; the lines in turn order.
 
-    The lines stand in turn order. A conversation of more than ``part_turns``
-    turns gives several rows, so that no task or row has to hold one of any
-    length; nothing is left out.
+    A conversation is one row, put together from parts in two steps, so that
+    no task sorts all its turns at once. Only a caller that passes ``part_turns``
+    gets those parts as rows of their own, with their number in ``part``.
     """
     if roles is not None:
         turns = turns.filter(F.col("role").isin(*roles))
     line = F.struct("turn", conversation_line(F.col("role"), F.col("text")).alias("line"))
-    part = F.floor(F.col("turn") / F.lit(part_turns)).alias("part")
-    return turns.groupBy("conv_id", part).agg(
+    part = F.floor(F.col("turn") / F.lit(part_turns or PART_TURNS)).alias("part")
+    parts = turns.groupBy("conv_id", part).agg(
         F.count("*").alias("n_turns"),
         F.concat_ws(
             "\n", F.transform(F.sort_array(F.collect_list(line)), lambda t: t["line"])
         ).alias("conversation"),
+        F.count(conversation_line(F.col("role"), F.col("text"))).alias("lines"),
+    )
+    if part_turns is not None:
+        return parts.drop("lines")
+    # A part without any line must not leave an empty one.
+    kept = F.struct("part", F.when(F.col("lines") > 0, F.col("conversation")).alias("text"))
+    return parts.groupBy("conv_id").agg(
+        F.sum("n_turns").alias("n_turns"),
+        F.concat_ws(
+            "\n", F.transform(F.sort_array(F.collect_list(kept)), lambda p: p["text"])
+        ).alias("conversation"),
     )
 
 
@@ -61,7 +74,7 @@ def extraction_prompt(conversation: Column) -> Column:
 
 
 def extraction_requests(turns: DataFrame, per: str = "turn") -> DataFrame:
-    """Requests to the extracting model: conv_id, turn or part, prompt.
+    """Requests to the extracting model: conv_id, turn (of a message), prompt.
 
     ``per="turn"`` asks about every user message by itself, as the chat loop
     does (a map without a shuffle); ``per="conversation"`` about whole
@@ -69,7 +82,7 @@ def extraction_requests(turns: DataFrame, per: str = "turn") -> DataFrame:
     """
     if per == "conversation":
         return render_conversations(turns).select(
-            "conv_id", "part", extraction_prompt(F.col("conversation")).alias("prompt")
+            "conv_id", extraction_prompt(F.col("conversation")).alias("prompt")
         )
     line = conversation_line(F.col("role"), F.col("text"))
     return turns.filter(F.col("role") == "user").select(

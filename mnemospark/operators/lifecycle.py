@@ -256,7 +256,8 @@ def forget(
         "kind", kind
     )
     deletions = routed.filter(F.col("kind") == "delete").select(
-        F.col("memory_id").cast(memories.schema["id"].dataType).alias("id")
+        # Text that is no id of this table deletes nothing.
+        F.col("memory_id").try_cast(memories.schema["id"].dataType).alias("id")
     )
     remaining = delete_by_id(memories, deletions)
     sweepers = broadcast_if_small(
@@ -285,7 +286,7 @@ def forget(
                 "forgotten_count"
             ),
             F.when(
-                F.col("kind") == "error", F.lit("Provide memory_id or set run_decay=True")
+                F.col("kind") == "error", F.lit("Nothing to do: name a memory or ask for a decay run")
             ).alias("error"),
         )
     )

@@ -107,7 +107,7 @@ def nearest_memories(
     )
     few = _collect_if_few(wanted, broadcast_requests)
     if few is not None:
-        partial = _scan_memories(stored, few, wanted.schema["qid"].dataType, rule)
+        partial = _scan_memories(_asked_for(stored, few), few, wanted.schema["qid"].dataType, rule)
     else:
         if cells is not None and min_similarity is not None:
             wanted = _probe(wanted, cells, radius=_chord(min_similarity))
@@ -163,22 +163,21 @@ def recall_report(exact: DataFrame, approximate: DataFrame) -> DataFrame:
 
 
 def fit_cells(
-    memories: DataFrame, n_cells: int = 100, sample_rows: int = 50_000, seed: int = 7
+    memories: DataFrame, n_cells: int = 100, fraction: float | None = None, seed: int = 7
 ) -> np.ndarray:
     """Centres of a coarse partition of the vector space.
 
-    Trained on a bounded sample: the cells only steer the search, so any
-    centres give valid results. The centres themselves (n_cells vectors) are
-    the only data that reach the driver.
+    Trained on all live vectors, or on a ``fraction`` of them (by a hash of the
+    id) where the caller asks for it. The centres themselves (n_cells vectors)
+    are the only data that reach the driver.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     usable = live(memories).select("id", F.col("embedding").cast("array<double>").alias("v"))
-    total = usable.select("id").count()
-    if total > sample_rows:
+    if fraction is not None:
         share = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40))
-        usable = usable.filter(share < int((1 << 40) * (sample_rows / total)))
+        usable = usable.filter(share < int((1 << 40) * fraction))
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda total, x: total + x * x))
     unit = usable.withColumn("length", length).filter(F.col("length") > 0.0)
     training = unit.select(
@@ -198,6 +197,17 @@ def _collect_if_few(wanted: DataFrame, max_rows: int) -> pa.Table | None:
     return table
 
 
+def _asked_for(stored: DataFrame, few: pa.Table) -> DataFrame:
+    """Only rows of the users that ask, and of their projects if each request names one.
+
+    The requests are few and known, so both are plain filters that reach the scan.
+    """
+    users = [u for u in few["scope"].unique().to_pylist() if u is not None]
+    stored = stored.filter(F.col("scope").isin(users))
+    projects = few["project_id"].unique().to_pylist()
+    return stored.filter(F.col("project_id").isin(projects)) if all(projects) else stored
+
+
 def _match_schema(qid: T.DataType, memory_id: T.DataType) -> T.StructType:
     return T.StructType(
         [
@@ -246,10 +256,12 @@ def _join_blocks(wanted: DataFrame, stored: DataFrame, rule: MatchRule) -> DataF
     buckets of about one block, so that no bucket grows far beyond it. Only
     scopes that are requested are shuffled.
     """
+    wanted = materialised(wanted)
     asked = wanted.groupBy("scope").agg(F.count("*").alias("asked"))
+    # Rows of other users are neither counted nor shuffled.
+    stored = stored.join(broadcast_if_small(asked.select("scope")), "scope", "left_semi")
     held = stored.groupBy("scope").agg(F.count("*").alias("held"))
     sizes = materialised(asked.join(held, "scope"))
-    stored = stored.join(broadcast_if_small(sizes.select("scope")), "scope", "left_semi")
     large = sizes.filter(
         (F.col("held") > MEMORY_BLOCK_ROWS // 8) | (F.col("asked") > REQUEST_BLOCK_ROWS // 8)
     ).select(

@@ -12,7 +12,6 @@ from mnemospark.schema import (
     AT_RISK_THRESHOLD,
     CHART_BARS,
     LIST_LIMIT,
-    LIST_LIMIT_MAX,
 )
 from mnemospark.session import broadcast_if_small
 
@@ -36,8 +35,6 @@ def list_by_user(
     memories: DataFrame, project_id: str | None = None, limit: int = LIST_LIMIT
 ) -> DataFrame:
     """Per user the memories of highest stored importance."""
-    if not 0 <= limit <= LIST_LIMIT_MAX:
-        raise ValueError(f"limit must be at most {LIST_LIMIT_MAX}")
     return top_k_per_group(
         in_scope(memories, project_id=project_id).drop(*HIDDEN),
         ["user_id"],
@@ -62,18 +59,18 @@ def decay_chart(memories: DataFrame, as_of: Column, bars: int = CHART_BARS) -> D
     current = memories.select(
         "user_id",
         "id",
-        "content",
+        chart_label(F.col("content")).alias("label"),
         "memory_type",
         current_importance(as_of).alias("current_importance"),
     )
-    top = top_k_per_group(
+    # The short label is cut before the ranking, so no text is shuffled.
+    return top_k_per_group(
         current,
         ["user_id"],
         [F.col("current_importance").desc(), F.col("id")],
         bars,
         split_on="id",
     )
-    return top.withColumn("label", chart_label(F.col("content")))
 
 
 def _aggregates() -> list[Column]:

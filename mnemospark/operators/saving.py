@@ -69,13 +69,17 @@ def decide_snapshot(
 ) -> DataFrame:
     """Decide each save against the table as it was before the batch.
 
-    One row per save: seq, action (reinforce or insert), id of the reinforced
-    memory, similarity.
+    One row per save: seq, action (reinforce, insert, or failed for a save whose
+    text could not be embedded), id of the reinforced memory, similarity.
     """
     hits = _nearest_stored(memories, incoming, threshold, **options)
-    return incoming.select("seq").join(hits, "seq", "left").select(
+    saves = incoming.select("seq", F.col("embedding").isNull().alias("no_vector"))
+    return saves.join(hits, "seq", "left").select(
         "seq",
-        F.when(F.col("id").isNotNull(), "reinforce").otherwise("insert").alias("action"),
+        F.when(F.col("no_vector"), "failed")
+        .when(F.col("id").isNotNull(), "reinforce")
+        .otherwise("insert")
+        .alias("action"),
         "id",
         "similarity",
     )
@@ -112,6 +116,7 @@ def decide_in_order(
 
     One row per save: seq, action, target (``stored`` or ``batch``), id of a
     stored memory, target_seq of a memory inserted by this batch, similarity.
+    A save whose text could not be embedded fails alone.
 
     A save is an insert exactly if no stored memory and no earlier insert is
     near, so the inserts are found first (:func:`_earliest_distinct`) and all
@@ -142,13 +147,16 @@ def decide_in_order(
     )
     target = F.when(batch_wins, "batch").when(F.col("id").isNotNull(), "stored")
     return (
-        incoming.select("seq")
+        incoming.select("seq", F.col("embedding").isNull().alias("no_vector"))
         .join(stored_hits, "seq", "left")
         .join(batch_hits, "seq", "left")
         .withColumn("target", target)
         .select(
             "seq",
-            F.when(F.col("target").isNull(), "insert").otherwise("reinforce").alias("action"),
+            F.when(F.col("no_vector"), "failed")
+            .when(F.col("target").isNull(), "insert")
+            .otherwise("reinforce")
+            .alias("action"),
             "target",
             F.when(F.col("target") == "stored", F.col("id")).alias("id"),
             F.when(F.col("target") == "batch", F.col("target_seq")).alias("target_seq"),

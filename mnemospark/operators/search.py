@@ -44,12 +44,18 @@ def score_with(
     return lambda candidates: candidates.withColumn("relevance", relevance(query, "content"))
 
 
-def apply_rerank(candidates: DataFrame, rerank: Reranker | DataFrame | None) -> DataFrame:
+def apply_rerank(
+    candidates: DataFrame,
+    rerank: Reranker | DataFrame | None,
+    answered: DataFrame | None = None,
+) -> DataFrame:
     """Add ``rerank_score`` to candidates.
 
     ``rerank`` is a score table or a function that adds a ``relevance`` column.
     A candidate without a score gets 0.0. A request none of whose candidates
-    has one is taken for a failed rerank call: all get ``1 / n``.
+    has one is taken for a failed rerank call: all get ``1 / n``. Where the
+    caller knows which calls were answered (a table with ``qid``), that decides:
+    an answer without rows gives 0.0 to all.
     """
     if rerank is None:
         scored = candidates.withColumn("relevance", F.lit(None).cast("double"))
@@ -60,11 +66,16 @@ def apply_rerank(candidates: DataFrame, rerank: Reranker | DataFrame | None) ->
     # One candidate pool per request at most, so these windows stay small.
     per_request = Window.partitionBy("qid")
     uniform = F.lit(1.0) / F.count("*").over(per_request)
-    answered = F.count("relevance").over(per_request) > 0
+    if answered is None:
+        has_answer = F.count("relevance").over(per_request) > 0
+    else:
+        known = answered.select("qid").distinct().withColumn("answered", F.lit(True))
+        scored = scored.join(known, "qid", "left")
+        has_answer = F.coalesce("answered", F.lit(False))
     return scored.withColumn(
         "rerank_score",
-        F.when(answered, F.coalesce("relevance", F.lit(0.0))).otherwise(uniform),
-    ).drop("relevance")
+        F.when(has_answer, F.coalesce("relevance", F.lit(0.0))).otherwise(uniform),
+    ).drop("relevance", "answered")
 
 
 def rank_candidates(candidates: DataFrame, as_of: Column, top_k: int) -> DataFrame:

@@ -93,7 +93,7 @@ def parse_tool_calls(calls: DataFrame) -> DataFrame:
     tool = F.col("tool")
     error = (
         F.when(~F.col("object_args"), F.lit("arguments are not a JSON object"))
-        .when(~tool.isin(RECALL, SAVE, SIMILAR, HEALTH), F.concat(F.lit("Unknown tool: "), tool))
+        .when(~tool.isin(RECALL, SAVE, SIMILAR, HEALTH), F.concat(F.lit("no such tool: "), tool))
         .when(tool.isin(RECALL, SIMILAR) & F.col("query").isNull(), F.lit("missing query"))
         .when((tool == SAVE) & broken.isNotNull(), F.concat(F.lit("invalid "), broken))
     )

@@ -28,7 +28,6 @@ CHARS_PER_TOKEN = 4
 EXTRACTION_CAP = 5
 REINFORCED_PER_REQUEST = 5
 LIST_LIMIT = 50
-LIST_LIMIT_MAX = 200
 CHART_BARS = 8
 CHART_LABEL_CHARS = 28
 DEFAULT_TYPE = "general"

@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -26,6 +27,8 @@ RUNTIME_SETTINGS = {
 #: Rows of a narrow table (ids, counters, short keys) that may be broadcast.
 #: 200,000 rows of about 100 bytes are some 20 MB per executor.
 BROADCAST_ROWS = 200_000
+#: Bytes of such a table; ids and other text may be long.
+BROADCAST_BYTES = 64 << 20
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -67,13 +70,28 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a narrow DataFrame for broadcast only after counting its rows.
+def _row_bytes(df: DataFrame) -> Column:
+    """About what a row takes in memory: 8 bytes a field, and what text and arrays hold."""
+    total = F.lit(8 * len(df.columns))
+    for field in df.schema.fields:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif isinstance(field.dataType, T.ArrayType):
+            total = total + 16 * F.coalesce(F.size(field.name), F.lit(0))
+    return total
 
-    A wide table joined with the result is then not shuffled. Beyond
-    ``max_rows`` the DataFrame comes back unmarked and the join shuffles, with
+
+def broadcast_if_small(
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Mark a narrow DataFrame for broadcast only after counting its rows and bytes.
+
+    A wide table joined with the result is then not shuffled. Beyond either
+    limit the DataFrame comes back unmarked and the join shuffles, with
     AQE splitting skewed partitions. The rows are materialised first, so
     counting them does not compute them twice.
     """
     stored = materialised(df)
-    return F.broadcast(stored) if stored.count() <= max_rows else stored
+    size = stored.agg(F.count(F.lit(1)).alias("rows"), F.sum(_row_bytes(stored)).alias("bytes")).first()
+    small = size["rows"] <= max_rows and (size["bytes"] or 0) <= max_bytes
+    return F.broadcast(stored) if small else stored

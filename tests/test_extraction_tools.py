@@ -69,6 +69,11 @@ def test_rendering_and_requests(spark):
     assert rows[1].conversation == "USER: hello\nASSISTANT: yes" and rows[1].n_turns == 2
     parts = extraction.render_conversations(turns, part_turns=1).filter("conv_id = 1")
     assert [r.conversation for r in parts.orderBy("part").collect()] == ["USER: hello", "ASSISTANT: yes"]
+    numbers = [(3, k, "user", f"line {k}") for k in range(600)] + [(4, 5000 * k, "user", f"line {k}") for k in range(40)]
+    long = spark.createDataFrame(numbers, turns.schema)
+    whole = {r.conv_id: r.conversation for r in extraction.render_conversations(long).collect()}
+    assert whole == {3: "\n".join(f"USER: line {k}" for k in range(600)), 4: "\n".join(f"USER: line {k}" for k in range(40))}
+    assert extraction.extraction_requests(long, per="conversation").count() == 2
     asked = extraction.extraction_requests(turns).collect()
     assert [(r.conv_id, r.turn) for r in asked] == [(1, 0)]
     assert asked[0].prompt.endswith("USER: hello")
@@ -107,7 +112,7 @@ def test_tool_calls(spark):
     ]
     assert rows[5].importance_score == 0.7 and rows[6].importance_score == 0.05
     assert rows[9].top_k == 3 and rows[10].top_k == 9 and rows[11].user_id == "u"
-    assert rows[12].error == "Unknown tool: format_disk"
+    assert rows[12].error == "no such tool: format_disk"
 
 
 def test_declared_arguments(spark):

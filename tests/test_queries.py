@@ -3,6 +3,7 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from catalog.queries import QUERIES
 from check import connect, difference
 
 FOLDER = "/root/testdata/sf0.001"
@@ -13,12 +14,15 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+#: Without SQL: its result depends on where k-means puts its centres.
+NO_SQL = {"vector_topk_approx"}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     got = queries()[name](spark, FOLDER).toPandas()
-    sql = oracle_sql().get(name)
-    if sql is not None:
-        assert difference(got, con.execute(sql).df()) is None
+    if name not in NO_SQL:
+        assert difference(got, con.execute(oracle_sql()[name]).df()) is None
 
 
 def test_entry(spark):

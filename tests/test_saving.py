@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemospark.operators import saving
+from mnemospark.sources import samples
 from tests import brute
 
 MEMORY = (
@@ -105,3 +106,14 @@ def test_derived_ids_repeat(spark, as_of):
     again, _ = saving.save_snapshot(m, i, as_of)
     ids = {r.id for r in once.select("id").collect()}
     assert ids == {r.id for r in again.select("id").collect()} and len(ids) == once.count()
+
+
+def test_a_save_without_a_vector_fails_alone(spark, as_of):
+    folder = "/root/testdata/sf0.001"
+    memories, incoming = samples.vector_memories(spark, folder), samples.incoming_memories(spark, folder)
+    broken = incoming.withColumn("embedding", F.when(F.col("seq") % 3 == 0, None).otherwise(F.col("embedding")))
+    lost = broken.filter("embedding is null").count()
+    for decide in (saving.decide_snapshot, saving.decide_in_order):
+        got = decide(memories, broken)
+        assert got.filter("action = 'failed'").count() == lost > 0
+        assert got.filter("action = 'failed' and seq % 3 <> 0").isEmpty() and got.count() == incoming.count()
