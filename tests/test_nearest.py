@@ -46,6 +46,24 @@ def frames(spark, memories, requests, key="long"):
     )
 
 
+def test_search_reads_only_the_users_that_ask(spark, tmp_path):
+    rows = [(k, f"u{k % 5}", "p", 0.5, [1.0, float(k)]) for k in range(50)]
+    schema = "id long, user_id string, project_id string, importance_score double, embedding array<double>"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/m")
+    stored = spark.read.parquet(f"{tmp_path}/m")
+    asked = spark.createDataFrame(
+        [(1, "u1", "p", [1.0, 2.0]), (2, "u3", "p", [1.0, 0.0])],
+        "qid int, user_id string, project_id string, embedding array<double>",
+    )
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    found = nearest.nearest_memories(asked, stored, 3)
+    plan = found._jdf.queryExecution().toString()
+    pushed = plan[plan.index("PushedFilters") :]
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "In(user_id, [" in pushed and "project_id" in pushed
+    assert found.count() == 6
+
+
 def check(found, memories, requests, k, floor=None, cast=int):
     got = {}
     for r in found.orderBy("qid", "rank").collect():
