@@ -3,16 +3,20 @@
 Members of a bucket are first compared with one hub of the bucket. Links merge
 members into components, and a pair inside a component needs no comparison.
 What is then left are pairs of members of one bucket that lie in different
-components; they are compared as well, so that no link is lost.
+components; those that exact bounds do not rule out are compared as well, so
+that no link is lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemospark.llm.common import map_batches
 from mnemospark.llm.components import components
 from mnemospark.session import materialised
 
@@ -27,46 +31,111 @@ def shared_buckets(bands: DataFrame) -> DataFrame:
     return sides.where("before is not null or after is not null").select("key", "id", "n")
 
 
-def _fits(a: str, b: str, threshold: int):
-    """Length bound: sets that differ more in size cannot reach the similarity."""
-    return 100 * F.least(a, b) >= threshold * F.greatest(a, b)
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """u, v, common of pairs (u, v): how many shingles their full sets share."""
 
+    def run(batch: pa.RecordBatch) -> dict:
+        common = [
+            len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
+            for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist())
+        ]
+        return {"u": batch["u"], "v": batch["v"], "common": common}
 
-def link(active: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: int = THRESHOLD, rounds: int = 1) -> DataFrame:
+    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(
+        sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v"
+    )
+    return map_batches(both.select("u", "v", "a", "b"), run, "u long, v long, common long")
+
+
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """id, own: how many shingles of a set no other set has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(x, np.int64) for x in batch["shingles"].to_pylist()]
+            if found:
+                sizes = [len(x) for x in found]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(batch["id"].to_numpy(), sizes)), pa.array(np.concatenate(found))], names=["id", "x"]
+                )
+
+    flat = sets.select("id", "shingles").mapInArrow(run, "id long, x long")
+    alone = flat.groupBy("x").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1")
+    return alone.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+
+
+def link(
+    active: DataFrame,
+    sets: DataFrame,
+    likely: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
+    threshold: int = THRESHOLD,
+) -> DataFrame:
     """id, component of all members that are linked with another.
 
-    ``active``: key, id, n (set size) of shared buckets. ``verify`` takes pairs
-    (u, v) and returns those that are linked, by exact comparison.
+    ``active``: key, id, n (set size) of shared buckets; ``sets``: id and full
+    shingle set (sorted 64-bit values) of all of them. ``likely`` may drop pairs
+    (u, v) before their sets are compared.
+
+    The hub of a bucket is its most central member, the one with fewest
+    shingles of its own. A pair x, y that is left must pass two exact bounds:
+    neither shares its own shingles with anybody, and with a hub c that both
+    were compared with, |x & y| <= |c| - max(|c - x|, |c - y|) + min(b(x), b(y)),
+    where b(x) counts the shingles of x that are neither its own nor in c.
     """
-    links = None
-    labels = None
-    for salt in range(rounds + 1):
-        if labels is None:
-            members = active.withColumn("label", F.col("id"))
-        else:
-            members = active.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-            mixed = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-            members = materialised(members.join(mixed.select("key"), "key", "left_semi"))
-        if salt < rounds:
-            order = F.xxhash64(F.lit(salt), "id")
-            hub = members.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "n", "label")).alias("hub"))
-            near = members.join(hub, "key").where(
-                (F.col("label") != F.col("hub.label")) & (100 * F.least("n", "hub.n") >= threshold * F.greatest("n", "hub.n"))
-            )
-            pairs = near.select(F.least("id", "hub.id").alias("u"), F.greatest("id", "hub.id").alias("v"))
-        else:
-            # The largest component of a bucket against all members of others, and those among themselves.
-            sizes = members.groupBy("key", "label").count()
-            main = sizes.groupBy("key").agg(F.max(F.struct("count", "label")).alias("top")).select("key", F.col("top.label").alias("main"))
-            rest = members.join(main, "key").where("label <> main").select(
-                "key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), "main"
-            )
-            near = rest.join(members, "key").where(
-                (F.col("label") != F.col("la")) & ((F.col("label") == F.col("main")) | (F.col("a") < F.col("id")))
-                & _fits("n", "na", threshold)
-            )
-            pairs = near.select(F.least("a", "id").alias("u"), F.greatest("a", "id").alias("v"))
-        new = materialised(verify(pairs.distinct()))
-        links = new if links is None else links.unionByName(new)
-        labels = materialised(components(links))
-    return labels
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        sized = overlaps(likely(pairs), sets).join(sizes.select(F.col("id").alias("u"), F.col("n").alias("nu")), "u").join(
+            sizes.select(F.col("id").alias("v"), F.col("n").alias("nv")), "v"
+        )
+        return materialised(sized.where(100 * F.col("common") >= threshold * (F.col("nu") + F.col("nv") - F.col("common"))).select("u", "v"))
+
+    own = own_shingles(sets)
+    sizes = materialised(
+        active.select("id", "n").distinct().join(own, "id", "left").select("id", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    )
+    # A set with too many shingles of its own is linked with nothing.
+    open_ = sizes.where(100 * (F.col("n") - F.col("own")) >= threshold * F.col("n"))
+    members = active.select("key", "id").join(open_, "id")
+    order = F.struct("own", F.xxhash64("id").alias("o"), "id", "n")
+    hub = members.groupBy("key").agg(F.min(order).alias("hub"))
+    starred = materialised(
+        members.join(hub, "key").select("key", "id", "n", "own", F.col("hub.own").alias("hub_own"), F.col("hub.o").alias("hub_o"), F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
+    )
+    small = lambda a, b: 100 * F.least(a, b) >= threshold * F.greatest(a, b)
+    first = starred.where((F.col("id") != F.col("hub")) & small("n", "hub_n"))
+    links = verified(first.select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct())
+    labels = materialised(components(links))
+
+    labelled = starred.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    left = materialised(labelled.join(mixed, "key", "left_semi"))
+    # One hub of each member, the most central of its buckets' hubs, to bound pairs with.
+    pivot = left.groupBy("id").agg(F.min(F.struct("hub_own", "hub_o", "hub", "hub_n")).alias("p")).select("id", "p.hub", "p.hub_n")
+    shared = overlaps(pivot.where("id <> hub").select(F.col("id").alias("u"), F.col("hub").alias("v")), sets)
+    measured = materialised(
+        pivot.join(shared.select(F.col("u").alias("id"), "common"), "id", "left").select(
+            "id", F.col("hub").alias("pivot"), F.col("hub_n").alias("pn"), F.coalesce("common", F.col("hub_n")).alias("common")
+        )
+    )
+    rows = left.select("key", "id", "n", "own", "label").join(measured, "id").withColumn(
+        # Shingles neither its own nor in the hub.
+        "b", F.greatest(F.col("n") - F.col("common") - F.when(F.col("id") == F.col("pivot"), 0).otherwise(F.col("own")), F.lit(0))
+    )
+    counts = rows.groupBy("key", "label").count()
+    main = counts.groupBy("key").agg(F.max(F.struct("count", "label")).alias("top")).select("key", F.col("top.label").alias("main"))
+    rest = rows.join(main, "key").where("label <> main")
+    x, y = rest.alias("x"), rows.alias("y")
+    c = F.col
+    most = F.least(c("x.n") - c("x.own"), c("y.n") - c("y.own"))
+    bound = F.when(
+        c("x.pivot") == c("y.pivot"),
+        F.least(most, c("x.pn") - F.greatest(c("x.pn") - c("x.common"), c("y.pn") - c("y.common")) + F.least(c("x.b"), c("y.b"))),
+    ).otherwise(most)
+    near = x.join(y, c("x.key") == c("y.key")).where(
+        (c("x.label") != c("y.label"))
+        & ((c("y.label") == c("x.main")) | (c("x.id") < c("y.id")))
+        & small("x.n", "y.n")
+        & ((100 + threshold) * bound >= threshold * (c("x.n") + c("y.n")))
+    )
+    pairs = near.select(F.least("x.id", "y.id").alias("u"), F.greatest("x.id", "y.id").alias("v")).distinct()
+    return materialised(components(links.unionByName(verified(pairs))))

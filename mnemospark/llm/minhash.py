@@ -111,24 +111,6 @@ def _likely(pairs: DataFrame, signatures: DataFrame, threshold: int, total: int)
     return map_batches(both.select("u", "v", "su", "sv"), run, "u long, v long")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs (u, v) whose full sets (id, shingles as sorted 64-bit values) reach the similarity."""
-
-    def run(batch: pa.RecordBatch) -> dict:
-        stay = []
-        for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist()):
-            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            stay.append(100 * common >= threshold * (len(x) + len(y) - common))
-        stay = np.flatnonzero(stay)
-        return {"u": batch["u"].to_numpy()[stay], "v": batch["v"].to_numpy()[stay]}
-
-    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(
-        sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v"
-    )
-    return map_batches(both.select("u", "v", "a", "b"), run, "u long, v long")
-
-
 def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """id and full shingle set of the documents with these ids."""
 
@@ -163,10 +145,7 @@ def near_duplicates(
     sets = materialised(full_sets(docs, ids, width).join(reps.select("id", "n"), "id").where(F.octet_length("shingles") == 8 * F.col("n")).dropDuplicates(["id"]).select("id", "shingles"))
     signatures = materialised(reps.join(ids, "id", "left_semi").select("id", "signature"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        return similar(_likely(pairs, signatures, threshold, bands * rows), sets, threshold)
-
-    found = link(active, verify, threshold)
+    found = link(active, sets, lambda pairs: _likely(pairs, signatures, threshold, bands * rows), threshold)
     changed = (
         classes.join(found, "id", "left")
         .where("copies > 1 or component is not null")
