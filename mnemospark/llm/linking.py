@@ -110,11 +110,16 @@ def link(
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     left = materialised(labelled.join(mixed, "key", "left_semi"))
     # One hub of each member, the most central of its buckets' hubs, to bound pairs with.
-    pivot = left.groupBy("id").agg(F.min(F.struct("hub_own", "hub_o", "hub", "hub_n")).alias("p")).select("id", "p.hub", "p.hub_n")
+    # Its keys (at most one a band) tell in which of their buckets a pair is taken.
+    pivot = (
+        left.groupBy("id")
+        .agg(F.min(F.struct("hub_own", "hub_o", "hub", "hub_n")).alias("p"), F.collect_set("key").alias("keys"))
+        .select("id", "p.hub", "p.hub_n", "keys")
+    )
     shared = overlaps(pivot.where("id <> hub").select(F.col("id").alias("u"), F.col("hub").alias("v")), sets)
     measured = materialised(
         pivot.join(shared.select(F.col("u").alias("id"), "common"), "id", "left").select(
-            "id", F.col("hub").alias("pivot"), F.col("hub_n").alias("pn"), F.coalesce("common", F.col("hub_n")).alias("common")
+            "id", "keys", F.col("hub").alias("pivot"), F.col("hub_n").alias("pn"), F.coalesce("common", F.col("hub_n")).alias("common")
         )
     )
     rows = left.select("key", "id", "n", "own", "label").join(measured, "id").withColumn(
@@ -136,6 +141,7 @@ def link(
         & ((c("y.label") == c("x.main")) | (c("x.id") < c("y.id")))
         & small("x.n", "y.n")
         & ((100 + threshold) * bound >= threshold * (c("x.n") + c("y.n")))
+        & (F.array_min(F.array_intersect("x.keys", "y.keys")) == c("x.key"))
     )
     pairs = near.select(F.least("x.id", "y.id").alias("u"), F.greatest("x.id", "y.id").alias("v")).distinct()
     return materialised(components(links.unionByName(verified(pairs))))
