@@ -34,8 +34,8 @@ MASK = np.uint64((1 << 48) - 1)
 #: Marks of a text's begin (a history only) and end (a token).
 BEGIN, END = np.uint64(1 << 48), np.uint64((1 << 48) + 1)
 
-#: Tokens that a task folds at once before they are shuffled.
-FOLD = 1_500_000
+#: Tokens that a task folds at once before they are shuffled; about 300 MB of a worker.
+FOLD = 4_500_000
 
 #: What is held of a word: its count, distinct words before it; as history its
 #: count and distinct continuations that occur once, twice, more often.
