@@ -21,8 +21,8 @@ SAMPLES = 32
 #: The sample of a text without words.
 NOTHING = (1 << 63) - 1
 
-#: Ranges of doc_id for each shuffle partition, so that they even out.
-RANGES = 4
+#: Ranges of doc_id, and tasks over them, for each shuffle partition.
+RANGES = 8
 
 _LOW = (1 << 32) - 1
 
@@ -70,7 +70,8 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     spark = docs.sparkSession
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    width, _ = _ranges(docs, RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    count = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    width, _ = _ranges(docs, count)
     keyed = rows.withColumn("b", width).withColumn("text_key", F.xxhash64("text"))
     # The first text of each range also ends the range before it; of the last, the first.
     firsts = keyed.groupBy("b").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
@@ -87,6 +88,8 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         .dropDuplicates(["b"])
     )
     both = keyed.withColumn("guest", F.lit(0)).select("doc_id", "text", "b", "text_key", "guest").unionByName(guest)
+    # About a range a task, so that counting its words stays in memory.
+    both = both.repartition(count, "b")
     order = Window.partitionBy("b").orderBy("guest", F.col("doc_id").asc_nulls_first(), "text_key")
     n = F.char_length("text")
     laid = both.select(
