@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,7 +60,7 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
-def materialised(df: DataFrame) -> DataFrame:
+def materialised(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder once and read it back.
 
     Cuts the lineage like a checkpoint, so a lost executor costs nothing that
@@ -66,10 +68,30 @@ def materialised(df: DataFrame) -> DataFrame:
     the true size.
     """
     path = new_folder(df.sparkSession, "table")
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_discarded(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside drop their shuffle files as they end, for results that are written."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def unlinked(df: DataFrame) -> None:
+    """Drop the files of a materialised DataFrame that nothing reads any more."""
+    context = df.sparkSession.sparkContext
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def _row_bytes(df: DataFrame) -> Column:
     """About what a row takes in memory: 8 bytes a field, and what text and arrays hold."""
     total = F.lit(8 * len(df.columns))

@@ -129,6 +129,39 @@ def test_passages_in_the_middle_of_lines(spark):
     assert found == {k for k in range(48) if k % 2 and k != first[k % 8]}
 
 
+def long_rows(edit):
+    """Passages of 51 to 60 words inside lines, and stretches of up to 50; the plain spans of the former."""
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcdefghijkl") for _ in range(6))
+    rows, want = [], {}
+    for k in range(60):
+        size = 51 + k % 10 if k < 40 else 40 + k % 11
+        passage = [word() for _ in range(size)]
+        for copy in (0, 1):
+            own, at = [word() for _ in range(120)], draw.randrange(1, 119)
+            used = list(passage)
+            if copy and edit:
+                used[size // 2] = word()
+            rows.append((2 * k + copy, " ".join(own[:at] + used + own[at:]), "en"))
+            if copy and k < 40:
+                want[2 * k + 1] = (" ".join(used), size, 2 * k)
+    # 50 words of two passages in the least document, one word more in the next: only the other two share 51.
+    passage = [word() for _ in range(51)]
+    for k, own in enumerate((passage[:50], passage, passage)):
+        rows.append((200 + k, " ".join([word() for _ in range(30)] + own + [word() for _ in range(30)]), "en"))
+    want[202] = (" ".join(passage), 51, 201)
+    return rows, want
+
+
+@pytest.mark.parametrize("edit", [False, True])
+def test_passages_of_51_to_60_words(spark, edit):
+    rows, want = long_rows(edit)
+    texts = {i: t.encode() for i, t, _ in rows}
+    got = passages.repeated_passages(documents(ready(spark), rows)).collect()
+    assert {r["doc_id"]: (texts[r["doc_id"]][r["start"] : r["stop"]].decode(), r["n_words"], r["first_doc_id"]) for r in got} == want
+    assert len(got) == len(want)
+
+
 def test_passages_of_nothing(spark):
     docs = documents(ready(spark), [])
     assert passages.remove_passages(docs, passages.repeated_passages(docs)).count() == 0
