@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney bigram model over all training documents.
+"""Interpolated modified Kneser-Ney model of two or three words over all training documents.
 
 Counting: tasks fold the bigrams of their rows into (bigram, count) rows, which
 are shuffled by shard. Each shard task adds them up, writes its bigrams as
@@ -6,6 +6,10 @@ sorted hash arrays (one for count 1, one for 2, one with counts for the rest)
 and passes on what each word gathers as history and as continuation. Those sums
 are shuffled by word and written as sorted arrays in the same way.
 
+Order three counts (trigram, count) rows first, in the same way. A bigram then
+counts once for each distinct word before it, and what each two-word history
+gathers is shuffled by history and written as sorted arrays.
+
 Scoring: workers map the files into memory and look up whole batches by binary
 search, so a worker holds no model of its own; the pages are shared by all
 workers of a machine. The folder must be mounted under one path everywhere.
@@ -27,6 +31,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.llm.common import map_batches, texts, worker_state
 from mnemospark.llm.shingles import mix, word_hashes, words
+from mnemospark.session import materialised, shuffles_discarded
 
 #: Words are named by 48 bits of their hash: one clash in 500,000 among 10 million words.
 MASK = np.uint64((1 << 48) - 1)
@@ -58,10 +63,28 @@ def _pairs(batch: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return before, after, sizes
 
 
+def _firsts(before: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The token two before each, from the token before each."""
+    first = np.concatenate([[BEGIN], before[:-1]])
+    first[np.cumsum(sizes)[:-1]] = BEGIN
+    return first
+
+
 def _key(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     return mix(mix(before) + after)
 
 
+def _triple_key(first: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    return mix(_key(first, before) + after)
+
+
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """Where rows of sorted columns begin anew."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)]))
+
+
 def _local(folder: str) -> str:
     """The mounted path of a folder."""
     parts = urlsplit(folder)
@@ -78,6 +101,13 @@ def _save(folder: str, name: str, array: np.ndarray) -> None:
     os.replace(own, path)
 
 
+def _write_counts(folder: str, kind: str, shard: int, keys: np.ndarray, counts: np.ndarray) -> None:
+    """Sorted keys by count: 1, 2, and the rest with their counts."""
+    for name, own in (("1", counts == 1), ("2", counts == 2), ("3", counts > 2)):
+        _save(folder, f"{kind}-{shard}-{name}", keys[own])
+    _save(folder, f"{kind}-{shard}-n", counts[counts > 2].astype(np.uint32))
+
+
 def _runs(values: np.ndarray) -> np.ndarray:
     """Where equal neighbours begin anew."""
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
@@ -101,6 +131,8 @@ class Model:
     pair_discounts: np.ndarray = field(default_factory=lambda: np.zeros(4))
     word_discounts: np.ndarray = field(default_factory=lambda: np.zeros(4))
     word_classes: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    order: int = 2
+    triple_discounts: np.ndarray = field(default_factory=lambda: np.zeros(4))
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -118,8 +150,105 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, folder: str, shards: int | None = None) -> Model:
-    """Count all documents and write the arrays; null texts count as empty."""
+def _count_triples(docs: DataFrame, place: str, shards: int) -> tuple[DataFrame, np.ndarray]:
+    """Writes the arrays of three words and of two-word histories.
+
+    Gives the bigrams (shard, before, after, n, raw), n being the distinct words
+    before them, and how many trigrams occur 1 to 4 times.
+    """
+    modulus = np.uint64(shards)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def folded() -> pa.RecordBatch:
+            columns = [np.concatenate([h[k] for h in held]) for k in range(3)]
+            order = np.lexsort(columns[::-1])
+            columns = [c[order] for c in columns]
+            at = _new(*columns)
+            columns = [c[at] for c in columns]
+            shard = (_triple_key(*columns) % modulus).astype(np.int32)
+            arrays = [pa.array(shard), *(pa.array(c.view(np.int64)) for c in columns), pa.array(np.diff(at, append=len(order)))]
+            return pa.RecordBatch.from_arrays(arrays, names=["shard", "first", "before", "after", "n"])
+
+        for batch in batches:
+            if batch.num_rows:
+                before, after, sizes = _pairs(batch["text"].to_pylist())
+                held.append((_firsts(before, sizes), before, after))
+                size += len(after)
+                if size >= FOLD:
+                    yield folded()
+                    held, size = [], 0
+        if held:
+            yield folded()
+
+    names = ["kind", "shard", "a", "b", "c0", "c1", "c2", "c3"]
+
+    def rows(kind: int, shard: np.ndarray, a: np.ndarray, b: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+        zero = np.zeros(len(a), np.int64)
+        columns = [*columns, *[zero] * (4 - len(columns))]
+        arrays = [np.full(len(a), kind, np.int32), shard.astype(np.int32), a.view(np.int64), b.view(np.int64), *(c.astype(np.int64) for c in columns)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=names)
+
+    def write_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        *columns, counts = _whole(batches, ["first", "before", "after", "n"])
+        if not len(counts):
+            return
+        columns = [c.view(np.uint64) for c in columns]
+        keys = _triple_key(*columns)
+        order = np.argsort(keys)
+        at = _new(keys[order])
+        counts = np.add.reduceat(counts[order], at)
+        keys, (first, before, after) = keys[order][at], [c[order][at] for c in columns]
+        shard = int(keys[0] % modulus)
+        _write_counts(place, "triples", shard, keys, counts)
+
+        history, own = np.unique(_key(first, before), return_inverse=True)
+        sums = [np.bincount(own, counts, len(history)), *(np.bincount(own[x], minlength=len(history)) for x in (counts == 1, counts == 2, counts > 2))]
+        yield rows(1, history % modulus, history, np.zeros(len(history), np.int64), *sums)
+        order = np.lexsort((after, before))
+        before, after, counts_of = before[order], after[order], counts[order]
+        at = _new(before, after)
+        wide, raw = np.diff(at, append=len(order)), np.add.reduceat(counts_of, at)
+        before, after = before[at], after[at]
+        yield rows(0, _key(before, after) % modulus, before, after, wide, raw)
+        kinds = [np.array([(counts == k).sum()]) for k in (1, 2, 3, 4)]
+        yield rows(2, np.array([shard]), np.zeros(1, np.int64), np.zeros(1, np.int64), *kinds)
+
+    def write_histories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names_of, *columns = _whole(batches, ["a", "c0", "c1", "c2", "c3"])
+        names_of = names_of.view(np.uint64)
+        order = np.argsort(names_of)
+        at = _new(names_of[order])
+        if len(at):
+            names_of = names_of[order][at]
+            shard = int(names_of[0] % modulus)
+            sums = np.stack([np.add.reduceat(c[order], at) for c in columns], axis=1)
+            # Most histories occur once; their key says it all.
+            single = sums[:, 0] == 1
+            _save(place, f"histories-{shard}-1", names_of[single])
+            _save(place, f"histories-{shard}-3", names_of[~single])
+            _save(place, f"histories-{shard}-n", sums[~single].astype(np.uint32))
+        yield pa.RecordBatch.from_arrays([pa.array([len(at)], pa.int64())], names=["n"])
+
+    kinds = "kind int, shard int, a long, b long, c0 long, c1 long, c2 long, c3 long"
+    triples = texts(docs).select("text").mapInArrow(fold, "shard int, first long, before long, after long, n long")
+    with shuffles_discarded(docs.sparkSession):
+        made = materialised(triples.repartitionById(shards, F.col("shard")).mapInArrow(write_triples, kinds), "zstd")
+        of = lambda kind: made.where(F.col("kind") == kind)
+        of(1).select("shard", "a", "c0", "c1", "c2", "c3").repartitionById(shards, F.col("shard")).mapInArrow(write_histories, "n long").agg(F.sum("n")).collect()
+    n = of(2).agg(*(F.sum(f"c{k}") for k in range(4))).first()
+    pairs = of(0).select("shard", F.col("a").alias("before"), F.col("b").alias("after"), F.col("c0").alias("n"), F.col("c1").alias("raw"))
+    return pairs, np.array([0, *(x or 0 for x in n)])
+
+
+def train(docs: DataFrame, folder: str, shards: int | None = None, order: int = 2) -> Model:
+    """Count all documents and write the arrays; null texts count as empty.
+
+    ``order`` is the number of words of an n-gram, 2 or 3.
+    """
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     place = _local(folder)
@@ -153,27 +282,24 @@ def train(docs: DataFrame, folder: str, shards: int | None = None) -> Model:
             yield folded()
 
     def write_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, after, counts = _whole(batches, ["before", "after", "n"])
+        before, after, counts, raw = _whole(batches, ["before", "after", "n", "n" if order == 2 else "raw"])
         before, after = before.view(np.uint64), after.view(np.uint64)
-        order = np.lexsort((after, before))
-        before, after, counts = before[order], after[order], counts[order]
-        at = np.flatnonzero(np.concatenate([[True], (before[1:] != before[:-1]) | (after[1:] != after[:-1])])) if len(order) else order
-        counts = np.add.reduceat(counts, at) if len(at) else counts
+        by_pair = np.lexsort((after, before))
+        before, after, counts, raw = before[by_pair], after[by_pair], counts[by_pair], raw[by_pair]
+        at = np.flatnonzero(np.concatenate([[True], (before[1:] != before[:-1]) | (after[1:] != after[:-1])])) if len(by_pair) else by_pair
+        counts, raw = (np.add.reduceat(c, at) if len(at) else c for c in (counts, raw))
         before, after = before[at], after[at]
         keys = _key(before, after)
         if not len(keys):
             return
         shard = int(keys[0] % modulus)
-        order = np.argsort(keys)
-        sorted_keys, sorted_counts = keys[order], counts[order]
-        for name, own in (("1", sorted_counts == 1), ("2", sorted_counts == 2), ("3", sorted_counts > 2)):
-            _save(place, f"pairs-{shard}-{name}", sorted_keys[own])
-        _save(place, f"pairs-{shard}-n", sorted_counts[sorted_counts > 2].astype(np.uint32))
+        by_key = np.argsort(keys)
+        _write_counts(place, "pairs", shard, keys[by_key], counts[by_key])
 
         word = np.unique(np.concatenate([before, after]))
         columns = {c: np.zeros(len(word), np.int64) for c in COLUMNS}
         history, follow = np.searchsorted(word, before), np.searchsorted(word, after)
-        columns["count"] = np.bincount(follow, counts, len(word)).astype(np.int64)
+        columns["count"] = np.bincount(follow, raw, len(word)).astype(np.int64)
         columns["before"] = np.bincount(follow, minlength=len(word))
         columns["total"] = np.bincount(history, counts, len(word)).astype(np.int64)
         for name, own in (("once", counts == 1), ("twice", counts == 2), ("more", counts > 2)):
@@ -206,7 +332,11 @@ def train(docs: DataFrame, folder: str, shards: int | None = None) -> Model:
         row = [*kinds[:5].tolist(), int(count.sum()), int(seen.sum()), *classes]
         yield pa.RecordBatch.from_arrays([pa.array([row], pa.list_(pa.int64()))], names=["sums"])
 
-    pairs = texts(docs).select("text").mapInArrow(fold, "shard int, before long, after long, n long")
+    m = np.zeros(5)
+    if order == 3:
+        pairs, m = _count_triples(docs, place, shards)
+    else:
+        pairs = texts(docs).select("text").mapInArrow(fold, "shard int, before long, after long, n long")
     kinds = ", ".join(f"{c} long" for c in COLUMNS)
     per_word = pairs.repartitionById(shards, F.col("shard")).mapInArrow(write_pairs, f"shard int, word long, {kinds}")
     sums = per_word.repartitionById(shards, F.col("shard")).mapInArrow(write_words, "sums array<long>")
@@ -214,7 +344,8 @@ def train(docs: DataFrame, folder: str, shards: int | None = None) -> Model:
     total = np.array([r["sums"] for r in sums.collect()], np.int64).reshape(-1, 12).sum(axis=0)
     n, t = np.concatenate([[0], total[:4]]), np.concatenate([[0], total[7:11]])
     return Model(
-        place, shards, int(total[5]), int(total[6]), int(total[4]), discounts(n), discounts(t), np.array([0, t[1], t[2], total[11]], float)
+        place, shards, int(total[5]), int(total[6]), int(total[4]), discounts(n), discounts(t), np.array([0, t[1], t[2], total[11]], float),
+        order, discounts(m),
     )
 
 
@@ -248,13 +379,13 @@ class Arrays:
         known = array[at] == keys
         return at[known], known
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of bigram keys; 0 for those never seen."""
+    def counts(self, keys: np.ndarray, kind: str = "pairs") -> np.ndarray:
+        """Counts of n-gram keys; 0 for those never seen."""
         out = np.zeros(len(keys), np.int64)
         for k, own in self._by_shard(keys):
             for n in (1, 2, 3):
-                at, known = self._find(self._map(f"pairs-{k}-{n}", np.uint64), keys[own])
-                out[own[known]] = n if n < 3 else self._map(f"pairs-{k}-n", np.uint32)[at]
+                at, known = self._find(self._map(f"{kind}-{k}-{n}", np.uint64), keys[own])
+                out[own[known]] = n if n < 3 else self._map(f"{kind}-{k}-n", np.uint32)[at]
         return out
 
     def words(self, names: np.ndarray) -> np.ndarray:
@@ -265,8 +396,18 @@ class Arrays:
             out[own[known]] = self._map(f"words-{k}-n", np.int64).reshape(-1, len(COLUMNS))[at]
         return out
 
-    def log10(self, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each token after the one before it, and its training count."""
+    def histories(self, keys: np.ndarray) -> np.ndarray:
+        """Total, once, twice and more of two-word histories; zeros for those never seen."""
+        out = np.zeros((len(keys), 4), np.int64)
+        for k, own in self._by_shard(keys):
+            _, known = self._find(self._map(f"histories-{k}-1", np.uint64), keys[own])
+            out[own[known]] = [1, 1, 0, 0]
+            at, known = self._find(self._map(f"histories-{k}-3", np.uint64), keys[own])
+            out[own[known]] = self._map(f"histories-{k}-n", np.uint32).reshape(-1, 4)[at]
+        return out
+
+    def log10(self, before: np.ndarray, after: np.ndarray, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each token after the one or two before it, and its training count."""
         m = self.model
         names, at = np.unique(np.concatenate([before, after]), return_inverse=True)
         known = self.words(names)
@@ -280,7 +421,17 @@ class Arrays:
         total = np.maximum(history[:, 2], 1)
         kept = np.maximum(count - m.pair_discounts[np.minimum(count, 3)], 0) / total
         share = np.where(history[:, 2] > 0, history[:, 3:] @ m.pair_discounts[1:] / total, 1.0)
-        return np.log10(kept + share * lower), own[:, 0]
+        chance = kept + share * lower
+        if first is not None:
+            names, at = np.unique(_key(first, before), return_inverse=True)
+            history = self.histories(names)[at]
+            keys, back = np.unique(_triple_key(first, before, after), return_inverse=True)
+            count = self.counts(keys, "triples")[back]
+            total = np.maximum(history[:, 0], 1)
+            kept = np.maximum(count - m.triple_discounts[np.minimum(count, 3)], 0) / total
+            share = np.where(history[:, 0] > 0, history[:, 1:] @ m.triple_discounts[1:] / total, 1.0)
+            chance = kept + share * chance
+        return np.log10(chance), own[:, 0]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -295,7 +446,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> dict:
         before, after, sizes = _pairs(batch["text"].to_pylist())
-        logs, counts = worker_state(name, lambda: Arrays(model)).log10(before, after)
+        first = _firsts(before, sizes) if model.order == 3 else None
+        logs, counts = worker_state(name, lambda: Arrays(model)).log10(before, after, first)
         at = np.cumsum(sizes) - sizes
         total = np.add.reduceat(logs, at)
         base = np.log10((counts + 1) / (model.n_tokens + (model.n_words + 1)))

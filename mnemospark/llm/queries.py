@@ -77,7 +77,7 @@ def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    model = kneser_ney.train(docs.where(~crc_is(7, 2)), new_folder(spark, "kneser-ney"))
+    model = kneser_ney.train(docs.where(~crc_is(7, 2)), new_folder(spark, "kneser-ney"), order=3)
     scored = kneser_ney.score(docs, model)
     return scored.select(
         "doc_id", crc_is(7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"

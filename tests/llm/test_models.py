@@ -162,6 +162,54 @@ def test_kneser_ney_sums_to_one(spark):
         assert abs((10**logs).sum() - 1) < 1e-9
 
 
+def plain_three(rows):
+    """The model of three words with dictionaries."""
+    texts = [[*(t or "").encode().lower().split(), None] for t in rows]
+    triples = collections.Counter(x for own in texts for x in zip([0, 0, *own], [0, *own], own))
+    pairs = collections.Counter((v, w) for _, v, w in triples)
+    ends = collections.Counter(w for _, w in pairs)
+    kinds = lambda c: np.array([0, *(sum(v == k for v in c.values()) for k in (1, 2, 3, 4))])
+    levels = [(c, kneser_ney.discounts(kinds(c))) for c in (triples, pairs, ends)]
+
+    def chance(*gram):
+        if not gram:
+            return 1 / (len(ends) + 1)
+        c, d = levels[3 - len(gram)]
+        own = [n for g, n in c.items() if len(gram) == 1 or g[:-1] == gram[:-1]]
+        if not own:
+            return chance(*gram[1:])
+        n = c[gram if len(gram) > 1 else gram[0]]
+        return max(n - d[min(n, 3)], 0) / sum(own) + sum(d[min(v, 3)] for v in own) / sum(own) * chance(*gram[1:])
+
+    return chance, texts
+
+
+def test_kneser_ney_of_three_words(spark):
+    draw = random.Random(8)
+    rows = [(k, " ".join(draw.choices("abcdefg", range(1, 8), k=draw.randrange(30))), None) for k in range(60)] + [(60, None, None)]
+    docs = documents(ready(spark), rows)
+    model = kneser_ney.train(docs.where("doc_id % 4 > 0"), new_folder(spark, "kn-test"), shards=3, order=3)
+    chance, _ = plain_three([t for i, t, _ in rows if i % 4])
+    _, texts = plain_three([t for _, t, _ in rows])
+    want = [sum(math.log10(chance(*x)) for x in zip([0, 0, *own], [0, *own], own)) for own in texts]
+    got = kneser_ney.score(docs, model).orderBy("doc_id").collect()
+    assert np.allclose([r["score"] for r in got], want)
+    assert got[0]["train_tokens"] == sum(len(own) for (i, _, _), own in zip(rows, texts) if i % 4)
+    arrays = kneser_ney.Arrays(model)
+    words = kneser_ney.tokens(b"a b c d e f g zzz")
+    for u, v in itertools.product((*words[:3], kneser_ney.BEGIN, words[7]), repeat=2):
+        logs, _ = arrays.log10(np.full(9, v, np.uint64), words, np.full(9, u, np.uint64))
+        assert abs((10**logs).sum() - 1) < 1e-9
+
+
+def test_query_scores_with_three_words(spark, monkeypatch):
+    from mnemospark.llm import queries
+
+    seen, score = [], kneser_ney.score
+    monkeypatch.setattr(kneser_ney, "score", lambda docs, model: seen.append(model.order) or score(docs, model))
+    assert queries.QUERIES["op10_lm_score"](spark, FOLDER).count() and seen == [3]
+
+
 def jaccard(a, b):
     a, b = (collections.Counter((t or "").lower().split()) for t in (a, b))
     most = sum((a | b).values())
