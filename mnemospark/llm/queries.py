@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import bpe, decontamination, fingerprints, kneser_ney, language, minhash, passages, token_counts, token_store, toxicity
+from mnemospark.llm import bpe, decontamination, fingerprints, kneser_ney, language, manifest, minhash, passages, token_counts, token_store, toxicity
 from mnemospark.llm.common import crc_is, ready, table
+from mnemospark.llm.manifest import leaf_digest
 from mnemospark.llm.oracle import ORACLE  # noqa: F401
 from mnemospark.session import new_folder
 
@@ -94,3 +95,18 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = toxicity.fit(docs, table(spark, folder, "labels").where(~crc_is(4, 2)))
     return toxicity.toxicity(docs, model).select("doc_id", crc_is(4, 2).alias("held_out"), "score", "predicted")
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    without_lines = leaf_digest(text=F.translate("text", "\n", ""))
+    shown = F.when(crc_is(2, 0), without_lines).otherwise(leaf_digest())
+    proven = manifest.proofs(manifest.build(table(spark, folder, "documents"), shown=shown))
+    return proven.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        manifest.proof_digest(F.col("proof")).alias("proof_sha256"),
+        manifest.fold(F.col("shown"), F.col("proof")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))

@@ -1,0 +1,33 @@
+"""Running sums over sorted rows of a group, however large the group is."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from mnemospark.session import broadcast_if_small, materialised
+
+
+def running(rows: DataFrame, group: str, order: list[Column], weight: Column, name: str) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``weight`` over the rows of the group that come earlier.
+
+    Rows are dealt out by ranges of (group, order). A range sums its own rows, and a
+    table of one row per range and group carries what lies before, so no task holds
+    a whole group. ``group`` may not be null; ``rows`` is read twice (the ranges are
+    sampled), so it should be a stored table. Rows equal in ``order`` come in any order.
+    """
+    dealt = materialised(
+        rows.repartitionByRange(F.col(group), *order).withColumns(
+            {"_range": F.spark_partition_id(), "_weight": weight.cast("long")}
+        )
+    )
+    own = dealt.groupBy("_range", group).agg(F.sum("_weight").alias("_own"))
+    earlier = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = own.select("_range", group, F.coalesce(F.sum("_own").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_range", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        dealt.withColumn("_inside", F.coalesce(F.sum("_weight").over(inside), F.lit(0)))
+        .join(broadcast_if_small(before), ["_range", group])
+        .select(*rows.columns, (F.col("_before") + F.col("_inside")).alias(name))
+    )
