@@ -23,7 +23,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.ranks import running
+from mnemospark.operators.ranking import running
 from mnemospark.session import broadcast_if_small, materialised
 
 #: Nodes that become one node of the next level.
@@ -71,10 +71,10 @@ def build(docs: DataFrame, **carried: Column) -> Manifest:
         docs.select("doc_id", "source", leaf_digest().alias("leaf"), *[c.alias(n) for n, c in carried.items()])
     )
     counted = materialised(leaves.groupBy("source").agg(F.count(F.lit(1)).alias("n")).withColumn("all", F.lit(0)))
-    sources = materialised(running(counted, "all", [F.col("source")], F.lit(1), "tree").drop("all"))
+    sources = materialised(running(counted, ["all"], [F.col("source")], {"tree": F.lit(1)}).drop("all"))
     named = broadcast_if_small(sources.withColumnRenamed("source", "named"))
     placed = leaves.join(named, F.col("source").eqNullSafe(F.col("named"))).drop("named", "source")
-    ranked = running(placed, "tree", [F.col("doc_id"), F.col("leaf")], F.lit(1), "lo")
+    ranked = running(materialised(placed), ["tree"], [F.col("doc_id"), F.col("leaf")], {"lo": F.lit(1)})
     levels = _grow(materialised(ranked.withColumns({"hi": F.col("lo") + 1, "digest": F.col("leaf")})))
 
     tops = [level.where("hi - lo = n").select(F.col("tree").alias("lo"), "digest") for level in levels]

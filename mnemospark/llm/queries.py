@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import bpe, decontamination, fingerprints, kneser_ney, language, manifest, minhash, passages, token_counts, token_store, toxicity
+from mnemospark.llm import bpe, decontamination, fingerprints, kneser_ney, language, manifest, minhash, mixing, passages, token_counts, token_store, toxicity, whitening
 from mnemospark.llm.common import crc_is, ready, table
 from mnemospark.llm.manifest import leaf_digest
 from mnemospark.llm.oracle import ORACLE  # noqa: F401
@@ -110,3 +110,31 @@ def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
         manifest.proof_digest(F.col("proof")).alias("proof_sha256"),
         manifest.fold(F.col("shown"), F.col("proof")).alias("folded_root"),
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query
+def op12_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.words_taken(mixing.mix(table(spark, folder, "documents")))
+
+
+@query
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    rows, dimension = whitening.usable(table(spark, folder, "embeddings"))
+    model = whitening.fit(rows, dimension)
+    shape = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
+    if model is None:
+        return spark.createDataFrame([], shape)
+    explained = F.array(*[F.lit(None if e != e else float(e)).cast("double") for e in model.explained])
+    return (
+        whitening.whiten(rows, model)
+        .select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+        .select(
+            "vec_id",
+            (F.col("at") + 1).alias("component"),
+            F.lit(model.n).cast("long").alias("n"),
+            "deviation",
+            "whitened",
+            explained[F.col("at")].alias("explained"),
+            F.lit(model.identity_error).cast("double").alias("identity_error"),
+        )
+    )
