@@ -61,13 +61,16 @@ x1 AS (
   SELECT id, user_id, project_id, content, memory_type, importance_score,
          {rate('memory_type')} AS decay_rate, access_count, ts AS created_at,
          ts AS last_accessed, emb
-  FROM (SELECT e.vec_id AS id, e.vec_id % 10 AS user_id, {project('e.vec_id')} AS project_id,
-               d.text AS content, {label_type('e.label')} AS memory_type,
-               (e.vec_id * 37 % 101) / 100e0 AS importance_score,
-               CAST(e.vec_id % 4 AS INT) AS access_count, v.ts AS ts,
+  FROM (SELECT n.id, n.id % 10 AS user_id, {project('n.id')} AS project_id,
+               coalesce(d.text, concat('note ', CAST(n.id AS VARCHAR))) AS content,
+               {label_type('coalesce(e.label, n.id % 10)')} AS memory_type,
+               (n.id * 37 % 101) / 100e0 AS importance_score,
+               CAST(n.id % 4 AS INT) AS access_count,
+               coalesce(v.ts, TIMESTAMP '2024-01-01 00:00:00') AS ts,
                CAST(e.embedding AS DOUBLE[]) AS emb
-        FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id
-                          JOIN events v ON v.event_id = e.vec_id))"""
+        FROM (SELECT doc_id AS id FROM documents UNION SELECT vec_id FROM embeddings) n
+        LEFT JOIN documents d ON d.doc_id = n.id LEFT JOIN embeddings e ON e.vec_id = n.id
+        LEFT JOIN events v ON v.event_id = n.id))"""
 
 X2 = f"""
 x2 AS (
@@ -100,7 +103,7 @@ def hits(scope: str = IN_PROJECT, where: str = "true") -> str:
 pairs AS (
   SELECT q.qid, m.id, round(list_cosine_similarity(m.emb, q.emb), 12) AS similarity
   FROM req q JOIN x1 m ON m.user_id = q.user_id AND {scope}
-  WHERE m.importance_score > 0 AND {where}),
+  WHERE m.importance_score > 0 AND m.emb IS NOT NULL AND {where}),
 hits AS (
   SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS INTEGER) AS crank
                  FROM pairs) WHERE crank <= 20)"""
@@ -109,7 +112,10 @@ hits AS (
 MISSING = "(h.qid % 3 = 0 OR m.memory_type = 'bug_fix')"
 
 
-def found(relevance: str | None = f"CASE WHEN NOT {MISSING} THEN ((h.qid * 31 + h.id * 17) % 101) / 100e0 END") -> str:
+def found(
+    relevance: str | None = f"CASE WHEN NOT {MISSING} THEN ((h.qid * 31 + h.id * 17) % 101) / 100e0 END",
+    answered: str = "count(relevance) OVER (PARTITION BY qid) > 0",
+) -> str:
     return f"""
 scored AS (
   SELECT h.qid, h.id, h.similarity, h.crank, m.content, m.memory_type,
@@ -117,7 +123,7 @@ scored AS (
          {relevance or 'CAST(NULL AS DOUBLE)'} AS relevance
   FROM hits h JOIN x1 m ON m.id = h.id),
 reranked AS (
-  SELECT *, CASE WHEN count(relevance) OVER (PARTITION BY qid) > 0 THEN coalesce(relevance, 0e0)
+  SELECT *, CASE WHEN {answered} THEN coalesce(relevance, 0e0)
                  ELSE 1e0 / count(*) OVER (PARTITION BY qid) END AS rerank
   FROM scored),
 results AS (
@@ -125,6 +131,9 @@ results AS (
   FROM (SELECT *, coalesce(nullif(rerank, 0), similarity) * imp AS score FROM reranked))"""
 
 
+#: What the stand-in rerank call answers.
+CALLED = "CASE WHEN h.qid % 5 <> 0 AND length(m.content) % 4 <> 0 THEN (length(m.content) % 101) / 100e0 END"
+
 SEARCH = f"WITH {X1}, {REQ}, {hits()}, {found()}"
 SEARCH_COLUMNS = """qid, rank, id, round(imp, 6) AS importance_score, round(similarity, 6) AS similarity,
   round(rerank, 6) AS rerank_score, round(score, 6) AS score"""
@@ -148,16 +157,25 @@ walk AS (
 packed AS (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY step) AS position FROM walk WHERE taken)"""
 
-X3 = f"""
+def mixed(base: str) -> str:
+    weight = f"(0.60e0 + 0.05e0 * (({base} // 5) % 8))"
+    return f"list_transform(list_zip(a, b), lambda t: {weight} * t[1] + (1e0 - {weight}) * t[2])"
+
+
+#: Every vector beside the next one of its user, the last beside the first.
+PAIRED = """
+paired AS (
+  SELECT a.vec_id, a.label, CAST(a.embedding AS DOUBLE[]) AS a, CAST(b.embedding AS DOUBLE[]) AS b
+  FROM (SELECT *, CASE WHEN vec_id = max(vec_id) OVER (PARTITION BY vec_id % 10)
+                       THEN min(vec_id) OVER (PARTITION BY vec_id % 10) ELSE vec_id + 10 END AS next_id
+        FROM embeddings) a JOIN embeddings b ON b.vec_id = a.next_id)"""
+
+X3 = f"""{PAIRED},
 x3 AS (
-  SELECT a.vec_id * 2 + a.copy AS seq, a.vec_id % 10 AS user_id, {project('a.vec_id')} AS project_id,
-         concat('note ', CAST(a.vec_id AS VARCHAR)) AS content, {label_type('a.label')} AS memory_type,
-         (a.vec_id * 53 % 101) / 100e0 AS importance_score,
-         list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])),
-           lambda t: (0.60e0 + 0.05e0 * ((a.vec_id // 5) % 8)) * t[1]
-                     + (1e0 - (0.60e0 + 0.05e0 * ((a.vec_id // 5) % 8))) * t[2]) AS emb
-  FROM (SELECT *, unnest([0, 1]) AS copy FROM embeddings) a
-  JOIN embeddings b ON b.vec_id = a.vec_id + 10)"""
+  SELECT vec_id * 2 + copy AS seq, vec_id % 10 AS user_id, {project('vec_id')} AS project_id,
+         concat('note ', CAST(vec_id AS VARCHAR)) AS content, {label_type('label')} AS memory_type,
+         (vec_id * 53 % 101) / 100e0 AS importance_score, {mixed('vec_id')} AS emb
+  FROM (SELECT *, unnest([0, 1]) AS copy FROM paired))"""
 
 NEAR = "round(list_cosine_similarity(m.emb, q.emb), 12)"
 
@@ -169,7 +187,7 @@ stored AS (
     SELECT q.seq, m.id, {NEAR} AS sim,
            row_number() OVER (PARTITION BY q.seq ORDER BY {NEAR} DESC, m.id) AS r
     FROM {incoming} q JOIN x1 m ON m.user_id = q.user_id AND {IN_PROJECT}
-    WHERE m.importance_score > 0 AND {NEAR} >= 0.93e0) WHERE r = 1)"""
+    WHERE m.importance_score > 0 AND m.emb IS NOT NULL AND {NEAR} >= 0.93e0) WHERE r = 1)"""
 
 
 def ordered_saves(incoming: str = "x3") -> str:
@@ -214,7 +232,7 @@ decisions AS (
 SAVE_ORDERED = f"WITH RECURSIVE {X1}, {X3}, {ordered_saves()} SELECT * FROM decisions"
 
 LOG = """
-log AS (SELECT event_id % 600 AS memory_id, ts FROM events WHERE event_type IN ('click', 'view')),
+log AS (SELECT event_id // 8 AS memory_id, ts FROM events WHERE event_type IN ('click', 'view')),
 rolled AS (SELECT memory_id AS id, count(*) AS recalls, max(ts) AS latest FROM log GROUP BY memory_id)"""
 
 STATE = f"""id, round(importance_score, 6) AS importance_score, access_count,
@@ -311,15 +329,84 @@ judged AS (
   FROM typed),
 facts AS (SELECT * FROM judged WHERE rejected_because IS NULL AND NOT spoiled)"""
 
-CALLS = f"""
+CALLS = f"""{PAIRED},
 calls AS (
   SELECT e.vec_id AS request_id, e.vec_id % 10 AS user_id, {project('e.vec_id')} AS project_id,
-         e.label, d.text,
+         e.label, coalesce(d.text, concat('call ', CAST(e.vec_id AS VARCHAR))) AS text,
          CASE WHEN label IN (0, 6) THEN 'recall_project_context'
               WHEN label IN (1, 7, 9) THEN 'save_developer_insight'
               WHEN label IN (2, 8) THEN 'find_similar_problems'
-              WHEN label IN (3, 5) THEN 'get_memory_health' ELSE 'drop_everything' END AS name
-  FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id)"""
+              WHEN label IN (3, 5) THEN 'get_memory_health' ELSE 'drop_everything' END AS name,
+         label = 1 AND e.vec_id % 7 = 3 AS numeric_insight,
+         CASE WHEN label IN (0, 6) THEN 5 WHEN label = 2 THEN 3
+              WHEN label = 8 THEN CASE e.vec_id % 6 WHEN 0 THEN 5 WHEN 1 THEN 20 WHEN 2 THEN -17 WHEN 5 THEN 1 END END AS top_k
+  FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id),
+judged_calls AS (
+  SELECT *, CASE WHEN label = 5 THEN 'arguments are not a JSON object' WHEN label = 4 THEN 'no such tool: drop_everything'
+                 WHEN label = 9 THEN 'invalid memory_type' WHEN numeric_insight THEN 'invalid content'
+                 WHEN label = 8 AND top_k IS NULL THEN 'invalid top_k' END AS bad_args
+  FROM calls),
+call_vectors AS (
+  SELECT request_id, emb FROM (
+    SELECT unnest([vec_id, vec_id + 10]) AS request_id, {mixed('vec_id')} AS emb FROM paired WHERE vec_id // 10 % 2 = 0)
+  WHERE request_id % 23 <> 0),
+run AS (
+  SELECT c.*, v.emb, coalesce(bad_args, CASE WHEN v.emb IS NULL AND name <> 'get_memory_health'
+                                             THEN 'no embedding of the text' END) AS error
+  FROM judged_calls c LEFT JOIN call_vectors v ON v.request_id = c.request_id),
+x3 AS (SELECT request_id AS seq, user_id, project_id, text AS content,
+              CASE label WHEN 1 THEN 'decision' ELSE 'pattern' END AS memory_type,
+              CASE WHEN label = 7 THEN 0.9e0 ELSE 0.7e0 END AS importance_score, emb
+       FROM run WHERE label IN (1, 7) AND error IS NULL)"""
+
+#: Tool calls one after another: what each saw of the inserts and boosts before it.
+TOOL_RUN = f"""{X1}, {CALLS}, {ordered_saves()},
+inserted AS (SELECT x3.*, -(seq + 1) AS id FROM x3 WHERE seq IN (SELECT seq FROM decisions WHERE action = 'insert')),
+boosts AS (SELECT seq, coalesce(id, -(target_seq + 1)) AS id FROM decisions WHERE action = 'reinforce'),
+seen AS (
+  SELECT id, user_id, project_id, content, memory_type, importance_score, decay_rate, access_count, created_at, last_accessed, emb,
+         -1 AS seq FROM x1
+  UNION ALL
+  SELECT id, user_id, project_id, content, memory_type, importance_score, {rate('memory_type')}, 0, {AS_OF}, {AS_OF}, emb, seq
+  FROM inserted),
+req AS (SELECT request_id AS qid, user_id, CASE WHEN label = 6 THEN 'p1' WHEN label = 0 THEN project_id END AS project_id,
+               top_k, emb FROM run WHERE label IN (0, 6, 2, 8) AND error IS NULL),
+pairs AS (
+  SELECT q.qid, m.id, {NEAR} AS similarity FROM req q JOIN seen m ON m.user_id = q.user_id AND {IN_PROJECT}
+  WHERE m.importance_score > 0 AND m.emb IS NOT NULL AND m.seq < q.qid),
+hits AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS crank FROM pairs)
+  WHERE crank <= 20),
+moved AS (
+  SELECT h.*, m.content, m.memory_type, m.decay_rate,
+         CASE WHEN n > 0 THEN least(1e0, m.importance_score + 0.2e0 * n) ELSE m.importance_score END AS importance_score,
+         m.access_count + n AS access_count, CASE WHEN n > 0 THEN {AS_OF} ELSE m.last_accessed END AS last_accessed
+  FROM (SELECT h.*, (SELECT count(*) FROM boosts b WHERE b.id = h.id AND b.seq < h.qid) AS n FROM hits h) h
+  JOIN seen m ON m.id = h.id),
+scored AS (
+  SELECT qid, id, similarity, crank, content, {current()} AS imp,
+         CASE WHEN NOT (qid % 3 = 0 OR memory_type = 'bug_fix') THEN ((qid * 31 + id * 17) % 101) / 100e0 END AS relevance
+  FROM moved),
+reranked AS (
+  SELECT *, CASE WHEN count(relevance) OVER (PARTITION BY qid) > 0 THEN coalesce(relevance, 0e0)
+                 ELSE 1e0 / count(*) OVER (PARTITION BY qid) END AS rerank FROM scored),
+results AS (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, crank) AS rank, count(*) OVER (PARTITION BY qid) AS found
+  FROM (SELECT *, coalesce(nullif(rerank, 0), similarity) * imp AS score FROM reranked)),
+told AS (
+  SELECT q.qid, md5(coalesce(string_agg(r.content, '|' ORDER BY r.rank), '')) AS outcome
+  FROM req q LEFT JOIN results r ON r.qid = q.qid
+    AND r.rank <= CASE WHEN q.top_k < 0 THEN r.found + q.top_k ELSE q.top_k END GROUP BY q.qid),
+held AS (
+  SELECT c.request_id, s.id, s.memory_type,
+         CASE WHEN n > 0 THEN least(1e0, importance_score + 0.2e0 * n) ELSE importance_score END AS importance_score
+  FROM run c JOIN seen s ON s.user_id = c.user_id AND s.seq < c.request_id
+  LEFT JOIN LATERAL (SELECT count(*) AS n FROM boosts b WHERE b.id = s.id AND b.seq < c.request_id) ON true
+  WHERE c.label = 3),
+health AS (
+  SELECT request_id, concat(count(*), '/', count(*) FILTER (WHERE importance_score < 0.2e0), '/',
+         count(*) FILTER (WHERE memory_type = 'decision'), '/', CAST(floor(sum(importance_score) * 100 + 0.5e0) AS BIGINT)) AS outcome
+  FROM held GROUP BY request_id)"""
 
 FORGET = f"""
 commands AS (
@@ -328,10 +415,21 @@ commands AS (
          CASE WHEN label IN (0, 1) THEN 'delete'
               WHEN label = 2 AND vec_id % 10 < 4 THEN 'decay' ELSE 'error' END AS kind
   FROM embeddings),
-remaining AS (
-  SELECT *, {current()} AS cur, {action('importance_score', current())} AS act,
-         user_id IN (SELECT user_id FROM commands WHERE kind = 'decay') AS asked
-  FROM x1 WHERE id NOT IN (SELECT memory_id FROM commands WHERE kind = 'delete'))"""
+sweeps AS (
+  SELECT command_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY command_id) AS number
+  FROM commands WHERE kind = 'decay'),
+gone AS (SELECT memory_id, min(command_id) AS gone_at FROM commands WHERE kind = 'delete' GROUP BY memory_id),
+rows AS (
+  SELECT m.*, g.gone_at, (SELECT count(*) FROM sweeps s WHERE s.user_id = m.user_id AND s.command_id < coalesce(g.gone_at, 9e18)) AS times
+  FROM x1 m LEFT JOIN gone g ON g.memory_id = m.id),
+steps AS (
+  SELECT id, user_id, decay_rate, access_count, last_accessed, gone_at, times, importance_score, 0 AS step, 0 AS fell FROM rows
+  UNION ALL
+  SELECT id, user_id, decay_rate, access_count, last_accessed, gone_at, times,
+         CASE WHEN abs({current()} - importance_score) > 0.001e0 THEN {current()} ELSE importance_score END, step + 1,
+         CASE WHEN {current()} < 0.05e0 THEN step + 1 ELSE 0 END
+  FROM steps WHERE step < times AND fell = 0),
+ended AS (SELECT * FROM steps QUALIFY row_number() OVER (PARTITION BY id ORDER BY step DESC) = 1)"""
 
 WINDOWS = f"""
 SELECT {stamp("date_trunc('day', ts)")} AS start, user_id, count(*) AS created,
@@ -377,6 +475,14 @@ ORACLE: dict[str, str] = {
           FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id GROUP BY d.text)
         SELECT d.doc_id, round(CAST(k.embedding[1] AS DOUBLE), 6) AS first_value
         FROM documents d LEFT JOIN known k ON k.text = d.text""",
+    "embed_missing": """WITH store AS (SELECT text, -min(doc_id) - 1 AS first FROM documents WHERE doc_id % 3 = 0 GROUP BY text)
+        SELECT d.doc_id, CASE WHEN s.text IS NOT NULL THEN CAST(s.first AS DOUBLE)
+            WHEN length(d.text) <= 2000 AND contains(d.text, 'e') THEN CAST(length(d.text) AS DOUBLE) END AS first_value,
+          CASE WHEN s.text IS NOT NULL THEN -1e0 WHEN length(d.text) <= 2000 AND contains(d.text, 'e')
+            THEN CAST(length(d.text) - length(replace(d.text, 'e', '')) AS DOUBLE) END AS second_value,
+          CASE WHEN s.text IS NOT NULL OR d.text IS NULL THEN NULL WHEN length(d.text) > 2000 THEN 'ValueError: text too long'
+            WHEN NOT contains(d.text, 'e') THEN 'no vector' END AS reason
+        FROM documents d LEFT JOIN store s ON s.text = d.text""",
     "missing_vectors": """SELECT d.doc_id % 10 AS user_id, count(*) FILTER (WHERE e.vec_id IS NULL) AS without_vector,
         count(*) AS total FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id GROUP BY 1""",
     "decay_importance": f"""WITH {X2} SELECT id, memory_type, decay_rate, round({days('last_accessed')}, 6) AS days,
@@ -437,7 +543,9 @@ ORACLE: dict[str, str] = {
           ELSE content END AS label, memory_type, round(cur, 6) AS current_importance FROM r WHERE rank <= 8""",
     "cosine_similarity": """SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]),
         CAST(b.embedding AS DOUBLE[])), 6) AS similarity, true AS zero_is_null
-        FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 10""",
+        FROM (SELECT *, CASE WHEN vec_id = max(vec_id) OVER (PARTITION BY vec_id % 10)
+          THEN min(vec_id) OVER (PARTITION BY vec_id % 10) ELSE vec_id + 10 END AS next_id FROM embeddings) a
+        JOIN embeddings b ON b.vec_id = a.next_id""",
     "vector_topk_single": f"""WITH {X1}, q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS emb FROM embeddings
           ORDER BY vec_id LIMIT 1), s AS (SELECT m.id, round(list_cosine_similarity(m.emb, q.emb), 12) AS sim
           FROM x1 m JOIN q ON m.user_id = q.vec_id % 10 WHERE m.importance_score > 0)
@@ -445,6 +553,16 @@ ORACLE: dict[str, str] = {
     "vector_topk": TOPK,
     "vector_topk_blocks": TOPK,
     "vector_topk_all_cells": TOPK,
+    "vector_topk_approx": f"""WITH {X1}, {REQ}, {hits()}
+        SELECT DISTINCT qid, true AS pairs_exact, true AS recall_reached FROM hits""",
+    "vector_topk_cells": f"""WITH {X1}, {REQ}, {hits()}
+        SELECT DISTINCT qid, true AS pairs_exact, true AS recall_reached FROM hits""",
+    "rerank_answered_empty": f"""WITH {X1}, {REQ}, {hits()}, {found(CALLED, 'true')}
+        SELECT {SEARCH_COLUMNS} FROM results WHERE rank <= 10""",
+    "rerank_failed": f"""WITH {X1}, {REQ}, {hits()}, {found(CALLED, 'qid % 7 NOT IN (1, 2, 3)')}
+        SELECT {SEARCH_COLUMNS} FROM results WHERE rank <= 10""",
+    "search_answered": f"""WITH {X1}, {REQ}, {hits()}, {found(answered='qid % 4 <> 0')}
+        SELECT {SEARCH_COLUMNS} FROM results WHERE rank <= 10""",
     "rerank_score_join": f"""WITH {X1}, {REQ}, {hits()}, s AS (SELECT qid, id, CASE WHEN qid % 3 <> 0 AND id % 7 <> 0
           THEN ((qid * 31 + id * 17) % 101) / 100e0 END AS relevance FROM hits)
         SELECT qid, id, round(CASE WHEN count(relevance) OVER (PARTITION BY qid) > 0 THEN coalesce(relevance, 0)
@@ -503,14 +621,15 @@ ORACLE: dict[str, str] = {
     "save_ordered_rounds": SAVE_ORDERED,
     "save_ordered_table": f"""WITH RECURSIVE {X1}, {X3}, {ordered_saves()},
         {after_saves('decisions', '-(target_seq + 1)')}""",
-    "forget_commands": f"""WITH {X1}, {FORGET}, counts AS (SELECT user_id, count(*) AS n FROM remaining
-          WHERE asked AND act = 'forget' GROUP BY user_id)
+    "forget_commands": f"""WITH RECURSIVE {X1}, {FORGET}, counts AS (
+          SELECT user_id, fell AS number, count(*) AS n FROM ended WHERE fell > 0 GROUP BY user_id, fell)
         SELECT c.command_id, c.user_id, c.kind, CAST(c.memory_id AS VARCHAR) AS memory_id,
           CASE WHEN c.kind = 'decay' THEN coalesce(n.n, 0) END AS forgotten_count,
           CASE WHEN c.kind = 'error' THEN 'Nothing to do: name a memory or ask for a decay run' END AS error
-        FROM commands c LEFT JOIN counts n ON n.user_id = c.user_id""",
-    "forget_commands_table": f"""WITH {X1}, {FORGET} SELECT id, round(CASE WHEN asked AND act = 'update' THEN cur
-        ELSE importance_score END, 6) AS importance_score FROM remaining WHERE NOT (asked AND act = 'forget')""",
+        FROM commands c LEFT JOIN sweeps s ON s.command_id = c.command_id
+        LEFT JOIN counts n ON n.user_id = s.user_id AND n.number = s.number""",
+    "forget_commands_table": f"""WITH RECURSIVE {X1}, {FORGET} SELECT id, round(importance_score, 6) AS importance_score
+        FROM ended WHERE fell = 0 AND gone_at IS NULL""",
     "conversation_render": """SELECT conv_id, count(*) AS n_turns, string_agg(concat(upper(role), ': ', text), chr(10)
         ORDER BY turn) AS conversation FROM conversations GROUP BY conv_id""",
     "conversation_render_user": """SELECT conv_id, count(*) AS n_turns, string_agg(concat(upper(role), ': ', text),
@@ -523,15 +642,13 @@ ORACLE: dict[str, str] = {
         memory_type, round(importance_score, 6) AS importance_score FROM facts""",
     "rejected_items": f"""WITH {COMPLETIONS} SELECT completion_id, item_no, rejected_because, fatal
         FROM judged WHERE rejected_because IS NOT NULL OR fatal""",
-    "parse_tool_calls": f"""WITH {CALLS} SELECT request_id, user_id,
+    "parse_tool_calls": f"""WITH {CALLS} SELECT request_id, request_id AS sequence, user_id,
         CASE WHEN name = 'find_similar_problems' THEN NULL WHEN label = 6 THEN 'p1' ELSE project_id END AS project_id,
-        name AS tool, CASE WHEN label IN (0, 6, 2, 8) THEN text END AS query,
-        CASE WHEN label IN (0, 6) THEN 10 WHEN label = 2 THEN 3 WHEN label = 8 THEN 5 END AS top_k,
-        CASE WHEN label IN (1, 7, 9) THEN text END AS insight,
+        name AS tool, CASE WHEN label IN (0, 6, 2, 8) THEN text END AS query, top_k,
+        CASE WHEN label IN (1, 7, 9) AND NOT numeric_insight THEN text END AS insight,
         CASE label WHEN 1 THEN 'decision' WHEN 7 THEN 'pattern' WHEN 9 THEN 'rumour' END AS memory_type,
         CASE WHEN label IN (1, 9) THEN 0.7e0 WHEN label = 7 THEN 0.9e0 END AS importance_score,
-        CASE WHEN label = 5 THEN 'arguments are not a JSON object' WHEN label = 4 THEN 'no such tool: drop_everything'
-             WHEN label = 9 THEN 'invalid memory_type' END AS error FROM calls""",
+        bad_args AS error FROM judged_calls""",
     "tool_args_check": f"""WITH {CALLS} SELECT request_id, name, label IN (6, 1, 7, 2, 8, 3) AS as_declared
         FROM calls""",
     "daily_maintenance": f"""WITH {X2}, {SWEPT}, after AS (SELECT user_id, created_at,
@@ -545,6 +662,8 @@ ORACLE: dict[str, str] = {
     "stream_ingest_table": f"WITH RECURSIVE {INGEST}, {after_saves('decisions', '-(target_seq + 1)')}",
     "stream_access_table": f"""WITH {X1}, {LOG}, state AS (SELECT * FROM x1), {touched(True)}
         SELECT {STATE} FROM touched""",
+    "stream_access_replayed": f"""WITH {X1}, {LOG}, state AS (SELECT * FROM x1), {touched(True)}
+        SELECT {STATE} FROM touched""",
     "stream_forget_timers": f"""WITH {X2}, due AS (SELECT id, {FORGET_AT} AS forget_at FROM x2)
         SELECT id, strftime(date_trunc('second', make_timestamp(CAST(ceil(epoch_us(forget_at) / 1000e0) AS BIGINT) * 1000)),
           '%Y-%m-%d %H:%M:%S') AS forget_at FROM due
@@ -557,24 +676,17 @@ ORACLE: dict[str, str] = {
           count(*) FILTER (WHERE importance_score < 0.2e0) AS memories_at_risk FROM x2 GROUP BY user_id)
         SELECT c.user_id, c.rank, c.id, c.content AS label, round(c.cur, 6) AS current_importance,
           s.total_memories, s.memories_at_risk FROM chart c JOIN s ON s.user_id = c.user_id WHERE rank <= 8""",
-    "run_tool_calls": f"""WITH RECURSIVE {X1}, {CALLS},
-        req AS (SELECT c.request_id AS qid, c.user_id, CASE WHEN c.label = 6 THEN 'p1' WHEN c.label = 0 THEN c.project_id END
-            AS project_id, CASE c.label WHEN 2 THEN 3 ELSE 5 END AS told, c.name,
-            CAST(e.embedding AS DOUBLE[]) AS emb
-          FROM calls c JOIN embeddings e ON e.vec_id = c.request_id WHERE c.label IN (0, 6, 2, 8)),
-        {hits()}, {found()},
-        x3 AS (SELECT c.request_id AS seq, c.user_id, c.project_id,
-            CASE WHEN c.label = 7 THEN 0.9e0 ELSE 0.7e0 END AS importance_score, CAST(e.embedding AS DOUBLE[]) AS emb
-          FROM calls c JOIN embeddings e ON e.vec_id = c.request_id WHERE c.label IN (1, 7)),
-        {ordered_saves()},
-        told AS (SELECT q.qid, md5(coalesce(string_agg(r.content, '|' ORDER BY r.rank), '')) AS outcome
-          FROM req q LEFT JOIN results r ON r.qid = q.qid AND r.rank <= q.told GROUP BY q.qid)
-        SELECT c.request_id, c.name AS tool, CASE
-          WHEN label = 5 THEN 'arguments are not a JSON object' WHEN label = 4 THEN 'no such tool: drop_everything'
-          WHEN label = 9 THEN 'invalid memory_type' WHEN label = 3 THEN CAST(coalesce(n.n, 0) AS VARCHAR)
-          WHEN label IN (1, 7) THEN d.action ELSE t.outcome END AS outcome
-        FROM calls c LEFT JOIN told t ON t.qid = c.request_id LEFT JOIN decisions d ON d.seq = c.request_id
-        LEFT JOIN (SELECT user_id, count(*) AS n FROM x1 GROUP BY user_id) n ON n.user_id = c.user_id""",
+    "run_tool_calls": f"""WITH RECURSIVE {TOOL_RUN}
+        SELECT c.request_id, c.name AS tool, coalesce(c.error, t.outcome, h.outcome,
+          concat(d.action, ' ', coalesce(d.id, -(coalesce(d.target_seq, d.seq) + 1)))) AS outcome
+        FROM run c LEFT JOIN told t ON t.qid = c.request_id LEFT JOIN decisions d ON d.seq = c.request_id
+        LEFT JOIN health h ON h.request_id = c.request_id""",
+    "run_tool_calls_table": f"""WITH RECURSIVE {TOOL_RUN},
+        state AS (SELECT id, importance_score, access_count, last_accessed FROM seen),
+        rolled AS (SELECT id, count(*) AS recalls, {AS_OF} AS latest FROM boosts GROUP BY id),
+        {touched(True)} SELECT {STATE} FROM touched""",
+    "run_tool_calls_users": f"""WITH RECURSIVE {TOOL_RUN} SELECT DISTINCT user_id FROM (
+        SELECT user_id FROM x1 WHERE user_id < 5 UNION ALL SELECT user_id FROM inserted)""",
     "stream_user_stats": f"WITH {X2} SELECT m.user_id, {stats()} FROM x2 m GROUP BY m.user_id",
     "stream_access_counts": f"WITH {LOG} SELECT id, recalls, {stamp('latest')} AS latest FROM rolled",
     "stream_windowed_stats": WINDOWS,

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark import schema
 from mnemospark.functions import decay, text, vector
 from mnemospark.operators import (
+    cells,
     extraction,
     lifecycle,
     nearest,
@@ -165,6 +167,34 @@ def embedding_attach(spark, folder):
     return attached.select("doc_id", r6(F.get("embedding", F.lit(0)).cast("double")).alias("first_value"))
 
 
+def _embed(texts: pd.Series) -> pd.Series:
+    """Stand-in for an embedding model; long texts fail, texts without an e get no vector."""
+    if (texts.str.len() > 2_000).any():
+        raise ValueError("text too long")
+    return texts.map(lambda t: [float(len(t)), float(t.count("e"))] if "e" in t else None)
+
+
+@query
+def embed_missing(spark, folder):
+    """Documents whose text is in the store keep its vector; the rest are embedded, some in vain."""
+    d = samples.table(spark, folder, "documents").select("doc_id", F.col("text").alias("content"))
+    length = F.col("doc_id").cast("float")
+    store = (
+        d.filter(F.col("doc_id") % 3 == 0)
+        .groupBy(vectors.text_key("content").alias("text_key"))
+        .agg(F.min(length).alias("first"))
+        .select("text_key", F.array(-F.col("first") - 1, F.lit(-1.0).cast("float")).alias("embedding"))
+    )
+    done = vectors.embed_missing(d, store, _embed)
+    attached = vectors.attach_embeddings(d, done.store).join(done.failed.select("doc_id", "reason"), "doc_id", "left")
+    return attached.select(
+        "doc_id",
+        F.get("embedding", F.lit(0)).cast("double").alias("first_value"),
+        F.get("embedding", F.lit(1)).cast("double").alias("second_value"),
+        "reason",
+    )
+
+
 @query
 def missing_vectors(spark, folder):
     d = samples.table(spark, folder, "documents").select(
@@ -370,11 +400,9 @@ def decay_chart_top8(spark, folder):
 @query
 def cosine_similarity(spark, folder):
     """Each vector against the next one of its user, and against a zero vector."""
-    e = samples.table(spark, folder, "embeddings")
-    a = e.select("vec_id", F.col("embedding").alias("a"))
-    b = e.select((F.col("vec_id") - 10).alias("vec_id"), F.col("embedding").alias("b"))
+    pairs = samples.next_of_user(samples.table(spark, folder, "embeddings"))
     zero = F.transform("a", lambda x: x * 0)
-    return a.join(b, "vec_id").select(
+    return pairs.select(
         "vec_id",
         r6(vector.cosine_similarity(F.col("a"), F.col("b"))).alias("similarity"),
         vector.cosine_similarity(F.col("a"), zero).isNull().alias("zero_is_null"),
@@ -420,24 +448,58 @@ def vector_topk_blocks(spark, folder):
 def vector_topk_all_cells(spark, folder):
     """The approximate search probing every cell is exact."""
     memories = samples.vector_memories(spark, folder)
-    cells = nearest.fit_cells(memories, n_cells=8)
+    centres = nearest.fit_cells(memories, n_cells=8)
     return _topk_columns(
         nearest.nearest_memories_approx(
-            samples.search_requests(spark, folder), memories, cells, probes=len(cells)
+            samples.search_requests(spark, folder), memories, centres, probes=len(centres)
         )
     )
 
 
+def _approximate(exact: DataFrame, found: DataFrame, floor: float = 0.9) -> DataFrame:
+    """Per request: all found rows of its user and project with their true similarity, and enough of the exact ones."""
+    exact, found = materialised(exact), materialised(found)
+    best = exact.select("qid", "id", F.col("similarity").alias("exact"))
+    worst = exact.groupBy("qid").agg(F.min("similarity").alias("least"), F.count("*").alias("expected"))
+    # A found row is one of the exact ones with the same similarity, or not better than the last of them.
+    right = F.when(F.col("exact").isNull(), F.col("similarity") < F.col("least") + 1e-9).otherwise(
+        F.abs(F.col("similarity") - F.col("exact")) < 1e-9
+    )
+    judged = (
+        found.join(best, ["qid", "id"], "left")
+        .join(worst, "qid")
+        .groupBy("qid")
+        .agg(F.bool_and(right).alias("pairs_exact"), F.count("exact").alias("hits"))
+    )
+    whole = worst.join(judged, "qid", "left").agg(
+        F.sum("hits").alias("hits"), F.sum("expected").alias("expected")
+    ).first()
+    reached = (whole["hits"] or 0) >= floor * (whole["expected"] or 0)
+    return worst.join(judged, "qid", "left").select(
+        "qid", F.coalesce("pairs_exact", F.lit(True)).alias("pairs_exact"), F.lit(reached).alias("recall_reached")
+    )
+
+
 @query
 def vector_topk_approx(spark, folder):
-    """Recall of a search in 4 of 16 cells."""
+    """A search in 12 of 16 cells, against the exact one."""
     memories = samples.vector_memories(spark, folder)
     asked = samples.search_requests(spark, folder)
-    cells = nearest.fit_cells(memories, n_cells=16)
-    return nearest.recall_report(
-        nearest.nearest_memories(asked, memories),
-        nearest.nearest_memories_approx(asked, memories, cells, probes=4),
-    )
+    found = nearest.nearest_memories_approx(asked, memories, nearest.fit_cells(memories, n_cells=16), probes=12)
+    return _approximate(nearest.nearest_memories(asked, memories), found)
+
+
+@query
+def vector_topk_cells(spark, folder):
+    """A table kept in cells: half of the rows written with it, half added, full cells split, and searched."""
+    memories = samples.vector_memories(spark, folder)
+    asked = samples.search_requests(spark, folder)
+    path = new_folder(spark, "cells")
+    cells.create_cell_table(memories.filter(F.col("id") % 2 == 0), path, n_cells=8)
+    cells.append_to_cells(memories.filter(F.col("id") % 2 == 1), path)
+    cells.split_full_cells(spark, path, full=200)
+    found = cells.search_cells(asked, path, cells.fit_probes(asked, path, recall=0.93))
+    return _approximate(nearest.nearest_memories(asked, memories), found)
 
 
 @query
@@ -492,6 +554,61 @@ def _search(spark, folder, top_k=schema.DEFAULT_TOP_K, **options):
     )
 
 
+def _asked_with_text(spark, folder):
+    return samples.search_requests(spark, folder).withColumn("query", F.col("qid").cast("string"))
+
+
+def _call_model(query_text: str, contents: list[str]) -> list:
+    """Stand-in for a rerank call: every fifth request is answered without rows, others in part."""
+    number = int(query_text)
+    if number % 5 == 0:
+        return []
+    return [(n, len(c) % 101 / 100.0) for n, c in enumerate(contents) if len(c) % 4]
+
+
+def _call_unsteady_model(query_text: str, contents: list[str]) -> list:
+    """As before, but some calls fail, and some answers name a candidate that does not exist or no score."""
+    number = int(query_text)
+    if number % 7 == 1:
+        raise ConnectionError("no answer")
+    if number % 7 == 2:
+        return [(len(contents), 0.5)]
+    if number % 7 == 3:
+        return [(0, None)]
+    return _call_model(query_text, contents)
+
+
+@query
+def rerank_answered_empty(spark, folder):
+    """One call for each request; an answer without rows gives 0 to all."""
+    found = search.search_memories(
+        _asked_with_text(spark, folder),
+        samples.vector_memories(spark, folder),
+        search.call_per_request(_call_model),
+        AS_OF(),
+    )
+    return _search_columns(found)
+
+
+@query
+def rerank_failed(spark, folder):
+    """Calls that fail, or answer in another form, give 1/n; the others keep their scores."""
+    found = search.search_memories(
+        _asked_with_text(spark, folder),
+        samples.vector_memories(spark, folder),
+        search.call_per_request(_call_unsteady_model),
+        AS_OF(),
+    )
+    return _search_columns(found)
+
+
+@query
+def search_answered(spark, folder):
+    """A score table beside a table of the calls that were answered."""
+    asked = samples.search_requests(spark, folder)
+    return _search_columns(_search(spark, folder, answered=asked.filter("qid % 4 <> 0").select("qid")))
+
+
 @query
 def two_stage_search(spark, folder):
     return _search_columns(_search(spark, folder))
@@ -817,19 +934,23 @@ def tool_args_check(spark, folder):
     return tools.check_declared_args(samples.tool_calls(spark, folder))
 
 
-@query
-def run_tool_calls(spark, folder):
-    vectors_of = samples.table(spark, folder, "embeddings").select(
-        F.col("vec_id").alias("request_id"), "embedding"
-    )
-    done = tools.run_tool_calls(
+def _tool_run(spark, folder, users=None):
+    return tools.run_tool_calls_table(
         samples.tool_calls(spark, folder),
-        vectors_of,
+        samples.call_vectors(spark, folder),
         samples.vector_memories(spark, folder),
+        users,
         samples.rerank,
         AS_OF(),
+        new_id=-(F.col("seq") + 1),
     )
 
+
+@query
+def run_tool_calls(spark, folder):
+    """What each call was answered, errors included: texts told, memories saved, statistics."""
+    done = _tool_run(spark, folder).results
+
     def listed(key: str) -> Column:
         contents = F.from_json(F.get_json_object("result", f"$.{key}"), "array<string>")
         return F.md5(F.concat_ws("|", contents).cast("binary"))
@@ -837,16 +958,38 @@ def run_tool_calls(spark, folder):
     def field(key: str) -> Column:
         return F.get_json_object("result", f"$.{key}")
 
+    total = field("avg_importance").cast("double") * field("total_memories").cast("long")
+    health = F.concat_ws(
+        "/",
+        field("total_memories"),
+        field("memories_at_risk"),
+        F.coalesce(field("memories_by_type.decision"), F.lit("0")),
+        F.floor(total * 100 + 0.5).cast("long").cast("string"),
+    )
     outcome = (
         F.when(field("error").isNotNull(), field("error"))
         .when(F.col("tool") == tools.RECALL, listed("memories"))
         .when(F.col("tool") == tools.SIMILAR, listed("similar_problems"))
-        .when(F.col("tool") == tools.SAVE, field("action"))
-        .otherwise(field("total_memories"))
+        .when(F.col("tool") == tools.SAVE, F.concat_ws(" ", field("action"), field("memory_id")))
+        .otherwise(health)
     )
     return done.select("request_id", "tool", outcome.alias("outcome"))
 
 
+@query
+def run_tool_calls_table(spark, folder):
+    """The memories that a table of tool calls leaves."""
+    return _state_columns(_tool_run(spark, folder).memories)
+
+
+@query
+def run_tool_calls_users(spark, folder):
+    """Half of the users are known before; saving adds the others."""
+    known = samples.vector_memories(spark, folder).filter("user_id < 5").select("user_id").distinct()
+    known = known.withColumns({"created_at": AS_OF(), "updated_at": AS_OF()})
+    return _tool_run(spark, folder, known).users.select("user_id")
+
+
 # --- composite jobs ---------------------------------------------------------------
 
 
@@ -949,14 +1092,25 @@ def stream_user_stats(spark, folder):
 
 @query
 def stream_access_counts(spark, folder):
-    log = _event_stream(spark, folder).filter(F.col("event_type").isin("click", "view"))
-    log = log.select(
-        (F.col("event_id") % 600).alias("memory_id"), F.col("ts").cast("timestamp").alias("ts")
-    )
+    log = samples.as_access_log(_event_stream(spark, folder))
     counts = _run_updates(live.access_counts_stream(log), "id")
     return counts.select("id", "recalls", stamp("latest").alias("latest"))
 
 
+@query
+def stream_access_replayed(spark, folder):
+    """A log that is delivered twice, in two micro-batches, counts once."""
+    log = samples.access_log(spark, folder).coalesce(1)
+    arrived = new_folder(spark, "arrived")
+    for _ in range(2):
+        log.write.mode("append").parquet(arrived)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(arrived)
+    path = new_folder(spark, "live")
+    live.create_live_table(samples.vector_memories(spark, folder), path, buckets=8)
+    _run(live.access_stream(stream, path, lateness="60 days"), spark)
+    return _state_columns(live.current_memories(spark, path))
+
+
 @query
 def stream_windowed_stats(spark, folder):
     """Daily windows that the watermark has closed."""
@@ -983,11 +1137,8 @@ def _run(writer, spark) -> None:
 def stream_access_table(spark, folder):
     """A live table after an access-log stream: equal to the batch reinforcement."""
     path = new_folder(spark, "live")
-    live.create_live_table(samples.vector_memories(spark, folder), path)
-    log = _event_stream(spark, folder).filter(F.col("event_type").isin("click", "view"))
-    log = log.select(
-        (F.col("event_id") % 600).alias("memory_id"), F.col("ts").cast("timestamp").alias("ts")
-    )
+    live.create_live_table(samples.vector_memories(spark, folder), path, buckets=8)
+    log = samples.as_access_log(_event_stream(spark, folder))
     _run(live.access_stream(log, path), spark)
     return _state_columns(live.current_memories(spark, path))
 
@@ -996,7 +1147,7 @@ def stream_access_table(spark, folder):
 def stream_ingest_table(spark, folder):
     """A live table after a stream of completions: equal to the batch ingest."""
     path = new_folder(spark, "live")
-    live.create_live_table(samples.vector_memories(spark, folder), path)
+    live.create_live_table(samples.vector_memories(spark, folder), path, buckets=8)
     declared = samples.SCHEMAS["conversations"]
     turns = spark.readStream.schema(declared).parquet(f"{folder}/conversations*.parquet")
     known = materialised(_fact_vectors(spark, folder))

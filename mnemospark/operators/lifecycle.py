@@ -13,9 +13,9 @@ from mnemospark.functions.decay import (
     decayed_importance,
     sweep_action,
 )
-from mnemospark.operators.ranking import top_k_per_group
-from mnemospark.schema import with_defaults
-from mnemospark.session import broadcast_if_small
+from mnemospark.operators.ranking import running, top_k_per_group
+from mnemospark.schema import WRITE_BACK_EPSILON, with_defaults
+from mnemospark.session import broadcast_if_small, materialised
 
 
 #: Recalled memories (id, count, time: about 100 bytes) that may be broadcast.
@@ -72,8 +72,11 @@ def append_rows(memories: DataFrame, fresh: DataFrame) -> DataFrame:
 def roll_up_accesses(log: DataFrame) -> DataFrame:
     """Access log (memory_id, ts) to one row per memory: count and latest time.
 
-    Aggregated map-side, so a memory holding most of the log is no hot spot.
+    Aggregated map-side, so a memory holding most of the log is no hot spot. If the log
+    has an ``event_id``, an event that it holds twice counts once.
     """
+    if "event_id" in log.columns:
+        log = log.dropDuplicates(["event_id"])
     return log.groupBy(F.col("memory_id").alias("id")).agg(
         F.count("*").alias("recalls"), F.max("ts").alias("latest")
     )
@@ -105,6 +108,11 @@ def apply_recalls(memories: DataFrame, recalls: DataFrame, boost: bool = True) -
     """Memory table after the rolled-up recalls (id, recalls, latest)."""
     # Worth a larger broadcast: the alternative shuffles whole memories.
     joined = memories.join(broadcast_if_small(recalls, RECALL_BROADCAST_ROWS), "id", "left")
+    return after_recalls(joined, memories, boost)
+
+
+def after_recalls(joined: DataFrame, memories: DataFrame, boost: bool = True) -> DataFrame:
+    """The columns of ``memories`` after the ``recalls`` up to ``latest`` joined to each row (or null)."""
     recalled = F.col("recalls").isNotNull()
     stored = F.col("importance_score")
     changes = {
@@ -241,11 +249,14 @@ def forgotten_per_user(planned: DataFrame) -> DataFrame:
 def forget(
     memories: DataFrame, commands: DataFrame, as_of: Column
 ) -> tuple[DataFrame, DataFrame]:
-    """Run forget commands (command_id, user_id, memory_id, run_decay).
+    """Run forget commands (command_id, user_id, memory_id, run_decay) in order of command_id.
 
     An id wins over the decay flag; a command with neither is an error. Returns
-    the next table and one outcome row per command. Deletions come first, then
-    one sweep for each user that asked for at least one.
+    the next table and one outcome row per command.
+
+    Sweeps compound: the second of a user starts from what the first left, and each reports
+    what it forgot itself. A row is moved through all sweeps of its user at once, in
+    its own state (:func:`swept_times`), up to the first command that deletes it.
     """
     kind = (
         F.when(F.coalesce("memory_id", F.lit("")) != "", F.lit("delete"))
@@ -255,39 +266,72 @@ def forget(
     routed = commands.withColumn("memory_id", F.col("memory_id").cast("string")).withColumn(
         "kind", kind
     )
-    deletions = routed.filter(F.col("kind") == "delete").select(
+    deletions = (
+        routed.filter(F.col("kind") == "delete")
         # Text that is no id of this table deletes nothing.
-        F.col("memory_id").try_cast(memories.schema["id"].dataType).alias("id")
+        .groupBy(F.col("memory_id").try_cast(memories.schema["id"].dataType).alias("id"))
+        .agg(F.min("command_id").alias("command_id"))
+        .filter(F.col("id").isNotNull())
     )
-    remaining = delete_by_id(memories, deletions)
-    sweepers = broadcast_if_small(
-        routed.filter(F.col("kind") == "decay")
-        .select("user_id")
-        .distinct()
-        .withColumn("asked", F.lit(True))
+    deletions = broadcast_if_small(deletions)
+    decays = routed.filter(F.col("kind") == "decay").select("user_id", "command_id")
+    # Sweeps and deletions of each user's memories in one order: a sweep's number is one
+    # more than the sweeps before it, a deleted row has seen the sweeps before its deletion.
+    owned = memories.select("id", "user_id").join(deletions, "id")
+    moments = materialised(
+        decays.select("user_id", "command_id", F.lit(1).alias("sweep"), F.lit(None).cast(memories.schema["id"].dataType).alias("id"))
+        .unionByName(owned.select("user_id", "command_id", F.lit(0).alias("sweep"), "id"))
     )
-    planned = plan_sweep(remaining, as_of).join(sweepers, "user_id", "left")
-    planned = planned.withColumn(
-        "action", F.when(F.col("asked"), F.col("action")).otherwise(F.lit("keep"))
-    ).drop("asked")
-    counts = (
-        planned.filter(F.col("action") == "forget")
-        .groupBy("user_id")
-        .agg(F.count("*").alias("forgotten"))
+    numbered = materialised(
+        running(moments, ["user_id"], [F.col("command_id"), F.col("sweep")], {"before": F.col("sweep")})
     )
-    outcome = (
-        routed.join(counts, "user_id", "left")
-        .select(
-            "command_id",
-            "user_id",
-            "kind",
-            F.when(F.col("kind") == "delete", F.col("memory_id")).alias("memory_id"),
-            F.when(F.col("kind") == "decay", F.coalesce("forgotten", F.lit(0))).alias(
-                "forgotten_count"
-            ),
-            F.when(
-                F.col("kind") == "error", F.lit("Nothing to do: name a memory or ask for a decay run")
-            ).alias("error"),
-        )
+    sweeps = numbered.filter("sweep = 1").select("command_id", "user_id", (F.col("before") + 1).alias("number"))
+    until = broadcast_if_small(numbered.filter("sweep = 0").select("id", F.col("before").alias("seen")))
+    asked = broadcast_if_small(decays.groupBy("user_id").agg(F.count("*").alias("all")))
+    rows = memories.join(asked, "user_id", "left").join(until, "id", "left")
+    times = F.coalesce("seen", "all", F.lit(0))
+    walked = rows.withColumn("_walk", F.when(times > 0, swept_times(as_of, times)))
+    fell = F.coalesce(F.col("_walk")["fell"], F.lit(0))
+    counts = broadcast_if_small(
+        walked.filter(fell > 0).groupBy("user_id", fell.cast("long").alias("number")).agg(F.count("*").alias("forgotten"))
+    )
+    told = sweeps.join(counts, ["user_id", "number"], "left").select("command_id", "forgotten")
+    outcome = routed.join(broadcast_if_small(told), "command_id", "left").select(
+        "command_id",
+        "user_id",
+        "kind",
+        F.when(F.col("kind") == "delete", F.col("memory_id")).alias("memory_id"),
+        F.when(F.col("kind") == "decay", F.coalesce("forgotten", F.lit(0))).alias("forgotten_count"),
+        F.when(
+            F.col("kind") == "error", F.lit("Nothing to do: name a memory or ask for a decay run")
+        ).alias("error"),
     )
-    return apply_sweep(planned, as_of), outcome
+    left = walked.filter((fell == 0) & F.col("seen").isNull()).withColumn(
+        "importance_score", F.coalesce(F.col("_walk")["score"], "importance_score")
+    )
+    return left.select(*memories.columns), outcome
+
+
+def swept_times(as_of: Column, times: Column) -> Column:
+    """A row after ``times`` sweeps in a row: score, and the number of the sweep it fell in (or 0).
+
+    A sweep that leaves the score alone leaves it alone for good, and each other one moves it
+    by more than the write-back step towards an end of 0 to 1, so there are never
+    more than about a thousand different steps to take.
+    """
+    most = int(1 / WRITE_BACK_EPSILON) + 1
+    days = days_since(as_of, F.col("last_accessed"))
+    start = F.struct(F.col("importance_score").cast("double").alias("score"), F.lit(0).alias("fell"))
+
+    def one(state: Column, number: Column) -> Column:
+        score = state["score"]
+        after = decayed_importance(score, F.col("decay_rate"), F.col("access_count"), days)
+        action = sweep_action(score, after)
+        moved = F.struct(
+            F.when(action == "update", after).otherwise(score).alias("score"),
+            F.when(action == "forget", number).otherwise(F.lit(0)).alias("fell"),
+        )
+        return F.when(state["fell"] > 0, state).otherwise(moved)
+
+    steps = F.sequence(F.lit(1), F.least(times, F.lit(most)).cast("int"))
+    return F.aggregate(steps, start, one)

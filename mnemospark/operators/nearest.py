@@ -110,8 +110,9 @@ def nearest_memories(
         partial = _scan_memories(_asked_for(stored, few), few, wanted.schema["qid"].dataType, rule)
     else:
         if cells is not None and min_similarity is not None:
-            wanted = _probe(wanted, cells, radius=_chord(min_similarity))
-            stored = _assign(stored, cells)
+            reach = cells_within(cells, _chord(min_similarity))
+            wanted = _scoped(wanted.withColumn("cell", F.explode(reach("embedding"))), "cell")
+            stored = _scoped(stored.withColumn("cell", nearest_cell(cells)("embedding")), "cell")
         partial = _join_blocks(wanted, stored, rule)
     ranked = _final_ranks(partial, k)
     if not columns:
@@ -136,18 +137,15 @@ def nearest_memories_approx(
 
     With as many probes as cells the result equals :func:`nearest_memories`.
     """
-    wanted = _probe(
-        requests.filter(F.col("embedding").isNotNull()).select(
-            "qid", F.col("user_id").alias("scope"), "project_id", "embedding"
-        ),
-        cells,
-        probes=probes,
+    wanted = requests.filter(F.col("embedding").isNotNull()).select(
+        "qid", F.col("user_id").alias("scope"), "project_id", "embedding"
     )
-    stored = _assign(
-        live(memories).select("id", F.col("user_id").alias("scope"), "project_id", "embedding"),
-        cells,
+    stored = live(memories).select("id", F.col("user_id").alias("scope"), "project_id", "embedding")
+    return search_scopes(
+        wanted.withColumn("cell", F.explode(cells_to_probe(cells, probes)("embedding"))),
+        stored.withColumn("cell", nearest_cell(cells)("embedding")),
+        k,
     )
-    return _final_ranks(_join_blocks(wanted, stored, MatchRule(k)), k)
 
 
 def recall_report(exact: DataFrame, approximate: DataFrame) -> DataFrame:
@@ -352,40 +350,50 @@ def _scoped(df: DataFrame, cell: str) -> DataFrame:
     )
 
 
-def _assign(stored: DataFrame, cells: np.ndarray) -> DataFrame:
-    """Put every memory into the cell of its nearest centre."""
+def nearest_cell(cells: np.ndarray):
+    """A function from vectors to the number of their nearest centre."""
     half_norms = 0.5 * np.einsum("ij,ij->i", cells, cells)
 
     @F.pandas_udf("int")
-    def nearest_cell(vectors: pd.Series) -> pd.Series:
+    def assign(vectors: pd.Series) -> pd.Series:
         return pd.Series((_unit_matrix(vectors) @ cells.T - half_norms).argmax(axis=1))
 
-    return _scoped(stored.withColumn("cell", nearest_cell("embedding")), "cell")
+    return assign
 
 
-def _probe(
-    wanted: DataFrame, cells: np.ndarray, probes: int | None = None, radius: float | None = None
-) -> DataFrame:
-    """Copy every request to the cells it has to look into.
+def cells_to_probe(cells: np.ndarray, probes: int):
+    """A function from vectors to the numbers of their ``probes`` nearest centres."""
+    half_norms = 0.5 * np.einsum("ij,ij->i", cells, cells)
+
+    @F.pandas_udf("array<int>")
+    def probe(vectors: pd.Series) -> pd.Series:
+        closeness = _unit_matrix(vectors) @ cells.T - half_norms
+        order = np.argsort(-closeness, axis=1, kind="stable")[:, :probes]
+        return pd.Series(list(order.astype(np.int32)))
+
+    return probe
+
 
-    By ``probes``: the nearest ones. By ``radius``: all cells that can hold a
-    unit vector within that distance. A vector of cell c' lies on the far side
-    of the plane halfway between c' and the request's own cell, so a request
-    further than ``radius`` from that plane has no match in c'.
+def cells_within(cells: np.ndarray, radius: float):
+    """A function from vectors to all cells that can hold a unit vector within ``radius``.
+
+    A vector of cell c' lies on the far side of the plane halfway between c' and the
+    request's own cell, so a request further than ``radius`` from that plane has no match in c'.
     """
     half_norms = 0.5 * np.einsum("ij,ij->i", cells, cells)
     gaps = np.linalg.norm(cells[:, None, :] - cells[None, :, :], axis=2)
 
     @F.pandas_udf("array<int>")
-    def cells_to_search(vectors: pd.Series) -> pd.Series:
+    def reach(vectors: pd.Series) -> pd.Series:
         closeness = _unit_matrix(vectors) @ cells.T - half_norms
-        if probes is not None:
-            order = np.argsort(-closeness, axis=1, kind="stable")[:, :probes]
-            return pd.Series(list(order.astype(np.int32)))
         own = closeness.argmax(axis=1)
         lead = closeness[np.arange(len(own)), own][:, None] - closeness
         reachable = lead <= radius * gaps[own] + 1e-9
         return pd.Series([np.flatnonzero(row).astype(np.int32) for row in reachable])
 
-    return _scoped(wanted.withColumn("cell", F.explode(cells_to_search("embedding"))), "cell")
+    return reach
+
 
+def search_scopes(wanted: DataFrame, stored: DataFrame, k: int) -> DataFrame:
+    """Best ``k`` of each request over the cells it was copied to; both sides have scope and cell."""
+    return _final_ranks(_join_blocks(_scoped(wanted, "cell"), _scoped(stored, "cell"), MatchRule(k)), k)

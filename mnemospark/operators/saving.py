@@ -24,6 +24,7 @@ from mnemospark.operators.lifecycle import (
     roll_up_accesses,
 )
 from mnemospark.operators.nearest import nearest_memories
+from mnemospark.operators.ranking import top_k_per_group
 from mnemospark.schema import DUPLICATE_SIMILARITY
 from mnemospark.session import broadcast_if_small, materialised
 
@@ -225,32 +226,54 @@ def _earliest_distinct(
     """``seq`` of the rows kept when each is dropped that is near an earlier kept one.
 
     Users with few undecided rows are walked in order inside one task each. The
-    rest go through rounds: rows without an earlier undecided neighbour are
-    kept, rows near a kept one are dropped, the others stay. A group of copies
-    of any size is settled in one round, because a row reports only whether it
-    has such a neighbour, never its list of neighbours.
+    rest go through rounds. In a round each user's first ``local_rows`` undecided rows are
+    walked, and what is near to a kept one of them is dropped; of the rows behind them, those
+    without an earlier undecided neighbour are kept, rows near a kept one are dropped, and
+    the others stay. A group of copies of any size is settled in one round, because a row
+    reports only whether it has such a neighbour, never its list of neighbours; and as
+    every round decides a user's first ``local_rows`` rows, a chain of drifting rows takes
+    no more than its length over ``local_rows`` rounds.
     """
     undecided = materialised(rows)
     kept: DataFrame | None = None
     while True:
         per_user = undecided.groupBy("user_id").agg(F.count("*").alias("n"))
-        heavy = per_user.filter(F.col("n") > local_rows).select("user_id")
+        heavy = materialised(per_user.filter(F.col("n") > local_rows).select("user_id"))
         if heavy.isEmpty():
             return _union(kept, _walk_users(undecided, threshold))
         heavy = broadcast_if_small(heavy)
-        light = undecided.join(heavy, "user_id", "left_anti")
-        kept = _union(kept, _walk_users(light, threshold))
-        undecided = undecided.join(heavy, "user_id", "left_semi")
-        rule = {"min_similarity": threshold, "earlier_only": True, **options}
-        as_requests = undecided.withColumnRenamed("id", "qid")
-        blocked = nearest_memories(as_requests, undecided, 1, **rule)
-        leaders = materialised(
-            undecided.join(blocked.select(F.col("qid").alias("id")), "id", "left_anti")
+        # Of users that are not heavy any more all rows are first ones.
+        first = materialised(
+            _first_rows(undecided.join(heavy, "user_id", "left_semi"), local_rows).unionByName(
+                undecided.join(heavy, "user_id", "left_anti")
+            )
         )
-        covered = nearest_memories(as_requests, leaders, 1, **rule)
-        settled = leaders.select("id").unionByName(covered.select(F.col("qid").alias("id")))
-        undecided = materialised(undecided.join(settled, "id", "left_anti"))
+        walked = materialised(_walk_users(first, threshold))
+        kept = _union(kept, walked)
+        rest = undecided.join(first.select("id"), "id", "left_anti")
+        rule = {"min_similarity": threshold, "earlier_only": True, **options}
+        heads = first.join(walked.select(F.col("seq").alias("id")), "id", "left_semi")
+        behind = materialised(_not_near(rest, heads, rule))
+        blocked = nearest_memories(behind.withColumnRenamed("id", "qid"), behind, 1, **rule)
+        leaders = materialised(behind.join(blocked.select(F.col("qid").alias("id")), "id", "left_anti"))
         kept = _union(kept, leaders.select(F.col("id").alias("seq")))
+        followers = behind.join(leaders.select("id"), "id", "left_anti")
+        undecided = materialised(_not_near(followers, leaders, rule))
+
+
+def _first_rows(rows: DataFrame, n: int) -> DataFrame:
+    """Each user's first rows by sequence; vectors are not sorted, only their numbers."""
+    numbers = top_k_per_group(
+        rows.select("user_id", "id", "sequence"), ["user_id"], [F.col("sequence")], n, split_on="id"
+    )
+    return rows.join(broadcast_if_small(numbers.select("id")), "id", "left_semi")
+
+
+def _not_near(rows: DataFrame, others: DataFrame, rule: dict) -> DataFrame:
+    """Rows without a match among earlier ``others``."""
+    rows = materialised(rows)
+    near = nearest_memories(rows.withColumnRenamed("id", "qid"), others, 1, **rule)
+    return rows.join(near.select(F.col("qid").alias("id")), "id", "left_anti")
 
 
 def _union(left: DataFrame | None, right: DataFrame) -> DataFrame:

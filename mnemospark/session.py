@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,10 +110,11 @@ def broadcast_if_small(
 
     A wide table joined with the result is then not shuffled. Beyond either
     limit the DataFrame comes back unmarked and the join shuffles, with
-    AQE splitting skewed partitions. The rows are materialised first, so
-    counting them does not compute them twice.
+    AQE splitting skewed partitions. The rows are materialised, and counted as
+    they are written.
     """
-    stored = materialised(df)
-    size = stored.agg(F.count(F.lit(1)).alias("rows"), F.sum(_row_bytes(stored)).alias("bytes")).first()
-    small = size["rows"] <= max_rows and (size["bytes"] or 0) <= max_bytes
+    size = Observation()
+    stored = materialised(df.observe(size, F.count(F.lit(1)).alias("rows"), F.sum(_row_bytes(df)).alias("bytes")))
+    found = size.get
+    small = found["rows"] <= max_rows and (found["bytes"] or 0) <= max_bytes
     return F.broadcast(stored) if small else stored

@@ -17,6 +17,9 @@ def as_of() -> Column:
     return F.lit("2024-02-15 00:00:00").cast("timestamp")
 
 
+#: Time of memories without an event.
+FIRST_DAY = "2024-01-01 00:00:00"
+
 SCHEMAS = {
     "embeddings": "vec_id bigint, embedding array<float>, label int",
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
@@ -50,7 +53,11 @@ def _type_of_label(label: Column) -> Column:
 
 
 def vector_memories(spark: SparkSession, folder: str) -> DataFrame:
-    """Memories with text and vector: one per embedding, document and event."""
+    """Memories with texts and vectors: one for each document and each embedding.
+
+    Documents without an embedding have no vector, embeddings without a document
+    a short text. The event of the same number gives the time.
+    """
     e = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
     d = table(spark, folder, "documents").select(
         F.col("doc_id").alias("id"), F.col("text").alias("content")
@@ -58,22 +65,23 @@ def vector_memories(spark: SparkSession, folder: str) -> DataFrame:
     v = table(spark, folder, "events").select(
         F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts")
     )
-    kind = _type_of_label(F.col("label"))
+    kind = _type_of_label(F.coalesce("label", F.col("id") % 10))
+    at = F.coalesce("ts", F.lit(FIRST_DAY).cast("timestamp"))
     return (
-        e.join(d, "id")
-        .join(v, "id")
+        d.join(e, "id", "full")
+        .join(v, "id", "left")
         .select(
             "id",
             (F.col("id") % 10).alias("user_id"),
             _project(F.col("id")).alias("project_id"),
-            "content",
+            F.coalesce("content", F.concat(F.lit("note "), F.col("id").cast("string"))).alias("content"),
             F.lit(None).cast("string").alias("summary"),
             kind.alias("memory_type"),
             (F.col("id") * 37 % 101 / 100.0).alias("importance_score"),
             decay_rate_for_type(kind).alias("decay_rate"),
             (F.col("id") % 4).cast("int").alias("access_count"),
-            F.col("ts").alias("created_at"),
-            F.col("ts").alias("last_accessed"),
+            at.alias("created_at"),
+            at.alias("last_accessed"),
             "embedding",
         )
     )
@@ -127,41 +135,56 @@ def rerank(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("relevance", F.when(~missing, score))
 
 
-def incoming_memories(spark: SparkSession, folder: str) -> DataFrame:
-    """Saves on both sides of the duplicate threshold, each repeated once later.
+def next_of_user(vectors: DataFrame) -> DataFrame:
+    """vec_id, label, a (its vector) and b: the next vector of the same user, after the last the first."""
+    a = vectors.select("vec_id", "label", F.col("embedding").alias("a"))
+    b = vectors.select(F.col("vec_id").alias("next_id"), F.col("embedding").alias("b"))
+    ends = vectors.groupBy((F.col("vec_id") % 10).alias("user_id")).agg(
+        F.min("vec_id").alias("first_id"), F.max("vec_id").alias("last_id")
+    )
+    following = F.when(F.col("vec_id") == F.col("last_id"), F.col("first_id")).otherwise(F.col("vec_id") + 10)
+    numbered = a.join(F.broadcast(ends), F.col("vec_id") % 10 == F.col("user_id"))  # ten users
+    return numbered.withColumn("next_id", following).join(b, "next_id").drop("user_id", "first_id", "last_id", "next_id")
 
-    A vector is mixed with the next one of the same user.
-    """
-    e = table(spark, folder, "embeddings")
-    a = e.select(F.col("vec_id").alias("base_id"), F.col("embedding").alias("a"), "label")
-    b = e.select((F.col("vec_id") - 10).alias("base_id"), F.col("embedding").alias("b"))
-    weight = F.lit(0.60) + F.lit(0.05) * (F.floor(F.col("base_id") / 5) % 8)
-    mixed = F.zip_with("a", "b", lambda x, y: F.col("w") * x + (F.lit(1.0) - F.col("w")) * y)
+
+def _mixed(base: Column) -> Column:
+    """Two vectors a and b mixed, so that results lie on both sides of the duplicate threshold."""
+    weight = F.lit(0.60) + F.lit(0.05) * (F.floor(base / 5) % 8)
+    return F.zip_with("a", "b", lambda x, y: weight * x + (F.lit(1.0) - weight) * y)
+
+
+def incoming_memories(spark: SparkSession, folder: str) -> DataFrame:
+    """Saves on both sides of the duplicate threshold, each repeated once later."""
+    base = F.col("vec_id")
     return (
-        a.join(b, "base_id")
-        .withColumn("w", weight)
-        .withColumn("embedding", mixed)
+        next_of_user(table(spark, folder, "embeddings"))
+        .withColumn("embedding", _mixed(base))
         .withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
         .select(
-            (F.col("base_id") * 2 + F.col("copy")).alias("seq"),
-            (F.col("base_id") % 10).alias("user_id"),
-            _project(F.col("base_id")).alias("project_id"),
-            F.concat(F.lit("note "), F.col("base_id").cast("string")).alias("content"),
+            (base * 2 + F.col("copy")).alias("seq"),
+            (base % 10).alias("user_id"),
+            _project(base).alias("project_id"),
+            F.concat(F.lit("note "), base.cast("string")).alias("content"),
             _type_of_label(F.col("label")).alias("memory_type"),
-            (F.col("base_id") * 53 % 101 / 100.0).alias("importance_score"),
+            (base * 53 % 101 / 100.0).alias("importance_score"),
             "embedding",
         )
     )
 
 
-def access_log(spark: SparkSession, folder: str) -> DataFrame:
-    """Accesses of up to 600 memories, known and unknown ones."""
-    events = table(spark, folder, "events")
+def as_access_log(events: DataFrame) -> DataFrame:
+    """Accesses (a batch or a stream): several for most memories, and some of unknown ones."""
     return events.filter(F.col("event_type").isin("click", "view")).select(
-        (F.col("event_id") % 600).alias("memory_id"), F.col("ts").cast("timestamp").alias("ts")
+        "event_id",
+        F.floor(F.col("event_id") / 8).alias("memory_id"),
+        F.col("ts").cast("timestamp").alias("ts"),
     )
 
 
+def access_log(spark: SparkSession, folder: str) -> DataFrame:
+    return as_access_log(table(spark, folder, "events"))
+
+
 def completions(spark: SparkSession, folder: str) -> DataFrame:
     """One raw completion per conversation turn."""
     return as_completions(table(spark, folder, "conversations"))
@@ -206,10 +229,11 @@ def as_completions(turns: DataFrame) -> DataFrame:
 
 
 def tool_calls(spark: SparkSession, folder: str) -> DataFrame:
-    """One tool call per embedding; the label picks tool and arguments."""
+    """One tool call per embedding; label and number pick tool and arguments."""
     e = table(spark, folder, "embeddings").select(F.col("vec_id").alias("request_id"), "label")
     d = table(spark, folder, "documents").select(F.col("doc_id").alias("request_id"), "text")
-    label, text = F.col("label"), F.col("text")
+    label, number = F.col("label"), F.col("request_id")
+    text = F.coalesce("text", F.concat(F.lit("call "), number.cast("string")))
 
     def args(**fields: Column) -> Column:
         return F.to_json(F.struct(*(value.alias(name) for name, value in fields.items())))
@@ -221,9 +245,15 @@ def tool_calls(spark: SparkSession, folder: str) -> DataFrame:
         .when(label.isin(3, 5), "get_memory_health")
         .otherwise("drop_everything")
     )
+    shape = number % 6
+    top_k = (
+        F.when(shape == 0, "5").when(shape == 1, "null").when(shape == 2, "-17")
+        .when(shape == 3, '"many"').when(shape == 4, "2.5").otherwise("true")
+    )
     body = (
         F.when(label == 0, args(current_task=text))
         .when(label == 6, args(project_id=F.lit("p1"), current_task=text))
+        .when((label == 1) & (number % 7 == 3), args(insight=number, memory_type=F.lit("decision")))
         .when(label == 1, args(insight=text, memory_type=F.lit("decision")))
         .when(
             label == 7,
@@ -231,16 +261,30 @@ def tool_calls(spark: SparkSession, folder: str) -> DataFrame:
         )
         .when(label == 9, args(insight=text, memory_type=F.lit("rumour")))
         .when(label == 2, args(problem_description=text))
-        .when(label == 8, args(problem_description=text, top_k=F.lit(5)))
+        .when(
+            label == 8,
+            F.concat(F.lit('{"top_k":'), top_k, F.lit(',"problem_description":'), F.substr(args(t=text), F.lit(6))),
+        )
         .when(label == 3, args(user_id=F.lit("anyone")))
         .when(label == 5, F.lit('{"user_id": '))
         .otherwise(args(target=text))
     )
-    number = F.col("request_id")
-    return e.join(d, "request_id").select(
+    return e.join(d, "request_id", "left").select(
         "request_id",
         (number % 10).alias("user_id"),
         _project(number).alias("project_id"),
         name.alias("name"),
         body.alias("args"),
     )
+
+
+def call_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors of the tool calls' texts: two calls of a user in a row share one, some have none."""
+    base = F.col("vec_id")
+    pairs = F.array(base, base + 10)
+    mixed = next_of_user(table(spark, folder, "embeddings")).withColumn("embedding", _mixed(base))
+    return (
+        mixed.filter(F.floor(base / 10) % 2 == 0)
+        .select(F.explode(pairs).alias("request_id"), "embedding")
+        .filter(F.col("request_id") % 23 != 0)
+    )

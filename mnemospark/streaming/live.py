@@ -2,11 +2,15 @@
 
 A live table is a folder with a ``base`` version of the memories and two logs of
 what came since: ``inserts`` (new rows) and ``recalls`` (count and latest time
-per memory). A micro-batch writes only its own changes, in a folder named by
-stream and batch id, so the large base is not rewritten and a batch that runs
-again after a failure replaces what it wrote before. :func:`current_memories`
-merges base and logs; :func:`compact` writes the merge as the base of a new
-live table, for instance in the daily sweep that rewrites the table anyway.
+per memory). Base and inserts lie in buckets by a hash of the user, so a batch reads
+the buckets of its own users only.
+
+A micro-batch writes only its own changes, in a folder named by stream and batch id,
+and at its end a mark in ``commits``. Readers look at marked batches alone: the inserts
+and recalls of a batch become visible together, and a batch that fails between
+them leaves nothing to be seen and is replaced when it runs again.
+:func:`current_memories` merges base and logs; :func:`compact` writes the merge as the
+base of a new live table, for instance in the daily sweep that rewrites the table anyway.
 """
 
 from __future__ import annotations
@@ -23,16 +27,29 @@ from mnemospark.functions.decay import forget_time
 from mnemospark.operators.lifecycle import apply_recalls, merge_recalls, roll_up_accesses
 from mnemospark.operators.reports import memory_stats
 from mnemospark.operators.saving import SavedBatch
-from mnemospark.sources.tables import write_memories
 
 
-def create_live_table(memories: DataFrame, path: str) -> None:
-    """Write the base and empty logs."""
-    write_memories(memories, f"{path}/base")
+#: Buckets of users in a live table, unless its creator chooses others.
+BUCKETS = 64
+#: Files that a bucket of the base is spread over at most, so that a large user is not one task.
+SPREAD = 16
+
+
+def create_live_table(memories: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Write the base, empty logs and the number of buckets."""
     spark = memories.sparkSession
-    _write_log(spark.createDataFrame([], memories.schema), f"{path}/inserts", "none", 0)
+    spread = F.pmod(F.xxhash64("id"), F.lit(SPREAD))
+    rows = memories.withColumn("bucket", _bucket(buckets)).repartition(F.col("bucket"), spread)
+    rows.sortWithinPartitions("bucket", "user_id").write.partitionBy("bucket").parquet(f"{path}/base")
+    _write_inserts(spark.createDataFrame([], memories.schema), path, "none", 0, buckets)
     none = spark.createDataFrame([], _recall_schema(memories.schema))
     _write_log(none, f"{path}/recalls", "none", 0)
+    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{path}/layout")
+    _commit(spark, path, "none", 0)
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int")
 
 
 def _recall_schema(memories: T.StructType) -> T.StructType:
@@ -49,32 +66,58 @@ def _write_log(rows: DataFrame, path: str, source: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/source={source}/batch={batch_id}")
 
 
+def _write_inserts(rows: DataFrame, path: str, source: str, batch_id: int, buckets: int) -> None:
+    writer = rows.withColumn("bucket", _bucket(buckets)).write.mode("overwrite").partitionBy("bucket")
+    writer.parquet(f"{path}/inserts/source={source}/batch={batch_id}")
+
+
+def _commit(spark: SparkSession, path: str, source: str, batch_id: int) -> None:
+    """Mark a batch as whole; the last thing that a batch writes."""
+    _write_log(spark.range(1).select(F.lit(True).alias("whole")).coalesce(1), f"{path}/commits", source, batch_id)
+
+
+NUMBERED = [T.StructField("source", T.StringType()), T.StructField("batch", T.LongType())]
+
+
 def _read_log(
-    spark: SparkSession, path: str, schema: T.StructType, source: str | None, before: int
+    spark: SparkSession, path: str, log: str, fields: list[T.StructField], source: str | None, before: int
 ) -> DataFrame:
-    """All entries of a log, without those of ``source`` from batch ``before`` on."""
-    full = T.StructType(
-        [*schema.fields, T.StructField("source", T.StringType()), T.StructField("batch", T.LongType())]
-    )
-    log = spark.read.schema(full).parquet(path)
+    """Entries of committed batches, without those of ``source`` from batch ``before`` on."""
+    marks = spark.read.schema(T.StructType([T.StructField("whole", T.BooleanType()), *NUMBERED]))
+    seen = marks.parquet(f"{path}/commits").filter("whole").select("source", "batch")
     if source is not None:
-        log = log.filter((F.col("source") != source) | (F.col("batch") < before))
-    return log.drop("source", "batch")
+        seen = seen.filter((F.col("source") != source) | (F.col("batch") < before))
+    entries = spark.read.schema(T.StructType([*fields, *NUMBERED])).parquet(f"{path}/{log}")
+    return entries.join(seen, ["source", "batch"], "left_semi").drop("source", "batch")
 
 
 def current_memories(
-    spark: SparkSession, path: str, source: str | None = None, before: int = 0
+    spark: SparkSession,
+    path: str,
+    source: str | None = None,
+    before: int = 0,
+    users: DataFrame | None = None,
 ) -> DataFrame:
-    """Base and logs merged; with ``source`` as that stream saw it before a batch."""
+    """Base and logs merged; with ``source`` as that stream saw it before a batch.
+
+    With ``users`` only the buckets that hold them are read: partitions of base and
+    inserts are left out by their number.
+    """
     base = spark.read.parquet(f"{path}/base")
-    inserts = _read_log(spark, f"{path}/inserts", base.schema, source, before)
-    recalls = _read_log(spark, f"{path}/recalls", _recall_schema(base.schema), source, before)
+    inserts = _read_log(spark, path, "inserts", base.schema.fields, source, before)
+    if users is not None:
+        buckets = spark.read.schema("buckets int").parquet(f"{path}/layout").first()["buckets"]
+        held = [r["bucket"] for r in users.select(_bucket(buckets).alias("bucket")).distinct().collect()]
+        base, inserts = (t.filter(F.col("bucket").isin(held)) for t in (base, inserts))
+    base, inserts = base.drop("bucket"), inserts.drop("bucket")
+    recalls = _read_log(spark, path, "recalls", _recall_schema(base.schema).fields, source, before)
     return apply_recalls(base.unionByName(inserts), merge_recalls(recalls))
 
 
 def compact(spark: SparkSession, path: str, new_path: str) -> None:
     """Write the merged table as the base of a new live table."""
-    create_live_table(current_memories(spark, path), new_path)
+    buckets = spark.read.schema("buckets int").parquet(f"{path}/layout").first()["buckets"]
+    create_live_table(current_memories(spark, path), new_path, buckets)
 
 
 def ingest_stream(
@@ -83,29 +126,54 @@ def ingest_stream(
     save: Callable[[DataFrame, DataFrame], SavedBatch],
     source: str = "ingest",
 ) -> DataStreamWriter:
-    """Save arriving completions into a live table.
+    """Save arriving completions (with user_id) into a live table.
 
-    ``save(memories, batch)`` gives the inserts and recalls of the batch.
+    ``save(memories, batch)`` gives the inserts and recalls of the batch; it is given the
+    memories of the batch's users and of those that share their buckets.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        before = current_memories(batch.sparkSession, path, source, batch_id)
+        spark = batch.sparkSession
+        before = current_memories(spark, path, source, batch_id, batch.select("user_id"))
+        buckets = spark.read.schema("buckets int").parquet(f"{path}/layout").first()["buckets"]
         saved = save(before, batch)
         inserts = saved.inserts.select(
             *(F.col(f.name).cast(f.dataType) for f in before.schema if f.name in saved.inserts.columns)
         )
-        _write_log(inserts, f"{path}/inserts", source, batch_id)
+        _write_inserts(inserts, path, source, batch_id, buckets)
         _write_log(saved.recalls, f"{path}/recalls", source, batch_id)
+        _commit(spark, path, source, batch_id)
 
     return completions.writeStream.foreachBatch(run)
 
 
-def access_stream(log: DataFrame, path: str, source: str = "access") -> DataStreamWriter:
-    """Record the recalls of an arriving access log (memory_id, ts) in a live table."""
+def each_event_once(log: DataFrame, lateness: str | None = None) -> DataFrame:
+    """A stream of accesses (event_id, memory_id, ts) without the events that came before.
+
+    A log that is delivered again changes nothing. Event ids are kept for good, or, with
+    ``lateness``, as long as their time is not that far behind the latest; events that
+    arrive later than that are dropped, as no one knows any more whether they were counted.
+    """
+    if lateness is None:
+        return log.dropDuplicates(["event_id"])
+    return log.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["event_id"])
+
+
+def access_stream(
+    log: DataFrame, path: str, source: str = "access", lateness: str | None = None
+) -> DataStreamWriter:
+    """Record the recalls of an arriving access log in a live table.
+
+    The log has memory_id and ts. With an ``event_id``, too, an event that arrives
+    again counts once, see :func:`each_event_once`.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         _write_log(roll_up_accesses(batch), f"{path}/recalls", source, batch_id)
+        _commit(batch.sparkSession, path, source, batch_id)
 
+    if "event_id" in log.columns:
+        log = each_event_once(log, lateness).drop("event_id")
     return log.writeStream.foreachBatch(run)
 
 
@@ -127,7 +195,12 @@ def latest_updates(spark: SparkSession, path: str, schema: T.StructType, key: st
 
 
 def access_counts_stream(log: DataFrame) -> DataFrame:
-    """Running count and latest access per memory, for update or complete mode."""
+    """Running count and latest access per memory, for update or complete mode.
+
+    Events (event_id) that arrive again count once.
+    """
+    if "event_id" in log.columns:
+        log = each_event_once(log).drop("event_id")
     return roll_up_accesses(log)
 
 

@@ -115,6 +115,62 @@ def test_forget_commands(spark, memories, as_of):
     assert set(left) == {"c", "d"} and left["d"].importance_score == 0.95
 
 
+def loop_of_commands(rows, commands, as_of):
+    """Forget commands one after another; rows: id -> (user, score, rate, accesses, last access)."""
+    import math
+
+    table, outcome = {i: list(r) for i, r in rows.items()}, {}
+    for number, user, memory_id, run_decay in sorted(commands):
+        if memory_id:
+            table.pop(memory_id, None)
+        elif run_decay:
+            fell = 0
+            for i, (owner, score, rate, n, last) in list(table.items()):
+                if owner != user:
+                    continue
+                days = (as_of - last).total_seconds() / 86400
+                after = max(0.0, min(1.0, score * math.exp(-max(0.0, rate - math.log1p(n) * 0.1) * days)))
+                if after < 0.05:
+                    del table[i]
+                    fell += 1
+                elif abs(after - score) > 0.001:
+                    table[i][1] = after
+            outcome[number] = fell
+    return {i: r[1] for i, r in table.items()}, outcome
+
+
+def test_sweeps_compound_between_deletions(spark, as_of):
+    import datetime as dt
+    import random
+
+    rng = random.Random(4)
+    now = dt.datetime(2024, 2, 15)
+    rows = {
+        f"m{k}": (f"u{k % 3}", rng.random(), rng.choice([0.02, 0.05, 0.1]), rng.randrange(3), now - dt.timedelta(days=rng.randrange(-3, 30)))
+        for k in range(120)
+    }
+    commands = [
+        (n, f"u{rng.randrange(4)}", f"m{rng.randrange(130)}" if n % 3 == 0 else None, n % 3 == 1) for n in range(40)
+    ]
+    memories = spark.createDataFrame(
+        [(i, *r) for i, r in rows.items()],
+        "id string, user_id string, importance_score double, decay_rate double, access_count int, last_accessed timestamp",
+    )
+    asked = spark.createDataFrame(commands, "command_id int, user_id string, memory_id string, run_decay boolean")
+    table, outcome = lifecycle.forget(memories, asked, as_of)
+    want, fell = loop_of_commands(rows, commands, now)
+    got = {r.id: r.importance_score for r in table.collect()}
+    assert set(got) == set(want)
+    assert all(got[i] == pytest.approx(want[i], abs=1e-12) for i in want)
+    told = {r.command_id: r.forgotten_count for r in outcome.filter("kind = 'decay'").collect()}
+    assert told == fell and len(set(told.values())) > 2
+
+
+def test_many_sweeps_end_in_a_fixed_point(spark, memories, as_of):
+    walked = memories.select("id", lifecycle.swept_times(as_of, F.lit(5_000)).alias("w"), lifecycle.swept_times(as_of, F.lit(1_001)).alias("v"))
+    assert all(r.w == r.v for r in walked.collect())
+
+
 def test_stats(spark, memories):
     users = spark.createDataFrame([("u",), ("empty",)], "user_id string")
     rows = {r.user_id: r for r in reports.memory_stats(memories, users).collect()}
@@ -159,6 +215,31 @@ def test_top_k_of_one_huge_group(spark):
     assert [tuple(r) for r in split.orderBy("rank").collect()] == [tuple(r) for r in whole.orderBy("rank").collect()]
 
 
+def test_failing_texts_are_reported_and_known_ones_not_embedded(spark):
+    import pandas as pd
+
+    seen = spark.sparkContext.accumulator(0)
+    texts = ["known", "good", "good", "bad", "empty", "odd", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, content string").coalesce(1)
+    store = spark.createDataFrame([("known", [9.0])], "t string, embedding array<float>").select(
+        vectors.text_key("t").alias("text_key"), "embedding"
+    )
+
+    def embed(batch: pd.Series) -> pd.Series:
+        seen.add(int((batch == "good").sum()))
+        if (batch == "bad").any():
+            raise RuntimeError("refused")
+        return batch.map({"good": [1.0, 2.0], "empty": [], "odd": ["x"], "known": [0.0]})
+
+    done = vectors.embed_missing(rows, store, embed)
+    assert {(r.id, r.reason) for r in done.failed.collect()} == {(3, "RuntimeError: refused"), (4, "no vector"), (5, "no vector")}
+    attached = {r.id: r.embedding for r in vectors.attach_embeddings(rows, done.store).collect()}
+    assert attached == {0: [9.0], 1: [1.0, 2.0], 2: [1.0, 2.0], 3: None, 4: None, 5: None, 6: None}
+    assert done.vectors.count() == 1 and seen.value == 2  # in the batch, then alone
+    again = vectors.embed_missing(rows, done.store, embed)
+    assert again.vectors.count() == 0 and seen.value == 2
+
+
 def test_embedding_function_sees_each_text_once(spark):
     import pandas as pd
 

@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from mnemospark.operators import nearest
+from mnemospark.operators import cells, nearest
+from mnemospark.session import new_folder
 from tests import brute
 
 MEMORY = "id {}, user_id string, project_id string, importance_score double, embedding array<float>"
@@ -166,10 +168,50 @@ def test_pruning_leaves_cells_out(spark):
     m, q = frames(spark, memories, requests)
     cells = nearest.fit_cells(m, n_cells=8)
     wanted = q.withColumnRenamed("user_id", "scope")
-    copies = nearest._probe(wanted, cells, radius=nearest._chord(0.93)).count()
+    reach = nearest.cells_within(cells, nearest._chord(0.93))
+    copies = wanted.agg(F.sum(F.size(reach("embedding")))).first()[0]
     assert copies < 30 * 8 * 0.6
 
 
+def test_kept_cells(spark):
+    """A table in cells: appended to, split where full, and searched by reading a part of it."""
+    memories, requests = make(9, 400, 30, clusters=8)
+    m, q = frames(spark, memories, requests)
+    path = new_folder(spark, "cells")
+    cells.create_cell_table(m.filter("id < 200"), path, n_cells=4)
+    cells.append_to_cells(m.filter("id >= 200"), path)
+    check(cells.search_cells(q, path, probes=4, k=5), memories, requests, 5)
+
+    def files():
+        return {f.rsplit("/", 1)[1] for f in spark.read.parquet(f"{path}/rows").inputFiles()}
+
+    before = files()
+    split = cells.split_full_cells(spark, path, full=80)
+    names, centres, version = cells._centres(spark, path)
+    assert split and version == 1 and not set(split) & set(names.tolist()) and len(names) == len(centres) > 4
+    # Other cells were not written again.
+    rows = spark.read.parquet(f"{path}/rows")
+    assert before <= files()
+    written = rows.filter(F.input_file_name().rlike("|".join(files() - before)))
+    assert {r.cell for r in written.select("cell").distinct().collect()} == set(names.tolist()) - {0, 1, 2, 3}
+    check(cells.search_cells(q, path, probes=len(names), k=5), memories, requests, 5)
+    assert cells.split_full_cells(spark, path, full=400) == []
+    probes = cells.fit_probes(q, path, recall=0.9, k=5)
+    exact = nearest.nearest_memories(q, m, 5)
+    found = cells.search_cells(q, path, probes, k=5)
+    report = nearest.recall_report(exact, found).agg(F.sum("found"), F.sum("expected")).first()
+    assert report[0] >= 0.9 * report[1] and probes < len(names)
+
+
+def test_a_search_reads_the_partitions_of_its_cells(spark):
+    memories, requests = make(10, 300, 1, clusters=8)
+    m, q = frames(spark, memories, requests)
+    path = new_folder(spark, "cells")
+    cells.create_cell_table(m, path, n_cells=8)
+    plan = cells.search_cells(q, path, probes=2, k=5)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan
+
+
 def test_scan_route_does_not_shuffle_memories(spark):
     memories, requests = make(8, 50, 5)
     m, q = frames(spark, memories, requests)
@@ -181,8 +223,6 @@ def test_scan_route_does_not_shuffle_memories(spark):
 
 
 def _written(spark, df):
-    from mnemospark.session import new_folder
-
     path = new_folder(spark, "test")
     df.write.parquet(path)
     return path

@@ -117,3 +117,23 @@ def test_a_save_without_a_vector_fails_alone(spark, as_of):
         got = decide(memories, broken)
         assert got.filter("action = 'failed'").count() == lost > 0
         assert got.filter("action = 'failed' and seq % 3 <> 0").isEmpty() and got.count() == incoming.count()
+
+
+def test_a_drifting_chain_takes_few_rounds(spark, monkeypatch):
+    """Every row is near the one before only; each round settles as many rows as a task may hold."""
+    import math
+
+    local, n = 12, 60
+    angle = math.acos(0.94)
+    rows = [
+        {"seq": k, "user_id": "u", "project_id": None, "importance_score": 0.5, "embedding": [math.cos(k * angle / 1.0), math.sin(k * angle / 1.0)]}
+        for k in range(n)
+    ]
+    rounds = []
+    first = saving._first_rows
+    monkeypatch.setattr(saving, "_first_rows", lambda *a: rounds.append(1) or first(*a))
+    m, i = frames(spark, [], rows)
+    want = brute.save_in_order([], rows)
+    got = {r.seq: (r.target, r.target_seq) for r in saving.decide_in_order(m, i, local_rows=local).collect()}
+    assert got == want
+    assert 0 < len(rounds) <= n // local + 2

@@ -176,3 +176,34 @@ def test_context_text(spark, case, as_of):
 def test_oversize(spark):
     df = spark.createDataFrame([(1, "u", "x" * 43), (2, "u", "x" * 44)], "id int, user_id string, content string")
     assert [r.id for r in packing.oversize_memories(df, budget=10).collect()] == [2]
+
+
+def test_every_rerank_call_has_its_own_status(spark):
+    memories, asked = make(31, queries=10)
+    for k, request in enumerate(asked):
+        request["user_id"] = "a" if k < 9 else "nobody"
+    m, q = frames(spark, memories, asked)
+    calls = spark.sparkContext.accumulator(0)
+
+    def call(query, contents):
+        calls.add(1)
+        if query == "q0":
+            raise TimeoutError
+        answers = {"q1": None, "q2": [(len(contents), 1.0)], "q3": [(0, "high")], "q4": 7, "q5": [], "q6": [(0.5, 1.0)]}
+        return answers.get(query, [(n, len(c) / 100) for n, c in enumerate(contents) if len(c) % 2])
+
+    when = F.lit(str(AS_OF)).cast("timestamp")
+    found = search.search_memories(
+        q.withColumn("query", F.concat(F.lit("q"), "qid")), m, search.call_per_request(call), when, 20
+    ).collect()
+    assert calls.value == 9
+    for request in asked[:9]:
+        rows = [r for r in found if r.qid == request["qid"]]
+        if request["qid"] in (0, 1, 2, 3, 4, 6):
+            assert {r.rerank_score for r in rows} == {1 / len(rows)}
+        elif request["qid"] == 5:
+            assert {r.rerank_score for r in rows} == {0.0}
+            assert [r.score for r in rows] == [r.similarity * r.importance_score for r in rows]
+        else:
+            assert all(r.rerank_score == pytest.approx(len(r.content) / 100 if len(r.content) % 2 else 0.0) for r in rows)
+    assert not [r for r in found if r.qid == asked[9]["qid"]]

@@ -1,5 +1,7 @@
 import datetime as dt
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from mnemospark.operators import lifecycle, reports
@@ -96,6 +98,80 @@ def test_ingest_stream_equals_batch(spark, as_of):
     assert [r.content for r in whole.failed.collect()] == ["no vector"]
 
 
+def test_a_batch_is_seen_as_a_whole(spark, as_of, monkeypatch):
+    """A batch that fails between its inserts and its recalls leaves nothing to be seen, and runs again."""
+    base = memories(spark)
+    path = new_folder(spark, "memories")
+    live.create_live_table(base, path, buckets=4)
+    schema = "completion_id int, user_id string, project_id string, raw string"
+    rows = [(0, "u0", None, '[{"content":"fact 0"},{"content":"new a"}]')]
+    texts = [("fact 0", [1.0, 0, 0, 0, 0, 0]), ("new a", [0, 0, 0, 0, 0.6, 0.8])]
+    vectors = spark.createDataFrame(
+        [(t, [float(x) for x in v]) for t, v in texts], "text string, embedding array<float>"
+    ).select(F.sha2("text", 256).alias("text_key"), "embedding")
+    state = new_folder(spark, "state")
+
+    def save(before, batch):
+        return plans.ingest_completions(before, batch, vectors, as_of)
+
+    def attempt():
+        writer = live.ingest_stream(stream, path, save).option("checkpointLocation", state)
+        writer.trigger(availableNow=True).start().awaitTermination()
+
+    stream = arrivals(spark, [spark.createDataFrame(rows, schema)])
+    columns = ("id", "importance_score", "access_count")
+    write = live._write_log
+
+    def failing(rows, where, *rest):
+        if where.endswith("/recalls"):
+            raise RuntimeError("lost")
+        write(rows, where, *rest)
+
+    monkeypatch.setattr(live, "_write_log", failing)
+    with pytest.raises(Exception, match="lost"):
+        attempt()
+    assert spark.read.parquet(f"{path}/inserts").count() == 1
+    assert as_rows(live.current_memories(spark, path), *columns) == as_rows(base, *columns)
+    monkeypatch.setattr(live, "_write_log", write)
+    attempt()
+    whole = plans.ingest_completions(base, spark.createDataFrame(rows, schema), vectors, as_of)
+    got = as_rows(live.current_memories(spark, path), *columns)
+    assert got == as_rows(plans.after_ingest(base, whole), *columns) and len(got) == 7
+
+
+def test_a_batch_reads_the_buckets_of_its_users(spark):
+    path = new_folder(spark, "memories")
+    live.create_live_table(memories(spark), path, buckets=16)
+    added = memories(spark).withColumn("id", F.concat(F.lit("n"), "id"))
+    live._write_inserts(added, path, "other", 0, 16)
+    live._commit(spark, path, "other", 0)
+    asking = spark.createDataFrame([("u1",)], "user_id string")
+    seen = live.current_memories(spark, path, users=asking)
+    assert seen.filter("user_id = 'u1'").count() == 6
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"PartitionFilters: \[[^\]]*bucket", plan)) >= 2
+
+
+def test_a_replayed_log_counts_once(spark):
+    base = memories(spark)
+    rows = [(k, f"m{k % 4}", OLD + dt.timedelta(days=1 + k)) for k in range(9)]
+    log = spark.createDataFrame(rows, "event_id long, memory_id string, ts timestamp")
+    want = lifecycle.reinforce(base, log)
+    columns = ("id", "importance_score", "access_count", "last_accessed")
+    assert as_rows(lifecycle.reinforce(base, log.unionByName(log)), *columns) == as_rows(want, *columns)
+    for lateness in (None, "30 days"):
+        path = new_folder(spark, "memories")
+        live.create_live_table(base, path)
+        run(live.access_stream(arrivals(spark, [log, log]), path, lateness=lateness), spark)
+        assert spark.read.parquet(f"{path}/commits").filter("source = 'access'").count() >= 2
+        assert as_rows(live.current_memories(spark, path), *columns) == as_rows(want, *columns)
+    out = new_folder(spark, "out")
+    counts = live.access_counts_stream(arrivals(spark, [log, log]))
+    run(live.update_sink(counts, out), spark)
+    got = live.latest_updates(spark, out, counts.schema, "id")
+    assert as_rows(got, "id", "recalls") == [("m0", 3), ("m1", 2), ("m2", 2), ("m3", 2)]
+
+
 def test_stats_stream_equals_batch(spark):
     base = memories(spark)
     halves = [base.filter("id <= 'm2'"), base.filter("id > 'm2'")]
