@@ -611,6 +611,24 @@ ORACLE: dict[str, str] = {
     "cascade_delete": f"""WITH {X2}, gone AS (SELECT user_id FROM events WHERE value > 300)
         SELECT user_id, count(*) AS memories FROM x2 WHERE user_id NOT IN (SELECT user_id FROM gone)
         GROUP BY user_id""",
+    "split_state": f"""WITH {X1}, {X3}, {LOG}, state AS (SELECT * FROM x1), {touched(True)},
+        whole AS (
+          SELECT t.id, m.user_id, coalesce(l.quality * 0.75e0, t.importance_score) AS importance_score, t.access_count,
+            t.last_accessed, m.content, m.emb
+          FROM touched t JOIN x1 m ON m.id = t.id LEFT JOIN labels l ON l.doc_id = t.id
+          WHERE t.id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+          UNION ALL SELECT -(seq + 1), user_id, importance_score, 0, {AS_OF}, content, emb FROM x3)
+        SELECT id, user_id, round(importance_score, 6) AS importance_score, access_count,
+          {stamp('last_accessed')} AS last_accessed, CAST(length(content) AS INT) AS letters, CAST(len(emb) AS INT) AS dims
+        FROM whole""",
+    "kept_stats": f"""WITH {X2}, {LOG}, state AS (SELECT * FROM x2), {touched(True)},
+        scored AS (SELECT t.id, m.user_id, m.decay_rate, m.created_at, t.access_count, t.last_accessed,
+            coalesce(l.quality * 0.75e0, t.importance_score) AS importance_score
+          FROM touched t JOIN x2 m ON m.id = t.id LEFT JOIN labels l ON l.doc_id = t.id WHERE t.id % 11 <> 0),
+        judged AS (SELECT *, {current()} AS cur, {action('importance_score', current())} AS action FROM scored),
+        m AS (SELECT user_id, created_at, CASE WHEN action = 'update' THEN cur ELSE importance_score END AS importance_score
+          FROM judged WHERE action <> 'forget')
+        SELECT m.user_id, {stats()} FROM m GROUP BY m.user_id""",
     "save_snapshot": f"""WITH {X1}, {X3}, {stored_hits()} SELECT i.seq,
         CASE WHEN s.seq IS NULL THEN 'insert' ELSE 'reinforce' END AS action, s.id,
         round(s.sim, 6) AS similarity FROM x3 i LEFT JOIN stored s ON s.seq = i.seq""",

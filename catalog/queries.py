@@ -26,9 +26,10 @@ from mnemospark.operators import (
     tools,
     vectors,
 )
+from mnemospark.operators import kept_stats as stats_kept
 from mnemospark.plans import maintenance, requests
 from mnemospark.session import configure, materialised, new_folder
-from mnemospark.sources import samples, tables
+from mnemospark.sources import samples, split, tables
 from mnemospark.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -807,6 +808,57 @@ def cascade_delete(spark, folder):
     )
 
 
+@query
+def split_state(spark, folder):
+    """Recalls, new scores, deletions and inserts on a table whose vectors are not moved."""
+    table = split.create(samples.vector_memories(spark, folder), new_folder(spark, "split"), buckets=8)
+    table = split.reinforce(table, samples.access_log(spark, folder))
+    scores = samples.table(spark, folder, "labels").select(
+        F.col("doc_id").alias("id"), (F.col("quality") * 0.75).alias("new_score")
+    )
+    table = split.delete(split.set_importance(table, scores), _toxic(spark, folder))
+    fresh = lifecycle.new_memories(samples.incoming_memories(spark, folder), AS_OF(), new_id=-(F.col("seq") + 1))
+    whole = split.insert(table, fresh).memories()
+    return whole.select(
+        "id",
+        "user_id",
+        r6("importance_score").alias("importance_score"),
+        "access_count",
+        stamp("last_accessed").alias("last_accessed"),
+        F.length("content").alias("letters"),
+        F.size("embedding").alias("dims"),
+    )
+
+
+@query
+def kept_stats(spark, folder):
+    """Statistics kept up to date over five batches: inserts, recalls, new scores, deletions, a sweep."""
+    everything = samples.event_memories(spark, folder)
+    third = F.col("id") % 3 == 0
+    stats = stats_kept.start(everything.filter(~third))
+    stats = stats_kept.update(stats, None, everything.filter(third), everything)
+    rolled = lifecycle.roll_up_accesses(samples.access_log(spark, folder))
+    scores = samples.table(spark, folder, "labels").select(
+        F.col("doc_id").alias("id"), (F.col("quality") * 0.75).alias("new_score")
+    )
+    before = everything
+    for ids, change in (
+        (rolled, lambda rows: lifecycle.apply_recalls(rows, rolled)),
+        (scores, lambda rows: lifecycle.set_importance(rows, scores)),
+    ):
+        after = materialised(change(before))
+        touched = [rows.join(ids.select("id"), "id", "left_semi") for rows in (before, after)]
+        stats = stats_kept.update(stats, *touched, after)
+        before = after
+    gone = F.col("id") % 11 == 0
+    stats = stats_kept.update(stats, before.filter(gone), None, before.filter(~gone))
+    planned = materialised(lifecycle.plan_sweep(before.filter(~gone), AS_OF()))
+    moved = planned.filter("action <> 'keep'")
+    swept = lifecycle.apply_sweep(planned, AS_OF())
+    stats = stats_kept.update(stats, moved, lifecycle.apply_sweep(moved, AS_OF()), swept)
+    return stats_kept.user_stats(stats).select("user_id", *_stats_columns())
+
+
 @query
 def save_snapshot(spark, folder):
     decisions = saving.decide_snapshot(

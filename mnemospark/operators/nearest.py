@@ -38,6 +38,8 @@ MEMORY_BLOCK_ROWS = 32_768
 REQUEST_BLOCK_ROWS = 4_096
 #: Scopes (key and two counts: about 60 bytes) that may be broadcast as large.
 LARGE_SCOPE_ROWS = 1_000_000
+#: Scopes whose counts (with their names about 60 bytes) the driver may hold while it plans.
+SCOPES_ON_DRIVER = 20_000
 #: Matches a scanning task holds before it merges them.
 HELD_MATCHES = 250_000
 
@@ -88,6 +90,7 @@ def nearest_memories(
     cells: np.ndarray | None = None,
     broadcast_requests: int = BROADCAST_REQUESTS,
     columns: Sequence[str] = (),
+    requests_stored: bool = False,
 ) -> DataFrame:
     """The ``k`` nearest live memories of every request: qid, id, similarity, rank.
 
@@ -95,7 +98,8 @@ def nearest_memories(
 
     ``min_similarity`` keeps only matches at or above it; with ``cells`` it also
     leaves out cells that provably hold none. ``earlier_only`` compares the
-    ``sequence`` columns and matches earlier rows only.
+    ``sequence`` columns and matches earlier rows only. ``requests_stored`` says that the
+    requests are read from a stored table, so they need not be written once more.
     """
     rule = MatchRule(k, min_similarity, earlier_only)
     sequence = ["sequence"] if earlier_only else []
@@ -113,7 +117,7 @@ def nearest_memories(
             reach = cells_within(cells, _chord(min_similarity))
             wanted = _scoped(wanted.withColumn("cell", F.explode(reach("embedding"))), "cell")
             stored = _scoped(stored.withColumn("cell", nearest_cell(cells)("embedding")), "cell")
-        partial = _join_blocks(wanted, stored, rule)
+        partial = _join_blocks(wanted, stored, rule, requests_stored and cells is None)
     ranked = _final_ranks(partial, k)
     if not columns:
         return ranked
@@ -246,7 +250,9 @@ def _scan_memories(
     return stored.mapInArrow(scan, _match_schema(qid_type, stored.schema["id"].dataType))
 
 
-def _join_blocks(wanted: DataFrame, stored: DataFrame, rule: MatchRule) -> DataFrame:
+def _join_blocks(
+    wanted: DataFrame, stored: DataFrame, rule: MatchRule, requests_stored: bool = False
+) -> DataFrame:
     """Co-group bounded blocks of both sides.
 
     Scopes with more rows than a block are cut by a hash of the row id; each
@@ -254,27 +260,13 @@ def _join_blocks(wanted: DataFrame, stored: DataFrame, rule: MatchRule) -> DataF
     buckets of about one block, so that no bucket grows far beyond it. Only
     scopes that are requested are shuffled.
     """
-    wanted = materialised(wanted)
+    wanted = wanted if requests_stored else materialised(wanted)
     asked = wanted.groupBy("scope").agg(F.count("*").alias("asked"))
-    # Rows of other users are neither counted nor shuffled.
-    stored = stored.join(broadcast_if_small(asked.select("scope")), "scope", "left_semi")
-    held = stored.groupBy("scope").agg(F.count("*").alias("held"))
-    sizes = materialised(asked.join(held, "scope"))
-    large = sizes.filter(
-        (F.col("held") > MEMORY_BLOCK_ROWS // 8) | (F.col("asked") > REQUEST_BLOCK_ROWS // 8)
-    ).select(
-        "scope",
-        F.ceil(F.col("held") / MEMORY_BLOCK_ROWS).cast("int").alias("m_blocks"),
-        F.ceil(F.col("asked") / REQUEST_BLOCK_ROWS).cast("int").alias("q_blocks"),
-    )
-    totals = sizes.agg(F.sum("held").alias("held"), F.sum("asked").alias("asked")).first()
-    buckets = max(
-        1,
-        ceil((totals["held"] or 0) / MEMORY_BLOCK_ROWS),
-        ceil((totals["asked"] or 0) / REQUEST_BLOCK_ROWS),
-    )
-    # Worth a larger broadcast: the alternative shuffles the vectors once more.
-    large = broadcast_if_small(large, LARGE_SCOPE_ROWS)
+    few = asked.limit(SCOPES_ON_DRIVER + 1).toArrow()
+    if few.num_rows <= SCOPES_ON_DRIVER:
+        stored, large, buckets = _blocks_of_few(stored, few)
+    else:
+        stored, large, buckets = _blocks_of_many(stored, asked)
     scope_hash = F.xxhash64("scope")
     bucket = F.when(F.col("m_blocks").isNull(), F.pmod(scope_hash, F.lit(buckets))).otherwise(
         scope_hash
@@ -326,6 +318,48 @@ def _join_blocks(wanted: DataFrame, stored: DataFrame, rule: MatchRule) -> DataF
     return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(match, schema)
 
 
+def _blocks_of_few(stored: DataFrame, asked: pa.Table) -> tuple[DataFrame, DataFrame, int]:
+    """Rows of the asked scopes, the scopes of several blocks, and the number of buckets for the rest.
+
+    The scopes and their two counts are few enough for the driver.
+    """
+    spark, kind = stored.sparkSession, stored.schema["scope"].dataType.simpleString()
+    names = spark.createDataFrame([(scope,) for scope in asked["scope"].to_pylist()], f"scope {kind}")
+    # Rows of other users are neither counted nor shuffled.
+    stored = stored.join(F.broadcast(names), "scope", "left_semi")
+    held = stored.groupBy("scope").agg(F.count("*").alias("held")).toArrow().to_pandas()
+    sizes = asked.to_pandas().merge(held, on="scope")
+    many = (sizes["held"] > MEMORY_BLOCK_ROWS // 8) | (sizes["asked"] > REQUEST_BLOCK_ROWS // 8)
+    rows = [
+        (scope, ceil(n / MEMORY_BLOCK_ROWS), ceil(q / REQUEST_BLOCK_ROWS))
+        for scope, q, n in sizes[many][["scope", "asked", "held"]].itertuples(index=False)
+    ]
+    large = spark.createDataFrame(rows, f"scope {kind}, m_blocks int, q_blocks int")
+    return stored, F.broadcast(large), _buckets(int(sizes["held"].sum()), int(sizes["asked"].sum()))
+
+
+def _blocks_of_many(stored: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The same with all counts kept in tables."""
+    stored = stored.join(broadcast_if_small(asked.select("scope")), "scope", "left_semi")
+    held = stored.groupBy("scope").agg(F.count("*").alias("held"))
+    sizes = materialised(asked.join(held, "scope"))
+    large = sizes.filter(
+        (F.col("held") > MEMORY_BLOCK_ROWS // 8) | (F.col("asked") > REQUEST_BLOCK_ROWS // 8)
+    ).select(
+        "scope",
+        F.ceil(F.col("held") / MEMORY_BLOCK_ROWS).cast("int").alias("m_blocks"),
+        F.ceil(F.col("asked") / REQUEST_BLOCK_ROWS).cast("int").alias("q_blocks"),
+    )
+    totals = sizes.agg(F.sum("held").alias("held"), F.sum("asked").alias("asked")).first()
+    # Worth a larger broadcast: the alternative shuffles the vectors once more.
+    large = broadcast_if_small(large, LARGE_SCOPE_ROWS)
+    return stored, large, _buckets(totals["held"] or 0, totals["asked"] or 0)
+
+
+def _buckets(held: int, asked: int) -> int:
+    return max(1, ceil(held / MEMORY_BLOCK_ROWS), ceil(asked / REQUEST_BLOCK_ROWS))
+
+
 def _final_ranks(partial: DataFrame, k: int) -> DataFrame:
     return top_k_per_group(
         partial, ["qid"], [F.col("similarity").desc(), F.col("id")], k, split_on="id"

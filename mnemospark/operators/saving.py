@@ -125,6 +125,7 @@ def decide_in_order(
     """
     # Read several times below, and its vectors may come from a costly function.
     incoming = materialised(incoming)
+    options = {"requests_stored": True, **options}
     stored_hits = materialised(_nearest_stored(memories, incoming, threshold, **options))
     unmatched = incoming.filter(F.col("embedding").isNotNull()).join(
         stored_hits, "seq", "left_anti"
@@ -227,9 +228,8 @@ def _earliest_distinct(
 
     Users with few undecided rows are walked in order inside one task each. The
     rest go through rounds. In a round each user's first ``local_rows`` undecided rows are
-    walked, and what is near to a kept one of them is dropped; of the rows behind them, those
-    without an earlier undecided neighbour are kept, rows near a kept one are dropped, and
-    the others stay. A group of copies of any size is settled in one round, because a row
+    walked; of the rows behind them, those without a neighbour among kept first rows and
+    earlier undecided ones are kept, rows near a kept one are dropped, and the others stay. A group of copies of any size is settled in one round, because a row
     reports only whether it has such a neighbour, never its list of neighbours; and as
     every round decides a user's first ``local_rows`` rows, a chain of drifting rows takes
     no more than its length over ``local_rows`` rounds.
@@ -250,15 +250,15 @@ def _earliest_distinct(
         )
         walked = materialised(_walk_users(first, threshold))
         kept = _union(kept, walked)
-        rest = undecided.join(first.select("id"), "id", "left_anti")
-        rule = {"min_similarity": threshold, "earlier_only": True, **options}
         heads = first.join(walked.select(F.col("seq").alias("id")), "id", "left_semi")
-        behind = materialised(_not_near(rest, heads, rule))
-        blocked = nearest_memories(behind.withColumnRenamed("id", "qid"), behind, 1, **rule)
-        leaders = materialised(behind.join(blocked.select(F.col("qid").alias("id")), "id", "left_anti"))
+        rest = materialised(undecided.join(first.select("id"), "id", "left_anti"))
+        rule = {"min_similarity": threshold, "earlier_only": True, "requests_stored": True, **options}
+        blocked = _near(rest, heads.unionByName(rest), rule)
+        leaders = materialised(rest.join(blocked, "id", "left_anti"))
         kept = _union(kept, leaders.select(F.col("id").alias("seq")))
-        followers = behind.join(leaders.select("id"), "id", "left_anti")
-        undecided = materialised(_not_near(followers, leaders, rule))
+        followers = materialised(rest.join(leaders.select("id"), "id", "left_anti"))
+        near = _near(followers, heads.unionByName(leaders), rule)
+        undecided = materialised(followers.join(near, "id", "left_anti"))
 
 
 def _first_rows(rows: DataFrame, n: int) -> DataFrame:
@@ -269,11 +269,10 @@ def _first_rows(rows: DataFrame, n: int) -> DataFrame:
     return rows.join(broadcast_if_small(numbers.select("id")), "id", "left_semi")
 
 
-def _not_near(rows: DataFrame, others: DataFrame, rule: dict) -> DataFrame:
-    """Rows without a match among earlier ``others``."""
-    rows = materialised(rows)
-    near = nearest_memories(rows.withColumnRenamed("id", "qid"), others, 1, **rule)
-    return rows.join(near.select(F.col("qid").alias("id")), "id", "left_anti")
+def _near(rows: DataFrame, others: DataFrame, rule: dict) -> DataFrame:
+    """``id`` of the rows with a match among earlier ``others``."""
+    found = nearest_memories(rows.withColumnRenamed("id", "qid"), others, 1, **rule)
+    return found.select(F.col("qid").alias("id"))
 
 
 def _union(left: DataFrame | None, right: DataFrame) -> DataFrame:
