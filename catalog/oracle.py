@@ -561,6 +561,9 @@ ORACLE: dict[str, str] = {
         SELECT {SEARCH_COLUMNS} FROM results WHERE rank <= 10""",
     "rerank_failed": f"""WITH {X1}, {REQ}, {hits()}, {found(CALLED, 'qid % 7 NOT IN (1, 2, 3)')}
         SELECT {SEARCH_COLUMNS} FROM results WHERE rank <= 10""",
+    "rerank_scored_batches": f"""WITH {X1}, {REQ}, {hits()}, {found(
+          "CASE WHEN length(m.content) % 5 <> 0 THEN ((length(m.content) * 7 + h.qid) % 101) / 100e0 END")}
+        SELECT {SEARCH_COLUMNS} FROM results WHERE rank <= 10""",
     "search_answered": f"""WITH {X1}, {REQ}, {hits()}, {found(answered='qid % 4 <> 0')}
         SELECT {SEARCH_COLUMNS} FROM results WHERE rank <= 10""",
     "rerank_score_join": f"""WITH {X1}, {REQ}, {hits()}, s AS (SELECT qid, id, CASE WHEN qid % 3 <> 0 AND id % 7 <> 0
@@ -677,6 +680,14 @@ ORACLE: dict[str, str] = {
           count(*) FILTER (WHERE action = 'forget') AS memories_forgotten FROM swept GROUP BY user_id) f
         LEFT JOIN s ON s.u = f.user_id""",
     "ingest_facts": f"WITH RECURSIVE {INGEST} SELECT * FROM decisions",
+    "ingest_failed": f"""WITH {COMPLETIONS} SELECT completion_id, item_no, user_id, content, memory_type FROM facts
+        WHERE content NOT IN (SELECT c.text FROM conversations c JOIN embeddings e ON e.vec_id = c.conv_id + c.conv_id % 2 * 5)""",
+    "ingest_users": f"""WITH RECURSIVE {INGEST} SELECT DISTINCT user_id, CASE WHEN user_id < 5 THEN '2024-01-01 00:00:00.000000'
+          ELSE {stamp(AS_OF)} END AS created_at FROM (SELECT user_id FROM x1 WHERE user_id < 5 UNION ALL
+          SELECT user_id FROM x3 WHERE seq IN (SELECT seq FROM decisions WHERE action = 'insert'))""",
+    "insert_users": f"""WITH {X1}, {X3}, whole AS (SELECT user_id FROM x1 UNION ALL SELECT user_id FROM x3)
+        SELECT u.user_id, (SELECT count(*) FROM whole w WHERE w.user_id = u.user_id) AS memories
+        FROM (SELECT c_custkey AS user_id FROM customer WHERE c_custkey % 2 = 0 UNION SELECT user_id FROM x3) u""",
     "stream_ingest_table": f"WITH RECURSIVE {INGEST}, {after_saves('decisions', '-(target_seq + 1)')}",
     "stream_access_table": f"""WITH {X1}, {LOG}, state AS (SELECT * FROM x1), {touched(True)}
         SELECT {STATE} FROM touched""",

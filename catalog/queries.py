@@ -603,6 +603,21 @@ def rerank_failed(spark, folder):
     return _search_columns(found)
 
 
+def _score(queries: pd.Series, contents: pd.Series) -> pd.Series:
+    """Stand-in for a scoring model over batches of pairs; some pairs have no score."""
+    score = (contents.str.len() * 7 + queries.astype(int)) % 101 / 100.0
+    return score.where(contents.str.len() % 5 != 0)
+
+
+@query
+def rerank_scored_batches(spark, folder):
+    """Scores of a user function over batches of pairs."""
+    found = search.search_memories(
+        _asked_with_text(spark, folder), samples.vector_memories(spark, folder), search.score_with(_score), AS_OF()
+    )
+    return _search_columns(found)
+
+
 @query
 def search_answered(spark, folder):
     """A score table beside a table of the calls that were answered."""
@@ -1082,14 +1097,45 @@ def _fact_vectors(spark, folder):
 @query
 def ingest_facts(spark, folder):
     """Completions parsed, embedded and saved; facts without a vector left out."""
-    ingested = requests.ingest_completions(
+    return _ingested(spark, folder).decisions.withColumn("similarity", r6("similarity"))
+
+
+def _ingested(spark, folder):
+    return requests.ingest_completions(
         samples.vector_memories(spark, folder),
         samples.completions(spark, folder),
         _fact_vectors(spark, folder),
         AS_OF(),
         new_id=-(F.col("seq") + 1),
     )
-    return ingested.decisions.withColumn("similarity", r6("similarity"))
+
+
+@query
+def ingest_failed(spark, folder):
+    """Facts whose text has no vector; they stop no other."""
+    return _ingested(spark, folder).failed.select("completion_id", "item_no", "user_id", "content", "memory_type")
+
+
+@query
+def ingest_users(spark, folder):
+    """Half of the users are known before; the first facts of the others add them."""
+    first = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    known = samples.vector_memories(spark, folder).filter("user_id < 5").select("user_id").distinct()
+    known = known.withColumns({"created_at": first, "updated_at": first})
+    users = requests.users_after_ingest(known, _ingested(spark, folder), AS_OF())
+    return users.select("user_id", stamp("created_at").alias("created_at"))
+
+
+@query
+def insert_users(spark, folder):
+    """Inserting memories adds their users."""
+    known = samples.table(spark, folder, "customer").select(F.col("c_custkey").alias("user_id")).filter("user_id % 2 = 0")
+    known = known.withColumns({"created_at": AS_OF(), "updated_at": AS_OF()})
+    users, memories = lifecycle.insert_with_users(
+        known, samples.vector_memories(spark, folder), samples.incoming_memories(spark, folder), AS_OF(), -(F.col("seq") + 1)
+    )
+    counts = memories.groupBy("user_id").agg(F.count("*").alias("memories"))
+    return users.join(counts, "user_id", "left").select("user_id", F.coalesce("memories", F.lit(0)).alias("memories"))
 
 
 # --- streams ------------------------------------------------------------------------

@@ -59,6 +59,13 @@ def insert_memories(
     return append_rows(memories, new_memories(rows, as_of, new_id))
 
 
+def insert_with_users(
+    users: DataFrame, memories: DataFrame, rows: DataFrame, as_of: Column, new_id: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """User and memory table with ``rows`` added, and the users they are the first ones of."""
+    return upsert_users(users, rows, as_of), insert_memories(memories, rows, as_of, new_id)
+
+
 def append_rows(memories: DataFrame, fresh: DataFrame) -> DataFrame:
     """Union under the memory table's columns and types."""
     return memories.unionByName(

@@ -34,14 +34,20 @@ HIDDEN = ("session_id", "embedding", "metadata", "expires_at")
 def list_by_user(
     memories: DataFrame, project_id: str | None = None, limit: int = LIST_LIMIT
 ) -> DataFrame:
-    """Per user the memories of highest stored importance."""
-    return top_k_per_group(
-        in_scope(memories, project_id=project_id).drop(*HIDDEN),
+    """Per user the memories of highest stored importance.
+
+    Only ids and scores are ranked; the texts of the listed rows are fetched afterwards, so
+    none is shuffled that is not listed.
+    """
+    scoped = in_scope(memories, project_id=project_id).drop(*HIDDEN)
+    ranked = top_k_per_group(
+        scoped.select("user_id", "id", "importance_score"),
         ["user_id"],
         [F.col("importance_score").desc(), F.col("id")],
         limit,
         split_on="id",
     )
+    return scoped.join(broadcast_if_small(ranked.select("id", "rank")), "id").select(*scoped.columns, "rank")
 
 
 def get_by_id(memories: DataFrame, ids: DataFrame) -> DataFrame:

@@ -168,7 +168,10 @@ def decide_in_order(
 
 
 class SavedBatch(NamedTuple):
-    """What a batch of saves changes, and why."""
+    """What a batch of saves changes, and why.
+
+    The users of ``inserts`` are users from then on (:func:`lifecycle.upsert_users`).
+    """
 
     inserts: DataFrame
     recalls: DataFrame

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.operators.extraction import parse_completions
-from mnemospark.operators.lifecycle import append_rows, apply_recalls, reinforce
+from mnemospark.operators.lifecycle import append_rows, apply_recalls, reinforce, upsert_users
 from mnemospark.operators.packing import context_text, memory_section, pack_memories
 from mnemospark.operators.saving import changes_in_order
 from mnemospark.operators.search import Reranker, search_memories
@@ -101,3 +101,8 @@ def ingest_completions(
 def after_ingest(memories: DataFrame, ingested: Ingested) -> DataFrame:
     """Memory table with the inserts and recalls of a batch applied."""
     return apply_recalls(append_rows(memories, ingested.inserts), ingested.recalls)
+
+
+def users_after_ingest(users: DataFrame, ingested: Ingested, as_of: Column) -> DataFrame:
+    """User table with those a batch has inserted the first memories of."""
+    return upsert_users(users, ingested.inserts, as_of)

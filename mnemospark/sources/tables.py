@@ -34,11 +34,6 @@ def write_memories(memories: DataFrame, path: str, mode: str = "errorifexists")
     ).parquet(path)
 
 
-def save_bucketed(memories: DataFrame, table: str, buckets: int, mode: str = "errorifexists") -> None:
-    """Save as a table bucketed by user, so per-user aggregates need no exchange."""
-    memories.write.bucketBy(buckets, "user_id").sortBy("user_id").mode(mode).saveAsTable(table)
-
-
 def append_memories(rows: DataFrame, path: str) -> None:
     write_memories(rows, path, mode="append")
 
