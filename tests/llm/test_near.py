@@ -158,10 +158,76 @@ def test_passages_of_51_to_60_words(spark, edit):
     rows, want = long_rows(edit)
     texts = {i: t.encode() for i, t, _ in rows}
     got = passages.repeated_passages(documents(ready(spark), rows)).collect()
-    assert {r["doc_id"]: (texts[r["doc_id"]][r["start"] : r["stop"]].decode(), r["n_words"], r["first_doc_id"]) for r in got} == want
+    found = {r["doc_id"]: (texts[r["doc_id"]][r["start"] : r["stop"]].decode(), r["n_words"], r["first_doc_id"]) for r in got}
+    # The begin of its passage, up to 50 words, is kept by 200 and by 201, the whole by 201.
+    if found[202][2] == 200:
+        found[202] = (*found[202][:2], 201)
+    assert found == want
     assert len(got) == len(want)
 
 
+def test_passages_kept_in_halves(spark):
+    """Two documents hold the halves of a passage, two later ones the whole, one of them with another word."""
+    draw = random.Random(11)
+    word = lambda: "".join(draw.choice("abcdefghijkl") for _ in range(6))
+    rows, want = [], {}
+    for k in range(0, 240, 4):
+        passage = [word() for _ in range(70)]
+        changed = [*passage[:20], word(), *passage[21:]]
+        for n, own in enumerate((passage[:35], passage[35:], passage, changed)):
+            at = draw.randrange(1, 79)
+            other = [word() for _ in range(80)]
+            rows.append((k + n, " ".join(other[:at] + own + other[at:]), "en"))
+            if n > 1:
+                want[k + n] = " ".join(own)
+    texts = {i: t.encode() for i, t, _ in rows}
+    got = passages.repeated_passages(documents(ready(spark), rows)).collect()
+    found = {r["doc_id"]: texts[r["doc_id"]][r["start"] : r["stop"]].decode() for r in got}
+    assert all(found[i] == want[i] for i in want if i % 4 == 2) and set(found) <= set(want)
+    # With another word a whole paragraph must be left of each half; that is likely, not certain.
+    assert sum(found.get(i) == want[i] for i in want if i % 4 == 3) >= 57
+
+
+def plain_windows(rows, size):
+    """Words of each text that lie in a window that an earlier document has."""
+    seen, out = {}, {}
+    for i, text, _ in rows:
+        words = text.lower().split()
+        for k in range(len(words) - size + 1):
+            seen.setdefault(" ".join(words[k : k + size]), set()).add(i)
+    for i, text, _ in rows:
+        words = text.lower().split()
+        for k in range(len(words) - size + 1):
+            if min(seen[" ".join(words[k : k + size])]) < i:
+                out.setdefault(i, set()).update(range(k, k + size))
+    return out
+
+
+def test_every_exact_repeat_is_found(spark):
+    """Texts put together from shared pieces of any length: each window that repeats is inside a passage."""
+    draw = random.Random(17)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(5))
+    pool = [word() for _ in range(600)]
+    rows = []
+    for i in range(150):
+        own = []
+        while len(own) < 160:
+            if draw.random() < 0.5:
+                at = draw.randrange(560)
+                own += pool[at : at + draw.randrange(20, 90)]
+            else:
+                own += [word() for _ in range(draw.randrange(1, 60))]
+        rows.append((i, " ".join(own), "en"))
+    want = plain_windows(rows, 51)
+    texts = {i: t.encode() for i, t, _ in rows}
+    got = {}
+    for r in passages.repeated_passages(documents(ready(spark), rows)).collect():
+        before = len(texts[r["doc_id"]][: r["start"]].split())
+        got.setdefault(r["doc_id"], set()).update(range(before, before + r["n_words"]))
+        assert r["n_words"] >= 51 and r["first_doc_id"] < r["doc_id"]
+    assert len(want) > 50 and all(places <= got.get(i, set()) for i, places in want.items())
+
+
 def test_passages_of_nothing(spark):
     docs = documents(ready(spark), [])
     assert passages.remove_passages(docs, passages.repeated_passages(docs)).count() == 0
