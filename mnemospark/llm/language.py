@@ -23,9 +23,6 @@ from mnemospark.llm.common import map_batches, texts, worker_state
 #: Bound of the labelled rows that the model is fitted on, for each language.
 SAMPLE = 4_000
 
-#: Letters of a sampled text that are counted; the sample is bounded in size by both.
-SAMPLE_CHARS = 20_000
-
 #: Slots of the table of letter groups, lengths of the groups, smoothing.
 SLOTS, GROUPS, SMOOTHING = 1 << 16, (1, 2, 3), 0.5
 
@@ -142,15 +139,15 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
     return labels
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
-    """Count letter groups and scripts by language over a bounded sample.
+def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
+    """Count letter groups and scripts by language over a bounded sample of whole texts.
 
-    At most ``sample`` texts a language (the least by a hash of the text, so the
-    same ones in any order of rows), ``chars`` characters of each. The result is
-    one row a language of at most SLOTS counts.
+    About ``sample`` rows a language: those below a cut of a hash of doc_id and text, so the
+    same ones in any order of rows, and copies of a text are drawn one by one. The
+    result is one row a language of at most SLOTS counts.
     """
     rows = labelled.where("text is not null and lang is not null")
-    draw = F.xxhash64("text")
+    draw = F.xxhash64("doc_id", "text")
     # The cut by hash comes from counts alone; no text is sorted or shuffled for it.
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
@@ -159,7 +156,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) ->
     for lang, count in sizes.items():
         limit = int(-(1 << 63) + min(1.0, sample / count) * ((1 << 64) - 1))
         keep = keep | ((F.col("lang") == lang) & (draw <= F.lit(min(limit, (1 << 63) - 1))))
-    bounded = rows.where(keep).select(F.col("lang"), F.substring("text", 1, chars).cast("binary").alias("text"))
+    bounded = rows.where(keep).select(F.col("lang"), F.col("text").cast("binary").alias("text"))
 
     def run(batches):
         counts: dict[str, list[np.ndarray]] = {}
