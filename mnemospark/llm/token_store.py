@@ -5,8 +5,8 @@ A store is a folder in shared storage:
 * ``shard-N.ids``: raw little-endian ids of its documents, one after the other
   in ascending doc_id order (16 bits where the vocabulary allows, else 32),
 * ``shard-N.idx``: a minimal perfect hash over the shard's doc_ids, and by slot
-  a 32-bit fingerprint of the key, the offset and the number of ids; the same
-  data once more in document order for sequential reads,
+  a 32-bit fingerprint of the key, the offset and the number of ids; besides, keys and
+  numbers of ids in document order, for rows without a key of their own (null, repeated),
 * ``manifest.json``: width of an id and, by shard, its first and last key,
   documents, ids, and the ids in all shards before it.
 
@@ -181,10 +181,31 @@ def _read(store: fs.FileSystem, path: str, at: int = 0, size: int | None = None)
         return file.read_at(file.size() if size is None else size, at)
 
 
+def _places(index: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Offset and number of ids of every document of a shard, in order.
+
+    A key's come from its slot, all keys of the shard at once. Null keys and rows after the
+    first of a key have no slot; theirs follow from the numbers before them.
+    """
+    ids, counts = index["ids"], index["counts"].copy()
+    begins = np.cumsum(counts) - counts
+    if "moves" not in index:
+        return begins, counts
+    first = np.unique(ids, return_index=True)[1]
+    first = first[ids[first] != NO_ID]
+    keys = ids[first].view(np.uint64)
+    slots = perfect_slots(keys, index["moves"], len(index["marks"]))
+    if (index["marks"][slots] != fingerprints(keys)).any():
+        raise ValueError("the index does not hold the keys of its shard")
+    begins[first], counts[first] = index["at"][slots], index["n"][slots]
+    return begins, counts
+
+
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids (binary, little-endian 32-bit) of the whole store.
 
-    A task reads one shard at a time, a stretch of documents at once.
+    Documents are found by the perfect hash of their shard; a task reads one shard at a
+    time, a stretch of documents at once.
     """
     held = manifest(folder)
     kind, width = held["kind"], np.dtype(held["kind"]).itemsize
@@ -198,18 +219,18 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
             for shard, start in zip(batch["shard"].to_pylist(), batch["start"].to_pylist()):
                 name = f"{root}/shard-{shard:06d}"
                 index = np.load(io.BytesIO(_read(store, name + ".idx")))
-                ids, counts = index["ids"], index["counts"]
-                ends = np.cumsum(counts)
+                ids, (begins, counts) = index["ids"], _places(index)
+                ends = begins + counts
                 stretch = (ends - 1) // (1 << 21)
                 with store.open_input_file(name + ".ids") as file:
                     for lot in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(stretch)) + 1):
-                        first = int(ends[lot[0]] - counts[lot[0]])
+                        first = int(begins[lot[0]])
                         raw = np.frombuffer(file.read_at((int(ends[lot[-1]]) - first) * width, first * width), kind).astype("<u4")
                         cuts = ends[lot] - first
                         yield pa.RecordBatch.from_arrays(
                             [
                                 pa.array(ids[lot], pa.int64(), mask=ids[lot] == NO_ID),
-                                pa.array(start + ends[lot] - counts[lot], pa.int64()),
+                                pa.array(start + begins[lot], pa.int64()),
                                 pa.array(counts[lot], pa.int64()),
                                 pa.array([part.tobytes() for part in np.split(raw, cuts[:-1])], pa.binary()),
                             ],
