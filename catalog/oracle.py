@@ -470,10 +470,11 @@ ORACLE: dict[str, str] = {
         ELSE sha256(concat(CAST(user_id AS VARCHAR), ':', CAST(event_id AS VARCHAR))) END AS session_id
         FROM events""",
     "vector_text": """SELECT vec_id, CAST(len(embedding) AS INT) AS dims,
-        round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings""",
+        round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x, n: x * n)), 6) AS by_place FROM embeddings""",
     "embedding_attach": """WITH known AS (SELECT d.text, arg_min(e.embedding, e.vec_id) AS embedding
           FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id GROUP BY d.text)
-        SELECT d.doc_id, round(CAST(k.embedding[1] AS DOUBLE), 6) AS first_value
+        SELECT d.doc_id, CAST(len(k.embedding) AS INT) AS dims,
+          round(list_sum(list_transform(CAST(k.embedding AS DOUBLE[]), lambda x, n: x * n)), 6) AS by_place
         FROM documents d LEFT JOIN known k ON k.text = d.text""",
     "embed_missing": """WITH store AS (SELECT text, -min(doc_id) - 1 AS first FROM documents WHERE doc_id % 3 = 0 GROUP BY text)
         SELECT d.doc_id, CASE WHEN s.text IS NOT NULL THEN CAST(s.first AS DOUBLE)

@@ -148,8 +148,13 @@ def vector_text(spark, folder):
     """Vectors to text and back."""
     e = samples.table(spark, folder, "embeddings").select("vec_id", "embedding")
     back = tables.import_vector_text(tables.export_vector_text(e))
-    total = F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x.cast("double"))
-    return back.select("vec_id", F.size("embedding").alias("dims"), r6(total).alias("total"))
+    return back.select("vec_id", F.size("embedding").alias("dims"), _by_place("embedding").alias("by_place"))
+
+
+def _by_place(vector_column: str) -> Column:
+    """One number for all entries of a vector and their order."""
+    placed = F.transform(vector_column, lambda x, n: x.cast("double") * (n + 1))
+    return r6(F.aggregate(placed, F.lit(0.0), lambda total, x: total + x))
 
 
 @query
@@ -165,7 +170,7 @@ def embedding_attach(spark, folder):
         .agg(F.min_by("embedding", "doc_id").alias("embedding"))
     )
     attached = vectors.attach_embeddings(d, known)
-    return attached.select("doc_id", r6(F.get("embedding", F.lit(0)).cast("double")).alias("first_value"))
+    return attached.select("doc_id", F.size("embedding").alias("dims"), _by_place("embedding").alias("by_place"))
 
 
 def _embed(texts: pd.Series) -> pd.Series:
