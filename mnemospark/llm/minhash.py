@@ -61,7 +61,7 @@ def prune_bounds(total: int, batch: int = BATCH, threshold: int = THRESHOLD, mis
 
 
 def sketches(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, set_key (128 bits of the whole set), signature (bytes), keys (of bands)."""
+    """doc_id, text_key, n_shingles, set_key (128 bits of the whole set), signature (bytes), keys (of bands)."""
 
     def run(batch: pa.RecordBatch) -> dict:
         hashes, seen = _hashes(bands * rows), {}
@@ -78,6 +78,7 @@ def sketches(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS)
         keys = band_keys(stacked, rows)
         return {
             "doc_id": batch["doc_id"],
+            "text_key": batch["text_key"],
             "n_shingles": sizes,
             "set_key": names,
             "signature": [x.tobytes() for x in stacked.astype(np.uint8)],
@@ -86,7 +87,8 @@ def sketches(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS)
             ),
         }
 
-    return map_batches(texts(docs), run, "doc_id long, n_shingles long, set_key binary, signature binary, keys array<long>")
+    schema = "doc_id long, text_key long, n_shingles long, set_key binary, signature binary, keys array<long>"
+    return map_batches(texts(docs, F.xxhash64("text").alias("text_key")), run, schema)
 
 
 def _likely(pairs: DataFrame, signatures: DataFrame, threshold: int, total: int) -> DataFrame:
@@ -124,9 +126,9 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, width: int = 5, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: groups of documents of similar word shingles.
+    """doc_id, text_key, n_shingles, component_id, kept: groups of documents of similar word shingles.
 
-    One row for each row in. A text of fewer than ``width`` words is one shingle;
+    One row for each row in; text_key (64-bit hash of the text) tells rows of one doc_id apart. A text of fewer than ``width`` words is one shingle;
     a null or wordless text has none and is linked with nothing. Of a doc_id that
     occurs more than once with the same text, all rows are alike; with different
     texts, the doc_id stands for its text of the largest set key. A null doc_id cannot be
@@ -156,6 +158,7 @@ def near_duplicates(
     component = F.coalesce(named, F.col("doc_id"))
     return joined.select(
         "doc_id",
+        "text_key",
         "n_shingles",
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),

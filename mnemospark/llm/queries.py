@@ -58,7 +58,8 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op1_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, folder, "documents"), width=2)
+    found = minhash.near_duplicates(table(spark, folder, "documents"), width=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 @query
