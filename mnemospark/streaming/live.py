@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -225,70 +226,100 @@ def windowed_stats_stream(created: DataFrame, window: str, lateness: str) -> Dat
     )
 
 
-class _ForgetTimer(StatefulProcessor):
-    """Keeps one due time per memory and reports it when the watermark passes."""
+#: Groups of memories, by a hash of the id, that the timers are kept by. Fixed for the life of a stream.
+TIMER_GROUPS = 4_096
+
+#: What is known of a group; a due time is null where none is awaited (any more).
+_KNOWN = pa.schema({"id": pa.string(), "accessed_us": pa.int64(), "due_ms": pa.float64()})
+
+
+class _ForgetTimers(StatefulProcessor):
+    """Keeps one due time per memory of a group and reports it when the watermark passes.
+
+    A group has one timer, at the earliest of its due times, so the calls to the state
+    store grow with the groups that a batch touches and not with its memories.
+    """
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.latest = handle.getValueState("latest", "accessed_us long")
+        self.known = handle.getValueState("known", "memories binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        before = self.latest.get()[0] if self.latest.exists() else None
-        newest = None
-        for batch in rows:
-            if len(batch):
-                row = batch.sort_values("accessed_us").iloc[-1]
-                if newest is None or row["accessed_us"] >= newest["accessed_us"]:
-                    newest = row
-        if newest is None or (before is not None and newest["accessed_us"] < before):
-            return
-        self.latest.update((int(newest["accessed_us"]),))
-        for expiry in list(self.handle.listTimers()):
-            self.handle.deleteTimer(expiry)
-        due = newest["due_ms"]
-        if pd.isna(due):
-            return
-        if due <= timerValues.getCurrentWatermarkInMs():
-            # Already past: report at once, a timer would never fire.
-            yield self._row(key, int(due))
-        else:
-            self.handle.registerTimer(int(due))
+        before = self._read()
+        self._forget_timer(before)
+        changed = pd.concat([before.iloc[:0], *(batch[_KNOWN.names] for batch in rows)])
+        both = pd.concat([before.assign(touched=False), changed.assign(touched=True)], ignore_index=True)
+        # The latest access counts; of equal ones the row that came last.
+        after = both.sort_values("accessed_us", kind="stable").drop_duplicates("id", keep="last")
+        return self._reported(after, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.latest.clear()
-        yield self._row(key, expiredTimerInfo.getExpiryTimeInMs())
+        watermark = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs() + 1)
+        return self._reported(self._read().assign(touched=False), watermark)
+
+    def _reported(self, memories: pd.DataFrame, watermark: int) -> Iterator[pd.DataFrame]:
+        """Report what is due, keep the rest and set the timer for it."""
+        due, touched = memories["due_ms"], memories["touched"]
+        # A row of this batch that is past already is reported at once: a timer would never fire.
+        gone = (due < watermark) | (touched & (due <= watermark))
+        left = memories[~gone | touched].copy()
+        left.loc[gone & touched, "due_ms"] = None
+        self._write(left)
+        if gone.any():
+            moments = pd.to_datetime(due[gone].astype("int64"), unit="ms", utc=True)
+            yield pd.DataFrame({"id": memories.loc[gone, "id"], "forget_at": moments})
+
+    def _read(self) -> pd.DataFrame:
+        stored = self.known.get()
+        if stored is None:
+            return _KNOWN.empty_table().to_pandas()
+        return pa.ipc.read_record_batch(pa.py_buffer(stored[0]), _KNOWN).to_pandas()
+
+    def _write(self, memories: pd.DataFrame) -> None:
+        if memories.empty:
+            self.known.clear()
+            return
+        rows = pa.RecordBatch.from_pandas(memories[_KNOWN.names], schema=_KNOWN, preserve_index=False)
+        self.known.update((rows.serialize().to_pybytes(),))
+        if memories["due_ms"].notna().any():
+            self.handle.registerTimer(int(memories["due_ms"].min()))
 
-    @staticmethod
-    def _row(key, due: int) -> pd.DataFrame:
-        return pd.DataFrame({"id": [key[0]], "forget_at": [pd.Timestamp(due, unit="ms", tz="UTC")]})
+    def _forget_timer(self, memories: pd.DataFrame) -> None:
+        if memories["due_ms"].notna().any():
+            self.handle.deleteTimer(int(memories["due_ms"].min()))
 
     def close(self) -> None:
         pass
 
 
-def forget_timer_stream(changes: DataFrame, lateness: str = "0 seconds") -> DataFrame:
+def forget_timer_stream(changes: DataFrame, lateness: str = "0 seconds", groups: int = TIMER_GROUPS) -> DataFrame:
     """Report each memory when event time reaches the moment it fades out.
 
     ``changes`` streams the current row of a memory whenever it is created or
-    touched; its ``last_accessed`` is the event time. Needs the RocksDB state
-    store. State is one time per memory and one timer if it
-    can fade.
+    touched; its ``last_accessed`` is the event time, and rows without one are left out.
+    Needs the RocksDB state store. State is one time per memory, kept in ``groups`` rows
+    with a timer each: a batch reads and writes the groups of its own memories, as many of them at once.
     """
     # Timers work in milliseconds: round up, so that none fires early.
     due = F.ceil(F.unix_micros(forget_time()) / 1000.0)
-    rows = changes.withWatermark("last_accessed", lateness).select(
-        "id",
-        "last_accessed",
-        F.unix_micros("last_accessed").alias("accessed_us"),
-        due.cast("bigint").alias("due_ms"),
+    rows = (
+        changes.filter(F.col("last_accessed").isNotNull())
+        .withWatermark("last_accessed", lateness)
+        .select(
+            F.pmod(F.xxhash64("id"), F.lit(groups)).alias("group"),
+            F.col("id").cast("string").alias("id"),
+            "last_accessed",
+            F.unix_micros("last_accessed").alias("accessed_us"),
+            due.cast("double").alias("due_ms"),
+        )
     )
-    id_type = changes.schema["id"].dataType.simpleString()
-    return rows.groupBy("id").transformWithStateInPandas(
-        statefulProcessor=_ForgetTimer(),
-        outputStructType=f"id {id_type}, forget_at timestamp",
+    reported = rows.groupBy("group").transformWithStateInPandas(
+        statefulProcessor=_ForgetTimers(),
+        outputStructType="id string, forget_at timestamp",
         outputMode="Append",
         timeMode="EventTime",
     )
+    return reported.select(F.col("id").cast(changes.schema["id"].dataType).alias("id"), "forget_at")
 
 
 def forgotten_by(memories: DataFrame, as_of: Column) -> DataFrame:

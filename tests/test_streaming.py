@@ -230,3 +230,45 @@ def test_forget_timers_equal_batch(spark):
     assert set(got) == set(want) and len(want) >= 4
     for key, moment in want.items():
         assert abs((got[key] - moment).total_seconds()) <= 0.002
+
+
+def test_forget_timers_ask_the_state_store_by_groups(spark):
+    """Many memories of few groups; touched ones wait again, a string id and a null one stay themselves."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "id bigint, importance_score double, decay_rate double, access_count int, last_accessed timestamp"
+
+    def frame(rows):
+        return spark.createDataFrame([(i, score, 0.1, 0, at) for i, score, at in rows], schema)
+
+    def day(n):
+        return OLD + dt.timedelta(days=n)
+
+    big = 1 << 60
+    first = [(big + i, 0.3, day(i % 3)) for i in range(60)] + [(None, 0.3, day(0)), (big, 0.3, day(0)), (7, 0.3, None)]
+    frames = [
+        frame(first),
+        frame([(big + i, 0.9, day(5)) for i in range(0, 60, 2)] + [(big + 1, 0.3, day(1)), (big + 70, 0.01, day(5))]),
+        frame([(big + 1, 0.3, day(40)), (big + 80, None, day(12))]),
+        frame([(big + 90, None, day(22))]),
+        frame([(big + 99, None, day(200))]),
+    ]
+    try:
+        out = new_folder(spark, "out")
+        due = live.forget_timer_stream(arrivals(spark, frames), groups=3)
+        assert due.schema["id"].dataType.simpleString() == "bigint"
+        run(due.writeStream.outputMode("append").format("parquet").option("path", out), spark)
+        got = sorted((r.id is None, r.id or 0, r.forget_at) for r in spark.read.parquet(out).collect())
+    finally:
+        if before is None:
+            spark.conf.unset(provider)
+        else:
+            spark.conf.set(provider, before)
+    assert len(got) == len({row[:2] for row in got})
+    current = {i: (i, score, at) for rows in frames for i, score, at in ((r.id, r.importance_score, r.last_accessed) for r in rows.collect())}
+    current.pop(7)
+    want = live.forgotten_by(frame(list(current.values())), F.lit(str(day(200))).cast("timestamp")).collect()
+    want = sorted((r.id is None, r.id or 0, r.forget_at) for r in want)
+    assert [row[:2] for row in got] == [row[:2] for row in want] and len(want) == 62
+    assert all(abs((g[2] - w[2]).total_seconds()) <= 0.002 for g, w in zip(got, want))
