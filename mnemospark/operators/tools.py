@@ -219,13 +219,19 @@ def run_tool_calls_table(
     boosts = done.filter(F.col("action") == "reinforce").select("id", F.col("seq").alias("sequence"))
 
     asked = good.filter(F.col("tool").isin(RECALL, SIMILAR))
-    candidates = nearest_memories(
-        asked, table, CANDIDATE_POOL, earlier_only=True, columns=PAYLOAD, **options
+    # Texts are not stored with each candidate: a key names them until a reranker or an answer needs them.
+    keyed = table.withColumn("content_key", _text_key("content"))
+    queries = asked.select("qid", "query", _text_key("query").alias("query_key"))
+    found = nearest_memories(
+        asked, keyed, CANDIDATE_POOL, earlier_only=True, columns=[*(c for c in PAYLOAD if c != "content"), "content_key"], **options
     ).withColumnRenamed("rank", "candidate_rank")
-    candidates = as_boosted(materialised(candidates.join(asked.select("qid", "query"), "qid")), boosts, as_of)
+    candidates = as_boosted(materialised(found.join(queries.drop("query"), "qid")), boosts, as_of)
+    if callable(rerank):
+        candidates = _with_text(_with_text(candidates, keyed, "id", "content"), queries, "qid", "query")
     ranked = rank_candidates(apply_rerank(candidates, rerank, answered), as_of, CANDIDATE_POOL)
     limits = asked.select("qid", F.col("top_k").alias("first"))
-    contents = contents_in_order(told(ranked.join(limits, "qid")), CANDIDATE_POOL)
+    shown = told(ranked.join(limits, "qid")).select("qid", "rank", "id", "content_key")
+    contents = contents_in_order(_with_text(shown, keyed, "id", "content"), CANDIDATE_POOL)
     listed = F.coalesce("contents", F.array().cast("array<string>"))
     answers = asked.join(contents, "qid", "left").select(
         "request_id",
@@ -258,6 +264,16 @@ def run_tool_calls_table(
     )
 
 
+def _text_key(text: str) -> Column:
+    return F.coalesce(F.md5(F.col(text).cast("binary")), F.lit(""))
+
+
+def _with_text(rows: DataFrame, texts: DataFrame, owner: str, text: str) -> DataFrame:
+    """``rows`` with the text that their ``owner`` and key name, one for each row however often texts repeat."""
+    by = [owner, f"{text}_key"]
+    return rows.join(texts.select(*by, text).dropDuplicates(by), by)
+
+
 def as_boosted(candidates: DataFrame, boosts: DataFrame, as_of: Column) -> DataFrame:
     """Candidates of calls (qid is the call's number) as the boosts (id, sequence) before it left them.
 

@@ -163,3 +163,27 @@ def test_users_of_inserts_are_added(spark, as_of):
     done = run(spark, stored, calls, {0: vectors[0]}, spark.createDataFrame([], "user_id string, created_at timestamp, updated_at timestamp"), as_of)
     assert [r.user_id for r in done.users.collect()] == ["fresh"]
     assert lifecycle.upsert_users(done.users, done.memories, as_of).count() == len({m["user_id"] for m in stored}) + 1
+
+
+@pytest.mark.parametrize("reads_texts", [False, True])
+def test_candidates_are_stored_without_texts(spark, as_of, monkeypatch, reads_texts):
+    """Texts are joined to what is told and to what a reranker reads; repeated ids and null texts stay as they are."""
+    stored, calls, vectors = make(3, 0)
+    twins = [{**stored[0], "id": 1, "user_id": "u", "importance_score": 0.9, "content": c, "embedding": [1.0] * 6} for c in ("a", "b")]
+    other = {**twins[0], "id": 2, "content": None, "embedding": [1.0, 1.0, 1.0, 1.0, 1.0, 0.0]}
+    args = json.dumps({"problem_description": "which", "top_k": None})
+    kept = []
+    written = tools.materialised
+    monkeypatch.setattr(tools, "materialised", lambda df: kept.append(df.columns) or written(df))
+
+    def rerank(candidates):
+        return candidates.withColumn("relevance", F.coalesce(F.length("content") + F.length("query"), F.lit(1)) / 10.0)
+
+    m = spark.createDataFrame([tuple(r.values()) for r in [*twins, other]], MEMORY)
+    c = spark.createDataFrame([(5, "u", None, tools.SIMILAR, args)], "request_id long, user_id string, project_id string, name string, args string")
+    v = spark.createDataFrame([(5, [1.0] * 6)], "request_id long, embedding array<float>")
+    done = tools.run_tool_calls_table(c, v, m, None, rerank if reads_texts else None, as_of, new_id=-(F.col("seq") + 1))
+    told = json.loads(done.results.first()["result"], object_hook=dict)["similar_problems"]
+    assert sorted(x for x in told if x is not None) == ["a", "a", "b", "b"]
+    candidates = [names for names in kept if "candidate_rank" in names]
+    assert candidates and not any({"content", "query"} & set(names) for names in candidates)
