@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-REQUEST_TILE = 1024
+REQUEST_TILE = 256
 MEMORY_TILE = 4096
 #: Similarities are ranked at this many decimals, so that equal vectors tie
 #: (and fall back to the id order) wherever in a block they are placed.
@@ -47,19 +47,23 @@ class Block:
         lengths = pc.list_value_length(table["embedding"]).to_numpy()
         if len(lengths) and (lengths != lengths[0]).any():
             raise ValueError("embeddings of different dimensions cannot be compared")
-        values = pc.list_flatten(table["embedding"]).to_numpy().astype(np.float64)
+        values = pc.list_flatten(table["embedding"]).to_numpy().astype(np.float64)  # a copy
         width = int(lengths[0]) if len(lengths) else 1
         vectors = values.reshape(-1, width)
         lengths_l2 = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
         usable = np.flatnonzero(np.isfinite(lengths_l2) & (lengths_l2 > 0))
-        table = table.take(pa.array(usable))
+        # The vectors are held once, at full precision; the other columns are short.
+        table = table.drop_columns(["embedding"]).take(pa.array(usable))
+        if len(usable) < len(vectors):
+            vectors, lengths_l2 = vectors[usable], lengths_l2[usable]
+        vectors /= lengths_l2[:, None]
         sequence = table["sequence"].to_numpy() if "sequence" in table.column_names else None
         return cls(
             ids=_flat(table[id_column]),
             scope=table["scope"].to_pandas().to_numpy(),
             project=table["project_id"].to_pandas().to_numpy(dtype=object),
             sequence=sequence,
-            unit=vectors[usable] / lengths_l2[usable, None],
+            unit=vectors,
         )
 
     def rows_by_scope(self) -> dict:

@@ -226,3 +226,28 @@ def _written(spark, df):
     path = new_folder(spark, "test")
     df.write.parquet(path)
     return path
+
+
+def test_matching_holds_small_tiles():
+    """Beyond the vectors themselves a pair of blocks takes little memory at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from mnemospark.functions.blocks import Block, MatchRule, match_blocks
+
+    def block(n, name):
+        vectors = np.random.default_rng(n).normal(size=(n, 4)).astype(np.float32)
+        vectors[3] = 0.0
+        columns = {name: pa.array(range(n)), "scope": pa.array([1] * n), "project_id": pa.nulls(n, pa.string())}
+        return Block.read(pa.table({**columns, "embedding": pa.array(vectors.tolist(), pa.list_(pa.float32()))}), name)
+
+    requests, memories = block(1500, "qid"), block(6000, "id")
+    assert len(memories.unit) == 5999 and 3 not in memories.ids.to_pylist()
+    assert np.allclose(np.linalg.norm(memories.unit, axis=1), 1.0)
+    tracemalloc.start()
+    found = sum(t.num_rows for t in match_blocks(requests, memories, MatchRule(5)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 5 * 1499
+    assert peak < 40 << 20
