@@ -10,6 +10,8 @@ that no link is lost.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,10 @@ from mnemospark.session import materialised
 #: Similarity from which two sets are linked, in hundredths.
 THRESHOLD = 80
 
+#: Words of 64 bits that tell what a set lacks of its hub's shingles, and as many for what it has besides.
+WORDS = 8
+LACKS, BESIDES = [f"lacks{k}" for k in range(WORDS)], [f"besides{k}" for k in range(WORDS)]
+
 
 def shared_buckets(bands: DataFrame) -> DataFrame:
     """The rows (key, id, n) of buckets with two members or more; ids are distinct in a bucket."""
@@ -47,6 +53,32 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_batches(both.select("u", "v", "a", "b"), run, "u long, v long, common long")
 
 
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    """One bit for each slot that a shingle falls into."""
+    taken = np.zeros(64 * WORDS, bool)
+    taken[shingles % np.uint64(len(taken))] = True
+    return np.packbits(taken).view(np.int64)
+
+
+def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """u, v, common of pairs (u, v), and the slots of what u lacks of v and has besides v."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        common, rows = [], []
+        for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist()):
+            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            lacks, besides = np.setdiff1d(b, a, assume_unique=True), np.setdiff1d(a, b, assume_unique=True)
+            common.append(len(b) - len(lacks))
+            rows.append(np.concatenate([_slots(lacks), _slots(besides)]))
+        return {"u": batch["u"], "v": batch["v"], "common": common} | dict(zip(LACKS + BESIDES, np.stack(rows, axis=1)))
+
+    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(
+        sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v"
+    )
+    slots = "".join(f", {c} long" for c in LACKS + BESIDES)
+    return map_batches(both.select("u", "v", "a", "b"), run, f"u long, v long, common long{slots}")
+
+
 def own_shingles(sets: DataFrame) -> DataFrame:
     """id, own: how many shingles of a set no other set has."""
 
@@ -79,8 +111,11 @@ def link(
     The hub of a bucket is its most central member, the one with fewest
     shingles of its own. A pair x, y that is left must pass two exact bounds:
     neither shares its own shingles with anybody, and with a hub c that both
-    were compared with, |x & y| <= |c| - max(|c - x|, |c - y|) + min(b(x), b(y)),
-    where b(x) counts the shingles of x that are neither its own nor in c.
+    were compared with, |x & y| <= |c| - |(c - x) + (c - y)| + min(b(x), b(y)),
+    where b(x) counts the shingles of x that are neither its own nor in c. Slots taken
+    by one side alone hold shingles that the other lacks; they bound the union
+    from below and what both have besides c from above. So a bucket whose members
+    differ from their hub in different places makes no pairs of them.
     """
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -116,10 +151,11 @@ def link(
         .agg(F.min(F.struct("hub_own", "hub_o", "hub", "hub_n")).alias("p"), F.collect_set("key").alias("keys"))
         .select("id", "p.hub", "p.hub_n", "keys")
     )
-    shared = overlaps(pivot.where("id <> hub").select(F.col("id").alias("u"), F.col("hub").alias("v")), sets)
+    shared = differences(pivot.where("id <> hub").select(F.col("id").alias("u"), F.col("hub").alias("v")), sets)
+    slots = [F.coalesce(c, F.lit(0)).alias(c) for c in LACKS + BESIDES]
     measured = materialised(
-        pivot.join(shared.select(F.col("u").alias("id"), "common"), "id", "left").select(
-            "id", "keys", F.col("hub").alias("pivot"), F.col("hub_n").alias("pn"), F.coalesce("common", F.col("hub_n")).alias("common")
+        pivot.join(shared.select(F.col("u").alias("id"), "common", *LACKS, *BESIDES), "id", "left").select(
+            "id", "keys", F.col("hub").alias("pivot"), F.col("hub_n").alias("pn"), F.coalesce("common", F.col("hub_n")).alias("common"), *slots
         )
     )
     rows = left.select("key", "id", "n", "own", "label").join(measured, "id").withColumn(
@@ -132,10 +168,19 @@ def link(
     x, y = rest.alias("x"), rows.alias("y")
     c = F.col
     most = F.least(c("x.n") - c("x.own"), c("y.n") - c("y.own"))
-    bound = F.when(
-        c("x.pivot") == c("y.pivot"),
-        F.least(most, c("x.pn") - F.greatest(c("x.pn") - c("x.common"), c("y.pn") - c("y.common")) + F.least(c("x.b"), c("y.b"))),
-    ).otherwise(most)
+
+    def alone(names: list[str], one: str, other: str):
+        """Slots that ``one`` takes and ``other`` does not."""
+        return reduce(add, (F.bit_count(c(f"{one}.{n}").bitwiseAND(F.bitwise_not(c(f"{other}.{n}")))) for n in names))
+
+    in_hub = F.least(c("x.common") - alone(LACKS, "y", "x"), c("y.common") - alone(LACKS, "x", "y"))
+    besides = F.least(
+        c("x.b"),
+        c("y.b"),
+        c("x.n") - c("x.common") - alone(BESIDES, "x", "y"),
+        c("y.n") - c("y.common") - alone(BESIDES, "y", "x"),
+    )
+    bound = F.when(c("x.pivot") == c("y.pivot"), F.least(most, in_hub + besides)).otherwise(most)
     near = x.join(y, c("x.key") == c("y.key")).where(
         (c("x.label") != c("y.label"))
         & ((c("y.label") == c("x.main")) | (c("x.id") < c("y.id")))

@@ -3,10 +3,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mnemospark.llm import decontamination, minhash, passages
+from mnemospark.llm import decontamination, linking, minhash, passages
 from mnemospark.llm.common import ready
 from mnemospark.llm.components import components
 from tests.llm.cases import PASSAGE, TEXTS, by_rows, documents, lower, shingles
@@ -83,6 +84,36 @@ def test_near_duplicates(spark, width):
     assert sizes == sorted(want, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
 
 
+def test_members_that_differ_in_different_places_make_no_pairs(spark):
+    """One bucket around a hub with which few are linked; some members have a near copy of their own."""
+    draw = random.Random(5)
+    base, pool = list(range(1, 148)), list(range(1000, 1400))
+    spread = lambda k: (k * 0x9E3779B97F4A7C15) % (1 << 64)
+    other = lambda own, n: set(draw.sample(sorted(own), len(own) - n)) | set(draw.sample(pool, n))
+    sets = {0: set(base)}
+    for k in range(1, 121):
+        sets[k] = other(sets[0], 25)
+        if k % 6 == 0:
+            sets[1000 + k] = other(sets[k], 3)
+    rows = [(i, np.sort(np.array([spread(x) for x in own], np.uint64)).tobytes(), len(own)) for i, own in sets.items()]
+    ready(spark)
+    table = spark.createDataFrame([(i, bytearray(b), n) for i, b, n in rows], "id long, shingles binary, n long")
+    compared = []
+
+    def likely(pairs):
+        compared.append(pairs.count())
+        return pairs
+
+    active = table.select(F.lit(7).cast("long").alias("key"), "id", F.col("n"))
+    got = {r["id"]: r["component"] for r in linking.link(active, table.select("id", "shingles"), likely).collect()}
+    flat = sorted(sets.items())
+    links = [(i, j) for k, (i, s) in enumerate(flat) for j, t in flat[k + 1 :] if 100 * len(s & t) >= 80 * len(s | t)]
+    want = least(links, sets)
+    assert len(links) >= 20 and got == {i: want[i] for i in {x for e in links for x in e}}
+    # Hub and members make one pair each; members make next to none among themselves.
+    assert sum(compared) < 4 * len(sets), compared
+
+
 def test_pruning_keeps_likely_pairs():
     bounds = minhash.prune_bounds(200)
     assert [n for n, _ in bounds] == [40, 80, 120, 160, 200]
