@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import map_batches, texts, worker_state
+from mnemospark.llm.common import forget, map_batches, texts, worker_state
 
 #: Bound of the labelled rows that the model is fitted on, for each language.
 SAMPLE = 4_000
@@ -139,6 +140,25 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
     return labels
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, kind (0: letter groups, 1: scripts), slot and n of a task's labelled texts."""
+    forget()
+    counts: dict[str, list[np.ndarray]] = {}
+    for batch in batches:
+        for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
+            words = words_of(text.decode("utf-8", "replace"))
+            if words:
+                own = counts.setdefault(lang, [np.zeros(SLOTS, np.int64), np.zeros(len(NAMES), np.int64)])
+                own[0] += np.bincount(letter_groups(words)[0], minlength=SLOTS)
+                own[1] += np.bincount(scripts(words), [len(w) for w in words], len(NAMES)).astype(np.int64)
+    for lang, both in counts.items():
+        for kind, found in enumerate(both):
+            at = np.flatnonzero(found)
+            yield pa.RecordBatch.from_pydict(
+                {"lang": [lang] * len(at), "kind": pa.array([kind] * len(at), pa.int32()), "slot": pa.array(at, pa.int32()), "n": found[at]}
+            )
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """Count letter groups and scripts by language over a bounded sample of whole texts.
 
@@ -158,23 +178,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
         keep = keep | ((F.col("lang") == lang) & (draw <= F.lit(min(limit, (1 << 63) - 1))))
     bounded = rows.where(keep).select(F.col("lang"), F.col("text").cast("binary").alias("text"))
 
-    def run(batches):
-        counts: dict[str, list[np.ndarray]] = {}
-        for batch in batches:
-            for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
-                words = words_of(text.decode("utf-8", "replace"))
-                if words:
-                    own = counts.setdefault(lang, [np.zeros(SLOTS, np.int64), np.zeros(len(NAMES), np.int64)])
-                    own[0] += np.bincount(letter_groups(words)[0], minlength=SLOTS)
-                    own[1] += np.bincount(scripts(words), [len(w) for w in words], len(NAMES)).astype(np.int64)
-        for lang, both in counts.items():
-            for kind, found in enumerate(both):
-                at = np.flatnonzero(found)
-                yield pa.RecordBatch.from_pydict(
-                    {"lang": [lang] * len(at), "kind": pa.array([kind] * len(at), pa.int32()), "slot": pa.array(at, pa.int32()), "n": found[at]}
-                )
-
-    summed = bounded.mapInArrow(run, "lang string, kind int, slot int, n long").groupBy("lang", "kind", "slot").agg(F.sum("n").alias("n"))
+    summed = bounded.mapInArrow(_counted, "lang string, kind int, slot int, n long").groupBy("lang", "kind", "slot").agg(F.sum("n").alias("n"))
     # At most languages * (SLOTS + scripts) rows.
     got = summed.toPandas()
     languages = sorted(got["lang"].unique())

@@ -7,9 +7,10 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from mnemospark.llm import fingerprints, kneser_ney, language, toxicity
+from mnemospark.llm import common, fingerprints, kneser_ney, language, toxicity
 from mnemospark.llm.common import crc_is, ready, table
 from mnemospark.session import new_folder
 from tests.llm.cases import TEXTS, by_rows, documents, remainder
@@ -33,6 +34,17 @@ def test_viterbi_finds_the_best_path():
     assert len(language.viterbi(np.zeros((0, 3)), np.zeros(0, np.int64))) == 0
 
 
+def test_training_drops_what_an_earlier_job_left_in_the_worker():
+    common.worker_state("earlier job", dict)
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"], "text": pa.array([b"some words"], pa.binary())})
+    assert sum(b.num_rows for b in language._counted(iter([batch]))) > 0
+    assert not common._STATE
+    made = common.worker_state("next job", lambda: len(common._STATE))
+    assert made == 0 and list(common._STATE) == ["next job"]
+    common.forget()
+    assert not common._STATE
+
+
 def test_languages(spark):
     docs = table(ready(spark), FOLDER, "documents")
     model = language.fit(docs.where(~crc_is(3, 1)))
