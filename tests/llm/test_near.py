@@ -2,6 +2,7 @@
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from mnemospark.llm import decontamination, linking, minhash, passages
 from mnemospark.llm.common import ready
 from mnemospark.llm.components import components
+from mnemospark.session import shared_folder
 from tests.llm.cases import PASSAGE, TEXTS, by_rows, documents, lower, shingles
 
 
@@ -259,6 +261,16 @@ def test_every_exact_repeat_is_found(spark):
     assert len(want) > 50 and all(places <= got.get(i, set()) for i, places in want.items())
 
 
+def test_passages_leave_no_tables_behind(spark):
+    """What only the work on run ends and windows needs is dropped when they are done."""
+    rows, want = long_rows(True)
+    place = Path(shared_folder(ready(spark)).removeprefix("file:"))
+    before = set(place.iterdir())
+    assert passages.repeated_passages(documents(spark, rows)).count() == len(want)
+    left = [set(spark.read.parquet(str(f)).columns) for f in set(place.iterdir()) - before]
+    assert left and not any(c & {"ahead", "done", "side", "parts"} or {"w", "s"} <= c for c in left)
+
+
 def test_passages_of_nothing(spark):
     docs = documents(ready(spark), [])
     assert passages.remove_passages(docs, passages.repeated_passages(docs)).count() == 0
