@@ -1,14 +1,14 @@
 """Interpolated modified Kneser-Ney model of two or three words over all training documents.
 
-Counting: tasks fold the bigrams of their rows into (bigram, count) rows, which
-are shuffled by shard. Each shard task adds them up, writes its bigrams as
-sorted hash arrays (one for count 1, one for 2, one with counts for the rest)
-and passes on what each word gathers as history and as continuation. Those sums
-are shuffled by word and written as sorted arrays in the same way.
+Counting: tasks fold the n-grams of their rows into blocks of (n-gram, count) for each
+shard: its words once, frequent ones first, and rows that name them by number. Each shard
+task adds its blocks up, writes its n-grams as a table of sorted hashes, cut into
+buckets, and passes on what each word gathers as history and as continuation. Those sums
+are dealt out by word and written as sorted arrays.
 
-Order three counts (trigram, count) rows first, in the same way. A bigram then
+Order three counts trigrams first, in the same way. A bigram then
 counts once for each distinct word before it, and what each two-word history
-gathers is shuffled by history and written as sorted arrays.
+gathers is dealt out by history and written as such a table.
 
 Scoring: workers map the files into memory and look up whole batches by binary
 search, so a worker holds no model of its own; the pages are shared by all
@@ -18,6 +18,7 @@ workers of a machine. The folder must be mounted under one path everywhere.
 from __future__ import annotations
 
 import os
+import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,12 +27,12 @@ from urllib.parse import urlsplit
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.llm.common import map_batches, texts, worker_state
 from mnemospark.llm.shingles import mix, word_hashes, words
-from mnemospark.session import materialised, shuffles_discarded
+from mnemospark.session import materialised, new_folder, shuffles_discarded, unlinked
 
 #: Words are named by 48 bits of their hash: one clash in 500,000 among 10 million words.
 MASK = np.uint64((1 << 48) - 1)
@@ -46,6 +47,17 @@ FOLD = 4_500_000
 #: count and distinct continuations that occur once, twice, more often.
 COLUMNS = ("count", "before", "total", "once", "twice", "more")
 
+#: Rounds in which blocks are dealt to shards; only a part of them is then on disk twice.
+ROUNDS = 4
+
+_codec = pa.Codec("zstd", compression_level=1)
+#: Values of a packed column, bytes of each, bytes when compressed.
+_HEAD = struct.Struct("<IBQ")
+
+#: The commonest row of each table.
+SINGLE = {"pairs": (1,), "triples": (1,), "histories": (1, 1, 0, 0)}
+TYPES = (np.uint32, np.uint32, np.uint8, np.uint32, np.uint8, np.uint32, np.uint32)
+
 
 def tokens(text: bytes | None) -> np.ndarray:
     """Hashes of a text's words and its end."""
@@ -78,6 +90,10 @@ def _triple_key(first: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.
     return mix(_key(first, before) + after)
 
 
+def _gram_key(*words: np.ndarray) -> np.ndarray:
+    return _key(*words) if len(words) == 2 else _triple_key(*words)
+
+
 def _new(*columns: np.ndarray) -> np.ndarray:
     """Where rows of sorted columns begin anew."""
     if not len(columns[0]):
@@ -93,19 +109,124 @@ def _local(folder: str) -> str:
     return parts.path
 
 
-def _save(folder: str, name: str, array: np.ndarray) -> None:
-    """Under a name of its own first, so that a repeated task does no harm."""
+def _save(folder: str, name: str, arrays: list[np.ndarray]) -> None:
+    """Arrays in one file, each after its length; under a name of its own first, so that a repeated task does no harm."""
     path = f"{folder}/{name}"
     own = f"{path}.{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex}"
-    array.tofile(own)
+    with open(own, "wb") as out:
+        for x in arrays:
+            held = x.tobytes()
+            out.write(len(held).to_bytes(8, "little") + held + bytes(-len(held) % 8))
     os.replace(own, path)
 
 
-def _write_counts(folder: str, kind: str, shard: int, keys: np.ndarray, counts: np.ndarray) -> None:
-    """Sorted keys by count: 1, 2, and the rest with their counts."""
-    for name, own in (("1", counts == 1), ("2", counts == 2), ("3", counts > 2)):
-        _save(folder, f"{kind}-{shard}-{name}", keys[own])
-    _save(folder, f"{kind}-{shard}-n", counts[counts > 2].astype(np.uint32))
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers as one block: the bytes of one place next to each other, compressed."""
+    out = []
+    for c in columns:
+        most = int(c.max()) if len(c) else 0
+        width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+        held = _codec.compress(c.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes(), asbytes=True)
+        out += [_HEAD.pack(len(c), width, len(held)), held]
+    return b"".join(out)
+
+
+def _unpack(block: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(block):
+        n, width, size = _HEAD.unpack_from(block, at)
+        at += _HEAD.size
+        held = np.frombuffer(_codec.decompress(block[at : at + size], n * width, asbytes=True), np.uint8)
+        out.append(np.ascontiguousarray(held.reshape(width, n).T).view(f"<u{width}").ravel().astype(np.uint64))
+        at += size
+    return out
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The rows of each shard, in the order they have."""
+    order = np.argsort(shard, kind="stable")
+    at = _runs(shard[order])
+    for begin, stop in zip(at, np.append(at[1:], len(order))):
+        yield int(shard[order[begin]]), order[begin:stop]
+
+
+def _word_blocks(shard: np.ndarray, names: np.ndarray, ids: list[np.ndarray], *counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """A block for each shard: its words, and the rows as numbers of words; rows ascend by the first of ``ids``."""
+    for k, own in _by_shard(shard):
+        rows = [c[own] for c in ids]
+        if 16 * len(own) > len(names):
+            there = np.zeros(len(names), bool)
+            for c in rows:
+                there[c] = True
+            used, to = np.flatnonzero(there), np.cumsum(there) - 1
+            rows = [to[c] for c in rows]
+        else:
+            used, to = np.unique(np.concatenate(rows), return_inverse=True)
+            rows = np.split(to, len(rows))
+        yield k, _pack(names[used], _steps(rows[0]), *rows[1:], *(c[own] for c in counts))
+
+
+def _word_rows(batches: Iterator[pa.RecordBatch], n: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Words of a shard, frequent ones first, its rows as ``n`` numbers of words, and their counts."""
+    blocks = [_unpack(x) for b in batches for x in b["block"].to_pylist()]
+    if not blocks:
+        return np.zeros(0, np.uint64), [np.zeros(0, np.int64)] * n, []
+    names, to = np.unique(np.concatenate([x[0] for x in blocks]), return_inverse=True)
+    bounds = np.cumsum([0, *(len(x[0]) for x in blocks)])
+    ids = []
+    for k in range(1, n + 1):
+        own = (np.cumsum(x[1]) if k == 1 else x[k] for x in blocks)
+        ids.append(np.concatenate([to[begin + c.astype(np.int64)] for begin, c in zip(bounds, own)]))
+    rank = np.empty(len(names), np.int64)
+    order = np.argsort(-np.bincount(ids[-1], minlength=len(names)), kind="stable")
+    rank[order] = np.arange(len(names))
+    counts = [np.concatenate([x[k] for x in blocks]).astype(np.int64) for k in range(n + 1, len(blocks[0]))]
+    return names[order], [rank[c] for c in ids], counts
+
+
+def _grouped(ids: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows of numbers below ``size``, and where they begin anew in it."""
+    bits = np.uint64(max(size - 1, 1).bit_length())
+    if len(ids) * int(bits) > 64:
+        order = np.lexsort(ids[::-1])
+        return order, _new(*(c[order] for c in ids))
+    key = np.zeros(len(ids[0]), np.uint64)
+    for c in ids:
+        key = (key << bits) | c.astype(np.uint64)
+    order = np.argsort(key)
+    return order, _runs(key[order])
+
+
+def _blocks_of(kind: int, blocks: Iterator[tuple[int, bytes]]) -> pa.RecordBatch:
+    shards, held = zip(*blocks)
+    parts = [kind * ROUNDS + k % ROUNDS for k in shards]
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(shards, pa.int32()), pa.array(held, pa.binary())], names=["part", "shard", "block"])
+
+
+def _write_table(folder: str, kind: str, shard: int, keys: np.ndarray, values: np.ndarray, single: tuple[int, ...]) -> None:
+    """Sorted keys with a row of numbers each, in one file.
+
+    The first bits of a key name its bucket (16 keys or so), the next 38 are kept: 32 and 6. Two
+    bits beside them tell whether the row is ``single``, of bytes, or of 32-bit numbers.
+    """
+    bits = max(len(keys).bit_length() - 4, 0)
+    bucket, rest = _cut(keys, bits)
+    starts = np.searchsorted(bucket, np.arange((1 << bits) + 1)).astype(np.uint32)
+    code = np.where((values == single).all(axis=1), 1, np.where(values.max(axis=1) < 256, 2, 3))
+    small, large = np.flatnonzero(code == 2), np.flatnonzero(code == 3)
+    _save(folder, f"{kind}-{shard}", [
+        starts, (rest >> np.uint64(6)).astype(np.uint32), ((rest & np.uint64(63)) << np.uint64(2) | code.astype(np.uint64)).astype(np.uint8),
+        small.astype(np.uint32), values[small].astype(np.uint8), large.astype(np.uint32), values[large].astype(np.uint32),
+    ])
+
+
+def _cut(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each key, and the 38 bits after it."""
+    return (keys >> np.uint64(32) >> np.uint64(32 - bits)).astype(np.int64), keys << np.uint64(bits) >> np.uint64(26)
 
 
 def _runs(values: np.ndarray) -> np.ndarray:
@@ -113,12 +234,6 @@ def _runs(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
 
 
-def _whole(batches: Iterator[pa.RecordBatch], names: list[str]) -> list[np.ndarray]:
-    """The columns of one shard; shards are sized by the number of shuffle partitions."""
-    parts = [[b[n].to_numpy() for n in names] for b in batches]
-    return [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(len(names))]
-
-
 @dataclass
 class Model:
     """Where the arrays are, and the few numbers that hold for all."""
@@ -150,31 +265,33 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return out
 
 
-def _count_triples(docs: DataFrame, place: str, shards: int) -> tuple[DataFrame, np.ndarray]:
-    """Writes the arrays of three words and of two-word histories.
-
-    Gives the bigrams (shard, before, after, n, raw), n being the distinct words
-    before them, and how many trigrams occur 1 to 4 times.
-    """
-    modulus = np.uint64(shards)
+def _folded(modulus: np.uint64, order: int):
+    """Folds the n-grams of a task's texts into blocks of (n-gram, count) by shard."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def folded() -> pa.RecordBatch:
-            columns = [np.concatenate([h[k] for h in held]) for k in range(3)]
-            order = np.lexsort(columns[::-1])
-            columns = [c[order] for c in columns]
-            at = _new(*columns)
-            columns = [c[at] for c in columns]
-            shard = (_triple_key(*columns) % modulus).astype(np.int32)
-            arrays = [pa.array(shard), *(pa.array(c.view(np.int64)) for c in columns), pa.array(np.diff(at, append=len(order)))]
-            return pa.RecordBatch.from_arrays(arrays, names=["shard", "first", "before", "after", "n"])
+            after, sizes = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            names, at, often = np.unique(after, return_inverse=True, return_counts=True)
+            by_count = np.argsort(-often, kind="stable")
+            rank = np.empty(len(names), np.int64)
+            rank[by_count] = np.arange(len(names))
+            ids, names = [rank[at]], np.append(names[by_count], BEGIN)
+            begins = np.cumsum(sizes) - sizes
+            for _ in range(order - 1):
+                ids.insert(0, np.concatenate([[0], ids[0][:-1]]))
+                ids[0][begins] = len(names) - 1
+            sorted_, at = _grouped(ids, len(names))
+            counts = np.diff(at, append=len(sorted_))
+            ids = [c[sorted_[at]] for c in ids]
+            shard = _gram_key(*(names[c] for c in ids)) % modulus
+            return _blocks_of(0, _word_blocks(shard.astype(np.int32), names, ids, *[counts] * (4 - order)))
 
         for batch in batches:
             if batch.num_rows:
-                before, after, sizes = _pairs(batch["text"].to_pylist())
-                held.append((_firsts(before, sizes), before, after))
+                _, after, sizes = _pairs(batch["text"].to_pylist())
+                held.append((after, sizes))
                 size += len(after)
                 if size >= FOLD:
                     yield folded()
@@ -182,64 +299,87 @@ def _count_triples(docs: DataFrame, place: str, shards: int) -> tuple[DataFrame,
         if held:
             yield folded()
 
-    names = ["kind", "shard", "a", "b", "c0", "c1", "c2", "c3"]
+    return fold
+
+
+BLOCKS = "part int, shard int, block binary"
+
+
+def _store(blocks: DataFrame, place: str) -> None:
+    """Adds blocks to a folder, one folder inside for each kind and round."""
+    blocks.write.mode("append").option("compression", "uncompressed").partitionBy("part").parquet(place)
+
+
+def _stored(spark: SparkSession, place: str, kind: int | None = None) -> DataFrame:
+    """part, shard, block of a kind, or of all kinds."""
+    every = spark.read.schema("shard int, block binary, part int").parquet(place)
+    return every if kind is None else every.where(F.col("part").between(kind * ROUNDS, (kind + 1) * ROUNDS - 1))
+
+
+def _dealt(spark: SparkSession, place: str, kind: int, shards: int, fn) -> str:
+    """A folder of what ``fn`` gives for the blocks of each shard.
+
+    Shards take rounds; the blocks of a round are dropped when it is done.
+    """
+    out = new_folder(spark, "grams")
+    _store(spark.createDataFrame([], BLOCKS), out)
+    for (part,) in sorted(_stored(spark, place, kind).select("part").distinct().collect()):
+        own = spark.read.schema("shard int, block binary").parquet(f"{place}/part={part}")
+        _store(own.repartitionById(shards, F.col("shard")).mapInArrow(fn, BLOCKS), out)
+        unlinked(own)
+    return out
+
+
+def _count_triples(spark: SparkSession, folded: str, place: str, shards: int) -> tuple[str, np.ndarray]:
+    """Writes the arrays of three words and of two-word histories, from the folder of folded trigrams.
 
-    def rows(kind: int, shard: np.ndarray, a: np.ndarray, b: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-        zero = np.zeros(len(a), np.int64)
-        columns = [*columns, *[zero] * (4 - len(columns))]
-        arrays = [np.full(len(a), kind, np.int32), shard.astype(np.int32), a.view(np.int64), b.view(np.int64), *(c.astype(np.int64) for c in columns)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=names)
+    Gives a folder of the bigrams in blocks (before, after, n, raw), n being the distinct words
+    before them, and how many trigrams occur 1 to 4 times.
+    """
+    modulus = np.uint64(shards)
 
     def write_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *columns, counts = _whole(batches, ["first", "before", "after", "n"])
-        if not len(counts):
+        names, ids, counts = _word_rows(batches, 3)
+        if not len(names):
             return
-        columns = [c.view(np.uint64) for c in columns]
-        keys = _triple_key(*columns)
-        order = np.argsort(keys)
-        at = _new(keys[order])
-        counts = np.add.reduceat(counts[order], at)
-        keys, (first, before, after) = keys[order][at], [c[order][at] for c in columns]
+        order, at = _grouped(ids, len(names))
+        counts = np.add.reduceat(counts[0][order], at)
+        first, before, after = ids = [c[order[at]] for c in ids]
+        keys = _gram_key(*(names[c] for c in ids))
+        by_key = np.argsort(keys)
         shard = int(keys[0] % modulus)
-        _write_counts(place, "triples", shard, keys, counts)
-
-        history, own = np.unique(_key(first, before), return_inverse=True)
-        sums = [np.bincount(own, counts, len(history)), *(np.bincount(own[x], minlength=len(history)) for x in (counts == 1, counts == 2, counts > 2))]
-        yield rows(1, history % modulus, history, np.zeros(len(history), np.int64), *sums)
-        order = np.lexsort((after, before))
-        before, after, counts_of = before[order], after[order], counts[order]
-        at = _new(before, after)
-        wide, raw = np.diff(at, append=len(order)), np.add.reduceat(counts_of, at)
-        before, after = before[at], after[at]
-        yield rows(0, _key(before, after) % modulus, before, after, wide, raw)
-        kinds = [np.array([(counts == k).sum()]) for k in (1, 2, 3, 4)]
-        yield rows(2, np.array([shard]), np.zeros(1, np.int64), np.zeros(1, np.int64), *kinds)
+        _write_table(place, "triples", shard, keys[by_key], counts[by_key, None], SINGLE["triples"])
+
+        at = _new(first, before)
+        sums = [np.add.reduceat(c.astype(np.int64), at) for c in (counts, counts == 1, counts == 2, counts > 2)]
+        history = _key(names[first[at]], names[before[at]])
+        by_key = np.argsort(history)
+        history, sums = history[by_key], [c[by_key] for c in sums]
+        yield _blocks_of(1, ((k, _pack(_steps(history[own]), *(c[own] for c in sums))) for k, own in _by_shard((history % modulus).astype(np.int32))))
+        order, at = _grouped([before, after], len(names))
+        wide, raw = np.diff(at, append=len(order)), np.add.reduceat(counts[order], at)
+        pair = [c[order[at]] for c in (before, after)]
+        to = (_key(*(names[c] for c in pair)) % modulus).astype(np.int32)
+        yield _blocks_of(0, _word_blocks(to, names, pair, wide, raw))
+        yield _blocks_of(2, [(shard, _pack(np.bincount(counts[counts < 5], minlength=5)))])
 
     def write_histories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names_of, *columns = _whole(batches, ["a", "c0", "c1", "c2", "c3"])
-        names_of = names_of.view(np.uint64)
-        order = np.argsort(names_of)
-        at = _new(names_of[order])
-        if len(at):
-            names_of = names_of[order][at]
-            shard = int(names_of[0] % modulus)
-            sums = np.stack([np.add.reduceat(c[order], at) for c in columns], axis=1)
-            # Most histories occur once; their key says it all.
-            single = sums[:, 0] == 1
-            _save(place, f"histories-{shard}-1", names_of[single])
-            _save(place, f"histories-{shard}-3", names_of[~single])
-            _save(place, f"histories-{shard}-n", sums[~single].astype(np.uint32))
-        yield pa.RecordBatch.from_arrays([pa.array([len(at)], pa.int64())], names=["n"])
-
-    kinds = "kind int, shard int, a long, b long, c0 long, c1 long, c2 long, c3 long"
-    triples = texts(docs).select("text").mapInArrow(fold, "shard int, first long, before long, after long, n long")
-    with shuffles_discarded(docs.sparkSession):
-        made = materialised(triples.repartitionById(shards, F.col("shard")).mapInArrow(write_triples, kinds), "zstd")
-        of = lambda kind: made.where(F.col("kind") == kind)
-        of(1).select("shard", "a", "c0", "c1", "c2", "c3").repartitionById(shards, F.col("shard")).mapInArrow(write_histories, "n long").agg(F.sum("n")).collect()
-    n = of(2).agg(*(F.sum(f"c{k}") for k in range(4))).first()
-    pairs = of(0).select("shard", F.col("a").alias("before"), F.col("b").alias("after"), F.col("c0").alias("n"), F.col("c1").alias("raw"))
-    return pairs, np.array([0, *(x or 0 for x in n)])
+        blocks = [_unpack(x) for b in batches for x in b["block"].to_pylist()]
+        if blocks:
+            keys = np.concatenate([np.cumsum(x[0]) for x in blocks])
+            order = np.argsort(keys)
+            at = _runs(keys[order])
+            keys = keys[order[at]]
+            sums = np.stack([np.add.reduceat(np.concatenate([x[k] for x in blocks])[order], at) for k in range(1, 5)], axis=1)
+            _write_table(place, "histories", int(keys[0] % modulus), keys, sums, SINGLE["histories"])
+        # Nothing is left to hand on.
+        yield from ()
+
+    made = _dealt(spark, folded, 0, shards, write_triples)
+    # A dozen numbers from each shard.
+    kinds = [_unpack(r["block"])[0] for r in _stored(spark, made, 2).select("block").collect()]
+    _dealt(spark, made, 1, shards, write_histories)
+    return made, np.sum([np.zeros(5), *kinds], axis=0)
 
 
 def train(docs: DataFrame, folder: str, shards: int | None = None, order: int = 2) -> Model:
@@ -255,91 +395,61 @@ def train(docs: DataFrame, folder: str, shards: int | None = None, order: int =
     os.makedirs(place, exist_ok=True)
     modulus = np.uint64(shards)
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def folded() -> pa.RecordBatch:
-            before, after = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-            order = np.lexsort((after, before))
-            before, after = before[order], after[order]
-            at = np.flatnonzero(np.concatenate([[True], (before[1:] != before[:-1]) | (after[1:] != after[:-1])]))
-            before, after, counts = before[at], after[at], np.diff(at, append=len(order))
-            shard = (_key(before, after) % modulus).astype(np.int32)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(shard), pa.array(before.view(np.int64)), pa.array(after.view(np.int64)), pa.array(counts)],
-                names=["shard", "before", "after", "n"],
-            )
-
-        for batch in batches:
-            if batch.num_rows:
-                before, after, _ = _pairs(batch["text"].to_pylist())
-                held.append((before, after))
-                size += len(after)
-                if size >= FOLD:
-                    yield folded()
-                    held, size = [], 0
-        if held:
-            yield folded()
-
     def write_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, after, counts, raw = _whole(batches, ["before", "after", "n", "n" if order == 2 else "raw"])
-        before, after = before.view(np.uint64), after.view(np.uint64)
-        by_pair = np.lexsort((after, before))
-        before, after, counts, raw = before[by_pair], after[by_pair], counts[by_pair], raw[by_pair]
-        at = np.flatnonzero(np.concatenate([[True], (before[1:] != before[:-1]) | (after[1:] != after[:-1])])) if len(by_pair) else by_pair
-        counts, raw = (np.add.reduceat(c, at) if len(at) else c for c in (counts, raw))
-        before, after = before[at], after[at]
-        keys = _key(before, after)
-        if not len(keys):
+        names, ids, counts = _word_rows(batches, 2)
+        if not len(names):
             return
+        order_, at = _grouped(ids, len(names))
+        counts, raw = (np.add.reduceat(c[order_], at) for c in counts)
+        history, follow = (c[order_[at]] for c in ids)
+        keys = _key(names[history], names[follow])
         shard = int(keys[0] % modulus)
         by_key = np.argsort(keys)
-        _write_counts(place, "pairs", shard, keys[by_key], counts[by_key])
-
-        word = np.unique(np.concatenate([before, after]))
-        columns = {c: np.zeros(len(word), np.int64) for c in COLUMNS}
-        history, follow = np.searchsorted(word, before), np.searchsorted(word, after)
-        columns["count"] = np.bincount(follow, raw, len(word)).astype(np.int64)
-        columns["before"] = np.bincount(follow, minlength=len(word))
-        columns["total"] = np.bincount(history, counts, len(word)).astype(np.int64)
-        for name, own in (("once", counts == 1), ("twice", counts == 2), ("more", counts > 2)):
-            columns[name] = np.bincount(history[own], minlength=len(word))
+        _write_table(place, "pairs", shard, keys[by_key], counts[by_key, None], SINGLE["pairs"])
+
+        n = len(names)
+        columns = [np.bincount(follow, raw, n).astype(np.int64), np.bincount(follow, minlength=n), np.bincount(history, counts, n).astype(np.int64)]
+        columns += [np.bincount(history[own], minlength=n) for own in (counts == 1, counts == 2, counts > 2)]
+        by_word = np.argsort(names)
+        word, columns = names[by_word], [c[by_word] for c in columns]
         to = (mix(word) % modulus).astype(np.int32)
-        kinds = [np.bincount(counts[counts < 5], minlength=5)[k] for k in range(5)]
-        # One row more carries how many bigrams occur 1, 2, 3 and 4 times; its word is no word.
-        extra = [kinds[1], kinds[2], kinds[3], kinds[4], len(keys), 0]
-        arrays = [pa.array(np.append(to, shard).astype(np.int32)), pa.array(np.append(word.view(np.int64), -1))]
-        arrays += [pa.array(np.append(columns[c], x)) for c, x in zip(COLUMNS, extra)]
-        yield pa.RecordBatch.from_arrays(arrays, names=["shard", "word", *COLUMNS])
+        yield _blocks_of(0, ((k, _pack(_steps(word[own]), *(c[own] for c in columns))) for k, own in _by_shard(to)))
+        # How many bigrams occur 1, 2, 3 and 4 times, and all.
+        kinds = np.bincount(counts[counts < 5], minlength=5)[1:]
+        yield _blocks_of(1, [(shard, _pack(np.append(kinds, len(keys))))])
 
     def write_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word, *columns = _whole(batches, ["word", *COLUMNS])
-        kinds = np.array([c[word == -1].sum() for c in columns], np.int64)
-        own = word != -1
-        word, columns = word[own].view(np.uint64), [c[own] for c in columns]
-        order = np.argsort(word, kind="stable")
-        word = word[order]
-        at = _runs(word)
-        columns = [np.add.reduceat(c[order], at) if len(at) else c for c in columns]
-        word = word[at]
-        if len(word):
-            shard = int(mix(word[:1])[0] % modulus)
-            _save(place, f"words-{shard}", word)
-            _save(place, f"words-{shard}-n", np.stack(columns, axis=1).astype(np.int64) if len(at) else np.zeros((0, len(COLUMNS)), np.int64))
+        kinds, blocks = np.zeros(5, np.int64), []
+        for batch in batches:
+            for part, block in zip(batch["part"].to_pylist(), batch["block"].to_pylist()):
+                if part >= ROUNDS:
+                    kinds += _unpack(block)[0].astype(np.int64)
+                else:
+                    blocks.append(_unpack(block))
+        columns = [np.zeros(0, np.int64)] * len(COLUMNS)
+        if blocks:
+            word = np.concatenate([np.cumsum(x[0]) for x in blocks])
+            order_ = np.argsort(word, kind="stable")
+            at = _runs(word[order_])
+            word = word[order_[at]]
+            columns = [np.add.reduceat(np.concatenate([x[k] for x in blocks])[order_], at).astype(np.int64) for k in range(1, len(COLUMNS) + 1)]
+            rows = np.stack(columns, axis=1)
+            wide = rows.max() >= 1 << 32
+            _save(place, f"words-{int(mix(word[:1])[0] % modulus)}", [word, rows.astype(np.uint64 if wide else np.uint32)])
         count, before = columns[0], columns[1]
         seen = count > 0
         classes = [int((before[seen] == k).sum()) for k in (1, 2, 3, 4)] + [int((before[seen] > 2).sum())]
-        row = [*kinds[:5].tolist(), int(count.sum()), int(seen.sum()), *classes]
+        row = [*kinds.tolist(), int(count.sum()), int(seen.sum()), *classes]
         yield pa.RecordBatch.from_arrays([pa.array([row], pa.list_(pa.int64()))], names=["sums"])
 
-    m = np.zeros(5)
-    if order == 3:
-        pairs, m = _count_triples(docs, place, shards)
-    else:
-        pairs = texts(docs).select("text").mapInArrow(fold, "shard int, before long, after long, n long")
-    kinds = ", ".join(f"{c} long" for c in COLUMNS)
-    per_word = pairs.repartitionById(shards, F.col("shard")).mapInArrow(write_pairs, f"shard int, word long, {kinds}")
-    sums = per_word.repartitionById(shards, F.col("shard")).mapInArrow(write_words, "sums array<long>")
+    with shuffles_discarded(spark):
+        grams, m = new_folder(spark, "grams"), np.zeros(5)
+        _store(texts(docs).select("text").mapInArrow(_folded(modulus, order), BLOCKS), grams)
+        if order == 3:
+            grams, m = _count_triples(spark, grams, place, shards)
+        per_word = _stored(spark, _dealt(spark, grams, 0, shards, write_pairs))
+        sums = materialised(per_word.repartitionById(shards, F.col("shard")).mapInArrow(write_words, "sums array<long>"))
+        unlinked(per_word)
     # A dozen numbers from each shard.
     total = np.array([r["sums"] for r in sums.collect()], np.int64).reshape(-1, 12).sum(axis=0)
     n, t = np.concatenate([[0], total[:4]]), np.concatenate([[0], total[7:11]])
@@ -355,11 +465,16 @@ class Arrays:
     def __init__(self, model: Model):
         self.model, self.maps = model, {}
 
-    def _map(self, name: str, kind: type) -> np.ndarray:
+    def _map(self, name: str) -> list[np.ndarray]:
+        """The arrays of a file, as bytes; none without the file."""
         if name not in self.maps:
-            path = f"{self.model.folder}/{name}"
-            there = os.path.exists(path) and os.path.getsize(path)
-            self.maps[name] = np.memmap(path, kind, "r") if there else np.zeros(0, kind)
+            path, found, at = f"{self.model.folder}/{name}", [], 0
+            held = np.asarray(np.memmap(path, np.uint8, "r")) if os.path.exists(path) else np.zeros(0, np.uint8)
+            while at < len(held):
+                size = int(held[at : at + 8].view(np.uint64)[0])
+                found.append(held[at + 8 : at + 8 + size])
+                at += 8 + size + -size % 8
+            self.maps[name] = found
         return self.maps[name]
 
     def _by_shard(self, spread: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -379,32 +494,53 @@ class Arrays:
         known = array[at] == keys
         return at[known], known
 
-    def counts(self, keys: np.ndarray, kind: str = "pairs") -> np.ndarray:
-        """Counts of n-gram keys; 0 for those never seen."""
-        out = np.zeros(len(keys), np.int64)
+    def _rows(self, kind: str, keys: np.ndarray) -> np.ndarray:
+        """The row of each key in a table of :func:`_write_table`; zeros for those never seen."""
+        single = SINGLE[kind]
+        out = np.zeros((len(keys), len(single)), np.int64)
         for k, own in self._by_shard(keys):
-            for n in (1, 2, 3):
-                at, known = self._find(self._map(f"{kind}-{k}-{n}", np.uint64), keys[own])
-                out[own[known]] = n if n < 3 else self._map(f"{kind}-{k}-n", np.uint32)[at]
+            held = self._map(f"{kind}-{k}")
+            if not held:
+                continue
+            starts, low, ends, *rows = (x.view(t) for x, t in zip(held, TYPES))
+            bucket, wanted = _cut(keys[own], (len(starts) - 1).bit_length() - 1)
+            lo, stop = starts[bucket].astype(np.int64), starts[bucket + 1].astype(np.int64)
+            hi = stop
+            # All keys at once are bisected in their buckets.
+            while (open_ := lo < hi).any():
+                mid = (lo + hi) >> 1
+                less = open_ & (self._bits(low, ends, np.minimum(mid, len(low) - 1)) < wanted)
+                lo, hi = np.where(less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
+            at = np.minimum(lo, len(low) - 1)
+            known = (lo < stop) & (self._bits(low, ends, at) == wanted)
+            code = np.where(known, ends[at] & 3, 0)
+            out[own[code == 1]] = single
+            for n, places, values in ((2, rows[0], rows[1]), (3, rows[2], rows[3])):
+                of = code == n
+                out[own[of]] = values.reshape(-1, len(single))[np.searchsorted(places, at[of].astype(np.uint32))]
         return out
 
+    @staticmethod
+    def _bits(low: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return low[at].astype(np.uint64) << np.uint64(6) | (ends[at] >> 2).astype(np.uint64)
+
+    def counts(self, keys: np.ndarray, kind: str = "pairs") -> np.ndarray:
+        """Counts of n-gram keys; 0 for those never seen."""
+        return self._rows(kind, keys)[:, 0]
+
     def words(self, names: np.ndarray) -> np.ndarray:
         """A row of COLUMNS for each word; zeros for strangers."""
         out = np.zeros((len(names), len(COLUMNS)), np.int64)
         for k, own in self._by_shard(mix(names)):
-            at, known = self._find(self._map(f"words-{k}", np.uint64), names[own])
-            out[own[known]] = self._map(f"words-{k}-n", np.int64).reshape(-1, len(COLUMNS))[at]
+            if held := self._map(f"words-{k}"):
+                word = held[0].view(np.uint64)
+                at, known = self._find(word, names[own])
+                out[own[known]] = held[1].view(np.uint32 if len(held[1]) == 24 * len(word) else np.uint64).reshape(-1, len(COLUMNS))[at]
         return out
 
     def histories(self, keys: np.ndarray) -> np.ndarray:
         """Total, once, twice and more of two-word histories; zeros for those never seen."""
-        out = np.zeros((len(keys), 4), np.int64)
-        for k, own in self._by_shard(keys):
-            _, known = self._find(self._map(f"histories-{k}-1", np.uint64), keys[own])
-            out[own[known]] = [1, 1, 0, 0]
-            at, known = self._find(self._map(f"histories-{k}-3", np.uint64), keys[own])
-            out[own[known]] = self._map(f"histories-{k}-n", np.uint32).reshape(-1, 4)[at]
-        return out
+        return self._rows("histories", keys)
 
     def log10(self, before: np.ndarray, after: np.ndarray, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of each token after the one or two before it, and its training count."""

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -255,3 +256,28 @@ def test_fingerprints_of_awkward_rows(spark):
     assert fingerprints.fingerprints(documents(spark, [])).count() == 0
     one = fingerprints.fingerprints(documents(spark, [(1, "just one text", None)])).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
+
+
+def test_kneser_ney_counts_and_what_is_left(spark):
+    """Every count is found again, also many and those beyond a byte; what was dealt out is dropped."""
+    rows = [(k, " ".join(random.Random(k).choices(["a", "b", "c", *map(str, range(300))], [900, 300, 100, *[1] * 300], k=60)), None) for k in range(200)]
+    rows += [(1000 + k, "x y z", None) for k in range(300)]
+    place = new_folder(ready(spark), "kn-test")
+    before = set(Path(place.removeprefix("file:")).parent.iterdir())
+    model = kneser_ney.train(documents(spark, rows), place, shards=5, order=3)
+    left = [f for d in set(Path(place.removeprefix("file:")).parent.iterdir()) - before for f in d.rglob("*.parquet") if str(d) != model.folder]
+    assert sum(f.stat().st_size for f in left) < 50_000
+    want = collections.Counter()
+    for _, text, _ in rows:
+        own = kneser_ney.tokens(text.encode()).tolist()
+        two = [int(kneser_ney.BEGIN)] * 2 + own
+        want.update(zip(two, two[1:], own))
+    grams = np.array(list(want), np.uint64)
+    arrays = kneser_ney.Arrays(model)
+    assert arrays.counts(kneser_ney._triple_key(*grams.T), "triples").tolist() == list(want.values())
+    history = collections.defaultdict(list)
+    for (a, b, _), n in want.items():
+        history[a, b].append(n)
+    keys = kneser_ney._key(*np.array(list(history), np.uint64).T)
+    assert arrays.histories(keys).tolist() == [[sum(v), v.count(1), v.count(2), sum(n > 2 for n in v)] for v in history.values()]
+    assert not arrays.counts(kneser_ney._triple_key(*(grams + np.uint64(1)).T), "triples").any() and max(want.values()) > 255
