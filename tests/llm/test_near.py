@@ -261,6 +261,88 @@ def test_every_exact_repeat_is_found(spark):
     assert len(want) > 50 and all(places <= got.get(i, set()) for i, places in want.items())
 
 
+def test_lone_paragraphs_go_no_further(spark):
+    """Only paragraphs that equal or meet another leave their block, whichever blocks the two are in."""
+    draw = random.Random(17)
+    word = lambda: "".join(draw.choice("abcdefghijkl") for _ in range(6))
+    shared = [[word() for _ in range(60)] for _ in range(6)]
+    rows = []
+    for k in range(60):
+        own = [word() for _ in range(90)]
+        rows.append((k, " ".join(own[:45] + (shared[k // 2] if k < 12 else []) + own[45:]), "en"))
+    docs = documents(ready(spark), rows).repartition(3, "doc_id")
+    packed = passages.materialised(passages._packed(docs, passages.LEAST_WORDS))
+    assert packed.select("block").distinct().count() == 3
+    got = passages._met(packed).collect()
+    texts = {i: t.split() for i, t, _ in rows}
+    places = {}
+    for i, own in texts.items():
+        hashed = passages.hashes(" ".join(own).encode())
+        stops = passages.cuts(hashed, np.array([len(hashed)])).tolist()
+        for start, stop in zip([0, *stops], stops):
+            places.setdefault(" ".join(own[start:stop]), set()).add((i, start, stop))
+    several = {p for found in places.values() if len(found) > 1 for p in found}
+    found = {(r["doc_id"], r["start"], r["stop"]) for r in got}
+    assert several <= found and len(several) >= 36
+    # The rest share a shingle over a cut, of the shared stretches.
+    assert {i for i, _, _ in found} == set(range(12)) and len(found) < len(several) + 24
+    assert all(r["m0"] is not None for r in got if (r["doc_id"], r["start"], r["stop"]) in several and r["n"] > 0)
+
+
+def test_cuts_of_texts_together():
+    """Texts that are cut together are cut as each by itself."""
+    draw = np.random.default_rng(3)
+    texts = [draw.integers(0, 50, n).astype(np.uint64) for n in (1, 17, 18, 19, 20, 300, 2, 77, 1, 500)]
+    ends = np.cumsum([len(x) for x in texts])
+    alone = [passages.cuts(x, np.array([len(x)])) + end - len(x) for x, end in zip(texts, ends)]
+    assert passages.cuts(np.concatenate(texts), ends).tolist() == np.concatenate(alone).tolist()
+
+
+def test_windows_of_common_phrases(spark):
+    """A phrase of 30 words in many documents makes no windows; one of 55 in two makes theirs."""
+    draw = random.Random(23)
+    word = lambda: "".join(draw.choice("abcdefghijkl") for _ in range(6))
+    phrase, longer = [word() for _ in range(30)], [word() for _ in range(55)]
+    rows = []
+    for k in range(42):
+        own = [word() for _ in range(80)]
+        rows.append((k, " ".join(own[:40] + (longer if k >= 40 else phrase) + own[40:]), "en"))
+    docs = documents(ready(spark), rows)
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
+    around = passages.materialised(keyed.select("doc_id", "text_key", F.lit(50).alias("start"), F.lit(60).alias("stop")))
+    hits, (samples, _, windows) = passages._exact(around, keyed, 51)
+    assert sorted((r["doc_id"], r["s"], r["e"], r["first"]) for r in hits.collect()) == [(41, s, s + 51, 40) for s in range(40, 45)]
+    # 42 windows of 42 documents lie around the paragraphs.
+    assert windows.count() < 42 * 42 // 2 and samples.count() < 42 * 42 // 3
+
+
+def test_run_ends_as_arrays():
+    """Ends compared many at once are where each by itself is, or are left to be looked at by themselves."""
+    draw = np.random.default_rng(8)
+    texts = [draw.integers(0, 3, n).astype(np.uint64) for n in (0, 5, 40, 90)]
+    hashed, ends = np.concatenate(texts), np.cumsum([len(x) for x in texts])
+    left = 0
+    for _ in range(400):
+        k = int(draw.integers(len(texts)))
+        own, begin = texts[k], ends[k] - len(texts[k])
+        edge, past = int(draw.integers(len(own) + 1)), bool(draw.integers(2))
+        theirs = draw.integers(0, 3, int(draw.integers(passages.AHEAD + 1))).astype(np.uint64)
+        if draw.integers(2):
+            mine = own[edge:] if past else own[:edge][::-1]
+            theirs = np.concatenate([mine[: draw.integers(30)], theirs])[: passages.AHEAD]
+        size = len(own) - edge if past else edge
+        same, seen, open_ = (
+            x[0]
+            for x in passages._compared(
+                hashed, np.array([begin + edge]), np.array([past]), np.array([size]), theirs, np.array([0]), np.array([len(theirs)])
+            )
+        )
+        want = passages._end(own, theirs, {"s": edge, "e": edge, "side": 1 if past else -1}, 80)
+        left += open_
+        assert open_ or (edge + same if past else edge - same, seen) == want
+    assert 0 < left < 400
+
+
 def test_passages_leave_no_tables_behind(spark):
     """What only the work on run ends and windows needs is dropped when they are done."""
     rows, want = long_rows(True)
