@@ -498,7 +498,8 @@ def vector_topk_approx(spark, folder):
 @query
 def vector_topk_cells(spark, folder):
     """A table kept in cells: half of the rows written with it, half added, full cells split, and searched."""
-    memories = samples.vector_memories(spark, folder)
+    # Put together once; rows without a vector are in no cell and in no result.
+    memories = materialised(samples.vector_memories(spark, folder).filter(F.col("embedding").isNotNull()))
     asked = samples.search_requests(spark, folder)
     path = new_folder(spark, "cells")
     cells.create_cell_table(memories.filter(F.col("id") % 2 == 0), path, n_cells=8)

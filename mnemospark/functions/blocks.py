@@ -39,6 +39,9 @@ class Block:
     project: np.ndarray
     sequence: np.ndarray | None
     unit: np.ndarray
+    #: Of memories the cell, of requests the cells they look into: a bit for each cell.
+    cell: np.ndarray | None = None
+    probed: np.ndarray | None = None
 
     @classmethod
     def read(cls, table: pa.Table, id_column: str) -> Block:
@@ -64,6 +67,8 @@ class Block:
             project=table["project_id"].to_pandas().to_numpy(dtype=object),
             sequence=sequence,
             unit=vectors,
+            cell=table["cell"].to_numpy() if "cell" in table.column_names else None,
+            probed=_bits(table["probed"]) if "probed" in table.column_names else None,
         )
 
     def rows_by_scope(self) -> dict:
@@ -78,6 +83,11 @@ def _flat(column: pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
 
 
+def _bits(column: pa.ChunkedArray) -> np.ndarray:
+    """Sets of cells, all of one size, a row each."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
 def _first_k(request, memory, similarity, k):
     order = np.lexsort((memory, -similarity, request))
     request, memory, similarity = request[order], memory[order], similarity[order]
@@ -96,6 +106,7 @@ def _match_scope(requests: Block, memories: Block, q_rows, m_rows, rule: MatchRu
     for q_lo in range(0, len(q_rows), REQUEST_TILE):
         q_tile = q_rows[q_lo : q_lo + REQUEST_TILE]
         q_unit = requests.unit[q_tile]
+        probed = None if requests.probed is None else np.unpackbits(requests.probed[q_tile], axis=1).astype(bool)
         best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         for m_lo in range(0, len(m_rows), MEMORY_TILE):
             m_tile = m_rows[m_lo : m_lo + MEMORY_TILE]
@@ -106,6 +117,8 @@ def _match_scope(requests: Block, memories: Block, q_rows, m_rows, rule: MatchRu
                     == m_code[None, m_lo : m_lo + MEMORY_TILE]
                 )
                 score[~visible] = -np.inf
+            if probed is not None:
+                score[~probed[:, memories.cell[m_tile]]] = -np.inf
             if rule.earlier_only:
                 later = memories.sequence[m_tile][None, :] >= requests.sequence[q_tile][:, None]
                 score[later] = -np.inf

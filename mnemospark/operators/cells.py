@@ -20,13 +20,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.operators.nearest import cells_to_probe, fit_cells, live, nearest_cell, search_scopes
+from mnemospark.operators.nearest import cells_marked, cells_to_probe, fit_cells, live, nearest_cell, search_marked, search_scopes
 from mnemospark.schema import CANDIDATE_POOL
-from mnemospark.session import materialised
+from mnemospark.session import broadcast_if_small, materialised
 
 #: Memories of a cell beyond which it is split, unless the caller says otherwise.
 FULL = 1_000_000
 
+#: Requests that look into more than this share of the cells are not copied to each, but carry the set of them.
+SPARSE = 0.25
+
 #: Requests that the number of cells to look into is fitted on.
 FITTED_ON = 1_000
 
@@ -81,6 +84,9 @@ def search_cells(
     wanted = requests.filter(F.col("embedding").isNotNull()).select(
         "qid", F.col("user_id").alias("scope"), "project_id", "embedding"
     )
+    if probes > SPARSE * len(cells):
+        wanted = materialised(wanted.withColumn("probed", cells_marked(centres, cells, probes)("embedding")))
+        return search_marked(wanted, _stored(spark, path, cells.tolist()), k)
     names = F.array(*[F.lit(int(c)) for c in cells])
     wanted = materialised(
         wanted.withColumn("at", F.explode(cells_to_probe(centres, probes)("embedding")))
@@ -89,10 +95,7 @@ def search_cells(
     )
     # At most as many numbers as there are cells; they are the partitions that are read.
     asked = [r["cell"] for r in wanted.select("cell").distinct().collect()]
-    stored = live(_rows(spark, path).filter(F.col("cell").isin(asked))).select(
-        "id", F.col("user_id").alias("scope"), "project_id", "embedding", "cell"
-    )
-    return search_scopes(wanted, stored, k)
+    return search_scopes(wanted, _stored(spark, path, asked), k)
 
 
 def fit_probes(
@@ -101,15 +104,25 @@ def fit_probes(
     """The least number of cells to look into, doubling, that finds the share ``recall``.
 
     Measured on ``fitted_on`` requests, chosen by a hash of qid, against a search of all cells.
+    One search tells for all numbers: a match is found as soon as its own cell is looked into.
     """
     spark = requests.sparkSession
-    cells, _, _ = _centres(spark, path)
+    cells, centres, _ = _centres(spark, path)
     some = materialised(requests.orderBy(F.xxhash64("qid")).limit(fitted_on))
-    exact = materialised(search_cells(some, path, len(cells), k).select("qid", "id"))
-    expected, probes = exact.count(), 1
+    exact = materialised(search_cells(some, path, len(cells), k).groupBy("qid", "id").count())
+    kept = _stored(spark, path, cells.tolist()).join(broadcast_if_small(exact.select("id").distinct()), "id", "left_semi")
+    at = F.array_position(F.array(*[F.lit(int(c)) for c in cells]), F.col("cell")) - 1
+    ways = some.filter(F.col("embedding").isNotNull()).select("qid", cells_to_probe(centres, len(cells))("embedding").alias("way"))
+    # An id that several cells keep is found with the first of them.
+    needed = (
+        exact.join(kept.select("id", at.cast("int").alias("at")).distinct(), "id").join(ways, "qid")
+        .groupBy("qid", "id").agg(F.min(F.array_position("way", F.col("at"))).alias("probes"), F.max("count").alias("count"))
+        .groupBy("probes").agg(F.sum("count").alias("count"))
+    )
+    needed = {r["probes"]: r["count"] for r in needed.collect()}
+    expected, probes = exact.agg(F.sum("count")).first()[0] or 0, 1
     while probes < len(cells):
-        found = search_cells(some, path, probes, k).join(exact, ["qid", "id"], "left_semi").count()
-        if found >= recall * expected:
+        if sum(n for least, n in needed.items() if least <= probes) >= recall * expected:
             return probes
         probes *= 2
     return len(cells)
@@ -119,6 +132,13 @@ def _rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/rows")
 
 
+def _stored(spark: SparkSession, path: str, cells: list[int]) -> DataFrame:
+    """What a search reads of these cells."""
+    return live(_rows(spark, path).filter(F.col("cell").isin(cells))).select(
+        "id", F.col("user_id").alias("scope"), "project_id", "embedding", "cell"
+    )
+
+
 def _centres(spark: SparkSession, path: str) -> tuple[np.ndarray, np.ndarray, int]:
     """Numbers and centres of the cells in use, and their version."""
     known = spark.read.schema("cell int, centre array<double>, version int").parquet(f"{path}/versions")
@@ -137,5 +157,6 @@ def _write_rows(rows: DataFrame, centres: np.ndarray, names: np.ndarray, path: s
     numbers = F.array(*[F.lit(int(c)) for c in names])
     kept = rows.filter(F.col("embedding").isNotNull())
     placed = kept.withColumn("cell", F.get(numbers, nearest_cell(centres)("embedding")))
-    # Rows stay in the tasks that read them; sorted, a task writes one file for each cell.
+    # Cells are brought together first, those with much in several tasks: each task would write a file for each cell.
+    placed = placed.hint("rebalance", F.col("cell"))
     placed.sortWithinPartitions("cell", "user_id").write.mode("append").partitionBy("cell").parquet(f"{path}/rows")

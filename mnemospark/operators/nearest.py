@@ -408,6 +408,21 @@ def cells_to_probe(cells: np.ndarray, probes: int):
     return probe
 
 
+def cells_marked(cells: np.ndarray, names: np.ndarray, probes: int):
+    """A function from vectors to the set of their ``probes`` nearest centres, a bit for each number in ``names``."""
+    half_norms = 0.5 * np.einsum("ij,ij->i", cells, cells)
+
+    @F.pandas_udf("binary")
+    def mark(vectors: pd.Series) -> pd.Series:
+        closeness = _unit_matrix(vectors) @ cells.T - half_norms
+        order = np.argsort(-closeness, axis=1, kind="stable")[:, :probes]
+        bits = np.zeros((len(order), int(names.max()) + 1), bool)
+        np.put_along_axis(bits, names[order], True, axis=1)
+        return pd.Series([row.tobytes() for row in np.packbits(bits, axis=1)])
+
+    return mark
+
+
 def cells_within(cells: np.ndarray, radius: float):
     """A function from vectors to all cells that can hold a unit vector within ``radius``.
 
@@ -428,6 +443,13 @@ def cells_within(cells: np.ndarray, radius: float):
     return reach
 
 
+def search_marked(wanted: DataFrame, stored: DataFrame, k: int) -> DataFrame:
+    """Best ``k`` of each request in the cells of its set; ``wanted`` is a stored table with ``probed``, ``stored`` has ``cell``."""
+    # As with cells in the scope, rows without a user are of one user.
+    user = F.concat_ws("\x1f", F.lit(""), F.col("scope").cast("string"))
+    return _final_ranks(_join_blocks(wanted.withColumn("scope", user), stored.withColumn("scope", user), MatchRule(k), True), k)
+
+
 def search_scopes(wanted: DataFrame, stored: DataFrame, k: int) -> DataFrame:
     """Best ``k`` of each request over the cells it was copied to; both sides have scope and cell."""
     return _final_ranks(_join_blocks(_scoped(wanted, "cell"), _scoped(stored, "cell"), MatchRule(k)), k)

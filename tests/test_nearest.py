@@ -212,6 +212,53 @@ def test_a_search_reads_the_partitions_of_its_cells(spark):
     assert "PartitionFilters: [cell" in plan
 
 
+def test_kept_cells_have_few_files(spark):
+    """However many tasks rows come from, a cell is not written by all of them."""
+    memories, requests = make(12, 300, 2, clusters=8)
+    m, _ = frames(spark, memories, requests)
+    path = new_folder(spark, "cells")
+    cells.create_cell_table(m.repartition(12), path, n_cells=6)
+    assert len(spark.read.parquet(f"{path}/rows").inputFiles()) == 6
+    cells.append_to_cells(m.repartition(12), path)
+    assert len(spark.read.parquet(f"{path}/rows").inputFiles()) == 12
+    cells.split_full_cells(spark, path, full=50)
+    names, _, _ = cells._centres(spark, path)
+    files = spark.read.parquet(f"{path}/rows").inputFiles()
+    assert len(files) == 12 + len(set(names.tolist()) - set(range(6)))
+
+
+def test_requests_are_not_copied_to_most_cells(spark, monkeypatch):
+    """Sets of cells and copies for each cell give the same matches; with sets a request is one row of a block."""
+    memories, requests = make(13, 400, 40, clusters=8)
+    m, q = frames(spark, memories, requests)
+    path = new_folder(spark, "cells")
+    cells.create_cell_table(m, path, n_cells=12)
+    rows, join = [], nearest._join_blocks
+    monkeypatch.setattr(nearest, "_join_blocks", lambda wanted, *a: rows.append(wanted.count()) or join(wanted, *a))
+    found = {}
+    for share in (0.25, 1.0):
+        monkeypatch.setattr(cells, "SPARSE", share)
+        found[share] = {(r.qid, r.id, r.similarity, r.rank) for r in cells.search_cells(q, path, probes=7, k=5).collect()}
+    asked = q.filter("embedding is not null").count()
+    assert found[0.25] == found[1.0] and rows == [asked, 7 * asked]
+
+
+def test_fitting_probes_searches_once(spark, monkeypatch):
+    """The number of cells is that of trying each number in turn."""
+    memories, requests = make(14, 400, 40, clusters=8)
+    m, q = frames(spark, memories, requests)
+    path = new_folder(spark, "cells")
+    cells.create_cell_table(m, path, n_cells=12)
+    exact = cells.search_cells(q, path, 12, 5).select("qid", "id").collect()
+    tried = {p: {(r.qid, r.id) for r in cells.search_cells(q, path, p, 5).collect()} & set(map(tuple, exact)) for p in (1, 2, 4, 8)}
+    searches, search = [], cells.search_cells
+    monkeypatch.setattr(cells, "search_cells", lambda *a: searches.append(a) or search(*a))
+    for recall in (0.3, 0.8, 0.95, 1.0):
+        want = next((p for p in tried if len(tried[p]) >= recall * len(exact)), 12)
+        assert cells.fit_probes(q, path, recall=recall, k=5) == want
+    assert len(searches) == 4
+
+
 def test_scan_route_does_not_shuffle_memories(spark):
     memories, requests = make(8, 50, 5)
     m, q = frames(spark, memories, requests)
